@@ -21,32 +21,41 @@ def long_to_wide(totals: DataFrame, key: str, city: str, cities: Sequence[str],
     return totals.groupBy(key).pivot(city, list(cities)).agg(F.sum(value)).na.fill(0.0, subset=list(cities))
 
 
-def _shares(totals: DataFrame, key: str, city: str, clip: tuple[float, float]) -> DataFrame:
-    tot = totals.groupBy(key).agg(F.sum("tickets").alias("_tot"))
-    j = totals.join(tot, key).where(F.col("_tot") > 0)
-    clipped = F.least(F.lit(clip[1]), F.greatest(F.lit(clip[0]), F.col("tickets") / F.col("_tot")))
-    j = j.withColumn("_c", clipped)
-    renorm = j.groupBy(key).agg(F.sum("_c").alias("_cs"))
-    return (j.join(renorm, key).select(key, city, (F.col("_c") / F.col("_cs")).alias("share"),
-                                        F.col("tickets"), F.col("_tot").alias("total")))
-
-
-def learn_city_shares(history: DataFrame, categories: DataFrame, key: str = "title", city: str = "city",
-                      value: str = "single_tickets", category: str = "category",
+def _shares(totals: DataFrame, key: str, city: str, cities: Sequence[str], clip: tuple[float, float]) -> DataFrame:
+    """Shares over the full city list (absent city = 0), keys with total <= 0 dropped,
+    each share clipped then renormalised. One pivot (city list given) per key."""
+    wide = long_to_wide(totals, key, city, cities, "tickets")
+    vals = [F.col(f"`{c}`") for c in cities]
+    tot = vals[0]
+    for v in vals[1:]:
+        tot = tot + v
+    clipped = [F.least(F.lit(clip[1]), F.greatest(F.lit(clip[0]), v / F.col("_tot"))) for v in vals]
+    csum = clipped[0]
+    for v in clipped[1:]:
+        csum = csum + v
+    rows = F.array(*[F.struct(F.lit(c).alias(city), (cv / csum).alias("share"), v.alias("tickets"))
+                     for c, cv, v in zip(cities, clipped, vals)])
+    return (wide.withColumn("_tot", tot).where(F.col("_tot") > 0)
+            .select(key, F.col("_tot").alias("total"), F.explode(rows).alias("_r"))
+            .select(key, f"_r.{city}", "_r.share", "_r.tickets", "total"))
+
+
+def learn_city_shares(history: DataFrame, categories: DataFrame, cities: Sequence[str], key: str = "title",
+                      city: str = "city", value: str = "single_tickets", category: str = "category",
                       clip: tuple[float, float] = C.CITY_CLIP_RANGE) -> tuple[DataFrame, DataFrame]:
     """A04 — learned city shares at title and category level.
 
-    share = city / total clipped to ``clip`` and renormalised (for two cities
-    with a symmetric clip this is exactly clip(c) and 1 - clip(c)); totals <= 0
-    are dropped. Category totals are sums of title totals, the category taken
-    from ``categories`` (key -> category).
+    share = city / total over the given city list (absent city = 0), clipped to
+    ``clip`` and renormalised (for two cities with a symmetric clip this is
+    exactly clip(c) and 1 - clip(c)); totals <= 0 are dropped. Category totals
+    are sums of title totals, the category taken from ``categories``.
     Returns (title_shares(key, city, share, tickets, total), category_shares(category, city, ...)).
     """
-    t = city_totals(history, key, city, value)
-    title_sh = _shares(t, key, city, clip)
+    t = city_totals(history.where(F.col(city).isin(*cities)), key, city, value)
+    title_sh = _shares(t, key, city, cities, clip)
     ct = (t.join(categories.select(key, category), key)
           .groupBy(category, city).agg(F.sum("tickets").alias("tickets")))
-    cat_sh = _shares(ct, category, city, clip)
+    cat_sh = _shares(ct, category, city, cities, clip)
     return title_sh, cat_sh
 
 

@@ -45,3 +45,215 @@ def q_a01(spark, sf):
 @query("A02_prior_stats")
 def q_a02(spark, sf):
     return rounded(R.prior_stats(R.anchored_runs(B.history_cube(spark, sf))))
+
+
+# ---------------------------------------------------------------- scoring pipeline stages
+from stagecast.functions import signals as SG  # noqa: E402
+from stagecast.operators import allocate as AL  # noqa: E402
+from stagecast.operators import models as M  # noqa: E402
+from stagecast.operators import robust as RB  # noqa: E402
+from stagecast.plans import pipeline as PL  # noqa: E402
+
+
+def _plan(spark, sf):
+    return PL.plan_from_tables(spark, sf, proposed_month=3)
+
+
+@query("A05_iqr_filter")
+def q_a05(spark, sf):
+    p = _plan(spark, sf)
+    return rounded(RB.iqr_filter(p.past_runs, "category", "ticket_median")
+                   .select("title", "run_no", "category", "month", "ticket_median"))
+
+
+@query("A06_trimmed_median")
+def q_a06(spark, sf):
+    p = _plan(spark, sf)
+    kept = RB.iqr_filter(p.past_runs, "category", "ticket_median")
+    return rounded(kept.groupBy("category").agg(RB.trimmed_median("ticket_median").alias("trimmed_median"),
+                                                F.count(F.lit(1)).alias("n")))
+
+
+@query("A07_seasonality_table")
+def q_a07(spark, sf):
+    return rounded(_plan(spark, sf).seasonality)
+
+
+@query("P16_mid_date")
+def q_p16(spark, sf):
+    return _plan(spark, sf).runs.select("title", "run_no", "mid_date", "month", "year")
+
+
+@query("J14_last_mid_date")
+def q_j14(spark, sf):
+    return _plan(spark, sf).last_mid
+
+
+@query("J15_runs_with_category_and_median")
+def q_j15(spark, sf):
+    return rounded(_plan(spark, sf).past_runs.select("title", "run_no", "category", "ticket_median"))
+
+
+@query("J11_known_unknown")
+def q_j11(spark, sf):
+    return _plan(spark, sf).base.select("title", "Source")
+
+
+@query("P11_estimate_unknown")
+def q_p11(spark, sf):
+    p = _plan(spark, sf)
+    return rounded(SG.estimate_unknown(p.titles.select("title", "category"), p.baselines, "category")
+                   .select("title", *SG.SIGNALS))
+
+
+@query("F01_raw_scores")
+def q_f01(spark, sf):
+    return rounded(_plan(spark, sf).base.select("title", "FamiliarityRaw", "MotivationRaw"))
+
+
+@query("J12_benchmark_cross")
+def q_j12(spark, sf):
+    p = _plan(spark, sf)
+    b = F.broadcast(p.benchmark.select(F.col("title").alias("benchmark_title"),
+                                       F.coalesce(F.nullif("FamiliarityRaw", F.lit(0.0)), F.lit(1.0)).alias("_bf")))
+    return rounded(p.base.crossJoin(b).select(
+        "title", "benchmark_title", (F.col("FamiliarityRaw") / F.col("_bf") * 100.0).alias("Familiarity")))
+
+
+@query("F02_benchmark_index")
+def q_f02(spark, sf):
+    return rounded(_plan(spark, sf).indexed.select("title", "Familiarity", "Motivation"))
+
+
+@query("F03_signal_only")
+def q_f03(spark, sf):
+    return rounded(_plan(spark, sf).indexed.select("title", "SignalOnly"))
+
+
+@query("J13_factor_lookup")
+def q_j13(spark, sf):
+    return rounded(_plan(spark, sf).indexed.select("title", "HistSeasonalityFactor"))
+
+
+@query("F05_deseason_index")
+def q_f05(spark, sf):
+    return rounded(_plan(spark, sf).indexed.select(
+        "title", "TicketMedian", "HistSeasonalityFactor", "TicketIndex_DeSeason", "prior_total_tickets",
+        "run_count_prior"))
+
+
+@query("F06_anchored_ridge")
+def q_f06(spark, sf):
+    return rounded(_plan(spark, sf).overall_model)
+
+
+@query("F07_group_fit")
+def q_f07(spark, sf):
+    return rounded(_plan(spark, sf).category_models)
+
+
+@query("F09_fit_metrics")
+def q_f09(spark, sf):
+    p = _plan(spark, sf)
+    return rounded(M.fit_metrics(p.known, p.overall_model))
+
+
+@query("F10_tiered_impute")
+def q_f10(spark, sf):
+    return rounded(_plan(spark, sf).imputed.select(
+        "title", "TicketIndex_DeSeason_Used", "TicketIndexSource", "TicketIndex_Predicted"))
+
+
+@query("F11_apply_future_factor")
+def q_f11(spark, sf):
+    return rounded(_plan(spark, sf).imputed.select("title", "FutureSeasonalityFactor", "EffectiveTicketIndex"))
+
+
+@query("F12_composite")
+def q_f12(spark, sf):
+    return rounded(_plan(spark, sf).imputed.select("title", "Composite"))
+
+
+@query("F13_estimate")
+def q_f13(spark, sf):
+    return rounded(_plan(spark, sf).imputed.select("title", "EstimatedTickets", "EstimatedTickets_Final"))
+
+
+def _seg_long(spark, sf):
+    p = _plan(spark, sf)
+    return p.scored.select("title", F.explode("segment_mix").alias("s")).select("title", "s.*")
+
+
+@query("F04_segment_index")
+def q_f04(spark, sf):
+    p = _plan(spark, sf)
+    # same per-row index expression the pipeline uses, exploded for comparison
+    from stagecast.operators import scoring as SC
+    safe = {s: F.coalesce(F.nanvl(F.col(s), F.lit(0.0)), F.lit(0.0)) for s in SG.SIGNALS}
+    fam0 = safe["wiki"] * 0.55 + safe["trends"] * 0.30 + safe["chartmetric"] * 0.15
+    mot0 = safe["youtube"] * 0.45 + safe["trends"] * 0.25 + safe["chartmetric"] * 0.15 + safe["wiki"] * 0.15
+    bench = F.broadcast(p.benchmark.select(SC.segment_raw_pair(
+        F.col("gender"), F.col("category"), fam0, mot0, p.segments, p.mult).alias("_braw")))
+    d = p.base.crossJoin(bench).withColumn("_raw", SC.segment_raw_pair(
+        F.col("gender"), F.col("category"), fam0, mot0, p.segments, p.mult))
+    d = d.select("title", F.explode(SC.segment_signal_index(F.col("_raw"), F.col("_braw"))).alias("s"))
+    return rounded(d.select("title", "s.segment", "s.idx"))
+
+
+@query("F14_segment_shares")
+def q_f14(spark, sf):
+    return rounded(_seg_long(spark, sf).select("title", "segment", "share", "rank"))
+
+
+@query("F15_segment_tickets")
+def q_f15(spark, sf):
+    return rounded(_seg_long(spark, sf).select("title", "segment", "tickets"))
+
+
+@query("F16_segment_weights_json")
+def q_f16(spark, sf):
+    return _plan(spark, sf).scored.select("title", "segment_weights")
+
+
+@query("A03_long_to_wide")
+def q_a03(spark, sf):
+    p = _plan(spark, sf)
+    return rounded(AL.long_to_wide(AL.city_totals(p.history), "title", "city", p.cities))
+
+
+@query("A04_title_city_shares")
+def q_a04t(spark, sf):
+    return rounded(_plan(spark, sf).city_shares[0].select("title", "city", "share"))
+
+
+@query("A04_category_city_shares")
+def q_a04c(spark, sf):
+    return rounded(_plan(spark, sf).city_shares[1].select("category", "city", "share"))
+
+
+def _city_long(spark, sf):
+    p = _plan(spark, sf)
+    return p.scored.select("title", F.col("city_split_source").alias("split_source"),
+                           F.explode("city_alloc").alias("c")).select("title", "split_source", "c.*")
+
+
+@query("J10_share_fallback")
+def q_j10(spark, sf):
+    return rounded(_city_long(spark, sf).select("title", "city", "share", "split_source"))
+
+
+@query("F17_city_allocation")
+def q_f17(spark, sf):
+    return rounded(_city_long(spark, sf).select("title", "city", "share", "tickets"))
+
+
+@query("X11_two_stage_split")
+def q_x11(spark, sf):
+    seg = _seg_long(spark, sf).select("title", "segment", "tickets")
+    city = _city_long(spark, sf).select("title", "city", "share")
+    return rounded(AL.two_stage_split(seg, city).select("title", "segment", "city", "tickets"))
+
+
+@query("FLAGSHIP_score_titles")
+def q_flagship(spark, sf):
+    return rounded(PL.score_titles_from_tables(spark, sf, proposed_month=3))

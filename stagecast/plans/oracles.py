@@ -92,3 +92,385 @@ register("A02_prior_stats", with_(B_HIST, B_RUNS, B_PRIOR) + """
 SELECT title, round(ticket_median, 6) AS ticket_median, round(prior_total_tickets, 6) AS prior_total_tickets,
        CAST(run_count_prior AS BIGINT) AS run_count_prior
 FROM prior""")
+
+
+# ---------------------------------------------------------------- scoring chain (proposed month = 3)
+def _mult_values() -> str:
+    from stagecast.plans.pipeline import binding_multipliers
+    rows = [f"('{s}', '{k}', {v!r})" for s, d in binding_multipliers().items() for k, v in d.items()]
+    return "mult(segment, key, m) AS (VALUES " + ", ".join(rows) + ")"
+
+
+def _segments_values() -> str:
+    from stagecast.plans.pipeline import BINDING_SEGMENTS
+    rows = [f"('{s}', {i})" for i, s in enumerate(BINDING_SEGMENTS)]
+    return "segs(segment, pos) AS (VALUES " + ", ".join(rows) + ")"
+
+
+SCORING_SEGMENT = "AUTOMOBILE"
+PROPOSED_MONTH = 3
+
+B_SEASON = """
+pr AS (
+  SELECT r.title, r.run_no, r.run_start, t.category,
+         CAST(month(r.run_start + CAST(floor(date_diff('day', r.run_start, r.run_end) / 2) AS INTEGER)) AS INTEGER) AS month,
+         p.ticket_median AS tm
+  FROM runs r JOIN titles t USING (title) JOIN prior p USING (title)
+),
+fence AS (
+  SELECT category, quantile_cont(tm, 0.25) AS q1, quantile_cont(tm, 0.75) AS q3
+  FROM pr WHERE tm IS NOT NULL GROUP BY category
+),
+kept AS (
+  SELECT pr.* FROM pr JOIN fence USING (category)
+  WHERE pr.tm >= q1 - 1.5 * (q3 - q1) AND pr.tm <= q3 + 1.5 * (q3 - q1)
+),
+catm AS (
+  SELECT category, median(tm) AS cat_median, median(tm) FILTER (WHERE month IN (12, 1, 2)) AS winter_median
+  FROM kept GROUP BY category HAVING median(tm) > 0
+),
+monm AS (SELECT category, month, count(*) AS n, median(tm) AS m FROM kept GROUP BY category, month),
+season0 AS (
+  SELECT c.category, g.month, CAST(coalesce(mm.n, 0) AS BIGINT) AS n,
+         CASE WHEN coalesce(mm.n, 0) >= 1 THEN mm.m
+              WHEN g.month IN (12, 1, 2) AND c.winter_median IS NOT NULL THEN c.winter_median
+              ELSE c.cat_median END AS month_median,
+         c.cat_median
+  FROM catm c CROSS JOIN (SELECT CAST(range AS INTEGER) AS month FROM range(1, 13)) g
+  LEFT JOIN monm mm ON mm.category = c.category AND mm.month = g.month
+),
+season AS (
+  SELECT category, month, n, month_median, cat_median, month_median / cat_median AS raw_ratio,
+         n / (n + 3.0) AS weight,
+         least(1.15, greatest(0.90, 1 + n / (n + 3.0) * (month_median / cat_median - 1))) AS factor
+  FROM season0 WHERE month_median > 0
+),
+lastmid AS (
+  SELECT title, arg_max(run_start + CAST(floor(date_diff('day', run_start, run_end) / 2) AS INTEGER), run_start) AS mid_date
+  FROM runs GROUP BY title
+)"""
+
+B_INDEX = """
+est AS (
+  SELECT t.*,
+         least(120, greatest(30, (SELECT median(wiki) FROM signals))) AS wiki,
+         least(120, greatest(30, (SELECT median(trends) FROM signals))) AS trends,
+         least(140, greatest(40, (SELECT median(youtube) FROM signals))) AS youtube,
+         least(120, greatest(35, (SELECT median(chartmetric) FROM signals))) AS chartmetric
+  FROM titles t WHERE t.title NOT IN (SELECT title FROM signals)
+),
+rows0 AS (
+  SELECT title, category, gender, wiki, trends, youtube, chartmetric, 'Baseline' AS "Source" FROM base
+  UNION ALL
+  SELECT title, category, gender, wiki, trends, youtube, chartmetric, 'Estimated' FROM est
+),
+raw AS (
+  SELECT r.*,
+         (0.55 * wiki + 0.30 * trends + 0.15 * chartmetric) * coalesce(mg.m, 1.0) * coalesce(mc.m, 1.0) AS "FamiliarityRaw",
+         (0.45 * youtube + 0.25 * trends + 0.15 * chartmetric + 0.15 * wiki) * coalesce(mg.m, 1.0) * coalesce(mc.m, 1.0) AS "MotivationRaw"
+  FROM rows0 r
+  LEFT JOIN mult mg ON mg.segment = '__SEG__' AND mg.key = r.gender
+  LEFT JOIN mult mc ON mc.segment = '__SEG__' AND mc.key = r.category
+),
+bench AS (
+  SELECT r.*, p.ticket_median AS bench_median,
+         coalesce(s.factor, 1.0) AS bench_hist_factor
+  FROM raw r
+  LEFT JOIN prior p USING (title)
+  LEFT JOIN lastmid lm USING (title)
+  LEFT JOIN season s ON s.category = r.category AND s.month = month(lm.mid_date)
+  WHERE r.title = (SELECT min(title) FROM prior)
+),
+benchk AS (
+  SELECT coalesce(nullif("FamiliarityRaw", 0), 1.0) AS bf, coalesce(nullif("MotivationRaw", 0), 1.0) AS bm,
+         coalesce(nullif(bench_median, 0), 1.0) / coalesce(nullif(bench_hist_factor, 0), 1.0) AS bds,
+         gender AS bgender, category AS bcategory,
+         0.55 * wiki + 0.30 * trends + 0.15 * chartmetric AS bfam0,
+         0.45 * youtube + 0.25 * trends + 0.15 * chartmetric + 0.15 * wiki AS bmot0
+  FROM bench
+),
+indexed AS (
+  SELECT r.*, r."FamiliarityRaw" / b.bf * 100 AS "Familiarity", r."MotivationRaw" / b.bm * 100 AS "Motivation",
+         (r."FamiliarityRaw" / b.bf * 100 + r."MotivationRaw" / b.bm * 100) / 2 AS "SignalOnly",
+         p.ticket_median AS "TicketMedian", p.prior_total_tickets, CAST(coalesce(p.run_count_prior, 0) AS BIGINT) AS run_count_prior,
+         CASE WHEN p.ticket_median IS NOT NULL THEN coalesce(s.factor, 1.0) END AS "HistSeasonalityFactor",
+         CASE WHEN p.ticket_median IS NOT NULL
+              THEN (p.ticket_median / coalesce(nullif(coalesce(s.factor, 1.0), 0), 1.0)) / b.bds * 100 END AS "TicketIndex_DeSeason",
+         b.bds AS "BenchMedianDeSeason"
+  FROM raw r CROSS JOIN benchk b
+  LEFT JOIN prior p USING (title)
+  LEFT JOIN lastmid lm USING (title)
+  LEFT JOIN season s ON s.category = r.category AND s.month = month(lm.mid_date)
+)"""
+
+B_MODELS = """
+known AS (SELECT * FROM indexed WHERE "TicketIndex_DeSeason" IS NOT NULL),
+kn AS (SELECT count(*) AS n FROM known),
+ov_data AS (
+  SELECT "SignalOnly" AS x, "TicketIndex_DeSeason" AS y FROM known
+  UNION ALL SELECT 0.0, 25.0 FROM (SELECT unnest(range(greatest(3, n // 2))) FROM kn)
+  UNION ALL SELECT 100.0, 100.0 FROM (SELECT unnest(range(greatest(3, n // 2))) FROM kn)
+),
+overall AS (
+  SELECT (SELECT n FROM kn) AS n,
+         regr_sxy(y, x) / (regr_sxx(y, x) + 5.0) AS slope,
+         avg(y) - regr_sxy(y, x) / (regr_sxx(y, x) + 5.0) * avg(x) AS intercept
+  FROM ov_data HAVING (SELECT n FROM kn) >= 5
+),
+catfit AS (
+  SELECT category, count(*) AS n, avg("SignalOnly") AS mx, avg("TicketIndex_DeSeason") AS my,
+         regr_sxx("TicketIndex_DeSeason", "SignalOnly") AS sxx, regr_sxy("TicketIndex_DeSeason", "SignalOnly") AS sxy
+  FROM known GROUP BY category HAVING count(*) >= 3
+),
+catmod AS (
+  SELECT category, CAST(n AS BIGINT) AS n,
+         CASE WHEN sxx + (CASE WHEN n >= 5 THEN 1.0 ELSE 0.0 END) > 0
+              THEN sxy / (sxx + (CASE WHEN n >= 5 THEN 1.0 ELSE 0.0 END)) ELSE 0.0 END AS slope
+  FROM catfit
+),
+catmodel AS (SELECT m.category, m.n, m.slope, f.my - m.slope * f.mx AS intercept FROM catmod m JOIN catfit f USING (category)),
+imputed0 AS (
+  SELECT i.*,
+         CASE WHEN i."TicketIndex_DeSeason" IS NOT NULL THEN NULL
+              WHEN c.category IS NOT NULL THEN least(180, greatest(20, c.intercept + c.slope * i."SignalOnly"))
+              ELSE least(180, greatest(20, o.intercept + o.slope * i."SignalOnly")) END AS "TicketIndex_Predicted",
+         CASE WHEN i."TicketIndex_DeSeason" IS NOT NULL THEN 'History'
+              WHEN c.category IS NOT NULL THEN 'ML Category'
+              WHEN o.slope IS NOT NULL THEN 'ML Overall' ELSE 'Not enough data' END AS "TicketIndexSource"
+  FROM indexed i LEFT JOIN catmodel c ON c.category = i.category LEFT JOIN overall o ON TRUE
+),
+imputed1 AS (
+  SELECT i.*, coalesce(i."TicketIndex_DeSeason", i."TicketIndex_Predicted") AS "TicketIndex_DeSeason_Used",
+         coalesce(s.factor, 1.0) AS "FutureSeasonalityFactor"
+  FROM imputed0 i LEFT JOIN season s ON s.category = i.category AND s.month = __MONTH__
+),
+imputed AS (
+  SELECT *, "TicketIndex_DeSeason_Used" * "FutureSeasonalityFactor" AS "EffectiveTicketIndex",
+         0.5 * "SignalOnly" + 0.5 * CASE WHEN "TicketIndexSource" = 'Not enough data' THEN "SignalOnly"
+                                         ELSE "TicketIndex_DeSeason_Used" * "FutureSeasonalityFactor" END AS "Composite",
+         round_even("TicketIndex_DeSeason_Used" * "FutureSeasonalityFactor" / 100 * "BenchMedianDeSeason", 0) AS "EstimatedTickets",
+         round_even(coalesce(round_even("TicketIndex_DeSeason_Used" * "FutureSeasonalityFactor" / 100 * "BenchMedianDeSeason", 0), 0) * 1.0, 0) AS "EstimatedTickets_Final"
+  FROM imputed1
+)"""
+
+B_SEGMENTS = """
+hcat AS (SELECT h.*, t.category FROM hist h JOIN titles t USING (title)),
+prv AS (
+  SELECT city AS region, category, segment, sum(revenue) AS rv FROM hcat GROUP BY 1, 2, 3
+  UNION ALL
+  SELECT 'Province', category, segment, sum(revenue) FROM hcat GROUP BY 2, 3
+),
+priors AS (SELECT region, category, segment, rv / sum(rv) OVER (PARTITION BY region, category) * 5 AS weight FROM prv),
+segrows AS (
+  SELECT i.title, i.category, i.gender, s.segment, s.pos, i."EstimatedTickets",
+         (0.55 * coalesce(i.wiki, 0) + 0.30 * coalesce(i.trends, 0) + 0.15 * coalesce(i.chartmetric, 0))
+            * coalesce(mg.m, 1.0) * coalesce(mc.m, 1.0) AS fam,
+         (0.45 * coalesce(i.youtube, 0) + 0.25 * coalesce(i.trends, 0) + 0.15 * coalesce(i.chartmetric, 0) + 0.15 * coalesce(i.wiki, 0))
+            * coalesce(mg.m, 1.0) * coalesce(mc.m, 1.0) AS mot,
+         b.bfam0 * coalesce(bg.m, 1.0) * coalesce(bc.m, 1.0) AS bfam,
+         b.bmot0 * coalesce(bg.m, 1.0) * coalesce(bc.m, 1.0) AS bmot,
+         coalesce(p.weight, 1.0) AS prior_w
+  FROM imputed i CROSS JOIN segs s CROSS JOIN benchk b
+  LEFT JOIN mult mg ON mg.segment = s.segment AND mg.key = i.gender
+  LEFT JOIN mult mc ON mc.segment = s.segment AND mc.key = i.category
+  LEFT JOIN mult bg ON bg.segment = s.segment AND bg.key = b.bgender
+  LEFT JOIN mult bc ON bc.segment = s.segment AND bc.key = b.bcategory
+  LEFT JOIN priors p ON p.region = 'Province' AND p.category = i.category AND p.segment = s.segment
+),
+segidx AS (
+  SELECT *, (fam / coalesce(nullif(bfam, 0), 1.0) * 100 + mot / coalesce(nullif(bmot, 0), 1.0) * 100) / 2 AS idx
+  FROM segrows
+),
+segc AS (SELECT *, greatest(1e-9, prior_w * idx) AS c FROM segidx),
+segshare AS (
+  SELECT title, segment, pos, c / coalesce(nullif(sum(c) OVER (PARTITION BY title), 0), 1.0) AS share,
+         "EstimatedTickets", idx
+  FROM segc
+),
+segmix AS (
+  SELECT title, segment, pos, share, round_even(coalesce("EstimatedTickets", 0) * share, 0) AS tickets,
+         row_number() OVER (PARTITION BY title ORDER BY share DESC, pos) AS rank, idx
+  FROM segshare
+),
+ctot AS (SELECT title, city, sum(single_tickets) AS tickets FROM hist WHERE single_tickets >= 0 GROUP BY 1, 2),
+cwide AS (
+  SELECT title, coalesce(sum(tickets) FILTER (WHERE city = 'AMERICA'), 0) AS a,
+         coalesce(sum(tickets) FILTER (WHERE city = 'EUROPE'), 0) AS e
+  FROM ctot GROUP BY title
+),
+tshare AS (
+  SELECT title, least(0.85, greatest(0.15, a / (a + e))) AS ca, least(0.85, greatest(0.15, e / (a + e))) AS ce, a + e AS total
+  FROM cwide WHERE a + e > 0
+),
+catwide AS (SELECT t.category, sum(a) AS a, sum(e) AS e FROM cwide JOIN titles t USING (title) GROUP BY 1),
+cshare AS (
+  SELECT category, least(0.85, greatest(0.15, a / (a + e))) AS ca, least(0.85, greatest(0.15, e / (a + e))) AS ce
+  FROM catwide WHERE a + e > 0
+),
+split AS (
+  SELECT i.title,
+         CASE WHEN ts.title IS NOT NULL THEN ts.ca / (ts.ca + ts.ce) WHEN cs.category IS NOT NULL THEN cs.ca / (cs.ca + cs.ce) ELSE 0.6 END AS sa,
+         CASE WHEN ts.title IS NOT NULL THEN ts.ce / (ts.ca + ts.ce) WHEN cs.category IS NOT NULL THEN cs.ce / (cs.ca + cs.ce) ELSE 0.4 END AS se,
+         CASE WHEN ts.title IS NOT NULL THEN 'title' WHEN cs.category IS NOT NULL THEN 'category' ELSE 'default' END AS split_source,
+         i."EstimatedTickets_Final"
+  FROM imputed i LEFT JOIN tshare ts USING (title) LEFT JOIN cshare cs ON cs.category = i.category
+),
+cityalloc AS (
+  SELECT title, 'AMERICA' AS city, sa / (sa + se) AS share, round_even(coalesce("EstimatedTickets_Final", 0) * sa / (sa + se), 0) AS tickets, split_source FROM split
+  UNION ALL
+  SELECT title, 'EUROPE', se / (sa + se), round_even(coalesce("EstimatedTickets_Final", 0) * se / (sa + se), 0), split_source FROM split
+)"""
+
+
+def scoring_ctes(*names: str) -> str:
+    parts = {
+        "hist": B_HIST, "titles": B_TITLES, "base": B_SIGNALS + "," + """
+base AS (SELECT t.*, s.wiki, s.trends, s.youtube, s.chartmetric FROM titles t JOIN signals s USING (title))""",
+        "runs": B_RUNS, "prior": B_PRIOR, "season": B_SEASON,
+        "mult": _mult_values(), "segs": _segments_values(),
+        "index": B_INDEX.replace("__SEG__", SCORING_SEGMENT),
+        "models": B_MODELS.replace("__MONTH__", str(PROPOSED_MONTH)),
+        "segments": B_SEGMENTS,
+    }
+    order = ["hist", "titles", "base", "runs", "prior", "season", "mult", "segs", "index", "models", "segments"]
+    upto = max(order.index(n) for n in names)
+    return with_(*[parts[n] for n in order[:upto + 1]])
+
+
+register("A05_iqr_filter", scoring_ctes("season") + """
+SELECT title, CAST(run_no AS BIGINT) AS run_no, category, month, round(tm, 6) AS ticket_median FROM kept""")
+
+register("A06_trimmed_median", scoring_ctes("season") + """
+SELECT category, round(median(tm), 6) AS trimmed_median, count(*) AS n FROM kept GROUP BY category""")
+
+register("A07_seasonality_table", scoring_ctes("season") + """
+SELECT category, month, n, round(month_median, 6) AS month_median, round(cat_median, 6) AS cat_median,
+       round(raw_ratio, 6) AS raw_ratio, round(weight, 6) AS weight, round(factor, 6) AS factor
+FROM season""")
+
+register("P16_mid_date", scoring_ctes("runs") + """
+SELECT title, CAST(run_no AS BIGINT) AS run_no,
+       run_start + CAST(floor(date_diff('day', run_start, run_end) / 2) AS INTEGER) AS mid_date,
+       CAST(month(run_start + CAST(floor(date_diff('day', run_start, run_end) / 2) AS INTEGER)) AS INTEGER) AS month,
+       CAST(year(run_start + CAST(floor(date_diff('day', run_start, run_end) / 2) AS INTEGER)) AS INTEGER) AS year
+FROM runs""")
+
+register("J14_last_mid_date", scoring_ctes("season") + """
+SELECT title, mid_date FROM lastmid""")
+
+register("J15_runs_with_category_and_median", scoring_ctes("season") + """
+SELECT title, CAST(run_no AS BIGINT) AS run_no, category, round(tm, 6) AS ticket_median FROM pr""")
+
+register("J11_known_unknown", scoring_ctes("index") + """
+SELECT title, "Source" FROM rows0""")
+
+register("P11_estimate_unknown", scoring_ctes("index") + """
+SELECT t.title,
+       round(least(120, greatest(30, (SELECT median(wiki) FROM signals))), 6) AS wiki,
+       round(least(120, greatest(30, (SELECT median(trends) FROM signals))), 6) AS trends,
+       round(least(140, greatest(40, (SELECT median(youtube) FROM signals))), 6) AS youtube,
+       round(least(120, greatest(35, (SELECT median(chartmetric) FROM signals))), 6) AS chartmetric
+FROM titles t""")
+
+register("F01_raw_scores", scoring_ctes("index") + """
+SELECT title, round("FamiliarityRaw", 6) AS "FamiliarityRaw", round("MotivationRaw", 6) AS "MotivationRaw" FROM raw""")
+
+register("J12_benchmark_cross", scoring_ctes("index") + """
+SELECT r.title, b.title AS benchmark_title, round(r."FamiliarityRaw" / k.bf * 100, 6) AS "Familiarity"
+FROM raw r CROSS JOIN bench b CROSS JOIN benchk k""")
+
+register("F02_benchmark_index", scoring_ctes("index") + """
+SELECT title, round("Familiarity", 6) AS "Familiarity", round("Motivation", 6) AS "Motivation" FROM indexed""")
+
+register("F03_signal_only", scoring_ctes("index") + """
+SELECT title, round("SignalOnly", 6) AS "SignalOnly" FROM indexed""")
+
+register("J13_factor_lookup", scoring_ctes("index") + """
+SELECT title, round("HistSeasonalityFactor", 6) AS "HistSeasonalityFactor" FROM indexed""")
+
+register("F05_deseason_index", scoring_ctes("index") + """
+SELECT title, round("TicketMedian", 6) AS "TicketMedian", round("HistSeasonalityFactor", 6) AS "HistSeasonalityFactor",
+       round("TicketIndex_DeSeason", 6) AS "TicketIndex_DeSeason", round(prior_total_tickets, 6) AS prior_total_tickets,
+       run_count_prior
+FROM indexed""")
+
+register("F06_anchored_ridge", scoring_ctes("models") + """
+SELECT CAST(n AS BIGINT) AS n, round(slope, 6) AS slope, round(intercept, 6) AS intercept,
+       round(intercept, 6) AS anchor_0, round(intercept + 100 * slope, 6) AS anchor_100 FROM overall""")
+
+register("F07_group_fit", scoring_ctes("models") + """
+SELECT category, n, round(slope, 6) AS slope, round(intercept, 6) AS intercept FROM catmodel""")
+
+register("F09_fit_metrics", scoring_ctes("models") + """
+SELECT count(*) AS n,
+       round(avg(abs("TicketIndex_DeSeason" - (o.intercept + o.slope * "SignalOnly"))), 6) AS "MAE",
+       round(sqrt(avg(("TicketIndex_DeSeason" - (o.intercept + o.slope * "SignalOnly")) ^ 2)), 6) AS "RMSE",
+       round(1 - sum(("TicketIndex_DeSeason" - (o.intercept + o.slope * "SignalOnly")) ^ 2)
+             / sum(("TicketIndex_DeSeason" - (SELECT avg("TicketIndex_DeSeason") FROM known)) ^ 2), 6) AS "R2"
+FROM known CROSS JOIN overall o""")
+
+register("F10_tiered_impute", scoring_ctes("models") + """
+SELECT title, round("TicketIndex_DeSeason_Used", 6) AS "TicketIndex_DeSeason_Used", "TicketIndexSource",
+       round("TicketIndex_Predicted", 6) AS "TicketIndex_Predicted" FROM imputed""")
+
+register("F11_apply_future_factor", scoring_ctes("models") + """
+SELECT title, round("FutureSeasonalityFactor", 6) AS "FutureSeasonalityFactor",
+       round("EffectiveTicketIndex", 6) AS "EffectiveTicketIndex" FROM imputed""")
+
+register("F12_composite", scoring_ctes("models") + """
+SELECT title, round("Composite", 6) AS "Composite" FROM imputed""")
+
+register("F13_estimate", scoring_ctes("models") + """
+SELECT title, round("EstimatedTickets", 6) AS "EstimatedTickets", round("EstimatedTickets_Final", 6) AS "EstimatedTickets_Final"
+FROM imputed""")
+
+register("F04_segment_index", scoring_ctes("segments") + """
+SELECT title, segment, round(idx, 6) AS idx FROM segmix""")
+
+register("F14_segment_shares", scoring_ctes("segments") + """
+SELECT title, segment, round(share, 6) AS share, CAST(rank AS INTEGER) AS rank FROM segmix""")
+
+register("F15_segment_tickets", scoring_ctes("segments") + """
+SELECT title, segment, round(tickets, 6) AS tickets FROM segmix""")
+
+register("A03_long_to_wide", scoring_ctes("segments") + """
+SELECT title, round(a, 6) AS "AMERICA", round(e, 6) AS "EUROPE" FROM cwide""")
+
+register("A04_title_city_shares", scoring_ctes("segments") + """
+SELECT title, 'AMERICA' AS city, round(ca / (ca + ce), 6) AS share FROM tshare
+UNION ALL SELECT title, 'EUROPE', round(ce / (ca + ce), 6) FROM tshare""")
+
+register("A04_category_city_shares", scoring_ctes("segments") + """
+SELECT category, 'AMERICA' AS city, round(ca / (ca + ce), 6) AS share FROM cshare
+UNION ALL SELECT category, 'EUROPE', round(ce / (ca + ce), 6) FROM cshare""")
+
+register("J10_share_fallback", scoring_ctes("segments") + """
+SELECT title, city, round(share, 6) AS share, split_source FROM cityalloc""")
+
+register("F17_city_allocation", scoring_ctes("segments") + """
+SELECT title, city, round(share, 6) AS share, round(tickets, 6) AS tickets FROM cityalloc""")
+
+register("X11_two_stage_split", scoring_ctes("segments") + """
+SELECT s.title, s.segment, c.city, round(round_even(s.tickets * c.share, 0), 6) AS tickets
+FROM segmix s JOIN cityalloc c USING (title)""")
+
+register("FLAGSHIP_score_titles", scoring_ctes("segments") + """
+SELECT i.title, i.category, i.gender, i."Source",
+       round(i."FamiliarityRaw", 6) AS "FamiliarityRaw", round(i."MotivationRaw", 6) AS "MotivationRaw",
+       round(i."Familiarity", 6) AS "Familiarity", round(i."Motivation", 6) AS "Motivation",
+       round(i."SignalOnly", 6) AS "SignalOnly", round(i."TicketMedian", 6) AS "TicketMedian",
+       round(i."HistSeasonalityFactor", 6) AS "HistSeasonalityFactor",
+       round(i."TicketIndex_DeSeason", 6) AS "TicketIndex_DeSeason",
+       round(i.prior_total_tickets, 6) AS prior_total_tickets, i.run_count_prior,
+       round(i."TicketIndex_DeSeason_Used", 6) AS "TicketIndex_DeSeason_Used", i."TicketIndexSource",
+       round(i."TicketIndex_Predicted", 6) AS "TicketIndex_Predicted",
+       round(i."FutureSeasonalityFactor", 6) AS "FutureSeasonalityFactor",
+       round(i."EffectiveTicketIndex", 6) AS "EffectiveTicketIndex", round(i."Composite", 6) AS "Composite",
+       round(i."EstimatedTickets", 6) AS "EstimatedTickets", round(i."EstimatedTickets_Final", 6) AS "EstimatedTickets_Final",
+       s1.segment AS "PredictedPrimarySegment", s2.segment AS "PredictedSecondarySegment",
+       round(ca.tickets, 6) AS "tickets_AMERICA", round(ce.tickets, 6) AS "tickets_EUROPE"
+FROM imputed i
+JOIN segmix s1 ON s1.title = i.title AND s1.rank = 1
+JOIN segmix s2 ON s2.title = i.title AND s2.rank = 2
+JOIN cityalloc ca ON ca.title = i.title AND ca.city = 'AMERICA'
+JOIN cityalloc ce ON ce.title = i.title AND ce.city = 'EUROPE'""")

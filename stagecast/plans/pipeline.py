@@ -183,8 +183,9 @@ class ScoringPlan:
     # ---------------------------------------------------------------- allocation
     @cached_property
     def city_shares(self) -> tuple[DataFrame, DataFrame]:
-        return AL.learn_city_shares(self.history, self.titles.select("title", "category"),
-                                    "title", "city", "single_tickets", "category", self.cfg.city_clip)
+        ts, cs = AL.learn_city_shares(self.history, self.titles.select("title", "category"), self.cities,
+                                      "title", "city", "single_tickets", "category", self.cfg.city_clip)
+        return self._mat(ts), self._mat(cs)
 
     @cached_property
     def scored(self) -> DataFrame:
