@@ -257,3 +257,184 @@ def q_x11(spark, sf):
 @query("FLAGSHIP_score_titles")
 def q_flagship(spark, sf):
     return rounded(PL.score_titles_from_tables(spark, sf, proposed_month=3))
+
+
+# ---------------------------------------------------------------- scalar functions, text rules, sources
+from stagecast.functions import columns as P  # noqa: E402
+from stagecast.sources import io as IO  # noqa: E402
+
+# FIXED VALUES (binding) — text rules over part names for the driver tables
+BIND_GENDER_RULES = [("co", ["hot", "rod"], []), ("female", [], ["ring", "plate", "gizmo"]),
+                     ("male", [], ["bolt", "anvil", "gear"])]
+BIND_CATEGORY_RULES = [("family_classic", ["small", "new"]), ("classic_romance", ["red", "blue"]),
+                       ("romantic_tragedy", ["hot"]), ("contemporary", ["cold"])]
+BIND_CITY_PATTERNS = [("amer", "AMERICA"), ("eur", "EUROPE")]
+BIND_ALIASES = {"small ring": "ring (small)", "red widget": "widget (red)"}
+
+
+@query("P01_parse_number")
+def q_p01(spark, sf):
+    li = B.read(spark, sf, "lineitem")
+    return rounded(li.select("l_orderkey", "l_linenumber",
+                             P.parse_number(F.format_number("l_extendedprice", 2)).alias("price")))
+
+
+@query("P02_canon_city")
+def q_p02(spark, sf):
+    g = B.customer_geo(spark, sf)
+    return (g.groupBy(P.canon_city(F.col("region"), BIND_CITY_PATTERNS).alias("city"))
+            .agg(F.count(F.lit(1)).alias("customers")))
+
+
+@query("P03_title_key")
+def q_p03(spark, sf):
+    part = B.read(spark, sf, "part")
+    return part.select(F.col("p_partkey").alias("title"), P.title_key(F.col("p_name"), BIND_ALIASES).alias("title_key"))
+
+
+@query("P05_infer_gender_and_category")
+def q_p05(spark, sf):
+    part = B.read(spark, sf, "part")
+    return part.select(F.col("p_partkey").alias("title"),
+                       P.infer_gender(F.col("p_name"), BIND_GENDER_RULES).alias("gender"),
+                       P.infer_category(F.col("p_name"), BIND_CATEGORY_RULES).alias("category"))
+
+
+@query("P06_infer_show_type")
+def q_p06(spark, sf):
+    part = B.read(spark, sf, "part")
+    cat = P.infer_category(F.col("p_name"), BIND_CATEGORY_RULES)
+    return part.select(F.col("p_partkey").alias("title"), P.infer_show_type(F.col("p_name"), cat).alias("show_type"))
+
+
+@query("P07_log_index")
+def q_p07(spark, sf):
+    li = B.read(spark, sf, "lineitem")
+    g = li.groupBy(F.col("l_partkey").alias("title")).agg(
+        F.count(F.lit(1)).alias("_n"), F.median(F.col("l_extendedprice") / 100.0).alias("_mv"))
+    return rounded(g.select("title", SG.wiki_index(F.col("_n")).alias("wiki_index"),
+                            SG.video_index(F.col("_mv")).alias("video_index")))
+
+
+@query("P08_median_percentile_signals")
+def q_p08(spark, sf):
+    li = B.read(spark, sf, "lineitem").withColumnRenamed("l_partkey", "title")
+    return rounded(SG.signal_stats(li, "title", "l_quantity"))
+
+
+@query("P09_title_match")
+def q_p09(spark, sf):
+    conv = B.read(spark, sf, "conversations")
+    q = conv.where(F.col("turn") == 0).select("conv_id", F.col("text").alias("query"))
+    c = conv.where(F.col("turn") > 0).join(q, "conv_id")
+    m = c.select("conv_id", "turn", P.title_match(F.col("text"), F.col("query")).alias("matched"))
+    per = m.groupBy("conv_id").agg(F.count_if("matched").alias("_k"))
+    return (m.join(per, "conv_id")
+            .select("conv_id", "turn", "matched", (F.col("matched") | (F.col("_k") < 5)).alias("used")))
+
+
+@query("P10_winsorize_by_group")
+def q_p10(spark, sf):
+    p = _plan(spark, sf)
+    vals = p.titles.select("title", "category", SG.length_video(F.col("name")).alias("youtube"))
+    ref = p.baselines.select("category", "youtube")
+    return rounded(SG.winsorize_by_group(vals, ref, "category", "youtube").select("title", "youtube"))
+
+
+@query("P12_length_heuristics")
+def q_p12(spark, sf):
+    part = B.read(spark, sf, "part")
+    return rounded(part.select(F.col("p_partkey").alias("title"), SG.length_trends(F.col("p_name")).alias("trends"),
+                               SG.length_video(F.col("p_name")).alias("youtube"),
+                               SG.length_streaming(F.col("p_name")).alias("streaming")))
+
+
+@query("P13_bands")
+def q_p13(spark, sf):
+    d = _plan(spark, sf).scored
+    return d.select("title", P.letter_score(F.col("Composite")).alias("score"),
+                    P.star_rating(F.col("EffectiveTicketIndex")).alias("stars"),
+                    P.signal_level(F.col("SignalOnly")).alias("signal_level"),
+                    P.demand_tier(F.col("TicketIndex_DeSeason_Used")).alias("demand_tier"))
+
+
+@query("P14_segment_tilt")
+def q_p14(spark, sf):
+    d = _plan(spark, sf).scored
+    return d.select("title", P.first_nonblank(F.lit(""), F.col("dominant_audience_segment"),
+                                              F.col("PredictedPrimarySegment")).alias("segment_tilt"))
+
+
+@query("P17_temporal_flags")
+def q_p17(spark, sf):
+    r = _plan(spark, sf).runs
+    m = F.month("run_start")
+    return r.select("title", "run_no", m.alias("month_of_opening"), P.holiday_flag(m).alias("holiday_flag"),
+                    P.month_name(m).alias("run_month"))
+
+
+@query("S01_normalize_columns")
+def q_s01(spark, sf):
+    c = B.read(spark, sf, "customer")
+    messy = c.toDF(*[f"  {n.upper().replace('_', ' - ', 1)} " for n in c.columns])
+    return IO.normalize_columns(messy)
+
+
+@query("S02_clean_frame")
+def q_s02(spark, sf):
+    ev = B.read(spark, sf, "events").select(
+        "event_id", F.col("value").cast("string").alias("value"), F.lit(None).cast("string").alias("Unnamed: 0"),
+        F.col("props").alias("unnamed_props"), "event_type")
+    return rounded(IO.clean_frame(ev, drop_unnamed=True, drop_empty_unnamed_only=True, numeric_columns=["value"]))
+
+
+@query("S03_read_sales_history")
+def q_s03(spark, sf):
+    h = B.history(spark, sf).select("title", "city", "start_date", F.col("single_tickets").cast("string").alias("single_tickets"))
+    return IO.clean_sales_history(h, date_cols=("start_date",)).groupBy("title", "city").agg(
+        F.count(F.lit(1)).alias("rows"), F.round(F.sum("single_tickets"), 6).alias("tickets"),
+        F.min("start_date").alias("first_date"))
+
+
+def _bind_baselines(spark, sf):
+    return B.baselines(spark, sf).withColumn(
+        "source", F.when(F.col("category") == "PROMO", F.lit("external_reference")).otherwise(F.lit("historical")))
+
+
+@query("S04_baselines_source_filter")
+def q_s04(spark, sf):
+    return IO.baselines_by_source(_bind_baselines(spark, sf), include_reference=False).select("title", "source")
+
+
+@query("S05_baselines_keep_last")
+def q_s05(spark, sf):
+    b = _bind_baselines(spark, sf).select(
+        F.col("name").alias("title_name"), "title", "wiki", "category",
+        F.format_number(F.col("chartmetric") / 1000.0, 4).alias("intentratio"))
+    k = IO.keep_baselines(b, "title_name", order_col="title")
+    return rounded(k.select("title_name", "title", "wiki", "category", "intentratio"))
+
+
+@query("S08_segment_priors_clean")
+def q_s08(spark, sf):
+    p = _plan(spark, sf)
+    pr = p.priors.select("region", "category", "segment", F.col("weight").cast("string").alias("weight"))
+    return rounded(IO.clean_segment_priors(pr, PL.BINDING_SEGMENTS[:4]))
+
+
+@query("S09_past_runs_parse")
+def q_s09(spark, sf):
+    r = _plan(spark, sf).runs.select(F.col("title").cast("string").alias("title"),
+                                     F.date_format("run_start", "yyyy-MM-dd").alias("start_date"),
+                                     F.date_format("run_end", "yyyy/MM/dd").alias("end_date"))
+    strict = IO.clean_past_runs(r, drop_bad_dates=False)
+    return strict.groupBy("title").agg(F.count(F.lit(1)).alias("runs"), F.count("start_date").alias("parsed_start"),
+                                       F.count("end_date").alias("parsed_end"))
+
+
+@query("S15_weather_union")
+def q_s15(spark, sf):
+    w = B.daily_weather(spark, sf)
+    frames = {c: w.where(F.col("city") == c).drop("city") for c in ("view", "purchase")}
+    return rounded(IO.union_cities(frames).groupBy("city").agg(F.count(F.lit(1)).alias("days"),
+                                                               F.avg("snow").alias("avg_snow")))

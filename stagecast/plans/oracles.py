@@ -474,3 +474,142 @@ JOIN segmix s1 ON s1.title = i.title AND s1.rank = 1
 JOIN segmix s2 ON s2.title = i.title AND s2.rank = 2
 JOIN cityalloc ca ON ca.title = i.title AND ca.city = 'AMERICA'
 JOIN cityalloc ce ON ce.title = i.title AND ce.city = 'EUROPE'""")
+
+
+# ---------------------------------------------------------------- scalar functions, text rules, sources
+register("P01_parse_number", """
+SELECT l_orderkey, l_linenumber, round(l_extendedprice, 6) AS price FROM lineitem""")
+
+register("P02_canon_city", """
+SELECT CASE WHEN lower(trim(r.r_name)) LIKE '%amer%' THEN 'AMERICA'
+            WHEN lower(trim(r.r_name)) LIKE '%eur%' THEN 'EUROPE'
+            WHEN r.r_name IN ('AMERICA', 'EUROPE') THEN r.r_name END AS city,
+       count(*) AS customers
+FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
+GROUP BY 1""")
+
+register("P03_title_key", """
+SELECT p_partkey AS title,
+       CASE trim(p_name) WHEN 'small ring' THEN 'ring (small)' WHEN 'red widget' THEN 'widget (red)' ELSE trim(p_name) END AS title_key
+FROM part""")
+
+_P05_CAT = """CASE WHEN lower(p_name) LIKE '%small%' OR lower(p_name) LIKE '%new%' THEN 'family_classic'
+            WHEN lower(p_name) LIKE '%red%' OR lower(p_name) LIKE '%blue%' THEN 'classic_romance'
+            WHEN lower(p_name) LIKE '%hot%' THEN 'romantic_tragedy'
+            WHEN lower(p_name) LIKE '%cold%' THEN 'contemporary' ELSE 'dramatic' END"""
+
+register("P05_infer_gender_and_category", f"""
+SELECT p_partkey AS title,
+       CASE WHEN lower(p_name) LIKE '%hot%' AND lower(p_name) LIKE '%rod%' THEN 'co'
+            WHEN lower(p_name) LIKE '%ring%' OR lower(p_name) LIKE '%plate%' OR lower(p_name) LIKE '%gizmo%' THEN 'female'
+            WHEN lower(p_name) LIKE '%bolt%' OR lower(p_name) LIKE '%anvil%' OR lower(p_name) LIKE '%gear%' THEN 'male'
+            ELSE 'na' END AS gender,
+       {_P05_CAT} AS category
+FROM part""")
+
+register("P06_infer_show_type", f"""
+SELECT title, CASE WHEN category = 'family_classic' THEN 'family_ballet'
+                   WHEN category IN ('classic_romance', 'classic_comedy', 'romantic_tragedy') THEN 'classical_ballet'
+                   WHEN category IN ('adult_literary_drama', 'contemporary', 'pop_ip', 'dramatic') THEN 'contemporary_show'
+                   ELSE 'unknown' END AS show_type
+FROM (SELECT p_partkey AS title, {_P05_CAT} AS category FROM part)""")
+
+register("P07_log_index", """
+SELECT l_partkey AS title, round(40 + least(110, 20 * ln(1 + count(*))), 6) AS wiki_index,
+       round(50 + least(90, 9 * ln(1 + median(l_extendedprice / 100))), 6) AS video_index
+FROM lineitem GROUP BY l_partkey""")
+
+register("P08_median_percentile_signals", """
+SELECT l_partkey AS title, round(median(l_quantity), 6) AS median_value,
+       round(quantile_cont(l_quantity, 0.8), 6) AS p80_value, round(sum(l_quantity) / 365.0, 6) AS mean_daily
+FROM lineitem GROUP BY l_partkey""")
+
+register("P09_title_match", """
+WITH q AS (SELECT conv_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS qt FROM conversations WHERE turn = 0),
+c AS (
+  SELECT c.conv_id, c.turn, regexp_extract_all(lower(c.text), '[a-z0-9]+') AS vt, q.qt
+  FROM conversations c JOIN q USING (conv_id) WHERE c.turn > 0
+),
+m AS (
+  SELECT conv_id, turn,
+         len(vt) > 0 AND len(qt) > 0
+         AND len(list_filter(qt, lambda t: list_contains(vt, t))) >= greatest(1, len(qt) // 2)
+         AND len(list_intersect(vt, ['ballet', 'pas', 'variation', 'act', 'scene', 'solo', 'adagio', 'coda'])) > 0 AS matched
+  FROM c
+)
+SELECT conv_id, turn, matched, matched OR count(*) FILTER (WHERE matched) OVER (PARTITION BY conv_id) < 5 AS used FROM m""")
+
+register("P10_winsorize_by_group", with_(B_TITLES, B_SIGNALS) + """,
+v AS (SELECT title, category, least(140, greatest(45, 55 + ((length(p_name) * 1.2::DOUBLE) % 45))) AS y
+      FROM titles JOIN part ON part.p_partkey = titles.title),
+ref AS (SELECT t.category, s.youtube FROM titles t JOIN signals s USING (title)),
+g AS (SELECT category, quantile_cont(youtube, 0.03) AS lo, quantile_cont(youtube, 0.97) AS hi FROM ref GROUP BY category),
+a AS (SELECT quantile_cont(youtube, 0.03) AS lo, quantile_cont(youtube, 0.97) AS hi FROM ref)
+SELECT v.title, round(CASE WHEN coalesce(g.lo, a.lo) IS NULL THEN v.y
+                           ELSE least(coalesce(g.hi, a.hi), greatest(coalesce(g.lo, a.lo), v.y)) END, 6) AS youtube
+FROM v LEFT JOIN g USING (category) CROSS JOIN a""")
+
+register("P12_length_heuristics", """
+SELECT p_partkey AS title, round(CAST(60 + length(p_name) % 40 AS DOUBLE), 6) AS trends,
+       round(least(140, greatest(45, 55 + ((length(p_name) * 1.2::DOUBLE) % 45))), 6) AS youtube,
+       round(50 + ((length(p_name) * 1.7::DOUBLE) % 40), 6) AS streaming
+FROM part""")
+
+register("P13_bands", scoring_ctes("models") + """
+SELECT title,
+       CASE WHEN "Composite" >= 90 THEN 'A' WHEN "Composite" >= 75 THEN 'B' WHEN "Composite" >= 60 THEN 'C'
+            WHEN "Composite" >= 45 THEN 'D' ELSE 'E' END AS score,
+       CASE WHEN "EffectiveTicketIndex" IS NULL OR isnan("EffectiveTicketIndex") THEN '☆☆☆☆☆'
+            WHEN "EffectiveTicketIndex" >= 100 THEN '★★★★★' WHEN "EffectiveTicketIndex" >= 75 THEN '★★★★☆'
+            WHEN "EffectiveTicketIndex" >= 50 THEN '★★★☆☆' WHEN "EffectiveTicketIndex" >= 25 THEN '★★☆☆☆'
+            ELSE '★☆☆☆☆' END AS stars,
+       CASE WHEN "SignalOnly" >= 120 THEN 'exceptionally high' WHEN "SignalOnly" >= 100 THEN 'strong'
+            WHEN "SignalOnly" >= 80 THEN 'above average' WHEN "SignalOnly" >= 60 THEN 'moderate'
+            WHEN "SignalOnly" >= 40 THEN 'emerging' ELSE 'limited' END AS signal_level,
+       CASE WHEN "TicketIndex_DeSeason_Used" >= 120 THEN 'exceptional demand'
+            WHEN "TicketIndex_DeSeason_Used" >= 105 THEN 'strong demand'
+            WHEN "TicketIndex_DeSeason_Used" >= 95 THEN 'benchmark demand'
+            WHEN "TicketIndex_DeSeason_Used" >= 80 THEN 'moderate demand'
+            WHEN "TicketIndex_DeSeason_Used" >= 60 THEN 'developing demand' ELSE 'emerging demand' END AS demand_tier
+FROM imputed""")
+
+register("P14_segment_tilt", scoring_ctes("segments") + """
+SELECT title, coalesce(nullif(trim(segment), ''), 'General Population') AS segment_tilt FROM segmix WHERE rank = 1""")
+
+register("P17_temporal_flags", scoring_ctes("runs") + """
+SELECT title, CAST(run_no AS BIGINT) AS run_no, CAST(month(run_start) AS INTEGER) AS month_of_opening,
+       month(run_start) IN (11, 12, 1) AS holiday_flag, strftime(run_start, '%B') AS run_month
+FROM runs""")
+
+register("S01_normalize_columns", """
+SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer""")
+
+register("S02_clean_frame", """
+SELECT event_id, round(value, 6) AS value, props AS unnamed_props, event_type FROM events""")
+
+register("S03_read_sales_history", with_(B_HIST) + """
+SELECT title, city, count(*) AS rows, round(sum(single_tickets), 6) AS tickets, min(start_date) AS first_date
+FROM hist WHERE single_tickets IS NOT NULL AND single_tickets >= 0 GROUP BY title, city""")
+
+register("S04_baselines_source_filter", with_(B_BASE) + """
+SELECT title, 'historical' AS source FROM base WHERE category <> 'PROMO'""")
+
+register("S05_baselines_keep_last", with_(B_BASE) + """
+SELECT trim(name) AS title_name, arg_max(title, title) AS title, round(arg_max(wiki, title), 6) AS wiki,
+       arg_max(category, title) AS category, round(arg_max(round(chartmetric / 1000.0, 4), title), 6) AS intentratio
+FROM base WHERE length(trim(name)) > 0 GROUP BY trim(name)""")
+
+register("S08_segment_priors_clean", scoring_ctes("segments") + """
+SELECT region, category, segment, round(weight, 6) AS weight FROM priors
+WHERE segment IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD')""")
+
+register("S09_past_runs_parse", scoring_ctes("runs") + """
+SELECT CAST(title AS VARCHAR) AS title, count(*) AS runs, count(run_start) AS parsed_start, CAST(0 AS BIGINT) AS parsed_end
+FROM runs GROUP BY title""")
+
+register("S15_weather_union", """
+WITH w AS (
+  SELECT event_type AS city, CAST(ts AS DATE) AS d, avg(value) / 5 AS snow FROM events
+  WHERE event_type IN ('view', 'purchase') GROUP BY 1, 2
+)
+SELECT city, count(*) AS days, round(avg(snow), 6) AS avg_snow FROM w GROUP BY city""")
