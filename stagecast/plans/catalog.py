@@ -438,3 +438,127 @@ def q_s15(spark, sf):
     frames = {c: w.where(F.col("city") == c).drop("city") for c in ("view", "purchase")}
     return rounded(IO.union_cities(frames).groupBy("city").agg(F.count(F.lit(1)).alias("days"),
                                                                F.avg("snow").alias("avg_snow")))
+
+
+# ---------------------------------------------------------------- joins and factors
+from stagecast.operators import joins as J  # noqa: E402
+from stagecast.operators import scoring as SC2  # noqa: E402
+
+
+def _ext_factors(spark, sf):
+    """External factors per (year, city) from orders: order count and mean order value."""
+    o = B.read(spark, sf, "orders").select("o_custkey", "o_totalprice", "o_orderdate")
+    g = B.customer_geo(spark, sf)
+    return (o.join(g, o.o_custkey == g.c_custkey)
+            .groupBy(F.year("o_orderdate").alias("year"), F.col("region").alias("city"))
+            .agg(F.count(F.lit(1)).alias("n_orders"), F.avg("o_totalprice").alias("avg_order_value")))
+
+
+@query("J01_left_enrich")
+def q_j01(spark, sf):
+    cube = B.history_cube(spark, sf).withColumn("year", F.year("start_date"))
+    out = J.left_enrich(cube.select("title", "city", "segment", "start_date", "year"), _ext_factors(spark, sf))
+    return rounded(out)
+
+
+def _event_features(spark, sf):
+    """Per (part, supplier region): supplied line count and mean discount."""
+    li = B.read(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_discount")
+    s = B.read(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    n = B.read(spark, sf, "nation").select("n_nationkey", "n_regionkey")
+    r = B.read(spark, sf, "region").select("r_regionkey", "r_name")
+    geo = F.broadcast(n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "r_name"))
+    sg = s.join(geo, s.s_nationkey == geo.n_nationkey).select("s_suppkey", "r_name")
+    return (li.join(sg, li.l_suppkey == sg.s_suppkey)
+            .groupBy(F.col("l_partkey").alias("show_title"), F.col("r_name").alias("city"))
+            .agg(F.count(F.lit(1)).alias("supplied_lines"), F.avg("l_discount").alias("avg_discount")))
+
+
+@query("J02_left_enrich_events")
+def q_j02(spark, sf):
+    cube = B.history_cube(spark, sf).select("title", "city", "segment", "start_date")
+    return rounded(J.enrich_events(cube, _event_features(spark, sf)))
+
+
+def _events_with_city(spark, sf):
+    ev = B.read(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return ev.select("event_id", F.col("ts").cast("date").alias("date"), F.col("event_type").alias("city"))
+
+
+@query("J03_weather_by_date_city")
+def q_j03(spark, sf):
+    out = J.join_weather(_events_with_city(spark, sf), B.daily_weather(spark, sf), "date", "city", "city",
+                         ("min_temperature", "snow"))
+    return rounded(out.select("event_id", "weather_min_temperature", "weather_snow"))
+
+
+def _spend(spark, sf):
+    li = B.read(spark, sf, "lineitem").select("l_partkey", "l_extendedprice", "l_discount")
+    return li.groupBy(F.col("l_partkey").alias("title")).agg(
+        F.sum(F.col("l_extendedprice") * F.col("l_discount")).alias("marketing_spend"))
+
+
+@query("J04_marketing_join")
+def q_j04(spark, sf):
+    cube = B.history_cube(spark, sf).select("title", "city", "segment", "start_date")
+    return rounded(J.join_marketing(cube, _spend(spark, sf)))
+
+
+@query("J05_chained_enrich_check")
+def q_j05(spark, sf):
+    li = B.read(spark, sf, "lineitem")
+    return J.duplicate_keys(li, ["l_orderkey", "l_linenumber"])
+
+
+def _asof(spark, sf):
+    left, right = B.as_of_sides(spark, sf)
+    return J.asof_last(left, right, "user_id", "ts", ["view_value", "view_id"], tie="view_id")
+
+
+@query("J06_asof_last")
+def q_j06(spark, sf):
+    return rounded(_asof(spark, sf).select("event_id", "user_id", "ts", "value", "view_value", "view_id", "matched_ts"))
+
+
+def _exact_latest(spark, sf):
+    ev = B.read(spark, sf, "events").select("event_id", F.col("event_type").alias("city"),
+                                            F.date_add(F.col("ts").cast("date"), 15).alias("run_date"))
+    return J.exact_else_latest(ev, B.daily_weather(spark, sf), "city", "run_date", "date", ["min_temperature", "snow"])
+
+
+@query("J07_exact_else_latest")
+def q_j07(spark, sf):
+    return rounded(_exact_latest(spark, sf).select("event_id", "min_temperature", "snow", "match"))
+
+
+@query("F21_weather_factor")
+def q_f21(spark, sf):
+    d = _exact_latest(spark, sf)
+    return rounded(d.select("event_id", SC2.weather_factor("min_temperature", "snow").alias("weather_factor")))
+
+
+@query("F20_economic_factor")
+def q_f20(spark, sf):
+    left, views = B.as_of_sides(spark, sf)
+    ev = B.read(spark, sf, "events")
+    signups = ev.where(F.col("event_type") == "signup").select(
+        "user_id", "ts", (F.col("value") / 10.0).alias("rate"), F.col("event_id").alias("signup_id"))
+    a = J.asof_last(left, views, "user_id", "ts", ["view_value", "view_id"], tie="view_id").drop("matched_ts")
+    b = J.asof_last(a, signups, "user_id", "ts", ["rate", "signup_id"], tie="signup_id")
+    return rounded(b.select("event_id", SC2.economic_factor("view_value", "rate").alias("economic_factor")))
+
+
+def _lookup_keys(spark, sf):
+    s = B.sales(spark, sf, regions=None).select("title", F.col("city").alias("region"), "segment")
+    t = B.titles(spark, sf).select("title", "category")
+    return s.join(t, "title").select("region", "category", "segment").distinct()
+
+
+@query("J08_hierarchical_lookup")
+def q_j08(spark, sf):
+    return rounded(J.hierarchical_lookup(_lookup_keys(spark, sf), _plan(spark, sf).priors))
+
+
+@query("J09_hierarchical_lookup_set")
+def q_j09(spark, sf):
+    return rounded(J.hierarchical_lookup_set(_lookup_keys(spark, sf), _plan(spark, sf).priors))

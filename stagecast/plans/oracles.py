@@ -613,3 +613,124 @@ WITH w AS (
   WHERE event_type IN ('view', 'purchase') GROUP BY 1, 2
 )
 SELECT city, count(*) AS days, round(avg(snow), 6) AS avg_snow FROM w GROUP BY city""")
+
+
+# ---------------------------------------------------------------- joins and factors
+B_CUBE = """
+cube AS (
+  SELECT title, city, segment, start_date, sum(single_tickets) AS single_tickets
+  FROM hist WHERE single_tickets IS NOT NULL AND single_tickets >= 0 GROUP BY 1, 2, 3, 4
+)"""
+
+register("J01_left_enrich", with_(B_HIST, B_CUBE) + """,
+ext AS (
+  SELECT year(o.o_orderdate) AS year, r.r_name AS city, count(*) AS n_orders, avg(o.o_totalprice) AS avg_order_value
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+  JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY 1, 2
+)
+SELECT k.title, k.city, k.segment, k.start_date, CAST(year(k.start_date) AS INTEGER) AS year, e.n_orders,
+       round(e.avg_order_value, 6) AS avg_order_value
+FROM cube k LEFT JOIN ext e ON e.year = year(k.start_date) AND e.city = k.city""")
+
+register("J02_left_enrich_events", with_(B_HIST, B_CUBE) + """,
+evf AS (
+  SELECT l.l_partkey AS show_title, r.r_name AS city, count(*) AS supplied_lines, avg(l.l_discount) AS avg_discount
+  FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey
+  JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY 1, 2
+)
+SELECT k.title, k.city, k.segment, k.start_date, e.supplied_lines, round(e.avg_discount, 6) AS avg_discount
+FROM cube k LEFT JOIN evf e ON e.show_title = k.title AND e.city = k.city""")
+
+B_WEATHER = """
+weather AS (
+  SELECT event_type AS city, CAST(ts AS DATE) AS date, 30 - max(value) / 5 AS min_temperature, avg(value) / 5 AS snow
+  FROM events GROUP BY 1, 2
+)"""
+
+register("J03_weather_by_date_city", with_(B_WEATHER) + """
+SELECT e.event_id, round(w.min_temperature, 6) AS weather_min_temperature, round(w.snow, 6) AS weather_snow
+FROM events e LEFT JOIN weather w ON w.date = CAST(e.ts AS DATE)
+  AND upper(substr(trim(w.city), 1, 1)) || lower(substr(trim(w.city), 2)) = upper(substr(trim(e.event_type), 1, 1)) || lower(substr(trim(e.event_type), 2))""")
+
+register("J04_marketing_join", with_(B_HIST, B_CUBE) + """,
+spend AS (SELECT l_partkey AS title, sum(l_extendedprice * l_discount) AS marketing_spend FROM lineitem GROUP BY 1)
+SELECT k.title, k.city, k.segment, k.start_date, round(s.marketing_spend, 6) AS marketing_spend
+FROM cube k LEFT JOIN spend s USING (title)""")
+
+register("J05_chained_enrich_check", """
+SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""")
+
+B_ASOF = """
+lft AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'purchase'),
+rgt AS (SELECT user_id, ts, value AS view_value, event_id AS view_id FROM events WHERE event_type = 'view'),
+cand AS (
+  SELECT l.event_id, l.user_id, l.ts, l.value, r.view_value, r.view_id, r.ts AS matched_ts,
+         row_number() OVER (PARTITION BY l.event_id ORDER BY r.ts DESC NULLS LAST, r.view_id DESC NULLS LAST) AS rn
+  FROM lft l LEFT JOIN rgt r ON r.user_id = l.user_id AND r.ts <= l.ts
+),
+asofm AS (SELECT * EXCLUDE (rn) FROM cand WHERE rn = 1)"""
+
+register("J06_asof_last", with_(B_ASOF) + """
+SELECT event_id, user_id, ts, round(value, 6) AS value, round(view_value, 6) AS view_value, view_id, matched_ts FROM asofm""")
+
+B_EXACT = B_WEATHER + """,
+lastw AS (SELECT city, arg_max(min_temperature, date) AS lmt, arg_max(snow, date) AS ls FROM weather GROUP BY city),
+el AS (
+  SELECT e.event_id,
+         CASE WHEN w.city IS NOT NULL THEN w.min_temperature ELSE lw.lmt END AS min_temperature,
+         CASE WHEN w.city IS NOT NULL THEN w.snow ELSE lw.ls END AS snow,
+         CASE WHEN w.city IS NOT NULL THEN 'exact' WHEN lw.city IS NOT NULL THEN 'latest' ELSE 'none' END AS match
+  FROM events e
+  LEFT JOIN weather w ON w.city = e.event_type AND w.date = CAST(e.ts AS DATE) + 15
+  LEFT JOIN lastw lw ON lw.city = e.event_type
+)"""
+
+register("J07_exact_else_latest", with_(B_EXACT) + """
+SELECT event_id, round(min_temperature, 6) AS min_temperature, round(snow, 6) AS snow, match FROM el""")
+
+register("F21_weather_factor", with_(B_EXACT) + """
+SELECT event_id, round(CASE WHEN min_temperature IS NULL AND snow IS NULL THEN 1.0
+  ELSE least(1.05, greatest(0.85, (CASE WHEN min_temperature < -20 THEN 0.90 ELSE 1.0 END)
+                                  * (CASE WHEN snow > 10 THEN 0.95 ELSE 1.0 END))) END::DOUBLE, 6) AS weather_factor
+FROM el""")
+
+register("F20_economic_factor", with_(B_ASOF) + """,
+sg AS (SELECT user_id, ts, value / 10.0 AS rate, event_id AS signup_id FROM events WHERE event_type = 'signup'),
+c2 AS (
+  SELECT a.event_id, a.view_value, s.rate,
+         row_number() OVER (PARTITION BY a.event_id ORDER BY s.ts DESC NULLS LAST, s.signup_id DESC NULLS LAST) AS rn
+  FROM asofm a LEFT JOIN sg s ON s.user_id = a.user_id AND s.ts <= a.ts
+),
+f AS (
+  SELECT event_id,
+         CASE WHEN view_value > 0 THEN 0.8 + 0.4 * least(1.5, greatest(0.5, view_value / 60.0)) ELSE 1.0 END AS oil_f,
+         CASE WHEN rate > 0 THEN 0.8 + 0.4 * least(1.5, greatest(0.5, 6.0 / rate)) ELSE 1.0 END AS un_f
+  FROM c2 WHERE rn = 1
+)
+SELECT event_id, round(least(1.10, greatest(0.85, 0.4 * oil_f + 0.6 * un_f)), 6) AS economic_factor FROM f""")
+
+B_LOOKUP = """
+allsales AS (
+  SELECT DISTINCT r.r_name AS region, p.p_type AS category, c.c_mktsegment AS segment
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+  JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
+  JOIN part p ON p.p_partkey = l.l_partkey
+)"""
+
+register("J08_hierarchical_lookup", scoring_ctes("segments") + "," + B_LOOKUP + """
+SELECT k.region, k.category, k.segment, round(coalesce(p.weight, f.weight, 1.0), 6) AS weight,
+       CASE WHEN p.weight IS NOT NULL THEN 'region' WHEN f.weight IS NOT NULL THEN 'fallback' ELSE 'default' END AS weight_source
+FROM allsales k
+LEFT JOIN priors p ON lower(trim(p.region)) = lower(trim(k.region)) AND lower(trim(p.category)) = lower(trim(k.category))
+                  AND lower(trim(p.segment)) = lower(trim(k.segment))
+LEFT JOIN priors f ON lower(f.region) = 'province' AND lower(trim(f.category)) = lower(trim(k.category))
+                  AND lower(trim(f.segment)) = lower(trim(k.segment))""")
+
+register("J09_hierarchical_lookup_set", scoring_ctes("segments") + "," + B_LOOKUP + """,
+keys AS (SELECT DISTINCT region, category FROM allsales)
+SELECT k.region, k.category, p.segment, round(p.weight, 6) AS weight, 'region' AS weight_source
+FROM keys k JOIN priors p ON p.region = k.region AND p.category = k.category
+UNION ALL
+SELECT k.region, k.category, f.segment, round(f.weight, 6), 'fallback'
+FROM keys k JOIN priors f ON f.region = 'Province' AND f.category = k.category
+WHERE NOT EXISTS (SELECT 1 FROM priors p WHERE p.region = k.region AND p.category = k.category)""")
