@@ -65,24 +65,24 @@ def profile_source(df: DataFrame, source: str, expected: Sequence[str] = (), req
     outl = (df.crossJoin(F.broadcast(one.select(*stats_cols))).agg(*out_aggs) if numeric
             else spark.range(1).select())
     row = one.crossJoin(outl) if numeric else one
-    entries = [F.struct(F.lit("row_count").alias("metric"), F.lit(None).cast("string").alias("column"),
-                        F.col("__rows").cast("double").alias("value")),
-               F.struct(F.lit("column_count"), F.lit(None).cast("string"), F.lit(float(len(cols))))]
+    def E(metric, column, value):
+        col = F.lit(column).cast("string")
+        return F.struct(F.lit(metric).alias("metric"), col.alias("column"), value.cast("double").alias("value"))
+
+    entries = [E("row_count", None, F.col("__rows")), E("column_count", None, F.lit(float(len(cols))))]
     lower = {c.lower() for c in cols}
     for e in expected:
         if e.lower() not in lower:
-            entries.append(F.struct(F.lit("missing_expected"), F.lit(e), F.lit(1.0)))
+            entries.append(E("missing_expected", e, F.lit(1.0)))
     for i, c in enumerate(cols):
-        entries.append(F.struct(F.lit("null_count"), F.lit(c), F.col(f"__null_{i}").cast("double")))
+        entries.append(E("null_count", c, F.col(f"__null_{i}")))
         if c in required:
-            entries.append(F.struct(F.lit("required_nulls"), F.lit(c), F.col(f"__null_{i}").cast("double")))
+            entries.append(E("required_nulls", c, F.col(f"__null_{i}")))
     if date_col and date_col in cols:
-        entries.append(F.struct(F.lit("date_min"), F.lit(date_col),
-                                F.date_format("__dmin", "yyyyMMdd").cast("double")))
-        entries.append(F.struct(F.lit("date_max"), F.lit(date_col),
-                                F.date_format("__dmax", "yyyyMMdd").cast("double")))
+        entries.append(E("date_min", date_col, F.date_format("__dmin", "yyyyMMdd")))
+        entries.append(E("date_max", date_col, F.date_format("__dmax", "yyyyMMdd")))
     for i, c in enumerate(numeric):
-        entries.append(F.struct(F.lit("outliers"), F.lit(c), F.col(f"__out_{i}").cast("double")))
+        entries.append(E("outliers", c, F.col(f"__out_{i}")))
     long = row.select(F.explode(F.array(*entries)).alias("e")).select(
         F.lit(source).alias("source"), "e.metric", "e.column", "e.value")
     return long.where(~F.col("metric").isin("null_count", "outliers") | (F.col("value") > 0))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -562,3 +562,131 @@ def q_j08(spark, sf):
 @query("J09_hierarchical_lookup_set")
 def q_j09(spark, sf):
     return rounded(J.hierarchical_lookup_set(_lookup_keys(spark, sf), _plan(spark, sf).priors))
+
+
+# ---------------------------------------------------------------- profiling and summaries
+from stagecast.operators import profile as PR  # noqa: E402
+from stagecast.plans import season as SE  # noqa: E402
+
+SOURCE_LABELS = ["History", "Category model", "Overall model", "ML Category", "ML Overall", "kNN Fallback",
+                 "Not enough data"]
+
+
+@query("A08_monthly_weather_summary")
+def q_a08(spark, sf):
+    w = B.daily_weather(spark, sf)
+    return rounded(PR.monthly_weather_summary(w))
+
+
+@query("A09_profile_source")
+def q_a09(spark, sf):
+    li = B.read(spark, sf, "lineitem")
+    return rounded(PR.profile_source(li, "lineitem", expected=["l_orderkey", "l_comment"],
+                                     required=["l_quantity"], date_col="l_shipdate"))
+
+
+@query("A10_registry_report")
+def q_a10(spark, sf):
+    profs = [PR.profile_source(B.read(spark, sf, t), t, date_col=d)
+             for t, d in (("lineitem", "l_shipdate"), ("orders", "o_orderdate"), ("events", "ts"), ("customer", None))]
+    return PR.registry_report(profs)
+
+
+@query("A11_source_mix")
+def q_a11(spark, sf):
+    return PR.source_mix(_plan(spark, sf).imputed, "TicketIndexSource", SOURCE_LABELS)
+
+
+def _intent(spark, sf):
+    li = B.read(spark, sf, "lineitem")
+    return li.groupBy(F.col("l_partkey").alias("title")).agg(
+        (F.count_if(F.col("l_returnflag") == "R") / F.count(F.lit(1))).alias("IntentRatio"))
+
+
+@query("A12_intent_summary")
+def q_a12(spark, sf):
+    return rounded(PR.intent_summary(_intent(spark, sf)))
+
+
+@query("A13_implied_benchmark")
+def q_a13(spark, sf):
+    return rounded(SE.implied_benchmark(_plan(spark, sf).imputed))
+
+
+def _season_plan(spark, sf):
+    p = _plan(spark, sf)
+    months = [m for _, m in SE.PLAN_MONTHS]
+    assign = (p.last_mid.select("title", F.month("mid_date").alias("month"))
+              .where(F.col("month").isin(*months)))
+    split = p.scored.select("title", "city_split")
+    return SE.season_plan(assign, p.scored, p.seasonality, split, 2027, p.cities)
+
+
+@query("R01_season_plan")
+def q_r01(spark, sf):
+    return rounded(_season_plan(spark, sf).select(
+        "Month", "title", "FutureSeasonalityFactor", "TicketIndex_used", "EstimatedTickets", "EstimatedTickets_Final",
+        "Singles_AMERICA", "Singles_EUROPE", "CityShare_AMERICA", "Score", "holiday_flag"))
+
+
+@query("R02_board_summary")
+def q_r02(spark, sf):
+    return SE.board_summary(_season_plan(spark, sf), ["AMERICA", "EUROPE"])
+
+
+@query("R03_financial_summary")
+def q_r03(spark, sf):
+    plan = _season_plan(spark, sf)
+    plan = (plan.withColumn("EstimatedTickets_Final", F.col("EstimatedTickets_Final").cast("bigint"))
+            .withColumn("Singles_AMERICA", F.col("Singles_AMERICA").cast("bigint"))
+            .withColumn("Singles_EUROPE", F.col("Singles_EUROPE").cast("bigint")))
+    return SE.metrics_by_month(plan, ["title", "EstimatedTickets_Final", "Singles_AMERICA", "Singles_EUROPE"])
+
+
+@query("R04_wide_plan")
+def q_r04(spark, sf):
+    plan = _season_plan(spark, sf)
+    metrics = ["title", "category", "PredictedPrimarySegment", "PredictedSecondarySegment", "Familiarity",
+               "Motivation", "SignalOnly", "TicketIndex_DeSeason_Used", "TicketIndex_used", "TicketIndexSource",
+               "FutureSeasonalityFactor", "Composite", "Score", "EstimatedTickets", "EstimatedTickets_Final",
+               "Singles_AMERICA", "Singles_EUROPE", "CityShare_AMERICA", "CityShare_EUROPE", "month_of_opening",
+               "holiday_flag"]
+    return SE.metrics_by_month(plan, metrics)
+
+
+@query("R05_rank_plan")
+def q_r05(spark, sf):
+    return rounded(SE.rank_plan(_season_plan(spark, sf)).select("Month", "title", "Composite",
+                                                                "EstimatedTickets_Final"))
+
+
+@query("A14_plan_totals")
+def q_a14(spark, sf):
+    return rounded(SE.plan_totals(_season_plan(spark, sf), ["AMERICA", "EUROPE"]))
+
+
+@query("A15_city_by_month")
+def q_a15(spark, sf):
+    return rounded(SE.city_by_month(_season_plan(spark, sf), ["AMERICA", "EUROPE"]))
+
+
+@query("A16_scatter_quadrants")
+def q_a16(spark, sf):
+    return rounded(SE.scatter_quadrants(_season_plan(spark, sf)))
+
+
+@query("A18_sort_topk")
+def q_a18(spark, sf):
+    d = _plan(spark, sf).scored
+    top = d.select("title", "EstimatedTickets", "Composite").orderBy(
+        F.col("EstimatedTickets").desc_nulls_last(), F.col("Composite").desc(), F.col("Motivation").desc(),
+        F.col("Familiarity").desc(), F.col("title")).limit(25)
+    return rounded(top)
+
+
+@query("A19_union_all")
+def q_a19(spark, sf):
+    w = B.daily_weather(spark, sf)
+    frames = {c: w.where(F.col("city") == c).drop("city") for c in ("view", "purchase", "click")}
+    u = IO.union_cities(frames)
+    return u.groupBy("city").agg(F.count(F.lit(1)).alias("days"))

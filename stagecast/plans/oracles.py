@@ -734,3 +734,153 @@ UNION ALL
 SELECT k.region, k.category, f.segment, round(f.weight, 6), 'fallback'
 FROM keys k JOIN priors f ON f.region = 'Province' AND f.category = k.category
 WHERE NOT EXISTS (SELECT 1 FROM priors p WHERE p.region = k.region AND p.category = k.category)""")
+
+
+# ---------------------------------------------------------------- profiling and summaries
+register("A08_monthly_weather_summary", """
+WITH w AS (
+  SELECT event_type AS city, CAST(ts AS DATE) AS date, 30 - max(value) / 5 AS min_temperature, avg(value) / 5 AS snow,
+         30 - avg(value) / 5 AS avg_temperature, sum(value) / 100 AS precipitation
+  FROM events GROUP BY 1, 2
+)
+SELECT CAST(month(date) AS INTEGER) AS month, city, round(avg(avg_temperature), 6) AS avg_temperature,
+       round(avg(min_temperature), 6) AS avg_min_temperature, round(avg(snow), 6) AS avg_snow,
+       round(avg(precipitation), 6) AS avg_precipitation,
+       count(*) FILTER (WHERE min_temperature < -20) AS extreme_cold_days, count(*) AS days
+FROM w GROUP BY 1, 2""")
+
+_LI_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_A09_OUT = "\nUNION ALL\n".join(f"""SELECT 'outliers', '{c}', CAST(count(*) FILTER (
+    WHERE {c} < q1 - 3 * (q3 - q1) OR {c} > q3 + 3 * (q3 - q1)) AS DOUBLE)
+  FROM lineitem, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3, count({c}) AS nn FROM lineitem)
+  WHERE nn > 10""" for c in _LI_NUM)
+
+register("A09_profile_source", f"""
+WITH rows_ AS (
+  SELECT 'row_count' AS metric, CAST(NULL AS VARCHAR) AS "column", CAST(count(*) AS DOUBLE) AS value FROM lineitem
+  UNION ALL SELECT 'column_count', NULL, 11.0
+  UNION ALL SELECT 'missing_expected', 'l_comment', 1.0
+  UNION ALL SELECT 'required_nulls', 'l_quantity', CAST(count(*) FILTER (WHERE l_quantity IS NULL) AS DOUBLE) FROM lineitem
+  UNION ALL SELECT 'date_min', 'l_shipdate', CAST(strftime(min(CAST(l_shipdate AS DATE)), '%Y%m%d') AS DOUBLE) FROM lineitem
+  UNION ALL SELECT 'date_max', 'l_shipdate', CAST(strftime(max(CAST(l_shipdate AS DATE)), '%Y%m%d') AS DOUBLE) FROM lineitem
+  UNION ALL {_A09_OUT}
+)
+SELECT 'lineitem' AS source, metric, "column", round(value, 6) AS value FROM rows_
+WHERE metric NOT IN ('null_count', 'outliers') OR value > 0""")
+
+register("A11_source_mix", scoring_ctes("models") + """,
+labels(label, pos) AS (VALUES ('History', 0), ('Category model', 1), ('Overall model', 2), ('ML Category', 3),
+                              ('ML Overall', 4), ('kNN Fallback', 5), ('Not enough data', 6))
+SELECT l.label, l.pos, count(i.title) AS n FROM labels l LEFT JOIN imputed i ON i."TicketIndexSource" = l.label
+GROUP BY l.label, l.pos HAVING count(i.title) > 0""")
+
+register("A12_intent_summary", """
+WITH t AS (SELECT l_partkey, count(*) FILTER (WHERE l_returnflag = 'R') / count(*) AS r FROM lineitem GROUP BY 1)
+SELECT round(median(r), 6) AS intent_ratio,
+       CASE WHEN median(r) IS NULL THEN NULL WHEN median(r) < 0.05 THEN 'high ambiguity'
+            WHEN median(r) > 0.30 THEN 'high clarity' ELSE 'mixed signal' END AS clarity
+FROM t""")
+
+B_PLAN = """
+implied AS (
+  SELECT median("EstimatedTickets" / ("TicketIndex_DeSeason_Used" * "FutureSeasonalityFactor") * 100) AS b
+  FROM imputed WHERE "TicketIndex_DeSeason_Used" * "FutureSeasonalityFactor" > 0 AND "EstimatedTickets" IS NOT NULL
+),
+assign AS (SELECT title, CAST(month(mid_date) AS INTEGER) AS m FROM lastmid WHERE month(mid_date) IN (9, 10, 1, 2, 3, 5)),
+plan0 AS (
+  SELECT a.m, i.title, i.category, i."Familiarity", i."Motivation", i."Composite", i."PredictedPrimarySegment",
+         make_date(CASE WHEN a.m IN (9, 10, 12) THEN 2026 ELSE 2027 END, a.m, 15) AS run_date,
+         coalesce(i."TicketIndex_DeSeason_Used", i."SignalOnly") AS idx,
+         CASE a.m WHEN 9 THEN 'September' WHEN 10 THEN 'October' WHEN 1 THEN 'January' WHEN 2 THEN 'February'
+                  WHEN 3 THEN 'March' WHEN 5 THEN 'May' END || ' 2027' AS "Month"
+  FROM assign a JOIN (
+    SELECT im.*, s1.segment AS "PredictedPrimarySegment" FROM imputed im JOIN segmix s1 ON s1.title = im.title AND s1.rank = 1
+  ) i USING (title)
+),
+plan1 AS (
+  SELECT p.*, coalesce(s.factor, 1.0) AS ff, p.idx * coalesce(s.factor, 1.0) AS used,
+         round_even(p.idx * coalesce(s.factor, 1.0) / 100 * (SELECT b FROM implied), 0) AS est
+  FROM plan0 p LEFT JOIN season s ON s.category = p.category AND s.month = p.m
+),
+plan AS (
+  SELECT p.*, round_even(coalesce(est, 0) * 1.0 * 1.0, 0) AS fin, sp.sa, sp.se,
+         round_even(round_even(coalesce(est, 0), 0) * sp.sa / (sp.sa + sp.se), 0) AS sgl_a,
+         round_even(round_even(coalesce(est, 0), 0) * sp.se / (sp.sa + sp.se), 0) AS sgl_e
+  FROM plan1 p JOIN split sp USING (title)
+)"""
+
+
+def plan_ctes() -> str:
+    return scoring_ctes("segments") + "," + B_PLAN
+
+
+register("A13_implied_benchmark", scoring_ctes("models") + """,
+implied AS (
+  SELECT median("EstimatedTickets" / ("TicketIndex_DeSeason_Used" * "FutureSeasonalityFactor") * 100) AS b
+  FROM imputed WHERE "TicketIndex_DeSeason_Used" * "FutureSeasonalityFactor" > 0 AND "EstimatedTickets" IS NOT NULL
+)
+SELECT round(b, 6) AS bench_med_deseason_est FROM implied""")
+
+register("R01_season_plan", plan_ctes() + """
+SELECT "Month", title, round(ff, 6) AS "FutureSeasonalityFactor", round(used, 6) AS "TicketIndex_used",
+       round(est, 6) AS "EstimatedTickets", round(fin, 6) AS "EstimatedTickets_Final",
+       round(sgl_a, 6) AS "Singles_AMERICA", round(sgl_e, 6) AS "Singles_EUROPE",
+       round(sa / (sa + se), 6) AS "CityShare_AMERICA",
+       CASE WHEN "Composite" >= 90 THEN 'A' WHEN "Composite" >= 75 THEN 'B' WHEN "Composite" >= 60 THEN 'C'
+            WHEN "Composite" >= 45 THEN 'D' ELSE 'E' END AS "Score",
+       m IN (11, 12, 1) AS holiday_flag
+FROM plan""")
+
+register("R02_board_summary", plan_ctes() + """
+SELECT split_part("Month", ' ', 1) AS month_name,
+       CASE split_part("Month", ' ', 1) WHEN 'September' THEN 0 WHEN 'October' THEN 1 WHEN 'November' THEN 2
+            WHEN 'December' THEN 3 WHEN 'January' THEN 4 WHEN 'February' THEN 5 WHEN 'March' THEN 6
+            WHEN 'April' THEN 7 WHEN 'May' THEN 8 WHEN 'June' THEN 9 ELSE 99 END AS month_rank,
+       title, category, CAST(fin AS BIGINT) AS estimated_tickets,
+       CAST(sgl_a AS BIGINT) AS "singles_AMERICA", CAST(sgl_e AS BIGINT) AS "singles_EUROPE",
+       coalesce(nullif(trim("PredictedPrimarySegment"), ''), 'General Population') AS segment_tilt,
+       CASE WHEN used IS NULL OR isnan(used) THEN '☆☆☆☆☆' WHEN used >= 100 THEN '★★★★★' WHEN used >= 75 THEN '★★★★☆'
+            WHEN used >= 50 THEN '★★★☆☆' WHEN used >= 25 THEN '★★☆☆☆' ELSE '★☆☆☆☆' END AS index_strength
+FROM plan""")
+
+register("R03_financial_summary", plan_ctes() + """,
+lng AS (
+  SELECT title, upper(split_part("Month", ' ', 1)) AS mm, 'title' AS metric, CAST(title AS VARCHAR) AS value FROM plan
+  UNION ALL SELECT title, upper(split_part("Month", ' ', 1)), 'EstimatedTickets_Final', CAST(CAST(fin AS BIGINT) AS VARCHAR) FROM plan
+  UNION ALL SELECT title, upper(split_part("Month", ' ', 1)), 'Singles_AMERICA', CAST(CAST(sgl_a AS BIGINT) AS VARCHAR) FROM plan
+  UNION ALL SELECT title, upper(split_part("Month", ' ', 1)), 'Singles_EUROPE', CAST(CAST(sgl_e AS BIGINT) AS VARCHAR) FROM plan
+)
+SELECT title, metric,
+       max(value) FILTER (WHERE mm = 'SEPTEMBER') AS "SEPTEMBER", max(value) FILTER (WHERE mm = 'OCTOBER') AS "OCTOBER",
+       max(value) FILTER (WHERE mm = 'JANUARY') AS "JANUARY", max(value) FILTER (WHERE mm = 'FEBRUARY') AS "FEBRUARY",
+       max(value) FILTER (WHERE mm = 'MARCH') AS "MARCH", max(value) FILTER (WHERE mm = 'MAY') AS "MAY"
+FROM lng GROUP BY title, metric""")
+
+register("R05_rank_plan", plan_ctes() + """
+SELECT "Month", title, round("Composite", 6) AS "Composite", round(fin, 6) AS "EstimatedTickets_Final"
+FROM plan ORDER BY "Composite" DESC, fin DESC, title""")
+
+register("A14_plan_totals", plan_ctes() + """
+SELECT 'season' AS scope, round(coalesce(sum(fin), 0), 6) AS tickets, 1.0 AS share FROM plan
+UNION ALL SELECT 'AMERICA', round(coalesce(sum(sgl_a), 0), 6), round(coalesce(sum(sgl_a), 0) / coalesce(nullif(sum(fin), 0), 1.0), 6) FROM plan
+UNION ALL SELECT 'EUROPE', round(coalesce(sum(sgl_e), 0), 6), round(coalesce(sum(sgl_e), 0) / coalesce(nullif(sum(fin), 0), 1.0), 6) FROM plan""")
+
+register("A15_city_by_month", plan_ctes() + """
+SELECT "Month", round(sum(sgl_a), 6) AS "singles_AMERICA", round(sum(sgl_e), 6) AS "singles_EUROPE" FROM plan GROUP BY 1""")
+
+register("A16_scatter_quadrants", plan_ctes() + """,
+md AS (SELECT median("Familiarity") AS mx, median("Motivation") AS my FROM plan
+       WHERE "Familiarity" IS NOT NULL AND "Motivation" IS NOT NULL AND fin IS NOT NULL)
+SELECT "Month", title, round("Familiarity", 6) AS "Familiarity", round("Motivation", 6) AS "Motivation",
+       round(sqrt(CASE WHEN greatest(fin, 0) = 0 THEN 1.0 ELSE greatest(fin, 0) END) * 3, 6) AS bubble_size,
+       (CASE WHEN "Familiarity" >= mx THEN 'high_' ELSE 'low_' END) || 'familiarity/' ||
+       (CASE WHEN "Motivation" >= my THEN 'high_' ELSE 'low_' END) || 'motivation' AS quadrant
+FROM plan CROSS JOIN md WHERE "Familiarity" IS NOT NULL AND "Motivation" IS NOT NULL AND fin IS NOT NULL""")
+
+register("A18_sort_topk", scoring_ctes("models") + """
+SELECT title, round("EstimatedTickets", 6) AS "EstimatedTickets", round("Composite", 6) AS "Composite" FROM imputed
+ORDER BY "EstimatedTickets" DESC NULLS LAST, "Composite" DESC, "Motivation" DESC, "Familiarity" DESC, title LIMIT 25""")
+
+register("A19_union_all", """
+SELECT event_type AS city, count(DISTINCT CAST(ts AS DATE)) AS days FROM events
+WHERE event_type IN ('view', 'purchase', 'click') GROUP BY 1""")

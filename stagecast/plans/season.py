@@ -51,7 +51,8 @@ def season_plan(assign: DataFrame, scored: DataFrame, seasonality: DataFrame, ci
     """
     start_year = season_end_year - 1
     names = F.create_map(*[x for n, m in PLAN_MONTHS for x in (F.lit(m), F.lit(n))])
-    run_year = F.when(F.col(month_col).isin(*C.PLAN_START_YEAR_MONTHS), F.lit(start_year)).otherwise(F.lit(start_year + 1))
+    run_year = (F.when(F.col("month_of_opening").isin(*C.PLAN_START_YEAR_MONTHS), F.lit(start_year))
+                .otherwise(F.lit(start_year + 1)))
     bench = F.broadcast(implied_benchmark(scored))
     s = scored.select("title", "category", "SignalOnly", "Familiarity", "Motivation", "TicketIndex_DeSeason_Used",
                       "TicketIndexSource", "Composite", "PredictedPrimarySegment", "PredictedSecondarySegment")
@@ -114,11 +115,11 @@ FINANCIAL_METRICS = ["title", "EstimatedTickets_Final"]
 
 
 def rank_plan(plan: DataFrame) -> DataFrame:
-    """R05 — rank by Composite desc, then final tickets desc (rank() column; order at the end)."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("Month").orderBy(F.col("Composite").desc(), F.col("EstimatedTickets_Final").desc())
-    return plan.select("Month", "title", "category", "PredictedPrimarySegment", "PredictedSecondarySegment",
-                       "Composite", "EstimatedTickets_Final", F.rank().over(w).alias("rank_in_month"))
+    """R05 — plan ordered by Composite desc, then final tickets desc (a distributed range sort;
+    no global rank window, which would put every row in one task)."""
+    return (plan.select("Month", "title", "category", "PredictedPrimarySegment", "PredictedSecondarySegment",
+                        "Composite", "EstimatedTickets_Final")
+            .orderBy(F.col("Composite").desc(), F.col("EstimatedTickets_Final").desc(), F.col("title")))
 
 
 def plan_totals(plan: DataFrame, cities: Sequence[str]) -> DataFrame:
@@ -129,7 +130,8 @@ def plan_totals(plan: DataFrame, cities: Sequence[str]) -> DataFrame:
     g = F.coalesce(F.nullif(F.col("_g"), F.lit(0.0)), F.lit(1.0))
     rows = [F.struct(F.lit("season").alias("scope"), F.coalesce("_g", F.lit(0.0)).alias("tickets"),
                      F.lit(1.0).alias("share"))]
-    rows += [F.struct(F.lit(c), F.coalesce(F.col(f"_c{i}"), F.lit(0.0)), F.coalesce(F.col(f"_c{i}"), F.lit(0.0)) / g)
+    rows += [F.struct(F.lit(c).alias("scope"), F.coalesce(F.col(f"_c{i}"), F.lit(0.0)).alias("tickets"),
+                      (F.coalesce(F.col(f"_c{i}"), F.lit(0.0)) / g).alias("share"))
              for i, c in enumerate(cities)]
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
