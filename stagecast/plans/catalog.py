@@ -31,7 +31,7 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name).cast("double"), places).alias(f.name))
+            cols.append((F.round(F.col(f.name).cast("double"), places) + F.lit(0.0)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
@@ -690,3 +690,97 @@ def q_a19(spark, sf):
     frames = {c: w.where(F.col("city") == c).drop("city") for c in ("view", "purchase", "click")}
     u = IO.union_cities(frames)
     return u.groupBy("city").agg(F.count(F.lit(1)).alias("days"))
+
+
+# ---------------------------------------------------------------- attribution
+from stagecast.operators import explain as EX  # noqa: E402
+
+ATTR_FEATURES = ["wiki", "trends", "youtube", "chartmetric"]
+_ATTR: dict = {}
+
+
+def _attr(spark, sf):
+    """Whole-table attribution: E02 fit on titles with history, E03 applied to every title."""
+    p = _plan(spark, sf)
+    memo = (id(p),)
+    if memo not in _ATTR:
+        coefs = EX.fit_multi_ridge(p.known, ATTR_FEATURES, "TicketIndex_DeSeason", alpha=5.0)
+        a = EX.attribute(p.indexed.select("title", *ATTR_FEATURES), coefs, ATTR_FEATURES)
+        a = a.withColumn("contributions", EX.contributions(ATTR_FEATURES))
+        _ATTR[memo] = (coefs, p._mat(a))
+    return _ATTR[memo]
+
+
+@query("E01_sanitize_features")
+def q_e01(spark, sf):
+    ev = B.read(spark, sf, "events")
+    x = F.when(F.col("event_type") == "error", F.lit(float("inf"))).when(
+        F.col("event_type") == "signup", F.lit(None).cast("double")).otherwise(F.col("value"))
+    return rounded(ev.select("event_id", EX.sanitize(x).alias("value")))
+
+
+@query("E02_multi_ridge")
+def q_e02(spark, sf):
+    coefs, _ = _attr(spark, sf)
+    return rounded(coefs.select("intercept", *[f"beta_{f}" for f in ATTR_FEATURES], "n"))
+
+
+@query("E03_linear_attribution")
+def q_e03(spark, sf):
+    _, a = _attr(spark, sf)
+    return rounded(a.select("title", "prediction", "base_value", *[f"shap_{f}" for f in ATTR_FEATURES]))
+
+
+@query("E04_contributions")
+def q_e04(spark, sf):
+    _, a = _attr(spark, sf)
+    x = a.select("title", F.posexplode("contributions").alias("i", "c"))
+    return rounded(x.select("title", (F.col("i") + 1).alias("rank"), "c.name", "c.shap", "c.direction"))
+
+
+@query("E05_top_drivers")
+def q_e05(spark, sf):
+    _, a = _attr(spark, sf)
+    x = a.select("title", F.posexplode(EX.top_drivers(F.col("contributions"), 3, 0.5)).alias("i", "c"))
+    return rounded(x.select("title", (F.col("i") + 1).alias("rank"), "c.name", "c.shap"))
+
+
+@query("E06_attribution_text")
+def q_e06(spark, sf):
+    _, a = _attr(spark, sf)
+    return a.select("title", EX.attribution_text(F.col("prediction"), F.col("base_value"),
+                                                 F.col("contributions")).alias("narrative"))
+
+
+@query("E07_attribution_table")
+def q_e07(spark, sf):
+    _, a = _attr(spark, sf)
+    return rounded(EX.attribution_table(a, "title", "contributions", 3))
+
+
+@query("E08_batch_attribution")
+def q_e08(spark, sf):
+    _, a = _attr(spark, sf)
+    total = sum((F.col(f"shap_{f}") for f in ATTR_FEATURES), F.lit(0.0))
+    return rounded(a.select("title", "prediction", F.abs(F.col("base_value") + total - F.col("prediction")).alias("additivity_gap")))
+
+
+@query("E09_push_pull")
+def q_e09(spark, sf):
+    _, a = _attr(spark, sf)
+    pp = EX.push_pull(F.col("contributions"))
+    return rounded(a.select("title", pp["total_positive"].alias("total_positive"),
+                            pp["total_negative"].alias("total_negative"),
+                            F.size(pp["positive"]).alias("n_positive"), F.size(pp["negative"]).alias("n_negative")))
+
+
+@query("E10_driver_sentence")
+def q_e10(spark, sf):
+    _, a = _attr(spark, sf)
+    return a.select("title", EX.driver_sentence(F.col("contributions")).alias("drivers"))
+
+
+@query("A17_mean_abs_attribution")
+def q_a17(spark, sf):
+    _, a = _attr(spark, sf)
+    return rounded(EX.mean_abs_attribution(a, ATTR_FEATURES, top=8))

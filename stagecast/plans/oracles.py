@@ -884,3 +884,130 @@ ORDER BY "EstimatedTickets" DESC NULLS LAST, "Composite" DESC, "Motivation" DESC
 register("A19_union_all", """
 SELECT event_type AS city, count(DISTINCT CAST(ts AS DATE)) AS days FROM events
 WHERE event_type IN ('view', 'purchase', 'click') GROUP BY 1""")
+
+
+# ---------------------------------------------------------------- attribution (4 signals, ridge 5, anchors)
+_F = ["wiki", "trends", "youtube", "chartmetric"]
+
+
+def _det(m: list[list[str]]) -> str:
+    """Determinant of a square matrix of SQL expressions (Laplace expansion on the first row)."""
+    n = len(m)
+    if n == 1:
+        return m[0][0]
+    if n == 2:
+        return f"(({m[0][0]}) * ({m[1][1]}) - ({m[0][1]}) * ({m[1][0]}))"
+    terms = []
+    for j in range(n):
+        minor = [row[:j] + row[j + 1:] for row in m[1:]]
+        sign = "+" if j % 2 == 0 else "-"
+        terms.append(f"{sign} ({m[0][j]}) * {_det(minor)}")
+    return "(" + " ".join(terms) + ")"
+
+
+def _coef_sql() -> str:
+    k = len(_F)
+    A = [[f"(c{a}{b}{' + 5.0' if a == b else ''})" for b in range(k)] for a in range(k)]
+    bvec = [f"c{a}y" for a in range(k)]
+    d = _det(A)
+    cols = []
+    for j in range(k):
+        Aj = [[bvec[a] if b == j else A[a][b] for b in range(k)] for a in range(k)]
+        cols.append(f"{_det(Aj)} / {d} AS b{j}")
+    return ", ".join(cols)
+
+
+B_ATTR = """
+trn AS (SELECT """ + ", ".join(f"coalesce({f}, 0) AS x{i}" for i, f in enumerate(_F)) + """, "TicketIndex_DeSeason" AS y FROM known),
+tst AS (SELECT """ + ", ".join(f"{f} AS m{i}" for i, f in enumerate(_F)) + """, count(*) AS n FROM (SELECT """ + \
+    ", ".join(f"avg(x{i}) AS {f}" for i, f in enumerate(_F)) + """, count(*) AS c FROM trn) JOIN trn ON TRUE GROUP BY ALL),
+anc AS (
+  SELECT 0.0::DOUBLE AS x0, 0.0::DOUBLE AS x1, 0.0::DOUBLE AS x2, 0.0::DOUBLE AS x3, 25.0::DOUBLE AS y FROM (SELECT unnest(range(greatest(3, n // 2))) FROM tst)
+  UNION ALL
+  SELECT m0, m1, m2, m3, 100.0 FROM tst, (SELECT unnest(range(greatest(3, n // 2))) FROM tst)
+),
+alld AS (SELECT * FROM trn UNION ALL SELECT * FROM anc),
+mom AS (
+  SELECT avg(y) AS ay, """ + ", ".join(f"avg(x{i}) AS a{i}" for i in range(4)) + ", " + \
+    ", ".join(f"covar_pop(x{a}, x{b}) * count(*) AS c{a}{b}" for a in range(4) for b in range(4)) + ", " + \
+    ", ".join(f"covar_pop(x{a}, y) * count(*) AS c{a}y" for a in range(4)) + """
+  FROM alld
+),
+coef0 AS (SELECT *, """ + _coef_sql() + """ FROM mom),
+coef AS (SELECT b0, b1, b2, b3, ay - (b0 * a0 + b1 * a1 + b2 * a2 + b3 * a3) AS intercept FROM coef0),
+attr AS (
+  SELECT i.title, c.intercept + c.b0 * coalesce(i.wiki, 0) + c.b1 * coalesce(i.trends, 0) + c.b2 * coalesce(i.youtube, 0)
+           + c.b3 * coalesce(i.chartmetric, 0) AS prediction,
+         c.intercept + c.b0 * t.m0 + c.b1 * t.m1 + c.b2 * t.m2 + c.b3 * t.m3 AS base_value,
+         c.b0 * (coalesce(i.wiki, 0) - t.m0) AS shap_wiki, c.b1 * (coalesce(i.trends, 0) - t.m1) AS shap_trends,
+         c.b2 * (coalesce(i.youtube, 0) - t.m2) AS shap_youtube, c.b3 * (coalesce(i.chartmetric, 0) - t.m3) AS shap_chartmetric
+  FROM indexed i CROSS JOIN coef c CROSS JOIN tst t
+),
+contrib AS (
+  SELECT title, name, shap, CASE WHEN shap > 0 THEN 'up' ELSE 'down' END AS direction, abs(shap) AS abs_impact, pos,
+         row_number() OVER (PARTITION BY title ORDER BY abs(shap) DESC, pos) AS rank
+  FROM (
+    SELECT title, 'wiki' AS name, shap_wiki AS shap, 0 AS pos FROM attr
+    UNION ALL SELECT title, 'trends', shap_trends, 1 FROM attr
+    UNION ALL SELECT title, 'youtube', shap_youtube, 2 FROM attr
+    UNION ALL SELECT title, 'chartmetric', shap_chartmetric, 3 FROM attr
+  )
+)"""
+
+
+def attr_ctes() -> str:
+    return scoring_ctes("models") + "," + B_ATTR
+
+
+register("E01_sanitize_features", """
+SELECT event_id, round(CASE WHEN event_type = 'error' THEN 1e10 WHEN event_type = 'signup' THEN 0.0
+                            ELSE least(1e10, greatest(-1e10, coalesce(value, 0.0))) END, 6) AS value FROM events""")
+
+register("E02_multi_ridge", attr_ctes() + """
+SELECT round(intercept, 6) AS intercept, round(b0, 6) AS beta_wiki, round(b1, 6) AS beta_trends,
+       round(b2, 6) AS beta_youtube, round(b3, 6) AS beta_chartmetric, (SELECT n FROM tst) AS n FROM coef""")
+
+register("E03_linear_attribution", attr_ctes() + """
+SELECT title, round(prediction, 6) AS prediction, round(base_value, 6) AS base_value, round(shap_wiki, 6) AS shap_wiki,
+       round(shap_trends, 6) AS shap_trends, round(shap_youtube, 6) AS shap_youtube,
+       round(shap_chartmetric, 6) AS shap_chartmetric FROM attr""")
+
+register("E04_contributions", attr_ctes() + """
+SELECT title, CAST(rank AS INTEGER) AS rank, name, round(shap, 6) AS shap, direction FROM contrib""")
+
+register("E05_top_drivers", attr_ctes() + """
+SELECT title, CAST(row_number() OVER (PARTITION BY title ORDER BY rank) AS INTEGER) AS rank, name, round(shap, 6) AS shap
+FROM contrib WHERE abs_impact >= 0.5 QUALIFY row_number() OVER (PARTITION BY title ORDER BY rank) <= 3""")
+
+register("E07_attribution_table", attr_ctes() + """,
+vals AS (
+  SELECT title, 'wiki' AS name, coalesce(wiki, 0) AS value FROM indexed
+  UNION ALL SELECT title, 'trends', coalesce(trends, 0) FROM indexed
+  UNION ALL SELECT title, 'youtube', coalesce(youtube, 0) FROM indexed
+  UNION ALL SELECT title, 'chartmetric', coalesce(chartmetric, 0) FROM indexed
+)
+SELECT c.title, CAST(c.rank AS INTEGER) AS rank, upper(substr(c.name, 1, 1)) || substr(c.name, 2) AS feature,
+       round(v.value, 6) AS value, round(c.shap, 6) AS contribution, upper(c.direction) AS direction
+FROM contrib c JOIN vals v USING (title, name) WHERE c.rank <= 3""")
+
+register("E08_batch_attribution", attr_ctes() + """
+SELECT title, round(prediction, 6) AS prediction,
+       round(abs(base_value + shap_wiki + shap_trends + shap_youtube + shap_chartmetric - prediction), 6) + 0.0 AS additivity_gap
+FROM attr""")
+
+register("E09_push_pull", attr_ctes() + """,
+d AS (SELECT * FROM contrib WHERE abs_impact >= 0.5 QUALIFY row_number() OVER (PARTITION BY title ORDER BY rank) <= 5)
+SELECT a.title, round(coalesce(sum(d.shap) FILTER (WHERE d.shap > 0), 0), 6) AS total_positive,
+       round(coalesce(sum(d.shap) FILTER (WHERE d.shap < 0), 0), 6) AS total_negative,
+       CAST(count(*) FILTER (WHERE d.shap > 0) AS INTEGER) AS n_positive,
+       CAST(count(*) FILTER (WHERE d.shap < 0) AS INTEGER) AS n_negative
+FROM attr a LEFT JOIN d USING (title) GROUP BY a.title""")
+
+register("A17_mean_abs_attribution", attr_ctes() + """,
+m AS (
+  SELECT 'wiki' AS feature, avg(abs(shap_wiki)) AS mean_abs FROM attr
+  UNION ALL SELECT 'trends', avg(abs(shap_trends)) FROM attr
+  UNION ALL SELECT 'youtube', avg(abs(shap_youtube)) FROM attr
+  UNION ALL SELECT 'chartmetric', avg(abs(shap_chartmetric)) FROM attr
+)
+SELECT feature, round(mean_abs, 6) AS mean_abs FROM m ORDER BY mean_abs DESC, feature LIMIT 8""")
