@@ -213,7 +213,10 @@ def interval_overlap_days(runs: DataFrame, events: DataFrame, key: str, run_star
                           ev_start: str, ev_end: str, run_id: str) -> DataFrame:
     """X07 helper — pairs (run, event) with overlapping [start, end] on the same key, via an
     equi-join on (key, day) after exploding each window to its days, then distinct pairs.
-    Work is proportional to covered days, not to runs x events."""
+    Work is proportional to covered days, not to runs x events; empty (start > end)
+    windows overlap nothing."""
+    runs = runs.where(F.col(run_start).cast("date") <= F.col(run_end).cast("date"))
+    events = events.where(F.col(ev_start).cast("date") <= F.col(ev_end).cast("date"))
     rd = runs.select(key, run_id, F.explode(F.sequence(F.col(run_start).cast("date"),
                                                        F.col(run_end).cast("date"))).alias("_day"))
     ed = events.withColumn("_day", F.explode(F.sequence(F.col(ev_start).cast("date"), F.col(ev_end).cast("date"))))

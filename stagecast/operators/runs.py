@@ -96,7 +96,7 @@ def modelling_dataset(runs: DataFrame, key_col: str = "title") -> DataFrame:
     """X04 — forecast-time features per run from strictly earlier runs of the same title.
 
     prior_run_count, prior_total, prior_median (median of earlier run totals),
-    years_since_last (months between run starts / 12), target = this run's tickets.
+    years_since_last (days between run starts / 365.25), target = this run's tickets.
     The expanding frame of earlier totals is per title; run counts per title
     are small (bounded by distinct days / gap).
     """
@@ -112,5 +112,5 @@ def modelling_dataset(runs: DataFrame, key_col: str = "title") -> DataFrame:
         F.count("tickets").over(prev).alias("prior_run_count"),
         F.sum("tickets").over(prev).alias("prior_total"),
         med.alias("prior_median"),
-        (F.months_between("run_start", F.lag("run_start").over(w)) / 12.0).alias("years_since_last"),
+        (F.datediff("run_start", F.lag("run_start").over(w)) / 365.25).alias("years_since_last"),
         F.col("tickets").alias("target"))

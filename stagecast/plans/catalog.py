@@ -784,3 +784,124 @@ def q_e10(spark, sf):
 def q_a17(spark, sf):
     _, a = _attr(spark, sf)
     return rounded(EX.mean_abs_attribution(a, ATTR_FEATURES, top=8))
+
+
+# ---------------------------------------------------------------- fallback fits, priors, tier-2 operators
+from stagecast.operators import runs as RN  # noqa: E402
+
+
+@query("F08_anchored_ols")
+def q_f08(spark, sf):
+    p = _plan(spark, sf)
+    ov = M.anchored_ridge(p.known, anchor_rule="ols", min_rows=5).select(
+        F.lit("__overall__").alias("category"), "n", "slope", "intercept")
+    cat = M.group_fit(p.known, "category", anchors=True)
+    return rounded(ov.unionByName(cat))
+
+
+@query("F18_tempered_prior")
+def q_f18(spark, sf):
+    pr = _plan(spark, sf).priors
+    return rounded(pr.select("region", "category", "segment", SC2.tempered_prior("weight", 0.5).alias("weight")))
+
+
+@query("F19_softmax_like")
+def q_f19(spark, sf):
+    pr = _plan(spark, sf).priors.withColumn("_g", F.concat_ws("|", "region", "category"))
+    return rounded(SC2.softmax_like(pr, "_g", "weight", temperature=0.5).select("region", "category", "segment", "mix"))
+
+
+@query("X02_calibrate")
+def q_x02(spark, sf):
+    _, a = _attr(spark, sf)
+    p = _plan(spark, sf)
+    d = a.select("title", "prediction").join(p.known.select("title", "category", "TicketIndex_DeSeason"), "title")
+    g = M.calibrate(d, "prediction", "TicketIndex_DeSeason", "category")
+    o = M.calibrate(d, "prediction", "TicketIndex_DeSeason").select(F.lit("__overall__").alias("category"), "*")
+    return rounded(g.unionByName(o))
+
+
+@query("X03_backtest")
+def q_x03(spark, sf):
+    p = _plan(spark, sf)
+    first = p.runs.groupBy("title").agg(F.min("run_start").alias("first_run"))
+    d = p.known.select("title", "category", "SignalOnly", "TicketIndex_DeSeason").join(first, "title")
+    bt = M.expanding_backtest(d, "category", ["first_run", "title"], "SignalOnly", "TicketIndex_DeSeason")
+    err = F.col("TicketIndex_DeSeason") - F.col("prediction")
+    return rounded(bt.where(F.col("prediction").isNotNull()).groupBy("category").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.abs(err)).alias("MAE"), F.sqrt(F.avg(err * err)).alias("RMSE")))
+
+
+@query("X04_modelling_dataset")
+def q_x04(spark, sf):
+    runs = _plan(spark, sf).runs
+    return rounded(RN.modelling_dataset(runs))
+
+
+@query("X06_ticketing_normalize")
+def q_x06(spark, sf):
+    li = B.read(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    o = B.read(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    d = li.join(o, li.l_orderkey == o.o_orderkey)
+    wk = F.dayofweek("l_shipdate").isin(1, 7)
+    return rounded(d.groupBy(F.col("l_partkey").alias("title")).agg(
+        F.countDistinct("l_orderkey").alias("n_orders"), F.count(F.lit(1)).alias("n_lines"),
+        F.sum("l_quantity").alias("tickets"), F.avg("l_quantity").alias("avg_tickets_per_line"),
+        (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("avg_price"),
+        (F.count_if(wk) / F.count(F.lit(1))).alias("weekend_share"),
+        (F.count_if(F.col("o_orderpriority") == "1-URGENT") / F.count(F.lit(1))).alias("urgent_share"),
+        (F.sum("l_quantity") / F.lit(50.0) / F.countDistinct("l_orderkey")).alias("load_factor")))
+
+
+@query("X07_event_window_features")
+def q_x07(spark, sf):
+    runs = _plan(spark, sf).runs.select("title", "run_no", "run_start", "run_end")
+    li = B.read(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate")
+    o = B.read(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    ev = (li.join(o, li.l_orderkey == o.o_orderkey)
+          .select(F.col("l_partkey").alias("title"), F.col("l_orderkey").alias("event_id"),
+                  F.col("o_orderdate").cast("date").alias("ev_start"), F.col("l_shipdate").cast("date").alias("ev_end"),
+                  "l_quantity", F.substring("o_orderpriority", 1, 1).cast("int").alias("rank")))
+    rd = runs.withColumn("run_id", F.struct("title", "run_no"))
+    pairs = J.interval_overlap_days(rd, ev, "title", "run_start", "run_end", "ev_start", "ev_end", "run_id")
+    return rounded(pairs.groupBy(F.col("run_id.title").alias("title"), F.col("run_id.run_no").alias("run_no")).agg(
+        F.count(F.lit(1)).alias("n_events"), F.sum("l_quantity").alias("attendance"),
+        F.max("rank").alias("max_rank"), F.avg("rank").alias("avg_rank"),
+        F.count_if(F.col("rank") <= 2).alias("n_high_priority")))
+
+
+@query("X08_batch_rescale")
+def q_x08(spark, sf):
+    b = _plan(spark, sf).baselines.select("title", "category", "wiki")
+    ctrl = b.groupBy("category").agg(F.min("title").alias("_ct"))
+    d = b.join(ctrl, "category").withColumn("is_control", F.col("title") == F.col("_ct"))
+    out = SG.batch_rescale(d, "category", "wiki", "is_control", True, "wiki_rescaled")
+    return rounded(out.select("title", "wiki_rescaled"))
+
+
+@query("X09_batch_history_dedupe")
+def q_x09(spark, sf):
+    part = B.read(spark, sf, "part").select(F.trim("p_name").alias("name"))
+    u = part.dropDuplicates(["name"])
+    return (part.agg(F.count(F.lit(1)).alias("n_input")).crossJoin(u.agg(F.count(F.lit(1)).alias("n_unique")))
+            .withColumn("n_duplicates_skipped", F.col("n_input") - F.col("n_unique")))
+
+
+@query("S12_tidy_slice")
+def q_s12(spark, sf):
+    ev = B.read(spark, sf, "events").select(
+        F.col("event_type").alias("category"), F.lit("value").alias("metric"),
+        F.when(F.col("event_type") == "purchase", F.dayofmonth("ts").cast("string"))
+        .otherwise(F.concat(F.lit("d"), F.dayofmonth("ts").cast("string"))).alias("year_or_period"),
+        F.col("value").cast("string").alias("value"))
+    return rounded(IO.tidy_slice(ev, {"category": "purchase", "metric": "value"}).groupBy("year").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("value").alias("value")))
+
+
+@query("S16_first_date_column")
+def q_s16(spark, sf):
+    o = B.read(spark, sf, "orders").select(
+        "o_orderkey",
+        F.when(F.col("o_orderstatus") == "F", F.date_format("o_orderdate", "yyyy-MM-dd")).alias("calgary_show_date"),
+        F.date_format(F.date_add(F.col("o_orderdate").cast("date"), 1), "yyyy-MM-dd").alias("edmonton_show_date"))
+    return IO.first_date_column(o, ["start_date", "calgary_show_date", "edmonton_show_date"]).select("o_orderkey", "date_key")

@@ -1011,3 +1011,106 @@ m AS (
   UNION ALL SELECT 'chartmetric', avg(abs(shap_chartmetric)) FROM attr
 )
 SELECT feature, round(mean_abs, 6) AS mean_abs FROM m ORDER BY mean_abs DESC, feature LIMIT 8""")
+
+
+# ---------------------------------------------------------------- fallback fits, priors, tier-2 operators
+register("F08_anchored_ols", scoring_ctes("models") + """,
+od AS (
+  SELECT "SignalOnly" AS x, "TicketIndex_DeSeason" AS y FROM known
+  UNION ALL SELECT 0.0, 25.0 FROM (SELECT unnest(range(greatest(2, n // 3))) FROM kn)
+  UNION ALL SELECT 100.0, 100.0 FROM (SELECT unnest(range(greatest(2, n // 3))) FROM kn)
+),
+cn AS (SELECT category, count(*) AS n FROM known GROUP BY category HAVING count(*) >= 3),
+cd AS (
+  SELECT category, "SignalOnly" AS x, "TicketIndex_DeSeason" AS y FROM known WHERE category IN (SELECT category FROM cn)
+  UNION ALL SELECT category, 0.0, 25.0 FROM (SELECT category, unnest(range(greatest(1, n // 3))) FROM cn)
+  UNION ALL SELECT category, 100.0, 100.0 FROM (SELECT category, unnest(range(greatest(1, n // 3))) FROM cn)
+)
+SELECT '__overall__' AS category, (SELECT n FROM kn) AS n, round(regr_slope(y, x), 6) AS slope,
+       round(regr_intercept(y, x), 6) AS intercept FROM od HAVING (SELECT n FROM kn) >= 5
+UNION ALL
+SELECT cd.category, cn.n, round(regr_slope(y, x), 6), round(regr_intercept(y, x), 6)
+FROM cd JOIN cn USING (category) GROUP BY cd.category, cn.n""")
+
+register("F18_tempered_prior", scoring_ctes("segments") + """
+SELECT region, category, segment, round(CASE WHEN weight > 0 THEN pow(weight, 0.5) ELSE 1.0 END, 6) AS weight FROM priors""")
+
+register("F19_softmax_like", scoring_ctes("segments") + """,
+lg AS (SELECT *, ln(greatest(weight, 1e-9)) / 0.5 AS l FROM priors),
+ex AS (SELECT *, exp(l - max(l) OVER (PARTITION BY region, category)) AS e FROM lg)
+SELECT region, category, segment, round(e / sum(e) OVER (PARTITION BY region, category), 6) AS mix FROM ex""")
+
+register("X02_calibrate", attr_ctes() + """,
+d AS (SELECT a.title, a.prediction, k.category, k."TicketIndex_DeSeason" AS y FROM attr a JOIN known k USING (title))
+SELECT category, count(*) AS n, round(regr_slope(y, prediction), 6) AS slope, round(regr_intercept(y, prediction), 6) AS intercept
+FROM d GROUP BY category
+UNION ALL
+SELECT '__overall__', count(*), round(regr_slope(y, prediction), 6), round(regr_intercept(y, prediction), 6) FROM d""")
+
+register("X03_backtest", scoring_ctes("models") + """,
+fr AS (SELECT title, min(run_start) AS first_run FROM runs GROUP BY title),
+d AS (SELECT k.title, k.category, k."SignalOnly" AS x, k."TicketIndex_DeSeason" AS y, fr.first_run FROM known k JOIN fr USING (title)),
+w AS (
+  SELECT *, count(y) OVER p AS n, sum(x) OVER p AS sx, sum(y) OVER p AS sy, sum(x * x) OVER p AS sxx, sum(x * y) OVER p AS sxy
+  FROM d WINDOW p AS (PARTITION BY category ORDER BY first_run, title ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+f AS (
+  SELECT *, CASE WHEN sxx - sx * sx / n > 1e-12 THEN (sxy - sx * sy / n) / (sxx - sx * sx / n) ELSE 0.0 END AS b FROM w WHERE n >= 2
+),
+bterr AS (SELECT category, y - ((sy / n - b * sx / n) + b * x) AS e FROM f)
+SELECT category, count(*) AS n, round(avg(abs(e)), 6) AS "MAE", round(sqrt(avg(e * e)), 6) AS "RMSE" FROM bterr GROUP BY category""")
+
+register("X04_modelling_dataset", scoring_ctes("runs") + """,
+w AS (
+  SELECT title, run_no, run_start, run_end, tickets,
+         count(tickets) OVER p AS prior_run_count, sum(tickets) OVER p AS prior_total,
+         list_sort(list(tickets) OVER p) AS earlier,
+         lag(run_start) OVER (PARTITION BY title ORDER BY run_start, run_no) AS prev_start
+  FROM runs WINDOW p AS (PARTITION BY title ORDER BY run_start, run_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+)
+SELECT title, CAST(run_no AS BIGINT) AS run_no, run_start, run_end, prior_run_count,
+       round(prior_total, 6) AS prior_total,
+       round(CASE WHEN len(earlier) = 0 THEN NULL ELSE list_median(earlier) END, 6) AS prior_median,
+       round(date_diff('day', prev_start, run_start) / 365.25, 6) AS years_since_last,
+       round(tickets, 6) AS target
+FROM w""")
+
+register("X06_ticketing_normalize", """
+SELECT l.l_partkey AS title, count(DISTINCT l.l_orderkey) AS n_orders, count(*) AS n_lines,
+       round(sum(l.l_quantity), 6) AS tickets, round(avg(l.l_quantity), 6) AS avg_tickets_per_line,
+       round(sum(l.l_extendedprice) / sum(l.l_quantity), 6) AS avg_price,
+       round(count(*) FILTER (WHERE dayofweek(l.l_shipdate) IN (0, 6)) / count(*), 6) AS weekend_share,
+       round(count(*) FILTER (WHERE o.o_orderpriority = '1-URGENT') / count(*), 6) AS urgent_share,
+       round(sum(l.l_quantity) / 50.0 / count(DISTINCT l.l_orderkey), 6) AS load_factor
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY l.l_partkey""")
+
+register("X07_event_window_features", scoring_ctes("runs") + """,
+ev AS (
+  SELECT l.l_partkey AS title, l.l_orderkey AS event_id, CAST(o.o_orderdate AS DATE) AS ev_start,
+         CAST(l.l_shipdate AS DATE) AS ev_end, l.l_quantity, CAST(substr(o.o_orderpriority, 1, 1) AS INTEGER) AS rank
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+),
+pairs AS (
+  SELECT DISTINCT r.title, r.run_no, e.event_id, e.ev_start, e.ev_end, e.l_quantity, e.rank
+  FROM runs r JOIN ev e ON e.title = r.title AND e.ev_start <= r.run_end AND e.ev_end >= r.run_start
+  WHERE e.ev_start <= e.ev_end AND r.run_start <= r.run_end
+)
+SELECT title, CAST(run_no AS BIGINT) AS run_no, count(*) AS n_events, round(sum(l_quantity), 6) AS attendance,
+       max(rank) AS max_rank, round(avg(rank), 6) AS avg_rank, count(*) FILTER (WHERE rank <= 2) AS n_high_priority
+FROM pairs GROUP BY title, run_no""")
+
+register("X08_batch_rescale", with_(B_BASE) + """,
+ctrl AS (SELECT category, arg_min(wiki, title) AS cw FROM base GROUP BY category)
+SELECT b.title, round(b.wiki * 100 / nullif(c.cw, 0), 6) AS wiki_rescaled FROM base b JOIN ctrl c USING (category)""")
+
+register("X09_batch_history_dedupe", """
+SELECT count(*) AS n_input, count(DISTINCT trim(p_name)) AS n_unique, count(*) - count(DISTINCT trim(p_name)) AS n_duplicates_skipped
+FROM part""")
+
+register("S12_tidy_slice", """
+SELECT CAST(day(ts) AS INTEGER) AS year, count(*) AS n, round(sum(value), 6) AS value
+FROM events WHERE event_type = 'purchase' GROUP BY 1""")
+
+register("S16_first_date_column", """
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) ELSE CAST(o_orderdate AS DATE) + 1 END AS date_key
+FROM orders""")
