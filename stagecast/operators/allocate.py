@@ -21,55 +21,59 @@ def long_to_wide(totals: DataFrame, key: str, city: str, cities: Sequence[str],
     return totals.groupBy(key).pivot(city, list(cities)).agg(F.sum(value)).na.fill(0.0, subset=list(cities))
 
 
-def _shares(totals: DataFrame, key: str, city: str, cities: Sequence[str], clip: tuple[float, float]) -> DataFrame:
-    """Shares over the full city list (absent city = 0), keys with total <= 0 dropped,
-    each share clipped then renormalised. One pivot (city list given) per key."""
-    wide = long_to_wide(totals, key, city, cities, "tickets")
-    vals = [F.col(f"`{c}`") for c in cities]
+def _share_map(totals_wide: DataFrame, key: str, cities: Sequence[str], clip: tuple[float, float]) -> DataFrame:
+    """Per key: city -> share over the full city list (absent city = 0), keys with
+    total <= 0 dropped, each share clipped then renormalised (per-row arithmetic)."""
+    vals = [F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) for c in cities]
     tot = vals[0]
     for v in vals[1:]:
         tot = tot + v
-    clipped = [F.least(F.lit(clip[1]), F.greatest(F.lit(clip[0]), v / F.col("_tot"))) for v in vals]
+    clipped = [F.least(F.lit(clip[1]), F.greatest(F.lit(clip[0]), v / tot)) for v in vals]
     csum = clipped[0]
     for v in clipped[1:]:
         csum = csum + v
-    rows = F.array(*[F.struct(F.lit(c).alias(city), (cv / csum).alias("share"), v.alias("tickets"))
-                     for c, cv, v in zip(cities, clipped, vals)])
-    return (wide.withColumn("_tot", tot).where(F.col("_tot") > 0)
-            .select(key, F.col("_tot").alias("total"), F.explode(rows).alias("_r"))
-            .select(key, f"_r.{city}", "_r.share", "_r.tickets", "total"))
+    m = F.create_map(*[x for c, cv in zip(cities, clipped) for x in (F.lit(c), cv / csum)])
+    t = F.create_map(*[x for c, v in zip(cities, vals) for x in (F.lit(c), v)])
+    return totals_wide.where(tot > 0).select(key, m.alias("shares"), t.alias("tickets"), tot.alias("total"))
+
+
+def _wide_totals(history: DataFrame, key: str, city: str, value: str, cities: Sequence[str]) -> DataFrame:
+    """A03 in one grouped pass: per key one conditional sum per (configured) city."""
+    return history.groupBy(key).agg(*[F.sum(F.when(F.col(city) == c, F.col(value))).alias(c) for c in cities])
 
 
 def learn_city_shares(history: DataFrame, categories: DataFrame, cities: Sequence[str], key: str = "title",
                       city: str = "city", value: str = "single_tickets", category: str = "category",
                       clip: tuple[float, float] = C.CITY_CLIP_RANGE) -> tuple[DataFrame, DataFrame]:
-    """A04 — learned city shares at title and category level.
+    """A04 — learned city shares at title and category level, as maps city -> share.
 
     share = city / total over the given city list (absent city = 0), clipped to
     ``clip`` and renormalised (for two cities with a symmetric clip this is
     exactly clip(c) and 1 - clip(c)); totals <= 0 are dropped. Category totals
     are sums of title totals, the category taken from ``categories``.
-    Returns (title_shares(key, city, share, tickets, total), category_shares(category, city, ...)).
+    One grouped pass per level. Returns (title_shares(key, shares, tickets, total),
+    category_shares(category, shares, tickets, total)).
     """
-    t = city_totals(history.where(F.col(city).isin(*cities)), key, city, value)
-    title_sh = _shares(t, key, city, cities, clip)
-    ct = (t.join(categories.select(key, category), key)
-          .groupBy(category, city).agg(F.sum("tickets").alias("tickets")))
-    cat_sh = _shares(ct, category, city, cities, clip)
+    tw = _wide_totals(history, key, city, value, cities)
+    title_sh = _share_map(tw, key, cities, clip)
+    cw = (tw.join(categories.select(key, category), key)
+          .groupBy(category).agg(*[F.sum(F.col(f"`{c}`")).alias(c) for c in cities]))
+    cat_sh = _share_map(cw, category, cities, clip)
     return title_sh, cat_sh
 
 
-def share_struct(shares: DataFrame, key: str, city: str = "city") -> DataFrame:
-    """Collapse long shares to one row per key with a map city -> share (bounded by #cities)."""
-    return shares.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(city, "share"))).alias("_m"))
+def shares_long(shares: DataFrame, key: str, city: str = "city") -> DataFrame:
+    """Long (key, city, share, tickets, total) view of a share-map table."""
+    return (shares.select(key, "total", "tickets", F.explode("shares").alias(city, "share"))
+            .select(key, city, "share", F.element_at("tickets", F.col(city)).alias("tickets"), "total"))
 
 
 def city_split(df: DataFrame, title_shares: DataFrame, category_shares: DataFrame, default: dict,
                key: str = "title", category: str = "category", out: str = "city_split") -> DataFrame:
     """J10 — city split per row: title shares, else category shares, else default, chosen as a
     *whole* map (never mixed per city) so shares still add to 1."""
-    ts = share_struct(title_shares, key).withColumnRenamed("_m", "_tm")
-    cs = share_struct(category_shares, category).withColumnRenamed("_m", "_cm").withColumnRenamed(category, "_ck")
+    ts = title_shares.select(key, F.col("shares").alias("_tm"))
+    cs = category_shares.select(F.col(category).alias("_ck"), F.col("shares").alias("_cm"))
     dflt = F.create_map(*[x for k, v in default.items() for x in (F.lit(k), F.lit(float(v)))])
     j = df.join(ts, key, "left").join(cs, F.col(category) == F.col("_ck"), "left")
     return (j.withColumn(out, F.coalesce(F.col("_tm"), F.col("_cm"), dflt))

@@ -221,3 +221,57 @@ def interval_overlap_days(runs: DataFrame, events: DataFrame, key: str, run_star
                                                        F.col(run_end).cast("date"))).alias("_day"))
     ed = events.withColumn("_day", F.explode(F.sequence(F.col(ev_start).cast("date"), F.col(ev_end).cast("date"))))
     return rd.join(ed, [key, "_day"]).drop("_day").dropDuplicates([run_id, *[c for c in events.columns]])
+
+
+def interval_overlap_agg(runs: DataFrame, events: DataFrame, key: str, run_id: Sequence[str], run_start: str,
+                         run_end: str, ev_start: str, ev_end: str, sum_cols: Sequence[str] = (),
+                         count_values: dict | None = None) -> DataFrame:
+    """X07 — exact aggregates over the events whose [start, end] overlaps each run window,
+    without forming (run, event) pairs.
+
+    For a run [s, e]: overlapping = events with start <= e minus events with end < s
+    (the latter always start before s, so they are a subset of the former). Both
+    counts, and any sums, are cumulative per-day totals of the key's events, so the
+    window runs over one row per (key, change day) and per run bound; its size per
+    key is bounded by distinct days, not by the number of events (hot keys stay
+    small). Identical event rows count once; empty windows (start > end) never
+    overlap. Returns run_id columns, n_events, sum_<c>, n_<c>_<v>.
+    """
+    count_values = count_values or {}
+    ev = events.where(F.col(ev_start).cast("date") <= F.col(ev_end).cast("date")).dropDuplicates()
+    metrics = [(F.lit(1), "n")] + [(F.col(c), f"sum_{c}") for c in sum_cols]
+    for c, vals in count_values.items():
+        metrics += [(F.when(F.col(c) == v, F.lit(1)).otherwise(F.lit(0)), f"n_{c}_{v}") for v in vals]
+    names = [n for _, n in metrics]
+
+    def deltas(day: Column, tag: str) -> DataFrame:
+        return ev.groupBy(F.col(key).alias("_k"), day.alias("_day")).agg(
+            *[F.sum(expr.cast("double")).alias(f"{tag}_{n}") for expr, n in metrics])
+
+    starts = deltas(F.col(ev_start).cast("date"), "s")
+    ends = deltas(F.date_add(F.col(ev_end).cast("date"), 1), "e")
+    zero = {f"{t}_{n}": F.lit(0.0) for t in ("s", "e") for n in names}
+    d = (starts.select("_k", "_day", *[F.col(f"s_{n}") for n in names], *[zero[f"e_{n}"].alias(f"e_{n}") for n in names])
+         .unionByName(ends.select("_k", "_day", *[zero[f"s_{n}"].alias(f"s_{n}") for n in names],
+                                  *[F.col(f"e_{n}") for n in names])))
+    d = d.select("_k", "_day", F.lit(0).alias("_q"), F.lit(None).cast("string").alias("_bound"),
+                 F.lit(None).cast(runs.select(F.struct(*run_id).alias("x")).schema["x"].dataType).alias("_rid"),
+                 *[f"{t}_{n}" for t in ("s", "e") for n in names])
+    rid = F.struct(*[F.col(c) for c in run_id])
+    q = (runs.select(F.col(key).alias("_k"), F.col(run_end).cast("date").alias("_day"), F.lit(1).alias("_q"),
+                     F.lit("end").alias("_bound"), rid.alias("_rid"))
+         .unionByName(runs.select(F.col(key).alias("_k"), F.col(run_start).cast("date").alias("_day"), F.lit(1).alias("_q"),
+                                  F.lit("start").alias("_bound"), rid.alias("_rid"))))
+    for t in ("s", "e"):
+        for n in names:
+            q = q.withColumn(f"{t}_{n}", F.lit(0.0))
+    u = d.unionByName(q)
+    w = Window.partitionBy("_k").orderBy("_day", "_q").rowsBetween(Window.unboundedPreceding, 0)
+    cum = u.select("_q", "_bound", "_rid", *[F.sum(f"{t}_{n}").over(w).alias(f"c{t}_{n}")
+                                              for t in ("s", "e") for n in names]).where(F.col("_q") == 1)
+    at_end = cum.where(F.col("_bound") == "end").select("_rid", *[F.col(f"cs_{n}").alias(f"a_{n}") for n in names])
+    at_start = cum.where(F.col("_bound") == "start").select("_rid", *[F.col(f"ce_{n}").alias(f"b_{n}") for n in names])
+    j = at_end.join(at_start, "_rid")
+    out = j.select(*[F.col("_rid")[c].alias(c) for c in run_id],
+                   *[(F.col(f"a_{n}") - F.col(f"b_{n}")).alias(n) for n in names])
+    return out.withColumn("n", F.col("n").cast("bigint")).withColumnRenamed("n", "n_events")

@@ -218,17 +218,17 @@ def q_f16(spark, sf):
 @query("A03_long_to_wide")
 def q_a03(spark, sf):
     p = _plan(spark, sf)
-    return rounded(AL.long_to_wide(AL.city_totals(p.history), "title", "city", p.cities))
+    return rounded(AL.long_to_wide(AL.city_totals(p.history), "title", "city", p.cities))  # pivot form of A03
 
 
 @query("A04_title_city_shares")
 def q_a04t(spark, sf):
-    return rounded(_plan(spark, sf).city_shares[0].select("title", "city", "share"))
+    return rounded(AL.shares_long(_plan(spark, sf).city_shares[0], "title").select("title", "city", "share"))
 
 
 @query("A04_category_city_shares")
 def q_a04c(spark, sf):
-    return rounded(_plan(spark, sf).city_shares[1].select("category", "city", "share"))
+    return rounded(AL.shares_long(_plan(spark, sf).city_shares[1], "category").select("category", "city", "share"))
 
 
 def _city_long(spark, sf):
@@ -862,12 +862,15 @@ def q_x07(spark, sf):
           .select(F.col("l_partkey").alias("title"), F.col("l_orderkey").alias("event_id"),
                   F.col("o_orderdate").cast("date").alias("ev_start"), F.col("l_shipdate").cast("date").alias("ev_end"),
                   "l_quantity", F.substring("o_orderpriority", 1, 1).cast("int").alias("rank")))
-    rd = runs.withColumn("run_id", F.struct("title", "run_no"))
-    pairs = J.interval_overlap_days(rd, ev, "title", "run_start", "run_end", "ev_start", "ev_end", "run_id")
-    return rounded(pairs.groupBy(F.col("run_id.title").alias("title"), F.col("run_id.run_no").alias("run_no")).agg(
-        F.count(F.lit(1)).alias("n_events"), F.sum("l_quantity").alias("attendance"),
-        F.max("rank").alias("max_rank"), F.avg("rank").alias("avg_rank"),
-        F.count_if(F.col("rank") <= 2).alias("n_high_priority")))
+    agg = J.interval_overlap_agg(runs, ev, "title", ["title", "run_no"], "run_start", "run_end", "ev_start", "ev_end",
+                                 sum_cols=["l_quantity", "rank"], count_values={"rank": [1, 2, 3, 4, 5]})
+    max_rank = F.lit(None).cast("int")
+    for v in (1, 2, 3, 4, 5):
+        max_rank = F.when(F.col(f"n_rank_{v}") > 0, F.lit(v)).otherwise(max_rank)
+    return rounded(agg.where(F.col("n_events") > 0).select(
+        "title", "run_no", "n_events", F.col("sum_l_quantity").alias("attendance"), max_rank.alias("max_rank"),
+        (F.col("sum_rank") / F.col("n_events")).alias("avg_rank"),
+        (F.col("n_rank_1") + F.col("n_rank_2")).cast("bigint").alias("n_high_priority")))
 
 
 @query("X08_batch_rescale")

@@ -60,6 +60,12 @@ class ScoringPlan:
     def _mat(self, df: DataFrame) -> DataFrame:
         """Materialise a stage that several later stages read.
 
+        Used for the history cube, the runs, the signal base, the indexed table
+        and the scored table: the stages that are expensive to recompute, end a
+        long lineage, or feed many downstream reports.
+        Small derived tables (priors, seasonality, benchmark, city shares) stay
+        lazy: within one query Spark reuses their identical exchanges.
+
         'persist' keeps it in executor memory/disk (lost partitions are recomputed
         from lineage); 'checkpoint' writes it to the shared ``spark.checkpoint.dir``
         and cuts the lineage; 'none' leaves the plan inlined.
@@ -81,7 +87,7 @@ class ScoringPlan:
     @cached_property
     def prior(self) -> DataFrame:
         """A02 per-title median / total / count of run totals."""
-        return self._mat(R.prior_stats(self.runs, "title", "tickets"))
+        return R.prior_stats(self.runs, "title", "tickets")
 
     @cached_property
     def last_mid(self) -> DataFrame:
@@ -98,8 +104,8 @@ class ScoringPlan:
     @cached_property
     def seasonality(self) -> DataFrame:
         """A07 category x month factors."""
-        return self._mat(RB.seasonality_table(self.past_runs, "category", "month", "ticket_median",
-                                              self.cfg.k_shrink, self.cfg.season_clip, self.cfg.winter_pool))
+        return RB.seasonality_table(self.past_runs, "category", "month", "ticket_median",
+                                    self.cfg.k_shrink, self.cfg.season_clip, self.cfg.winter_pool)
 
     # ---------------------------------------------------------------- signals
     @cached_property
@@ -132,7 +138,7 @@ class ScoringPlan:
             row = RB.attach_factor(row, self.seasonality, "category", "_bmid", "bench_hist_factor")
         else:
             row = row.withColumn("bench_hist_factor", F.lit(1.0))
-        return self._mat(row)
+        return row
 
     @cached_property
     def indexed(self) -> DataFrame:
@@ -185,7 +191,7 @@ class ScoringPlan:
     def city_shares(self) -> tuple[DataFrame, DataFrame]:
         ts, cs = AL.learn_city_shares(self.history, self.titles.select("title", "category"), self.cities,
                                       "title", "city", "single_tickets", "category", self.cfg.city_clip)
-        return self._mat(ts), self._mat(cs)
+        return ts, cs
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -221,7 +227,7 @@ class ScoringPlan:
             F.lit(m is not None).alias("SeasonalityApplied"),
             mcol.alias("SeasonalityMonthUsed"),
             P.month_name(mcol).alias("RunMonth"))
-        return d.drop("_braw", "_prior_cat", "prior_weights", "_raw", "_seg_idx")
+        return self._mat(d.drop("_braw", "_prior_cat", "prior_weights", "_raw", "_seg_idx"))
 
     def wide(self) -> DataFrame:
         """The scored table with one column per segment/city (pivot only for the final table)."""
