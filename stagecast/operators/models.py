@@ -115,7 +115,9 @@ def tiered_impute(df: DataFrame, overall: DataFrame, by_group: DataFrame, group:
     gp = F.least(F.lit(clip[1]), F.greatest(F.lit(clip[0]), F.col("_gi") + F.col("_gs") * F.col(x)))
     op = F.least(F.lit(clip[1]), F.greatest(F.lit(clip[0]), F.col("_oi") + F.col("_os") * F.col(x)))
     has_hist = F.col(y).isNotNull()
-    pred = F.when(has_hist, F.lit(None).cast("double")).when(F.col("_gk").isNotNull(), gp).otherwise(op)
+    # guard explicitly: least/greatest skip NULLs, so a missing model would otherwise clip to the floor
+    pred = (F.when(has_hist, F.lit(None).cast("double")).when(F.col("_gk").isNotNull(), gp)
+            .when(F.col("_os").isNotNull(), op))
     src = (F.when(has_hist, F.lit("History")).when(F.col("_gk").isNotNull() & gp.isNotNull(), F.lit(labels[0]))
            .when(F.col("_os").isNotNull() & op.isNotNull(), F.lit(labels[1])).otherwise(F.lit("Not enough data")))
     return (j.withColumn("TicketIndex_Predicted", pred)

@@ -233,7 +233,7 @@ imputed0 AS (
   SELECT i.*,
          CASE WHEN i."TicketIndex_DeSeason" IS NOT NULL THEN NULL
               WHEN c.category IS NOT NULL THEN least(180, greatest(20, c.intercept + c.slope * i."SignalOnly"))
-              ELSE least(180, greatest(20, o.intercept + o.slope * i."SignalOnly")) END AS "TicketIndex_Predicted",
+              WHEN o.slope IS NOT NULL THEN least(180, greatest(20, o.intercept + o.slope * i."SignalOnly")) END AS "TicketIndex_Predicted",
          CASE WHEN i."TicketIndex_DeSeason" IS NOT NULL THEN 'History'
               WHEN c.category IS NOT NULL THEN 'ML Category'
               WHEN o.slope IS NOT NULL THEN 'ML Overall' ELSE 'Not enough data' END AS "TicketIndexSource"
