@@ -229,3 +229,75 @@ def mean_abs_attribution(df: DataFrame, features: Sequence[str], top: int = 8, s
 # FIXED VALUES — narrative category labels
 CATEGORY_LABELS = {"family_classic": "family-oriented classical", "adult_classic": "adult classical",
                    "contemporary": "contemporary", "holiday": "holiday-themed", "mixed_rep": "mixed repertoire"}
+
+
+def _f1(x: Column) -> Column:
+    return F.format_string("%.1f", F.bround(x.cast("double"), 1))
+
+
+def narrative(title: Column, month: Column, category: Column, familiarity: Column, motivation: Column,
+              signal: Column, ticket_index: Column, seasonality: Column, primary: Column, secondary: Column,
+              city_tickets: Column, intent_ratio: Column | None = None, years_since: Column | None = None,
+              drivers: Column | None = None) -> Column:
+    """E11 — five conditional paragraphs as one string column (positioning, history/intent,
+    season, drivers, demand tier with city tickets and audience), joined by spaces.
+    ``city_tickets`` is array<struct(city, tickets)>; ``drivers`` an E10 sentence."""
+    from stagecast.functions.columns import demand_tier, signal_level
+    cat_label = F.coalesce(F.element_at(F.create_map(*[x for k, v in CATEGORY_LABELS.items()
+                                                      for x in (F.lit(k), F.lit(v))]), F.lower(category)), category)
+    strength = (F.when(signal > 100, F.lit("strong")).when(signal > 70, F.lit("moderate")).otherwise(F.lit("emerging")))
+    p1 = F.concat(month, F.lit(" — "), title, F.lit(" ("), category, F.lit("). "),
+                  F.when(familiarity.isNotNull() & motivation.isNotNull(), F.concat(
+                      F.lit("Familiarity is "), _f1(familiarity), F.lit(" ("), signal_level(familiarity),
+                      F.lit(") and Motivation is "), _f1(motivation), F.lit(" ("), signal_level(motivation),
+                      F.lit("), a "), strength, F.lit(" level of public visibility across the four digital signals.")))
+                  .otherwise(F.lit("The forecast rests on a combined interest signal benchmarked across digital platforms.")))
+    intent = F.lit(None).cast("string")
+    if intent_ratio is not None:
+        pct = F.concat(_f1(intent_ratio * 100.0), F.lit("%"))
+        intent = (F.when(intent_ratio.isNull(), F.lit(None).cast("string"))
+                  .when(intent_ratio < 0.05, F.concat(F.lit("Only "), pct, F.lit(" of search interest looks like performance intent, so visibility may be inflated by unrelated references.")))
+                  .when(intent_ratio > 0.30, F.concat(F.lit("An intent ratio of "), pct, F.lit(" shows search interest closely tied to ticket buying.")))
+                  .otherwise(F.concat(F.lit("An intent ratio of "), pct, F.lit(" indicates mixed digital intent."))))
+    ys = F.floor(years_since).cast("int") if years_since is not None else F.lit(None).cast("int")
+    hist = (F.when(ys > 0, F.concat(F.lit("This is a return engagement, last staged about "), ys.cast("string"),
+                                    F.when(ys == 1, F.lit(" year")).otherwise(F.lit(" years")), F.lit(" ago; "),
+                                    cat_label, F.lit(" titles "),
+                                    F.when(ys >= 3, F.lit("usually gain from recognition on return."))
+                                    .otherwise(F.lit("often soften when remounted quickly."))))
+            .when(ys.isNotNull(), F.concat(F.lit("This is a return engagement; familiarity effects follow earlier "),
+                                           cat_label, F.lit(" remounts.")))
+            .otherwise(F.concat(F.lit("Without local history the title is judged against comparable "), cat_label,
+                                F.lit(" productions."))))
+    p2 = F.concat_ws(" ", intent, hist)
+    mname = F.split(month, " ")[0]
+    p3 = (F.when(seasonality.isNull(), F.lit(None).cast("string"))
+          .when(seasonality > 1.05, F.concat(F.lit("The "), mname, F.lit(" slot carries a favourable seasonal factor of "),
+                                             F.format_string("%.2f", F.bround(seasonality, 2)), F.lit(".")))
+          .when(seasonality < 0.95, F.concat(F.lit("The "), mname, F.lit(" slot applies a softer seasonal factor of "),
+                                             F.format_string("%.2f", F.bround(seasonality, 2)), F.lit(".")))
+          .otherwise(F.concat(F.lit("The "), mname, F.lit(" slot is close to seasonally neutral ("),
+                              F.format_string("%.2f", F.bround(seasonality, 2)), F.lit(")."))))
+    fallback = F.filter(F.array(F.when(familiarity > 110, F.lit("elevated public recognition")),
+                                F.when(motivation > 110, F.lit("strong engagement signals")),
+                                F.when(seasonality > 1.05, F.lit("favorable seasonal timing")),
+                                F.when(ys >= 3, F.lit("renewed interest after an appropriate interval"))),
+                        lambda x: x.isNotNull())
+    pos = F.when(ticket_index > 100, F.lit("above")).when(ticket_index >= 95, F.lit("at")).otherwise(F.lit("below"))
+    p4_fb = F.when(F.size(fallback) > 0, F.concat(F.lit("The estimate is shaped mainly by "), _format_list(fallback),
+                                                  F.lit(", placing the title "), pos, F.lit(" the benchmark."))) \
+        .otherwise(F.concat(F.lit("The combined signal places the title at a Ticket Index of "), _f1(ticket_index), F.lit(".")))
+    p4 = F.coalesce(drivers, p4_fb) if drivers is not None else p4_fb
+    total = F.aggregate(city_tickets, F.lit(0.0), lambda a, c: a + F.coalesce(c["tickets"], F.lit(0.0)))
+    cities = F.array_join(F.transform(city_tickets, lambda c: F.concat(F.format_number(c["tickets"], 0), F.lit(" in "), c["city"])), ", ")
+    p5 = F.concat_ws(" ",
+                     F.concat(F.lit("A Ticket Index of "), _f1(ticket_index), F.lit(" puts it in the "), demand_tier(ticket_index),
+                              F.lit(" tier.")),
+                     F.when(total > 0, F.concat(F.lit("Expected single tickets: "), cities, F.lit(" ("),
+                                                F.format_number(total, 0), F.lit(" in total)."))),
+                     F.when(F.length(F.trim(F.coalesce(primary, F.lit("")))) > 0,
+                            F.concat(F.lit("The audience should lean toward "), primary,
+                                     F.when(F.length(F.trim(F.coalesce(secondary, F.lit("")))) > 0,
+                                            F.concat(F.lit(", with secondary appeal to "), secondary)).otherwise(F.lit("")),
+                                     F.lit("."))))
+    return F.concat_ws(" ", p1, p2, p3, p4, p5)

@@ -908,3 +908,19 @@ def q_s16(spark, sf):
         F.when(F.col("o_orderstatus") == "F", F.date_format("o_orderdate", "yyyy-MM-dd")).alias("calgary_show_date"),
         F.date_format(F.date_add(F.col("o_orderdate").cast("date"), 1), "yyyy-MM-dd").alias("edmonton_show_date"))
     return IO.first_date_column(o, ["start_date", "calgary_show_date", "edmonton_show_date"]).select("o_orderkey", "date_key")
+
+
+@query("E11_narrative")
+def q_e11(spark, sf):
+    plan = _season_plan(spark, sf)
+    _, a = _attr(spark, sf)
+    p = _plan(spark, sf)
+    ys = RN.modelling_dataset(p.runs).groupBy("title").agg(F.max_by("years_since_last", "run_start").alias("years_since"))
+    d = (plan.join(a.select("title", EX.driver_sentence(F.col("contributions")).alias("drivers")), "title", "left")
+         .join(_intent(spark, sf), "title", "left").join(ys, "title", "left"))
+    city = F.array(*[F.struct(F.lit(c).alias("city"), F.col(f"Singles_{c}").alias("tickets")) for c in p.cities])
+    return d.select("title", "Month", EX.narrative(
+        F.col("title").cast("string"), F.col("Month"), F.col("category"), F.col("Familiarity"), F.col("Motivation"),
+        F.col("SignalOnly"), F.col("TicketIndex_used"), F.col("FutureSeasonalityFactor"),
+        F.col("PredictedPrimarySegment"), F.col("PredictedSecondarySegment"), city,
+        F.col("IntentRatio"), F.col("years_since"), F.col("drivers")).alias("narrative"))
