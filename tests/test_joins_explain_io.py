@@ -174,3 +174,26 @@ def test_union_cities_and_tidy_slice(spark):
     s = spark.createDataFrame([("arts", "2019", "1,200"), ("arts", "n/a", "5"), ("other", "2019", "1")],
                               "section string, year_or_period string, value string")
     assert [tuple(r) for r in IO.tidy_slice(s, {"section": "arts"}).collect()] == [(2019, 1200.0)]
+
+
+def test_sinks_and_generic_reader(spark):
+    d = tempfile.mkdtemp(prefix="stagecast-sink-", dir="/tmp")
+    df = spark.createDataFrame([("A", 1.5, "2020-01-02"), ("B", None, "bad")], "name string, v double, date string")
+    IO.write_table(df, os.path.join(d, "out_csv"), "csv")
+    IO.write_table(df, os.path.join(d, "out_pq"), "parquet", partition_by=["name"])
+    back = spark.read.option("header", True).csv(os.path.join(d, "out_csv"))
+    assert back.count() == 2 and spark.read.parquet(os.path.join(d, "out_pq")).count() == 2
+    md = [r.line for r in IO.to_markdown_rows(df).orderBy("line").collect()]
+    assert md == ["| A | 1.5 | 2020-01-02 |", "| B |  | bad |"]
+    p = os.path.join(d, "factors.csv")
+    with open(p, "w", encoding="utf-8") as f:
+        f.write("﻿Date,WCS Oil Price,Unnamed: 3\n2024-01-05,\"1,061.5\",\n2024-02-05,x,\n")
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("Date", T.StringType()), T.StructField("WCS Oil Price", T.StringType()),
+                           T.StructField("Unnamed: 3", T.StringType())])
+    r = IO.read_source(spark, p, schema, date_cols=["date"], numeric_cols=["wcs_oil_price"]).orderBy("date").collect()
+    assert [x.wcs_oil_price for x in r] == [1061.5, None] and r[0].date == dt.date(2024, 1, 5)
+    assert "unnamed:_3" not in r[0].asDict()
+    assert IO.read_source(spark, os.path.join(d, "nope.csv"), schema).count() == 0
+    spend = spark.createDataFrame([("t", None, "2024-03-01")], "title string, start_date string, show_date string")
+    assert IO.first_date_column(spend, ["start_date", "show_date"]).first().date_key == dt.date(2024, 3, 1)
