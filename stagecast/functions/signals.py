@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stagecast import config as C
+from stagecast.functions.quantiles import exact_percentiles
 
 SIGNALS = ("wiki", "trends", "youtube", "chartmetric")
 
@@ -29,11 +30,12 @@ def video_index(median_views) -> Column:
 
 # P08 -------------------------------------------------------------------------
 def signal_stats(df: DataFrame, key: str, value: str, days: float = 365.0) -> DataFrame:
-    """Per key: median, exact 80th percentile and mean daily value (sum / days)."""
-    return df.groupBy(key).agg(
-        F.median(value).alias("median_value"),
-        F.percentile(value, 0.8).alias("p80_value"),
-        (F.sum(value) / F.lit(days)).alias("mean_daily"))
+    """Per key: median, exact 80th percentile and mean daily value (sum / days).
+    Quantiles use the two-pass exact method, so a hot key is not merged in one task."""
+    q = exact_percentiles(df, value, [0.5, 0.8], key).select(
+        key, F.col("p0").alias("median_value"), F.col("p1").alias("p80_value"))
+    s = df.groupBy(key).agg((F.sum(value) / F.lit(days)).alias("mean_daily"))
+    return q.join(s, key)
 
 
 # P10 -------------------------------------------------------------------------
@@ -47,9 +49,9 @@ def winsorize_by_group(values: DataFrame, reference: DataFrame, group: str, valu
     """
     rv = ref_value or value
     ref = reference.where(F.col(rv).isNotNull())
-    by_group = ref.groupBy(F.col(group).alias("_g")).agg(
-        F.percentile(rv, lo).alias("_glo"), F.percentile(rv, hi).alias("_ghi"))
-    overall = F.broadcast(ref.agg(F.percentile(rv, lo).alias("_alo"), F.percentile(rv, hi).alias("_ahi")))
+    by_group = exact_percentiles(ref, rv, [lo, hi], group).select(
+        F.col(group).alias("_g"), F.col("p0").alias("_glo"), F.col("p1").alias("_ghi"))
+    overall = F.broadcast(exact_percentiles(ref, rv, [lo, hi]).select(F.col("p0").alias("_alo"), F.col("p1").alias("_ahi")))
     j = (values.join(by_group, values[group].eqNullSafe(by_group["_g"]), "left").drop("_g")
          .crossJoin(overall))
     lo_c = F.coalesce("_glo", "_alo")
@@ -68,8 +70,12 @@ def estimate_unknown(unknown: DataFrame, baselines: DataFrame, category_col: str
     fallback = C.UNKNOWN_FALLBACK_MEDIANS if fallback is None else fallback
     clip = C.UNKNOWN_CLIP if clip is None else clip
     spark = unknown.sparkSession
-    med = F.broadcast(baselines.agg(*[F.median(s).alias(f"_m_{s}") for s in SIGNALS],
-                                    F.count(F.lit(1)).alias("_nb")))
+    # global medians of the four signals: one unpivoted two-pass exact quantile, folded to 1 row
+    long = baselines.select(F.explode(F.array(*[F.struct(F.lit(s).alias("_s"), F.col(s).cast("double").alias("_x"))
+                                                 for s in SIGNALS])).alias("e")).select("e._s", "e._x")
+    mq = exact_percentiles(long, "_x", [0.5], "_s")
+    med = F.broadcast(mq.agg(*[F.max(F.when(F.col("_s") == s, F.col("p0"))).alias(f"_m_{s}") for s in SIGNALS])
+                      .crossJoin(baselines.agg(F.count(F.lit(1)).alias("_nb"))))
     rows = [(cat, *(float(b.get(s, 0.0)) for s in SIGNALS)) for cat, b in bumps.items()]
     bump_df = F.broadcast(spark.createDataFrame(
         rows, "_bcat string, " + ", ".join(f"_b_{s} double" for s in SIGNALS)))

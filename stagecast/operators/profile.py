@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stagecast.functions.columns import intent_clarity
+from stagecast.functions.quantiles import exact_median, exact_percentiles
 
 
 def monthly_weather_summary(weather: DataFrame, date_col: str = "date", city: str | None = "city",
@@ -48,11 +49,17 @@ def profile_source(df: DataFrame, source: str, expected: Sequence[str] = (), req
     aggs = [F.count(F.lit(1)).alias("__rows")]
     aggs += [F.count_if(F.col(f"`{c}`").isNull()).alias(f"__null_{i}") for i, c in enumerate(cols)]
     aggs += [F.count(F.col(f"`{c}`")).alias(f"__nn_{i}") for i, c in enumerate(numeric)]
-    aggs += [F.percentile(F.col(f"`{c}`").cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias(f"__q_{i}")
-             for i, c in enumerate(numeric)]
     if date_col and date_col in cols:
         aggs += [F.min(F.col(date_col).cast("date")).alias("__dmin"), F.max(F.col(date_col).cast("date")).alias("__dmax")]
     one = df.agg(*aggs)
+    if numeric:
+        # quartiles of all numeric columns in one unpivoted two-pass exact quantile (grouped by column)
+        long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(f"`{c}`").cast("double").alias("_x"))
+                                             for i, c in enumerate(numeric)])).alias("e")).select("e._c", "e._x")
+        q = exact_percentiles(long, "_x", [0.25, 0.75], "_c")
+        qrow = q.agg(*[F.max(F.when(F.col("_c") == i, F.array("p0", "p1"))).alias(f"__q_{i}")
+                       for i in range(len(numeric))])
+        one = one.crossJoin(qrow)
     # outliers: second pass against the fences (the 1-row stats table is broadcast)
     out_aggs = []
     for i, c in enumerate(numeric):
@@ -116,4 +123,5 @@ def source_mix(df: DataFrame, col: str, labels: Sequence[str]) -> DataFrame:
 
 def intent_summary(df: DataFrame, col: str = "IntentRatio") -> DataFrame:
     """A12 — median intent ratio and its clarity band (1 row)."""
-    return df.agg(F.median(col).alias("intent_ratio")).withColumn("clarity", intent_clarity("intent_ratio"))
+    return (exact_median(df, col, None, "intent_ratio").drop("n")
+            .withColumn("clarity", intent_clarity("intent_ratio")))

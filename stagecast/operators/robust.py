@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stagecast import config as C
+from stagecast.functions.quantiles import exact_median, exact_percentiles
 
 
 def iqr_filter(df: DataFrame, group: str, value: str, k: float = 1.5) -> DataFrame:
     """A05 — keep rows with value inside [q1 - k*IQR, q3 + k*IQR] of their group (exact
     linear-interpolated quartiles); NULL values are dropped first."""
     d = df.where(F.col(value).isNotNull())
-    q = d.groupBy(group).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-    q = q.select(group, (F.col("_q")[0] - k * (F.col("_q")[1] - F.col("_q")[0])).alias("_lo"),
-                 (F.col("_q")[1] + k * (F.col("_q")[1] - F.col("_q")[0])).alias("_hi"))
+    q = exact_percentiles(d, value, [0.25, 0.75], group).select(
+        group, (F.col("p0") - k * (F.col("p1") - F.col("p0"))).alias("_lo"),
+        (F.col("p1") + k * (F.col("p1") - F.col("p0"))).alias("_hi"))
     return (d.join(q, group).where(F.col(value).between(F.col("_lo"), F.col("_hi")))
             .drop("_lo", "_hi"))
 
@@ -23,11 +24,17 @@ def trimmed_median(c) -> Column:
     """A06 — median after dropping one min and one max when n >= 4.
 
     Dropping one value from each end of a sorted sample never moves its median,
-    so this is exactly the (exact) median aggregate.
+    so this is exactly the median. This Column form suits small groups; for hot
+    groups use ``trimmed_median_by`` (two-pass exact quantile).
     """
     return F.median(c)
 
 
+def trimmed_median_by(df: DataFrame, value: str, group, alias: str = "trimmed_median") -> DataFrame:
+    """A06 per group via the exact two-pass median (columns: group, n, ``alias``)."""
+    return exact_median(df, value, group, alias)
+
+
 def seasonality_table(runs: DataFrame, category: str = "category", month: str = "month",
                       value: str = "ticket_median", k_shrink: float = C.K_SHRINK,
                       clip: tuple[float, float] = (C.SEASON_MIN_FACTOR, C.SEASON_MAX_FACTOR),
@@ -42,11 +49,12 @@ def seasonality_table(runs: DataFrame, category: str = "category", month: str =
     """
     spark = runs.sparkSession
     f = iqr_filter(runs.select(category, month, value), category, value)
-    cat = f.groupBy(category).agg(
-        trimmed_median(value).alias("cat_median"),
-        trimmed_median(F.when(F.col(month).isin(*winter), F.col(value))).alias("winter_median"))
+    # medians of hot groups: exact two-pass quantiles (no whole group in one task)
+    cat = (exact_median(f, value, category, "cat_median").drop("n")
+           .join(exact_median(f.where(F.col(month).isin(*winter)), value, category, "winter_median").drop("n"),
+                 category, "left"))
     cat = cat.where(F.col("cat_median") > 0)
-    mon = f.groupBy(category, month).agg(F.count(F.lit(1)).alias("_n"), trimmed_median(value).alias("_m"))
+    mon = exact_median(f, value, [category, month], "_m").withColumnRenamed("n", "_n")
     months = F.broadcast(spark.range(1, 13).select(F.col("id").cast("int").alias(month)))
     grid = cat.crossJoin(months).join(mon, [category, month], "left")
     n = F.coalesce(F.col("_n"), F.lit(0)).cast("bigint")

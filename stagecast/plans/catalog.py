@@ -70,8 +70,7 @@ def q_a05(spark, sf):
 def q_a06(spark, sf):
     p = _plan(spark, sf)
     kept = RB.iqr_filter(p.past_runs, "category", "ticket_median")
-    return rounded(kept.groupBy("category").agg(RB.trimmed_median("ticket_median").alias("trimmed_median"),
-                                                F.count(F.lit(1)).alias("n")))
+    return rounded(RB.trimmed_median_by(kept, "ticket_median", "category"))
 
 
 @query("A07_seasonality_table")
@@ -310,8 +309,8 @@ def q_p06(spark, sf):
 @query("P07_log_index")
 def q_p07(spark, sf):
     li = B.read(spark, sf, "lineitem")
-    g = li.groupBy(F.col("l_partkey").alias("title")).agg(
-        F.count(F.lit(1)).alias("_n"), F.median(F.col("l_extendedprice") / 100.0).alias("_mv"))
+    g = (SG.exact_percentiles(li.withColumn("title", F.col("l_partkey")), F.col("l_extendedprice") / 100.0, [0.5], "title")
+         .select("title", F.col("n").alias("_n"), F.col("p0").alias("_mv")))
     return rounded(g.select("title", SG.wiki_index(F.col("_n")).alias("wiki_index"),
                             SG.video_index(F.col("_mv")).alias("video_index")))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from stagecast import config as C
 from stagecast.functions import columns as P
+from stagecast.functions.quantiles import exact_median
 from stagecast.operators import robust as RB
 
 # FIXED VALUES — plan months (slot name, month number) and summary month orders
@@ -27,8 +28,8 @@ def implied_benchmark(scored: DataFrame) -> DataFrame:
     """A13 — 1 row: median of EstimatedTickets / (Used x FutureFactor) x 100 over rows with a
     positive effective index and known tickets."""
     eff = F.col("TicketIndex_DeSeason_Used") * F.col("FutureSeasonalityFactor")
-    return (scored.where((eff > 0) & F.col("EstimatedTickets").isNotNull())
-            .agg(F.median(F.col("EstimatedTickets") / eff * 100.0).alias("bench_med_deseason_est")))
+    d = scored.where((eff > 0) & F.col("EstimatedTickets").isNotNull())
+    return exact_median(d, F.col("EstimatedTickets") / eff * 100.0, None, "bench_med_deseason_est").drop("n")
 
 
 def month_rank(month_name_col, order: Sequence[str] = BOARD_MONTH_ORDER):
@@ -145,7 +146,7 @@ def scatter_quadrants(plan: DataFrame, x: str = "Familiarity", y: str = "Motivat
                       size_col: str = "EstimatedTickets_Final") -> DataFrame:
     """A16 — medians of x and y (1-row, broadcast), bubble size 3*sqrt(max(t, 0), 0 -> 1) and quadrant."""
     d = plan.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(size_col).isNotNull())
-    med = F.broadcast(d.agg(F.median(x).alias("_mx"), F.median(y).alias("_my")))
+    med = F.broadcast(exact_median(d, x, None, "_mx").drop("n").crossJoin(exact_median(d, y, None, "_my").drop("n")))
     t = F.greatest(F.col(size_col).cast("double"), F.lit(0.0))
     size = F.sqrt(F.when(t == 0, F.lit(1.0)).otherwise(t)) * 3.0
     quad = F.concat(F.when(F.col(x) >= F.col("_mx"), F.lit("high_")).otherwise(F.lit("low_")), F.lit(x.lower()), F.lit("/"),
