@@ -1,4 +1,4 @@
-"""Exact percentiles (linear interpolation, numpy / SQL percentile_cont semantics) in two passes.
+"""Exact percentiles (linear interpolation, numpy / SQL percentile_cont semantics), scale-safe.
 
 Spark's exact ``percentile`` merges every distinct value of a group in one task.
 For whole-table or hot-group quantiles this is replaced by:
@@ -21,23 +21,38 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_ACCURACY = 100_000
+DEFAULT_ACCURACY = 10_000
+# inputs up to this many rows use Spark's one-pass exact percentile: no group can then hold
+# more than this many values in one task (a checked size, like a checked broadcast)
+SINGLE_PASS_MAX_ROWS = 1_000_000
 
 
 def exact_percentiles(df: DataFrame, value: str | Column, probs: Sequence[float], group: Sequence[str] | str | None = None,
-                      accuracy: int = DEFAULT_ACCURACY, prefix: str = "p") -> DataFrame:
+                      accuracy: int = DEFAULT_ACCURACY, prefix: str = "p", bounded_groups: bool = False,
+                      single_pass_max_rows: int | None = SINGLE_PASS_MAX_ROWS) -> DataFrame:
     """Per group (or globally): columns ``{prefix}{i}`` with the exact percentile probs[i], plus ``n``.
-    NULL values are ignored; an empty group gives no row (global: one row of NULLs)."""
+    NULL values are ignored; an empty group gives no row (global: one row of NULLs).
+    ``bounded_groups``: the caller guarantees few groups (columns, categories, months), so the
+    per-group bracket table is broadcast; otherwise the planner's size check decides.
+    ``single_pass_max_rows``: when the input has at most this many rows (one count), Spark's
+    one-pass exact ``percentile`` is used; ``None`` always takes the two-pass path."""
     groups = [group] if isinstance(group, str) else list(group or [])
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
     d = df.select(*groups, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    if single_pass_max_rows is not None and df.count() <= single_pass_max_rows:
+        aggs = [F.count(F.lit(1)).alias("n")] + [F.percentile("_v", float(p)).alias(f"{prefix}{i}")
+                                                for i, p in enumerate(probs)]
+        return d.groupBy(*groups).agg(*aggs) if groups else d.agg(*aggs)
     eps = 3.0 / accuracy
     first = [F.count(F.lit(1)).alias("n")]
     for i, p in enumerate(probs):
         lo_p, hi_p = max(0.0, p - eps), min(1.0, p + eps)
         first.append(F.percentile_approx("_v", F.array(F.lit(lo_p), F.lit(hi_p)), accuracy).alias(f"_b{i}"))
     stats = d.groupBy(*groups).agg(*first) if groups else d.agg(*first)
-    j = d.join(stats, groups) if groups else d.crossJoin(F.broadcast(stats))
+    if groups:
+        j = d.join(F.broadcast(stats) if bounded_groups else stats, groups)
+    else:
+        j = d.crossJoin(F.broadcast(stats))
     # groups smaller than 2*accuracy keep all their values (the sketch slack is under 3 ranks there)
     small = F.col("n") < 2 * accuracy
     second = []
@@ -65,7 +80,7 @@ def exact_percentiles(df: DataFrame, value: str | Column, probs: Sequence[float]
 
 
 def exact_median(df: DataFrame, value: str | Column, group: Sequence[str] | str | None = None,
-                 alias: str = "median", accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+                 alias: str = "median", accuracy: int = DEFAULT_ACCURACY, bounded_groups: bool = False) -> DataFrame:
     """Exact median per group (or globally) via ``exact_percentiles``."""
-    r = exact_percentiles(df, value, [0.5], group, accuracy)
+    r = exact_percentiles(df, value, [0.5], group, accuracy, bounded_groups=bounded_groups)
     return r.withColumnRenamed("p0", alias)

@@ -11,9 +11,10 @@ from stagecast.functions.quantiles import exact_median, exact_percentiles
 
 def iqr_filter(df: DataFrame, group: str, value: str, k: float = 1.5) -> DataFrame:
     """A05 — keep rows with value inside [q1 - k*IQR, q3 + k*IQR] of their group (exact
-    linear-interpolated quartiles); NULL values are dropped first."""
+    linear-interpolated quartiles); NULL values are dropped first. Groups are categories
+    (a bounded domain), so the per-group fences are broadcast."""
     d = df.where(F.col(value).isNotNull())
-    q = exact_percentiles(d, value, [0.25, 0.75], group).select(
+    q = exact_percentiles(d, value, [0.25, 0.75], group, bounded_groups=True).select(
         group, (F.col("p0") - k * (F.col("p1") - F.col("p0"))).alias("_lo"),
         (F.col("p1") + k * (F.col("p1") - F.col("p0"))).alias("_hi"))
     return (d.join(q, group).where(F.col(value).between(F.col("_lo"), F.col("_hi")))
@@ -31,8 +32,8 @@ def trimmed_median(c) -> Column:
 
 
 def trimmed_median_by(df: DataFrame, value: str, group, alias: str = "trimmed_median") -> DataFrame:
-    """A06 per group via the exact two-pass median (columns: group, n, ``alias``)."""
-    return exact_median(df, value, group, alias)
+    """A06 per category via the exact two-pass median (columns: group, n, ``alias``)."""
+    return exact_median(df, value, group, alias, bounded_groups=True)
 
 
 def seasonality_table(runs: DataFrame, category: str = "category", month: str = "month",
@@ -49,12 +50,17 @@ def seasonality_table(runs: DataFrame, category: str = "category", month: str =
     """
     spark = runs.sparkSession
     f = iqr_filter(runs.select(category, month, value), category, value)
-    # medians of hot groups: exact two-pass quantiles (no whole group in one task)
-    cat = (exact_median(f, value, category, "cat_median").drop("n")
-           .join(exact_median(f.where(F.col(month).isin(*winter)), value, category, "winter_median").drop("n"),
-                 category, "left"))
+    # all medians in one exact two-pass computation keyed by (category, level):
+    # level 0 = whole category, -1 = winter pool, 1..12 = month
+    lv = F.col("_lvl")
+    levels = (f.select(category, F.lit(0).alias("_lvl"), value)
+              .unionByName(f.where(F.col(month).isin(*winter)).select(category, F.lit(-1).alias("_lvl"), value))
+              .unionByName(f.select(category, F.col(month).cast("int").alias("_lvl"), value)))
+    med = exact_median(levels, value, [category, "_lvl"], "_med", bounded_groups=True)
+    cat = med.groupBy(category).agg(F.max(F.when(lv == 0, F.col("_med"))).alias("cat_median"),
+                                    F.max(F.when(lv == -1, F.col("_med"))).alias("winter_median"))
     cat = cat.where(F.col("cat_median") > 0)
-    mon = exact_median(f, value, [category, month], "_m").withColumnRenamed("n", "_n")
+    mon = med.where(lv > 0).select(category, lv.alias(month), F.col("n").alias("_n"), F.col("_med").alias("_m"))
     months = F.broadcast(spark.range(1, 13).select(F.col("id").cast("int").alias(month)))
     grid = cat.crossJoin(months).join(mon, [category, month], "left")
     n = F.coalesce(F.col("_n"), F.lit(0)).cast("bigint")

@@ -60,11 +60,11 @@ class ScoringPlan:
     def _mat(self, df: DataFrame) -> DataFrame:
         """Materialise a stage that several later stages read.
 
-        Used for the history cube, the runs, the signal base, the indexed table
-        and the scored table: the stages that are expensive to recompute, end a
-        long lineage, or feed many downstream reports.
-        Small derived tables (priors, seasonality, benchmark, city shares) stay
-        lazy: within one query Spark reuses their identical exchanges.
+        Used for the history cube, the runs, the seasonality table, the signal
+        base, the indexed table and the scored table: the stages that are
+        expensive to recompute, end a long lineage, or feed many later stages.
+        Small derived tables (priors, benchmark, city shares) stay lazy: within
+        one query Spark reuses their identical exchanges.
 
         'persist' keeps it in executor memory/disk (lost partitions are recomputed
         from lineage); 'checkpoint' writes it to the shared ``spark.checkpoint.dir``
@@ -104,8 +104,8 @@ class ScoringPlan:
     @cached_property
     def seasonality(self) -> DataFrame:
         """A07 category x month factors."""
-        return RB.seasonality_table(self.past_runs, "category", "month", "ticket_median",
-                                    self.cfg.k_shrink, self.cfg.season_clip, self.cfg.winter_pool)
+        return self._mat(RB.seasonality_table(self.past_runs, "category", "month", "ticket_median",
+                                              self.cfg.k_shrink, self.cfg.season_clip, self.cfg.winter_pool))
 
     # ---------------------------------------------------------------- signals
     @cached_property

@@ -13,17 +13,23 @@ def test_exact_percentiles_match_numpy_with_ties_and_small_groups(spark):
     rows += [("nulls", None), ("nulls", 4.0)]
     df = spark.createDataFrame(rows, "g string, v double")
     probs = [0.03, 0.25, 0.5, 0.75, 0.97]
-    got = {r.g: r for r in exact_percentiles(df, "v", probs, "g", accuracy=100).collect()}
+    got = {r.g: r for r in exact_percentiles(df, "v", probs, "g", accuracy=100, single_pass_max_rows=None).collect()}
+    small = {r.g: r for r in exact_percentiles(df, "v", probs, "g").collect()}   # one-pass path
     for g in ("big", "tiny", "one", "ties", "nulls"):
         vals = np.array([v for gg, v in rows if gg == g and v is not None])
         for i, p in enumerate(probs):
             assert got[g][f"p{i}"] == pytest.approx(float(np.percentile(vals, p * 100)), rel=1e-12, abs=1e-12), (g, p)
+            assert small[g][f"p{i}"] == pytest.approx(float(np.percentile(vals, p * 100)), rel=1e-12, abs=1e-12)
         assert got[g].n == len(vals)
 
 
 def test_exact_median_global_and_empty(spark):
     df = spark.createDataFrame([(float(i),) for i in range(1001)], "v double")
     assert exact_median(df, "v", accuracy=50).first().median == 500.0
+    from stagecast.functions.quantiles import exact_percentiles as ep
+    assert ep(df, "v", [0.5], accuracy=50, single_pass_max_rows=None).first().p0 == 500.0
     empty = df.where("v < 0")
     r = exact_median(empty, "v").first()
     assert r.median is None and r.n == 0
+    r2 = ep(empty, "v", [0.5], single_pass_max_rows=None).first()
+    assert r2.p0 is None and r2.n == 0
