@@ -60,9 +60,9 @@ class ScoringPlan:
     def _mat(self, df: DataFrame) -> DataFrame:
         """Materialise a stage that several later stages read.
 
-        Used for the history cube, the runs, the seasonality table, the signal
-        base, the indexed table and the scored table: the stages that are
-        expensive to recompute, end a long lineage, or feed many later stages.
+        Used for the history cube, the runs, the past runs, the seasonality table,
+        the signal base, the indexed table and the scored table: the stages that
+        are expensive to recompute, end a long lineage, or feed many later stages.
         Small derived tables (priors, benchmark, city shares) stay lazy: within
         one query Spark reuses their identical exchanges.
 
@@ -98,8 +98,8 @@ class ScoringPlan:
     def past_runs(self) -> DataFrame:
         """J15 runs with category (baseline/title table) and the title's ticket median."""
         cat = self.titles.select("title", "category")
-        return (self.runs.join(cat, "title", "left")
-                .join(self.prior.select("title", "ticket_median"), "title", "left"))
+        return self._mat(self.runs.join(cat, "title", "left")
+                         .join(self.prior.select("title", "ticket_median"), "title", "left"))
 
     @cached_property
     def seasonality(self) -> DataFrame:
@@ -291,6 +291,8 @@ def plan_from_tables(spark: SparkSession, sf_dir: str, proposed_month: int | Non
     elif materialize == "checkpoint":
         cube = cube.checkpoint(eager=True)
     base = B.baselines(spark, sf_dir)
+    if materialize == "checkpoint":
+        base = base.checkpoint(eager=True)      # per-title signals: read by the base rows and the medians
     cube_cat = cube.join(titles.select("title", "category"), "title")
     cfg = replace(C.ScoringConfig(), proposed_month=proposed_month, region_key="Province",
                   default_city_split=dict(B.DEFAULT_SPLIT))

@@ -28,10 +28,19 @@ HOLDOUT_EVERY = 5
 GENDER_BY_SIZE_MOD4 = ("female", "male", "co", "na")
 DEFAULT_SPLIT = {"AMERICA": 0.60, "EUROPE": 0.40}
 EVENT_LEFT_TYPE, EVENT_RIGHT_TYPE = "purchase", "view"
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+SPREAD_TABLES = ("lineitem", "orders", "events")   # the large fact tables
+
+
+def read(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    """Parquet table. A source that arrives in fewer splits than the session's parallelism
+    (e.g. one row group) is spread round-robin so the first joins/aggregations use all
+    cores; with real data sizes the scan already has many splits and nothing is added."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if spread:
+        par = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < par and name in SPREAD_TABLES:
+            df = df.repartition(par)
+    return df
 
 
 def gender_of_size(size: Column) -> Column:
