@@ -516,7 +516,11 @@ def _asof(spark, sf):
 
 @query("J06_asof_last")
 def q_j06(spark, sf):
-    return rounded(_asof(spark, sf).select("event_id", "user_id", "ts", "value", "view_value", "view_id", "matched_ts"))
+    a = _asof(spark, sf)
+    # timestamps as epoch microseconds so both engines report the same type
+    return rounded(a.select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "value",
+                            "view_value", "view_id",
+                            F.unix_micros(F.col("matched_ts").cast("timestamp")).alias("matched_ts_us")))
 
 
 def _exact_latest(spark, sf):

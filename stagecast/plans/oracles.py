@@ -671,7 +671,8 @@ cand AS (
 asofm AS (SELECT * EXCLUDE (rn) FROM cand WHERE rn = 1)"""
 
 register("J06_asof_last", with_(B_ASOF) + """
-SELECT event_id, user_id, ts, round(value, 6) AS value, round(view_value, 6) AS view_value, view_id, matched_ts FROM asofm""")
+SELECT event_id, user_id, epoch_us(ts) AS ts_us, round(value, 6) AS value, round(view_value, 6) AS view_value, view_id,
+       epoch_us(matched_ts) AS matched_ts_us FROM asofm""")
 
 B_EXACT = B_WEATHER + """,
 lastw AS (SELECT city, arg_max(min_temperature, date) AS lmt, arg_max(snow, date) AS ls FROM weather GROUP BY city),
@@ -1114,3 +1115,25 @@ FROM events WHERE event_type = 'purchase' GROUP BY 1""")
 register("S16_first_date_column", """
 SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) ELSE CAST(o_orderdate AS DATE) + 1 END AS date_key
 FROM orders""")
+
+
+register("F16_segment_weights_json", scoring_ctes("segments") + """
+SELECT title, '{' || string_agg('"' || segment || '":' || CAST(round(share, 4) AS VARCHAR), ',' ORDER BY pos) || '}'
+       AS segment_weights
+FROM segmix GROUP BY title""")
+
+register("E06_attribution_text", attr_ctes() + """,
+drv AS (
+  SELECT title, name, shap, row_number() OVER (PARTITION BY title ORDER BY rank) AS k
+  FROM contrib WHERE abs_impact >= 1.0
+),
+txt AS (
+  SELECT title, string_agg(upper(substr(name, 1, 1)) || lower(substr(name, 2)) || ' '
+                           || CASE WHEN shap > 0 THEN '+' ELSE '' END || printf('%.0f', round_even(shap, 0)), ' ' ORDER BY k) AS t
+  FROM drv WHERE k <= 5 GROUP BY title
+)
+SELECT a.title,
+       CASE WHEN t.t IS NULL THEN printf('%.0f', round_even(a.prediction, 0)) || ' tickets (insufficient signal to decompose)'
+            ELSE printf('%.0f', round_even(a.prediction, 0)) || ' tickets (base ' || printf('%.0f', round_even(a.base_value, 0))
+                 || ' ' || t.t || ')' END AS narrative
+FROM attr a LEFT JOIN txt t USING (title)""")
