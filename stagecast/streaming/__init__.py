@@ -1,0 +1,9 @@
+"""Streaming: intentionally no operators.
+
+The planning tool this library re-expresses has no streaming source, state or
+sink; all of its inputs are batch files. The cleaning and enrichment functions
+in ``stagecast.sources`` and ``stagecast.operators.joins`` are plain DataFrame
+transformations, so they apply unchanged to a streaming DataFrame wherever
+Structured Streaming supports the operation (projections, filters, stream-static
+joins); aggregating operators are meant for batch tables.
+"""
