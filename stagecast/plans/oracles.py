@@ -1137,3 +1137,68 @@ SELECT a.title,
             ELSE printf('%.0f', round_even(a.prediction, 0)) || ' tickets (base ' || printf('%.0f', round_even(a.base_value, 0))
                  || ' ' || t.t || ')' END AS narrative
 FROM attr a LEFT JOIN txt t USING (title)""")
+
+_PHRASE_SQL = """CASE WHEN lower(name) LIKE '%familiarity%' OR lower(name) LIKE '%wiki%' THEN 'strong public recognition signals'
+            WHEN lower(name) LIKE '%motivation%' OR lower(name) LIKE '%youtube%' THEN 'elevated engagement indicators'
+            WHEN lower(name) LIKE '%season%' OR lower(name) LIKE '%month%' THEN 'favorable seasonal positioning'
+            WHEN lower(name) LIKE '%remount%' OR lower(name) LIKE '%years_since%' THEN 'remount timing dynamics'
+            WHEN lower(name) LIKE '%category%' THEN 'category-specific historical patterns'
+            WHEN lower(name) LIKE '%prior%' OR lower(name) LIKE '%median%' THEN 'strong historical precedent'
+            ELSE lower(replace(name, '_', ' ')) END"""
+
+
+def _side_sql(cond: str, tag: str) -> str:
+    return f"""
+{tag}_ph AS (SELECT title, {_PHRASE_SQL} AS phrase, min(rank) AS r FROM contrib WHERE rank <= 5 AND {cond} GROUP BY 1, 2),
+{tag}_l AS (
+  SELECT title, list(phrase ORDER BY r) AS l FROM (
+    SELECT *, row_number() OVER (PARTITION BY title ORDER BY r) AS k FROM {tag}_ph) WHERE k <= 3 GROUP BY title
+),
+{tag}_s AS (SELECT title, sum(shap) AS s FROM contrib WHERE rank <= 5 AND {cond} GROUP BY title),
+{tag}_t AS (
+  SELECT l.title, CASE len(l) WHEN 1 THEN l[1] WHEN 2 THEN l[1] || ' and ' || l[2]
+                  ELSE array_to_string(l[1:len(l) - 1], ', ') || ', and ' || l[len(l)] END AS descr, s.s
+  FROM {tag}_l l JOIN {tag}_s s USING (title)
+)"""
+
+
+register("E10_driver_sentence", attr_ctes() + "," + _side_sql("shap > 0", "up") + "," + _side_sql("shap < 0", "dn") + """
+SELECT a.title,
+       coalesce(nullif(concat_ws(' ',
+         CASE WHEN u.title IS NOT NULL THEN 'Key upward drivers include ' || u.descr
+              || ', which collectively elevate the forecast by approximately ' || printf('%.1f', round_even(u.s, 1))
+              || ' index points.' END,
+         CASE WHEN d.title IS NOT NULL THEN 'Offsetting factors include ' || d.descr
+              || ', which moderate expectations by roughly ' || printf('%.1f', round_even(abs(d.s), 1))
+              || ' index points.' END), ''),
+         'Feature contributions are relatively balanced, with no single factor dominating the prediction.') AS drivers
+FROM attr a LEFT JOIN up_t u USING (title) LEFT JOIN dn_t d USING (title)""")
+
+_A10_SOURCES = [
+    ("lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+                  "l_tax"], "l_shipdate", ["l_returnflag", "l_linestatus", "l_shipdate"]),
+    ("orders", ["o_orderkey", "o_custkey", "o_totalprice"], "o_orderdate", ["o_orderstatus", "o_orderdate", "o_orderpriority"]),
+    ("events", ["event_id", "user_id", "value"], "ts", ["ts", "event_type", "props"]),
+    ("customer", ["c_custkey", "c_nationkey", "c_acctbal"], None, ["c_name", "c_mktsegment"]),
+]
+
+
+def _a10_sql() -> str:
+    parts = []
+    for t, num, dcol, other in _A10_SOURCES:
+        allc = num + other
+        ncols = len(allc)
+        nulls = " + ".join(f"CASE WHEN count(*) > count({c}) THEN 1 ELSE 0 END" for c in allc)
+        outl = " + ".join(
+            f"(SELECT CASE WHEN count({c}) > 10 AND count(*) FILTER (WHERE {c} < q1 - 3 * (q3 - q1) OR {c} > q3 + 3 * (q3 - q1)) > 0 "
+            f"THEN 1 ELSE 0 END FROM {t}, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM {t}))"
+            for c in num)
+        dmin = f"CAST(strftime(min(CAST({dcol} AS DATE)), '%Y%m%d') AS BIGINT)" if dcol else "CAST(NULL AS BIGINT)"
+        dmax = f"CAST(strftime(max(CAST({dcol} AS DATE)), '%Y%m%d') AS BIGINT)" if dcol else "CAST(NULL AS BIGINT)"
+        parts.append(f"""SELECT '{t}' AS source, count(*) AS row_count, CAST({ncols} AS BIGINT) AS column_count,
+       CAST({nulls} AS BIGINT) AS columns_with_nulls, CAST(({outl}) AS BIGINT) AS columns_with_outliers,
+       {dmin} AS date_min, {dmax} AS date_max, '' AS details FROM {t}""")
+    return "\nUNION ALL\n".join(parts)
+
+
+register("A10_registry_report", _a10_sql())
