@@ -109,7 +109,7 @@ def batch_rescale(df: DataFrame, batch: str, value: str, control_key: str, contr
     """Bridge calibration: value / value of the batch's control row * 100
     (NULL when the batch has no control row or it is 0)."""
     ctrl = (df.where(F.col(control_key) == F.lit(control_value))
-            .groupBy(batch).agg(F.first(value).alias("_ctrl")))
+            .groupBy(batch).agg(F.max(value).alias("_ctrl")))   # deterministic if a batch has several controls
     return (df.join(ctrl, batch, "left")
             .withColumn(out, F.try_divide(F.col(value) * 100.0, F.nullif(F.col("_ctrl"), F.lit(0.0))))
             .drop("_ctrl"))

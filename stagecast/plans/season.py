@@ -109,7 +109,7 @@ def metrics_by_month(plan: DataFrame, metrics: Sequence[str], months: Sequence[s
     long = d.select(key, "_m", F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(f"`{m}`").cast("string").alias("value")) for m in metrics])).alias("e"))
     return (long.select(key, "_m", "e.metric", "e.value")
-            .groupBy(key, "metric").pivot("_m", [m.upper() for m in months]).agg(F.first("value")))
+            .groupBy(key, "metric").pivot("_m", [m.upper() for m in months]).agg(F.max("value")))
 
 
 FINANCIAL_METRICS = ["title", "EstimatedTickets_Final"]
