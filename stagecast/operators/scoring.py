@@ -70,12 +70,6 @@ def raw_scores_by_table(df: DataFrame, mult_long: DataFrame, segment: str, regio
              .drop("_gk", "_gm", "_ck", "_cm"))
 
 
-def benchmark_row(df: DataFrame, title_col: str, benchmark_title) -> DataFrame:
-    """The benchmark title's row (J12 source). Raises if not exactly one row."""
-    b = df.where(F.col(title_col) == F.lit(benchmark_title))
-    return b
-
-
 def benchmark_index(df: DataFrame, bench: DataFrame) -> DataFrame:
     """F02/J12 — Familiarity/Motivation = raw / benchmark raw * 100 (benchmark raw 0 or NULL -> 1.0);
     F03 SignalOnly = mean of the two. ``bench`` has exactly one row (broadcast)."""

@@ -138,6 +138,9 @@ class ScoringPlan:
             row = RB.attach_factor(row, self.seasonality, "category", "_bmid", "bench_hist_factor")
         else:
             row = row.withColumn("bench_hist_factor", F.lit(1.0))
+        n = row.count()   # one small action: the benchmark must be exactly one title (D21)
+        if n != 1:
+            raise ValueError(f"benchmark must match exactly one scored title with signals, found {n}")
         return row
 
     @cached_property
