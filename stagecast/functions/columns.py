@@ -193,7 +193,10 @@ def title_match(candidate, query, hints: Sequence[str] = C.TITLE_MATCH_HINTS) ->
     Overlap counts query tokens (duplicates included) present in the candidate.
     """
     vt, qt = tokens(candidate), tokens(query)
-    overlap = F.size(F.filter(qt, lambda t: F.array_contains(vt, t)))
+    # hash-based intersection first (O(|q| + |v|)), then count query tokens (duplicates kept) in it:
+    # avoids scanning the whole candidate text once per query token on long texts
+    common = F.array_intersect(qt, vt)
+    overlap = F.size(F.filter(qt, lambda t: F.array_contains(common, t)))
     need = F.greatest(F.lit(1), F.floor(F.size(qt) / 2))
     hint = F.arrays_overlap(vt, F.array(*[F.lit(h) for h in hints])) if hints else F.lit(False)
     nonempty = (F.size(vt) > 0) & (F.size(qt) > 0)
