@@ -190,14 +190,26 @@ def tokens(c) -> Column:
 def title_match(candidate, query, hints: Sequence[str] = C.TITLE_MATCH_HINTS) -> Column:
     """Token overlap >= max(1, floor(n_query/2)) and a hint token among the candidate's tokens.
 
-    Overlap counts query tokens (duplicates included) present in the candidate.
+    Overlap counts query tokens (duplicates included) present in the candidate. As a single
+    Column the candidate is tokenised inside the lambda (once per query token); for long
+    texts use ``add_title_match``, which tokenises once per row.
     """
     vt, qt = tokens(candidate), tokens(query)
-    # hash-based intersection first (O(|q| + |v|)), then count query tokens (duplicates kept) in it:
-    # avoids scanning the whole candidate text once per query token on long texts
-    common = F.array_intersect(qt, vt)
-    overlap = F.size(F.filter(qt, lambda t: F.array_contains(common, t)))
+    overlap = F.size(F.filter(qt, lambda t: F.array_contains(vt, t)))
     need = F.greatest(F.lit(1), F.floor(F.size(qt) / 2))
     hint = F.arrays_overlap(vt, F.array(*[F.lit(h) for h in hints])) if hints else F.lit(False)
     nonempty = (F.size(vt) > 0) & (F.size(qt) > 0)
     return nonempty & (overlap >= need) & F.coalesce(hint, F.lit(False))
+
+
+def add_title_match(df, candidate: str, query: str, out: str = "matched",
+                    hints: Sequence[str] = C.TITLE_MATCH_HINTS):
+    """P09 as a DataFrame step: tokens become columns first (one regex pass per text per
+    row), then the overlap test runs over the token columns."""
+    d = df.withColumn("_vt", tokens(candidate)).withColumn("_qt", tokens(query))
+    vt, qt = F.col("_vt"), F.col("_qt")
+    overlap = F.size(F.filter(qt, lambda t: F.array_contains(vt, t)))
+    need = F.greatest(F.lit(1), F.floor(F.size(qt) / 2))
+    hint = F.arrays_overlap(vt, F.array(*[F.lit(h) for h in hints])) if hints else F.lit(False)
+    m = (F.size(vt) > 0) & (F.size(qt) > 0) & (overlap >= need) & F.coalesce(hint, F.lit(False))
+    return d.withColumn(out, m).drop("_vt", "_qt")

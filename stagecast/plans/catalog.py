@@ -326,7 +326,7 @@ def q_p09(spark, sf):
     conv = B.read(spark, sf, "conversations")
     q = conv.where(F.col("turn") == 0).select("conv_id", F.col("text").alias("query"))
     c = conv.where(F.col("turn") > 0).join(q, "conv_id")
-    m = c.select("conv_id", "turn", P.title_match(F.col("text"), F.col("query")).alias("matched"))
+    m = P.add_title_match(c, "text", "query", "matched").select("conv_id", "turn", "matched")
     per = m.groupBy("conv_id").agg(F.count_if("matched").alias("_k"))
     return (m.join(per, "conv_id")
             .select("conv_id", "turn", "matched", (F.col("matched") | (F.col("_k") < 5)).alias("used")))
