@@ -103,3 +103,12 @@ def test_softmax_like_temperature_one_is_normalisation(spark):
     df = spark.createDataFrame([("g", 1.0), ("g", 3.0), ("h", 0.0)], "g string, v double")
     m = {(r.g, r.v): r.mix for r in SC.softmax_like(df, "g", "v", 1.0).collect()}
     assert m[("g", 1.0)] == pytest.approx(0.25) and m[("h", 0.0)] == pytest.approx(1.0)
+
+
+def test_add_title_match_agrees_with_column_form(spark):
+    rows = [("Swan Lake ballet act 2", "swan lake"), ("Swan Lake (film)", "swan lake"), ("the the ballet", "the the the"),
+            ("", "x"), ("scene solo adagio " * 50, "adagio coda variation pas")]
+    df = spark.createDataFrame(rows, "v string, q string")
+    a = [r.m for r in df.select(P.title_match("v", "q").alias("m")).collect()]
+    b = [r.m for r in P.add_title_match(df, "v", "q", "m").select("m").collect()]
+    assert a == b == [True, False, True, False, True]
