@@ -7,6 +7,7 @@ builds a session for tests/bench and resolves the shared checkpoint folder.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,23 +36,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's ``spark.checkpoint.dir``; set a scratch one only when unset.
+    """Return the cluster's ``spark.checkpoint.dir``; set a scratch one only for ``local[...]``.
 
-    On a cluster the setting names a shared folder (HDFS/S3/...); it is read,
-    never overridden. Only when nothing is configured (local tests) a fresh
-    /tmp folder is used.
+    On a cluster the setting names a folder that all machines share (HDFS, an object store); it is
+    read, never overridden, and must be set: a machine-local folder would be unreadable to the
+    executors of other machines, so anything but a ``local[...]`` master without the setting raises.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir() if hasattr(
-            spark.sparkContext, "getCheckpointDir") else None
+    sc = spark.sparkContext
+    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not current:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="stagecast-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)
-    try:
-        spark.sparkContext.setCheckpointDir(current)
-    except Exception:  # Spark Connect has no SparkContext
-        pass
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(current)
     return current
 
 
