@@ -47,12 +47,8 @@ def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best of each row: higher score first, then smaller id."""
-    return np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-
-
-LOW = np.iinfo(np.int64).min
+#: Below every score, with a negative that exists; above every id.
+LOW, NO_ID = np.iinfo(np.int64).min + 1, np.iinfo(np.int64).max
 
 
 def search_range(queries: pd.DataFrame, rows: pd.DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> pd.DataFrame:
@@ -73,7 +69,7 @@ def search_range(queries: pd.DataFrame, rows: pd.DataFrame, k: int, block_rows:
     bound = (np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T).astype(np.int64)
     floor = queries["floor"].fillna(LOW).to_numpy().astype(np.int64) if "floor" in queries else np.full(len(q), LOW)
     best = np.full((len(q), k), LOW)
-    best_ids = np.full((len(q), k), np.iinfo(np.int64).max)
+    best_ids = np.full((len(q), k), NO_ID)
     for b in np.argsort(-bound.max(axis=0), kind="stable"):
         kth = np.maximum(best[:, -1], floor)
         open_q = np.flatnonzero(bound[:, b] >= kth)
@@ -85,11 +81,11 @@ def search_range(queries: pd.DataFrame, rows: pd.DataFrame, k: int, block_rows:
         scores = (q[open_q] @ d[starts[b]:starts[b] + block_rows].T).astype(np.int64)
         own = q_ids[open_q][:, None] == ids[None, :]
         scores = np.concatenate([best[open_q], np.where(own, LOW, scores)], axis=1)
-        ids = np.concatenate([best_ids[open_q], np.where(own, np.iinfo(np.int64).max, ids[None, :])], axis=1)
+        ids = np.concatenate([best_ids[open_q], np.where(own, NO_ID, ids[None, :])], axis=1)
         place = np.lexsort((ids, -scores), axis=1)[:, :k]
         best[open_q] = np.take_along_axis(scores, place, axis=1)
         best_ids[open_q] = np.take_along_axis(ids, place, axis=1)
-    found = best_ids != np.iinfo(np.int64).max
+    found = best_ids != NO_ID
     return pd.DataFrame({"query_id": np.repeat(q_ids, k)[found.ravel()], "vec_id": best_ids[found],
                          "score": best[found]})
 
