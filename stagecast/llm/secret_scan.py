@@ -141,11 +141,14 @@ def joined(spans_col: Column) -> Column:
         ":", F.element_at(name, s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
+def n_of(spans_col: Column, kind: int) -> Column:
+    return F.size(F.filter(spans_col, lambda s: s["kind"] == kind)).cast("long")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of every whole text, a digest of the base ones, and counts by kind."""
     out = scan(table(spark, sf_dir, "documents"))
-    n = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
-         for k, name in enumerate(KINDS)]
+    n = [n_of(F.col("spans"), k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return out.select("doc_id", *n, F.sha2(joined(F.filter("spans", lambda s: s["kind"] < 3)), 256).alias("base_sha256"),
                       joined(F.col("spans")).alias("spans"), "n_live", "n_copied")
 

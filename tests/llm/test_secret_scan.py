@@ -60,6 +60,8 @@ def test_query_digest(spark):
     rows = op7_secret_scan(spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == len(docs)
     for r in rows:
+        said = base(docs[r["doc_id"]])
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [said.count(k) for k in ("assign", "access", "hex")]
         assert r["base_sha256"] == hashlib.sha256(base(docs[r["doc_id"]]).encode()).hexdigest()
 
 
