@@ -28,12 +28,68 @@ def lower_ascii(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Array of words of a text; null, empty and blank texts have none."""
-    parts = F.split(F.coalesce(text, F.lit("")), SPACE_RUN)
-    return F.filter(parts, lambda w: w != "")
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RUN))
 
 
-def n_words(text: Column) -> Column:
-    return F.size(words(text)).cast("long")
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once for each row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: Blocks of a blocked Bloom filter, and the words of 64 bits in each block.
+N_BLOCKS, BLOCK_WORDS = 1 << 16, 4
+
+
+def bloom_block(key: Column, n_blocks: int = N_BLOCKS) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(n_blocks))
+
+
+def bloom_mask(key: Column, word: int) -> Column:
+    """The two bits that a key sets in one word of its block."""
+    bits, one = F.xxhash64(F.lit(word + 1), key), F.lit(1).cast("long")
+    return F.call_function("shiftleft", one, F.pmod(bits, F.lit(64)).cast("int")).bitwiseOR(
+        F.call_function("shiftleft", one, F.pmod(F.shiftright(bits, 6), F.lit(64)).cast("int")))
+
+
+def bloom_table(keys: DataFrame, n_blocks: int = N_BLOCKS) -> DataFrame:
+    """Blocked Bloom filter of a table with one column ``key``, as ``(block, w0..w3)``.
+
+    It has at most ``n_blocks`` rows however many keys there are, so it can be broadcast.
+    """
+    return keys.groupBy(bloom_block(F.col("key"), n_blocks).alias("block")).agg(
+        *[F.bit_or(bloom_mask(F.col("key"), w)).alias(f"w{w}") for w in range(BLOCK_WORDS)])
+
+
+def maybe_in(df: DataFrame, key: Column, keys: DataFrame, n_blocks: int = N_BLOCKS) -> DataFrame:
+    """``df`` plus ``maybe`` boolean: false only where ``key`` is surely not among ``keys(key)``.
+
+    ``df`` must not have columns named ``maybe``, ``block`` or ``w0..w3``. Null keys are not among them.
+    """
+    probed = df.withColumn("block", bloom_block(key, n_blocks)).join(
+        F.broadcast(bloom_table(keys, n_blocks)), "block", "left")
+    hit = key.isNotNull()
+    for w in range(BLOCK_WORDS):
+        hit = hit & (F.col(f"w{w}").bitwiseAND(bloom_mask(key, w)) == bloom_mask(key, w))
+    return probed.withColumn("maybe", F.coalesce(hit, F.lit(False))).select(*df.columns, "maybe")
+
+
+def row_keys(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """Two 64-bit hashes that name a row by its id and text (nulls included)."""
+    return (F.xxhash64(F.col(id_col), F.col(text_col)), F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col)))
+
+
+def without_rows(docs: DataFrame, bad: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` (all columns, repeats kept) without the rows whose keys are in ``bad(k1, k2)``.
+
+    A Bloom filter of the bad keys lets the other rows pass where they are; only possible hits are
+    shuffled to an exact anti-join. Columns of ``docs`` travel in one struct, so no name can clash.
+    """
+    k1, k2 = row_keys(id_col, text_col)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), k1.alias("k1"), k2.alias("k2"))
+    probed = maybe_in(packed, F.col("k1"), bad.select(F.col("k1").alias("key")))
+    kept = probed.where("maybe").join(bad.select("k1", "k2").distinct(), ["k1", "k2"], "left_anti").select("row")
+    return probed.where("not maybe").select("row").unionByName(kept).select("row.*")
 
 
 def shared_folder(spark: SparkSession, tag: str) -> str:

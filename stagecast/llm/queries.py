@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stagecast.llm import mixing, secret_scan, token_counts, topk_search, url_filter, warc_archive
+from stagecast.llm import decontaminate, mixing, secret_scan, token_counts, topk_search, url_filter, warc_archive
 from stagecast.llm.common import table
 
 
@@ -16,12 +16,14 @@ QUERIES = {
     "op5_topk_search": topk_search.op5_topk_search,
     "op6_mixing": mixing.op6_mixing,
     "op7_secret_scan": secret_scan.op7_secret_scan,
+    "op8_decontamination": decontaminate.op8_decontamination,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_warc_archive": warc_archive.op10_warc_archive,
 }
 ORACLES = {
     "op5_topk_search": topk_search.OP5_SQL,
     "op7_secret_scan": secret_scan.OP7_SQL,
+    "op8_decontamination": decontaminate.OP8_SQL,
     "op9_url_filter": url_filter.OP9_SQL,
     "op10_warc_archive": warc_archive.OP10_SQL,
 }

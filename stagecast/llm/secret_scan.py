@@ -20,7 +20,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagecast.llm.common import stash, table
+from stagecast.llm.common import let, stash, table
 
 #: The kinds in their order of listing.
 KINDS = ("assign", "access", "hex", "owned")
@@ -40,11 +40,6 @@ def _any_case(pattern: str) -> str:
 ASSIGN_PATTERN = _any_case(ASSIGN[0]) + ASSIGN[1]
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _starts(lengths: Column) -> Column:
     """Sums of all lengths before each one, by blocks of 64 so that long arrays stay cheap."""
     def total(part: Column) -> Column:
@@ -53,9 +48,9 @@ def _starts(lengths: Column) -> Column:
     def with_blocks(n: Column) -> Column:
         blocks = F.transform(F.sequence(F.lit(0), (F.size(n) - 1).bitwiseAND(-64), F.lit(64)),
                              lambda b: total(F.slice(n, b + 1, 64)))
-        return _let(blocks, lambda sums: F.transform(n, lambda _, i: total(
+        return let(blocks, lambda sums: F.transform(n, lambda _, i: total(
             F.slice(sums, 1, F.shiftright(i, 6))) + total(F.slice(n, i.bitwiseAND(-64) + 1, i.bitwiseAND(63)))))
-    return _let(lengths, with_blocks)
+    return let(lengths, with_blocks)
 
 
 def spans(text: Column, pattern: str, kind: int, value, keep) -> Column:
@@ -73,7 +68,7 @@ def spans(text: Column, pattern: str, kind: int, value, keep) -> Column:
             (stop - F.length(m)).alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), value(m).alias("value")))
 
     all_found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    placed = _let(all_found, lambda found: F.when(F.size(found) > 0, located(found)).otherwise(none))
+    placed = let(all_found, lambda found: F.when(F.size(found) > 0, located(found)).otherwise(none))
     return F.coalesce(F.filter(placed, lambda s: keep(s["value"], s["stop"] - s["start"])), F.array().cast(
         "array<struct<start:int,kind:int,stop:int,value:string>>"))
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagecast.llm.common import lower_ascii, table
+from stagecast.llm.common import N_BLOCKS, lower_ascii, maybe_in, table
 
 #: Fixed values of the query: (verdict, host, path); a rule holds for its host and all subdomains.
 RULES = (
@@ -23,8 +23,6 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-N_BLOCKS = 1 << 16
-WORDS = 4
 
 
 def _rest(url: Column) -> Column:
@@ -65,41 +63,17 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
     return chosen
 
 
-def _block(url: Column, n_blocks: int) -> Column:
-    return F.pmod(F.xxhash64(url), F.lit(n_blocks))
-
-
-def _mask(url: Column, word: int) -> Column:
-    bits = F.xxhash64(F.lit(word + 1), url)
-    one = F.lit(1).cast("long")
-    return F.call_function("shiftleft", one, F.pmod(bits, F.lit(64)).cast("int")).bitwiseOR(
-        F.call_function("shiftleft", one, F.pmod(F.shiftright(bits, 6), F.lit(64)).cast("int")))
-
-
-def bloom_table(listed: DataFrame, n_blocks: int = N_BLOCKS) -> DataFrame:
-    """``(block, w0..w3)`` of a table with one column ``url``: at most ``n_blocks`` rows."""
-    return listed.groupBy(_block(F.col("url"), n_blocks).alias("block")).agg(
-        *[F.bit_or(_mask(F.col("url"), w)).alias(f"w{w}") for w in range(WORDS)])
-
-
 def listed_hits(urls: DataFrame, listed: DataFrame, n_blocks: int = N_BLOCKS) -> DataFrame:
     """``urls`` (with a column ``canonical``) plus ``listed`` boolean: is it in ``listed(url)``?
 
     Null URLs are not listed. Rows stay as often as they are; ``listed`` may hold nulls and repeats.
     """
     names = listed.where("url is not null").select("url").distinct()
-    bits = [F.coalesce(F.col(f"w{w}").bitwiseAND(_mask(F.col("canonical"), w)) == _mask(F.col("canonical"), w),
-                       F.lit(False)) for w in range(WORDS)]
-    probed = urls.withColumn("block", _block(F.col("canonical"), n_blocks)).join(
-        F.broadcast(bloom_table(names, n_blocks)), "block", "left")
-    maybe = bits[0]
-    for b in bits[1:]:
-        maybe = maybe & b
-    probed = probed.withColumn("maybe", maybe & F.col("canonical").isNotNull()).select(*urls.columns, "maybe")
+    probed = maybe_in(urls, F.col("canonical"), names.select(F.col("url").alias("key")), n_blocks)
     possible = probed.where("maybe").drop("maybe")
     exact = possible.join(names.withColumn("listed", F.lit(True)), possible["canonical"] == names["url"], "left").select(
         *urls.columns, F.coalesce("listed", F.lit(False)).alias("listed"))
-    return exact.unionByName(probed.where(~F.col("maybe")).drop("maybe").withColumn("listed", F.lit(False)))
+    return exact.unionByName(probed.where("not maybe").drop("maybe").withColumn("listed", F.lit(False)))
 
 
 def judge_urls(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str = "page_id",
