@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stagecast.llm import decontaminate, mixing, near_duplicates, secret_scan, token_counts, topk_search, url_filter, warc_archive
+from stagecast.llm import decontaminate, mixing, near_duplicates, secret_scan, token_counts, topk_search, toxicity, url_filter, warc_archive
 from stagecast.llm.common import table
 
 
@@ -13,6 +13,7 @@ def op4_token_counts(spark, sf_dir):
 
 QUERIES = {
     "op1_near_duplicates": near_duplicates.op1_near_duplicates,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_topk_search": topk_search.op5_topk_search,
     "op6_mixing": mixing.op6_mixing,
