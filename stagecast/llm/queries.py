@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stagecast.llm import decontaminate, mixing, near_duplicates, secret_scan, token_counts, topk_search, toxicity, url_filter, warc_archive
+from stagecast.llm import decontaminate, license_scan, mixing, near_duplicates, secret_scan, token_counts, topk_search, toxicity, url_filter, warc_archive
 from stagecast.llm.common import table
 
 
@@ -13,6 +13,7 @@ def op4_token_counts(spark, sf_dir):
 
 QUERIES = {
     "op1_near_duplicates": near_duplicates.op1_near_duplicates,
+    "op2_license_scan": license_scan.op2_license_scan,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_topk_search": topk_search.op5_topk_search,
@@ -23,6 +24,7 @@ QUERIES = {
     "op10_warc_archive": warc_archive.op10_warc_archive,
 }
 ORACLES = {
+    "op2_license_scan": license_scan.OP2_SQL,
     "op5_topk_search": topk_search.OP5_SQL,
     "op7_secret_scan": secret_scan.OP7_SQL,
     "op8_decontamination": decontaminate.OP8_SQL,
