@@ -79,15 +79,24 @@ def row_keys(id_col: str, text_col: str) -> tuple[Column, Column]:
     return (F.xxhash64(F.col(id_col), F.col(text_col)), F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col)))
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """One string of both row keys."""
+    return F.concat_ws("/", *[k.cast("string") for k in row_keys(id_col, text_col)])
+
+
+def packed(df: DataFrame, *more: Column) -> DataFrame:
+    """All columns of ``df`` in one struct ``row``, so that no name can clash with those of ``more``."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *more)
+
+
 def without_rows(docs: DataFrame, bad: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` (all columns, repeats kept) without the rows whose keys are in ``bad(k1, k2)``.
 
     A Bloom filter of the bad keys lets the other rows pass where they are; only possible hits are
-    shuffled to an exact anti-join. Columns of ``docs`` travel in one struct, so no name can clash.
+    shuffled to an exact anti-join.
     """
     k1, k2 = row_keys(id_col, text_col)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), k1.alias("k1"), k2.alias("k2"))
-    probed = maybe_in(packed, F.col("k1"), bad.select(F.col("k1").alias("key")))
+    probed = maybe_in(packed(docs, k1.alias("k1"), k2.alias("k2")), F.col("k1"), bad.select(F.col("k1").alias("key")))
     kept = probed.where("maybe").join(bad.select("k1", "k2").distinct(), ["k1", "k2"], "left_anti").select("row")
     return probed.where("not maybe").select("row").unionByName(kept).select("row.*")
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stagecast.llm.common import stash, table
+from stagecast.llm.common import packed, row_key, stash, table
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
@@ -154,6 +154,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                    **more) -> DataFrame:
+    """The documents of the mix: all columns of ``docs`` and ``mix_target``, ``mix_copies``, ``mix_taken``.
+
+    Documents without a copy are left out. Rows alike in id, text and source are one row of the result,
+    their copies together. A column of ``docs`` with one of the three names is replaced.
+    """
+    key = F.concat_ws("/", row_key(id_col, text_col), F.hash(F.col(source_col)).cast("string"))
+    slim = docs.select(key.alias("key"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    plan = stash(mix(slim, "key", **more).groupBy("key").agg(
+        F.count(F.lit(1)).alias("rows"), F.max("target").alias("mix_target"), F.sum("copies").alias("mix_copies"),
+        F.sum("taken").alias("mix_taken")), "mix")
+    rows = packed(docs, key.alias("key")).join(plan.where("mix_copies > 0"), "key")
+    once = rows.where("rows = 1").unionByName(rows.where("rows > 1").dropDuplicates(["key"]))
+    added = ["mix_target", "mix_copies", "mix_taken"]
+    return once.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in added], *added)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to 150 % of their words."""
     return mix(table(spark, sf_dir, "documents")).drop("source")

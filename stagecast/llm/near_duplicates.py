@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagecast.llm.common import maybe_in, min_components, stash, table
+from stagecast.llm.common import maybe_in, min_components, packed, stash, table
 from stagecast.llm.shingle_sets import fingerprint, mixed, shared, shingle_set
 
 REGISTERS, MANTISSA, ROWS = 128, 10, 4
@@ -303,8 +303,7 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = stash(judged.where("not kept and n_shingles > 0").select(F.col(id_col).cast("long").alias("id"))
                  .where("id is not null").distinct(), "removed")
     key = F.col(id_col).cast("long")
-    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), key.alias("id"))
-    probed = maybe_in(packed, F.col("id"), gone.select(F.col("id").alias("key")))
+    probed = maybe_in(packed(df, key.alias("id")), F.col("id"), gone.select(F.col("id").alias("key")))
     kept = probed.where("not maybe").select("row", "id").unionByName(
         probed.where("maybe").select("row", "id").join(gone, "id", "left_anti").select("row", "id"))
     again = stash(df.select(key.alias("id")).where("id is not null").groupBy("id").count().where("count > 1").select("id"), "repeated")

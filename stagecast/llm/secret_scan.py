@@ -20,7 +20,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagecast.llm.common import let, stash, table
+from stagecast.llm.common import let, maybe_in, packed, row_key, stash, table
 
 #: The kinds in their order of listing.
 KINDS = ("assign", "access", "hex", "owned")
@@ -30,6 +30,7 @@ HEX = "[0-9a-f]{24,}"
 MIN_ASSIGN, MIN_ACCESS = 6, 20
 OWNED = "[A-Za-z0-9+/_-]{16,}"
 MAX_OWNERS = 2
+MASK = "[secret]"
 
 
 def _any_case(pattern: str) -> str:
@@ -129,6 +130,42 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
         F.size(F.filter("spans", lambda s: ~s["live"])).cast("long").alias("n_copied"))
 
 
+def masked(text: Column, spans_col: Column, mask: str = MASK) -> Column:
+    """``text`` with the value of each live span replaced; values that overlap get one mask."""
+    values = F.array_sort(F.transform(F.filter(spans_col, lambda s: s["live"]), lambda s: F.struct(
+        (s["stop"] - F.length(s["value"])).alias("start"), s["stop"].alias("stop"))))
+
+    def step(done: Column, s: Column) -> Column:
+        clear = s["start"] >= done["at"]
+        before = F.substring(text, done["at"] + 1, F.greatest(s["start"] - done["at"], F.lit(0)))
+        return F.struct(F.when(clear, F.concat(done["out"], before, F.lit(mask))).otherwise(done["out"]).alias("out"),
+                        F.greatest(done["at"], s["stop"]).alias("at"))
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    return F.aggregate(values, start, step, lambda done: F.concat(
+        done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+
+
+def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", **more) -> DataFrame:
+    """``docs``, all rows and columns, with live values masked in the text and ``chars_col`` (if any) brought
+    up to date. Widely copied values stay. Only rows with live values are shuffled, to be joined with them.
+    """
+    keyed = docs.select(row_key(id_col, text_col).alias("key"), *[F.col(f"`{c}`") for c in docs.columns if c != "key"])
+    found = scan(keyed, id_col="key", text_col=text_col, **more).where("n_live > 0").select("key", "spans")
+    found = stash(found.dropDuplicates(["key"]), "live")
+    probed = maybe_in(packed(docs, row_key(id_col, text_col).alias("key")), F.col("key"), found.select("key"))
+    hit = probed.where("maybe").join(found, "key", "left")
+    text = F.col(f"row.`{text_col}`")
+    new = F.when(F.col("spans").isNotNull(), masked(text, F.col("spans"))).otherwise(text)
+    hit = hit.select("row", new.alias("masked"))
+    changed = {text_col: F.col("masked")}
+    if chars_col in docs.columns:
+        kind = docs.schema[chars_col].dataType
+        changed[chars_col] = F.when(F.col("masked").eqNullSafe(text), F.col(f"row.`{chars_col}`")).otherwise(
+            F.length("masked").cast(kind))
+    hit = hit.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return probed.where("not maybe").select("row.*").unionByName(hit)
+
+
 def joined(spans_col: Column) -> Column:
     """``kind:start:stop`` of each span, joined by commas in their order."""
     name = F.array(*[F.lit(k) for k in KINDS])

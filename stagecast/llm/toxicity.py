@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagecast.llm.common import table
+from stagecast.llm.common import packed, table
 
 BUCKETS, DIM = 1 << 17, 8
 NGRAMS = (3, 4, 5, 6)
@@ -233,9 +233,9 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                   label_col: str = "toxic") -> DataFrame:
     """The rows of ``docs``, all columns, whose text is not predicted toxic; texts without words stay."""
     model = fitted(docs, labels, id_col, text_col, label_col)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    rows = packed(docs, F.col(text_col).alias("text"))
     worded = F.coalesce(F.col("text"), F.lit("")).rlike("\\S")
-    return packed.withColumn("score", scored(packed, model)).where((F.col("score") < 0.5) | ~worded).select("row.*")
+    return rows.withColumn("score", scored(rows, model)).where((F.col("score") < 0.5) | ~worded).select("row.*")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
