@@ -116,25 +116,22 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
 def min_components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a long, b long)`` as ``(id, component)``, least id as label.
 
-    Rounds of: each node takes the least label among itself and its neighbours, then labels jump to
-    the label of their label (pointer doubling), until no label changes. Every round is aggregation
-    and joins over distributed tables; the driver sees one counter. Nodes without an edge (null ends
-    are dropped) do not appear. An empty edge table gives an empty result.
+    Rounds of contraction: each node points to the least of itself and its neighbours, pointers are
+    followed once more, and edges are moved to where their ends point; edges within one node vanish. At
+    least half of the nodes that still have edges go in each round, so tables shrink geometrically. Every
+    round is aggregation and joins over distributed tables; the driver sees whether edges are left. Nodes
+    without an edge (null ends are dropped) do not appear; an empty table gives an empty result.
     """
-    both = edges.where("a is not null and b is not null and a <> b")
-    both = stash(both.select("a", "b").union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
-                 "edges")
-    label = stash(both.groupBy(F.col("a").alias("id")).agg(F.least("a", F.min("b")).alias("component")),
-                  "labels")
-    while True:
-        near = (both.join(label.select(F.col("id").alias("b"), F.col("component").alias("c")), "b")
-                .groupBy("a").agg(F.min("c").alias("c")))
-        low = (label.join(near, label["id"] == near["a"])
-               .select("id", F.least("component", "c").alias("low"), F.col("component").alias("was")))
-        jump = low.select(F.col("id").alias("low"), F.col("low").alias("up"))
-        new = stash(low.join(jump, "low", "left").select(
-            "id", F.coalesce("up", "low").alias("component"), "was"), "labels")
-        changed = new.where("component <> was").limit(1).count()
-        label = new.select("id", "component")
-        if not changed:
-            return label
+    some = edges.where("a is not null and b is not null and a <> b").select("a", "b")
+    left = stash(some.union(some.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    label = left.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id"))
+    while left.limit(1).count():
+        near = left.groupBy("a").agg(F.least("a", F.min("b")).alias("up"))
+        far = near.select(F.col("a").alias("up"), F.col("up").alias("top"))
+        to = stash(near.join(far, "up", "left").select("a", F.coalesce("top", "up").alias("to")), "pointers")
+        label = label.join(to.select(F.col("a").alias("component"), "to"), "component", "left").select(
+            "id", F.coalesce("to", "component").alias("component"))
+        left = stash(left.join(to.select("a", F.col("to").alias("x")), "a")
+                     .join(to.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
+                     .where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+    return stash(label, "labels")
