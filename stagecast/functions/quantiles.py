@@ -1,86 +1,110 @@
 """Exact percentiles (linear interpolation, numpy / SQL percentile_cont semantics), scale-safe.
 
-Spark's exact ``percentile`` merges every distinct value of a group in one task.
-For whole-table or hot-group quantiles this is replaced by:
-
-1. one aggregation per group: n and an approximate bracket [lo, hi] around each
-   wanted rank from ``percentile_approx`` (rank error <= n/accuracy, so a bracket
-   of +-3/accuracy in probability always contains the exact rank);
-2. one aggregation per group: the count of values below lo and the sorted values
-   inside [lo, hi] — about 6n/accuracy values, not n. Groups with fewer than
-   2*accuracy values keep all of them (bounded by 2*accuracy).
-
-The exact value at rank h = (n-1)p is then read from the bracket and
-interpolated between ranks floor(h) and ceil(h).
+Spark's exact ``percentile`` merges every distinct value of a group in one task. Here, for inputs of
+any size, values are only ever counted, and the counts narrowed down to those around the wanted ranks:
+
+1. one aggregation per group: n, and from ``percentile_approx`` a bracket [lo, hi] around each wanted
+   rank (rank error <= n/accuracy, so +-3/accuracy in probability always holds the exact rank; a group of
+   fewer than 2*accuracy values is its own bracket, as the sketch's error is in whole ranks there);
+2. one aggregation of ``(value, count)`` pairs inside the brackets, everything below a bracket as one
+   count: ties cost one pair however often they occur;
+3. cut points spread over a bracket's distinct values divide it into ``PARTS`` parts; running sums of
+   their counts (a few rows per group) name the parts that hold the wanted ranks;
+4. the pairs of these parts alone, at most some 6n/(accuracy*PARTS) distinct values, are summed up in
+   order, and the values at the ranks read off.
+
+No list of values is ever gathered; every step is a distributed aggregation, joined back by the planner
+with its own size checks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_ACCURACY = 10_000
-# inputs up to this many rows use Spark's one-pass exact percentile: no group can then hold
-# more than this many values in one task (a checked size, like a checked broadcast)
-SINGLE_PASS_MAX_ROWS = 1_000_000
+PARTS = 64
+
+
+def _same(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[f"r{c}"]) for c in cols])
+
+
+def _back(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Join on columns that may be null; the right side's columns other than ``cols`` are added."""
+    r = right.select(*[F.col(c).alias(f"r{c}") for c in cols], *[c for c in right.columns if c not in cols])
+    return left.join(r, _same(left, r, cols)).drop(*[f"r{c}" for c in cols])
+
+
+def rank_pairs(df: DataFrame, stats: DataFrame, keys: Sequence[str], n_probs: int) -> DataFrame:
+    """Steps 2 and 3: ``(keys, _i, _lo_r, _hi_r, _v, _c, _part, _before)``, the pairs of the wanted parts.
+
+    ``_before`` is how many values of the group lie below the part.
+    """
+    d = _back(df, stats, keys)
+    i = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_b{i}").alias("b")) for i in range(n_probs)]))
+    d = d.select(*keys, "_v", i.alias("e"))
+    v = F.when(F.col("_v") < F.col("e.b")[0], F.lit(None).cast("double")).otherwise(F.col("_v"))
+    pairs = (d.where(F.col("_v") <= F.col("e.b")[1]).select(*keys, F.col("e.i").alias("_i"), v.alias("_v"))
+             .groupBy(*keys, "_i", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    at = [F.percentile_approx("_v", F.array(*[F.lit(k / PARTS) for k in range(1, PARTS)]), 1000).alias("_cuts")]
+    cuts = pairs.where(F.col("_v").isNotNull()).groupBy(*keys, "_i").agg(*at)
+    # pairs below the bracket are part -1
+    part = F.when(F.col("_v").isNull(), F.lit(-1)).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col("_v"))))
+    parted = _back(pairs, cuts, [*keys, "_i"]).withColumn("_part", part).drop("_cuts")
+    sums = parted.groupBy(*keys, "_i", "_part").agg(F.sum("_c").alias("_n"))
+    order = Window.partitionBy(*keys, "_i").orderBy("_part")
+    sums = sums.withColumn("_upto", F.sum("_n").over(order)).withColumn("_before", F.col("_upto") - F.col("_n"))
+    ranks = stats.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_i"), F.floor(F.col(f"_h{i}")).alias("_lo_r"), F.ceil(F.col(f"_h{i}")).alias("_hi_r"))
+        for i in range(n_probs)])).alias("e")).select(*keys, "e.*")
+    wanted = _back(sums, ranks, [*keys, "_i"]).where(
+        (F.col("_part") >= 0) & (F.col("_before") <= F.col("_hi_r")) & (F.col("_upto") > F.col("_lo_r")))
+    return _back(parted, wanted.select(*keys, "_i", "_part", "_before", "_lo_r", "_hi_r"), [*keys, "_i", "_part"])
 
 
 def exact_percentiles(df: DataFrame, value: str | Column, probs: Sequence[float], group: Sequence[str] | str | None = None,
-                      accuracy: int = DEFAULT_ACCURACY, prefix: str = "p", bounded_groups: bool = False,
-                      single_pass_max_rows: int | None = SINGLE_PASS_MAX_ROWS) -> DataFrame:
+                      accuracy: int = DEFAULT_ACCURACY, prefix: str = "p") -> DataFrame:
     """Per group (or globally): columns ``{prefix}{i}`` with the exact percentile probs[i], plus ``n``.
-    NULL values are ignored; an empty group gives no row (global: one row of NULLs).
-    ``bounded_groups``: the caller guarantees few groups (columns, categories, months), so the
-    per-group bracket table is broadcast; otherwise the planner's size check decides.
-    ``single_pass_max_rows``: when the input has at most this many rows (one count), Spark's
-    one-pass exact ``percentile`` is used; ``None`` always takes the two-pass path."""
+
+    NULL and NaN values are ignored; a group without values gives no row (global: one row of NULLs).
+    A NULL group is a group.
+    """
     groups = [group] if isinstance(group, str) else list(group or [])
+    keys = [f"_k{j}" for j in range(max(1, len(groups)))]
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
-    d = df.select(*groups, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    if single_pass_max_rows is not None and df.count() <= single_pass_max_rows:
-        aggs = [F.count(F.lit(1)).alias("n")] + [F.percentile("_v", float(p)).alias(f"{prefix}{i}")
-                                                for i, p in enumerate(probs)]
-        return d.groupBy(*groups).agg(*aggs) if groups else d.agg(*aggs)
-    eps = 3.0 / accuracy
-    first = [F.count(F.lit(1)).alias("n")]
-    for i, p in enumerate(probs):
-        lo_p, hi_p = max(0.0, p - eps), min(1.0, p + eps)
-        first.append(F.percentile_approx("_v", F.array(F.lit(lo_p), F.lit(hi_p)), accuracy).alias(f"_b{i}"))
-    stats = d.groupBy(*groups).agg(*first) if groups else d.agg(*first)
+    named = [F.col(g).alias(k) for g, k in zip(groups, keys)] or [F.lit(0).alias("_k0")]
+    d = df.select(*named, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    eps, n = 3.0 / accuracy, F.count(F.lit(1))
+    stats = d.groupBy(*keys).agg(n.alias("n"), *[
+        F.when(n < 2 * accuracy, F.array(F.lit(float("-inf")), F.lit(float("inf")))).otherwise(F.percentile_approx(
+            "_v", F.array(F.lit(max(0.0, p - eps)), F.lit(min(1.0, p + eps))), accuracy)).alias(f"_b{i}")
+        for i, p in enumerate(probs)])
+    stats = stats.select("*", *[((F.col("n") - 1) * F.lit(float(p))).alias(f"_h{i}") for i, p in enumerate(probs)])
+    pairs = rank_pairs(d, stats, keys, len(probs))
+    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_i", "_part").orderBy("_v"))
+    found = pairs.withColumn("_upto", upto).groupBy(*keys, "_i").agg(
+        F.min(F.when(F.col("_upto") > F.col("_lo_r"), F.col("_v"))).alias("x"),
+        F.min(F.when(F.col("_upto") > F.col("_hi_r"), F.col("_v"))).alias("y"))
+    one = found.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.struct("x", "y"))).alias(f"_x{i}")
+                                     for i in range(len(probs))])
+
+    def read(i: int) -> Column:
+        h, x, y = F.col(f"_h{i}"), F.col(f"_x{i}.x"), F.col(f"_x{i}.y")
+        return (x + (h - F.floor(h)) * (y - x)).alias(f"{prefix}{i}")
+    back = _back(stats, one, keys).select(*keys, "n", *[read(i) for i in range(len(probs))])
+    res = back.select(*[F.col(k).alias(g) for g, k in zip(groups, keys)], "n", *[f"{prefix}{i}" for i in range(len(probs))])
     if groups:
-        j = d.join(F.broadcast(stats) if bounded_groups else stats, groups)
-    else:
-        j = d.crossJoin(F.broadcast(stats))
-    # groups smaller than 2*accuracy keep all their values (the sketch slack is under 3 ranks there)
-    small = F.col("n") < 2 * accuracy
-    second = []
-    for i, _ in enumerate(probs):
-        lo, hi = F.col(f"_b{i}")[0], F.col(f"_b{i}")[1]
-        second.append(F.count_if(~small & (F.col("_v") < lo)).alias(f"_below{i}"))
-        second.append(F.array_sort(F.collect_list(F.when(small | F.col("_v").between(lo, hi), F.col("_v"))))
-                      .alias(f"_arr{i}"))
-    keys = groups + ["n"]
-    agg2 = j.groupBy(*keys).agg(*second)
-    outs = []
-    for i, p in enumerate(probs):
-        h = (F.col("n") - 1).cast("double") * F.lit(float(p))
-        lo_r, hi_r = F.floor(h).cast("bigint"), F.ceil(h).cast("bigint")
-        arr, below = F.col(f"_arr{i}"), F.col(f"_below{i}")
-        x_lo = F.try_element_at(arr, (lo_r - below + 1).cast("int"))
-        x_hi = F.try_element_at(arr, (hi_r - below + 1).cast("int"))
-        outs.append(F.when(F.col("n") > 0, x_lo + (h - lo_r) * (x_hi - x_lo)).alias(f"{prefix}{i}"))
-    res = agg2.select(*groups, "n", *outs)
-    if not groups:
-        empty = d.sparkSession.createDataFrame([(0,)], "n bigint").select(
-            "n", *[F.lit(None).cast("double").alias(f"{prefix}{i}") for i in range(len(probs))])
-        res = res.unionByName(empty).orderBy(F.col("n").desc()).limit(1)
-    return res
+        return res
+    # one row also where there are no values
+    return res.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *[F.max(f"{prefix}{i}").alias(f"{prefix}{i}")
+                                                                  for i in range(len(probs))])
 
 
 def exact_median(df: DataFrame, value: str | Column, group: Sequence[str] | str | None = None,
-                 alias: str = "median", accuracy: int = DEFAULT_ACCURACY, bounded_groups: bool = False) -> DataFrame:
+                 alias: str = "median", accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """Exact median per group (or globally) via ``exact_percentiles``."""
-    r = exact_percentiles(df, value, [0.5], group, accuracy, bounded_groups=bounded_groups)
-    return r.withColumnRenamed("p0", alias)
+    return exact_percentiles(df, value, [0.5], group, accuracy).withColumnRenamed("p0", alias)

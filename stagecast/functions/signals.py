@@ -49,7 +49,7 @@ def winsorize_by_group(values: DataFrame, reference: DataFrame, group: str, valu
     """
     rv = ref_value or value
     ref = reference.where(F.col(rv).isNotNull())
-    by_group = exact_percentiles(ref, rv, [lo, hi], group, bounded_groups=True).select(
+    by_group = exact_percentiles(ref, rv, [lo, hi], group).select(
         F.col(group).alias("_g"), F.col("p0").alias("_glo"), F.col("p1").alias("_ghi"))
     overall = F.broadcast(exact_percentiles(ref, rv, [lo, hi]).select(F.col("p0").alias("_alo"), F.col("p1").alias("_ahi")))
     j = (values.join(by_group, values[group].eqNullSafe(by_group["_g"]), "left").drop("_g")
@@ -73,7 +73,7 @@ def estimate_unknown(unknown: DataFrame, baselines: DataFrame, category_col: str
     # global medians of the four signals: one unpivoted two-pass exact quantile, folded to 1 row
     long = baselines.select(F.explode(F.array(*[F.struct(F.lit(s).alias("_s"), F.col(s).cast("double").alias("_x"))
                                                  for s in SIGNALS])).alias("e")).select("e._s", "e._x")
-    mq = exact_percentiles(long, "_x", [0.5], "_s", bounded_groups=True)   # 4 groups
+    mq = exact_percentiles(long, "_x", [0.5], "_s")   # 4 groups
     med = F.broadcast(mq.agg(*[F.max(F.when(F.col("_s") == s, F.col("p0"))).alias(f"_m_{s}") for s in SIGNALS])
                       .crossJoin(baselines.agg(F.count(F.lit(1)).alias("_nb"))))
     rows = [(cat, *(float(b.get(s, 0.0)) for s in SIGNALS)) for cat, b in bumps.items()]

@@ -14,7 +14,7 @@ def iqr_filter(df: DataFrame, group: str, value: str, k: float = 1.5) -> DataFra
     linear-interpolated quartiles); NULL values are dropped first. Groups are categories
     (a bounded domain), so the per-group fences are broadcast."""
     d = df.where(F.col(value).isNotNull())
-    q = exact_percentiles(d, value, [0.25, 0.75], group, bounded_groups=True).select(
+    q = exact_percentiles(d, value, [0.25, 0.75], group).select(
         group, (F.col("p0") - k * (F.col("p1") - F.col("p0"))).alias("_lo"),
         (F.col("p1") + k * (F.col("p1") - F.col("p0"))).alias("_hi"))
     return (d.join(q, group).where(F.col(value).between(F.col("_lo"), F.col("_hi")))
@@ -33,7 +33,7 @@ def trimmed_median(c) -> Column:
 
 def trimmed_median_by(df: DataFrame, value: str, group, alias: str = "trimmed_median") -> DataFrame:
     """A06 per category via the exact two-pass median (columns: group, n, ``alias``)."""
-    return exact_median(df, value, group, alias, bounded_groups=True)
+    return exact_median(df, value, group, alias)
 
 
 def seasonality_table(runs: DataFrame, category: str = "category", month: str = "month",
@@ -56,7 +56,7 @@ def seasonality_table(runs: DataFrame, category: str = "category", month: str =
     levels = (f.select(category, F.lit(0).alias("_lvl"), value)
               .unionByName(f.where(F.col(month).isin(*winter)).select(category, F.lit(-1).alias("_lvl"), value))
               .unionByName(f.select(category, F.col(month).cast("int").alias("_lvl"), value)))
-    med = exact_median(levels, value, [category, "_lvl"], "_med", bounded_groups=True)
+    med = exact_median(levels, value, [category, "_lvl"], "_med")
     cat = med.groupBy(category).agg(F.max(F.when(lv == 0, F.col("_med"))).alias("cat_median"),
                                     F.max(F.when(lv == -1, F.col("_med"))).alias("winter_median"))
     cat = cat.where(F.col("cat_median") > 0)

@@ -2,34 +2,46 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from stagecast.functions.quantiles import exact_median, exact_percentiles
+from stagecast.functions.quantiles import PARTS, exact_median, exact_percentiles, rank_pairs
 
+PROBS = [0.0, 0.03, 0.25, 0.5, 0.75, 0.97, 1.0]
 
-def test_exact_percentiles_match_numpy_with_ties_and_small_groups(spark):
+
+@pytest.mark.parametrize("accuracy", [100, 10_000])
+def test_exact_percentiles_match_numpy_with_ties_and_small_groups(spark, accuracy):
     rnd = random.Random(5)
     rows = [("big", float(rnd.choice([rnd.randint(0, 50), rnd.random() * 1000]))) for _ in range(20000)]
     rows += [("tiny", 3.0), ("tiny", 1.0)] + [("one", 7.5)] + [("ties", 2.0)] * 500 + [("ties", 9.0)] * 3
-    rows += [("nulls", None), ("nulls", 4.0)]
+    rows += [("nulls", None), ("nulls", 4.0), ("nulls", float("nan")), (None, 1.0), (None, 2.0), ("none", None)]
     df = spark.createDataFrame(rows, "g string, v double")
-    probs = [0.03, 0.25, 0.5, 0.75, 0.97]
-    got = {r.g: r for r in exact_percentiles(df, "v", probs, "g", accuracy=100, single_pass_max_rows=None).collect()}
-    small = {r.g: r for r in exact_percentiles(df, "v", probs, "g").collect()}   # one-pass path
-    for g in ("big", "tiny", "one", "ties", "nulls"):
-        vals = np.array([v for gg, v in rows if gg == g and v is not None])
-        for i, p in enumerate(probs):
+    got = {r.g: r for r in exact_percentiles(df, "v", PROBS, "g", accuracy=accuracy).collect()}
+    assert set(got) == {"big", "tiny", "one", "ties", "nulls", None}
+    for g in got:
+        vals = np.array([v for gg, v in rows if gg == g and v is not None and v == v])
+        for i, p in enumerate(PROBS):
             assert got[g][f"p{i}"] == pytest.approx(float(np.percentile(vals, p * 100)), rel=1e-12, abs=1e-12), (g, p)
-            assert small[g][f"p{i}"] == pytest.approx(float(np.percentile(vals, p * 100)), rel=1e-12, abs=1e-12)
         assert got[g].n == len(vals)
 
 
 def test_exact_median_global_and_empty(spark):
     df = spark.createDataFrame([(float(i),) for i in range(1001)], "v double")
     assert exact_median(df, "v", accuracy=50).first().median == 500.0
-    from stagecast.functions.quantiles import exact_percentiles as ep
-    assert ep(df, "v", [0.5], accuracy=50, single_pass_max_rows=None).first().p0 == 500.0
-    empty = df.where("v < 0")
-    r = exact_median(empty, "v").first()
+    r = exact_median(df.where("v < 0"), "v").first()
     assert r.median is None and r.n == 0
-    r2 = ep(empty, "v", [0.5], single_pass_max_rows=None).first()
-    assert r2.p0 is None and r2.n == 0
+
+
+@pytest.mark.parametrize("distinct", [7, 1000, 3_000_000])
+def test_what_is_gathered_stays_small_under_ties(spark, distinct):
+    n, accuracy = 3_000_000, 10_000
+    df = spark.range(n).select(F.lit(0).alias("_k0"), F.pmod(F.xxhash64("id"), F.lit(distinct)).cast("double").alias("_v"))
+    eps = 3 / accuracy
+    stats = df.groupBy("_k0").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(
+        "_v", F.array(F.lit(0.25 - eps), F.lit(0.25 + eps)), accuracy).alias("_b0"))
+    stats = stats.withColumn("_h0", (F.col("n") - 1) * 0.25)
+    gathered = rank_pairs(df, stats, ["_k0"], 1).count()
+    assert 1 <= gathered <= max(2, 4 * 6 * n / accuracy / PARTS)
+    vals = np.array([r[0] for r in df.select("_v").toLocalIterator()]) if distinct == 7 else None
+    if vals is not None:
+        assert exact_percentiles(df, "_v", [0.25]).first().p0 == np.percentile(vals, 25)
