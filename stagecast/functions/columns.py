@@ -19,10 +19,16 @@ def _c(x) -> Column:
 
 
 # P01 -------------------------------------------------------------------------
-def parse_number(c, blank_as_zero: bool = True) -> Column:
-    """'7,734' -> 7734.0; blank or unparsable -> 0.0 (history) or NULL (weights)."""
-    s = F.regexp_replace(F.trim(_c(c).cast("string")), ",", "")
-    v = s.try_cast("double")
+DECIMAL = "^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def parse_number(c, blank_as_zero: bool = True, commas: bool = True) -> Column:
+    """'7,734' -> 7734.0 (with ``commas``); blank or anything but a decimal number -> 0.0 (history) or
+    NULL (weights). Words such as nan or Infinity and Java suffixes (1d, 2f) are not numbers."""
+    s = F.trim(_c(c).cast("string"))
+    s = F.regexp_replace(s, ",", "") if commas else s
+    v = F.when(s.rlike(DECIMAL), s.try_cast("double"))
+    v = F.when(F.abs(v) < float("inf"), v)
     return F.coalesce(v, F.lit(0.0)) if blank_as_zero else v
 
 
@@ -49,14 +55,6 @@ def title_key(c, aliases: dict[str, str] | None = None) -> Column:
     return F.coalesce(F.element_at(m, t), t)
 
 
-def normalize_key(c) -> Column:
-    """Optional looser key: lower case, en/em dash -> hyphen, curly -> straight apostrophe."""
-    t = F.lower(F.trim(_c(c).cast("string")))
-    t = F.regexp_replace(t, "[–—]", "-")
-    return F.regexp_replace(t, "[‘’]", "'")
-
-
-# P05 -------------------------------------------------------------------------
 def _contains_any(s: Column, keys: Sequence[str]) -> Column:
     cond = F.lit(False)
     for k in keys:
@@ -110,14 +108,14 @@ def infer_show_type(title, category, rules=C.SHOW_TYPE_RULES, default: str = C.S
 
 # P13 -------------------------------------------------------------------------
 def band(c, thresholds: Sequence[float], labels: Sequence[str], null_label: str | None = None) -> Column:
-    """Descending thresholds: value >= thresholds[i] -> labels[i]; below all -> labels[-1]."""
+    """Descending thresholds: value >= thresholds[i] -> labels[i]; below all, NULL and NaN -> labels[-1]."""
     assert len(labels) == len(thresholds) + 1
-    v = _c(c).cast("double")
+    v = F.nanvl(_c(c).cast("double"), F.lit(None).cast("double"))
     out = F.lit(labels[-1])
     for th, lab in reversed(list(zip(thresholds, labels[:-1]))):
         out = F.when(v >= th, F.lit(lab)).otherwise(out)
     if null_label is not None:
-        out = F.when(v.isNull() | F.isnan(v), F.lit(null_label)).otherwise(out)
+        out = F.when(v.isNull(), F.lit(null_label)).otherwise(out)
     return out
 
 

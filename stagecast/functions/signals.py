@@ -42,7 +42,7 @@ def signal_stats(df: DataFrame, key: str, value: str, days: float = 365.0) -> Da
 def winsorize_by_group(values: DataFrame, reference: DataFrame, group: str, value: str,
                        ref_value: str | None = None, lo: float = 0.03, hi: float = 0.97) -> DataFrame:
     """Clip ``value`` to the [lo, hi] exact percentiles of the group's reference values,
-    else of all reference values, else leave unchanged.
+    else of all reference values, else leave unchanged. NULL and NaN stay as they are.
 
     Group bounds are one aggregation over the reference (bounded by the number
     of groups); the global bounds are a 1-row aggregate, broadcast.
@@ -56,7 +56,7 @@ def winsorize_by_group(values: DataFrame, reference: DataFrame, group: str, valu
          .crossJoin(overall))
     lo_c = F.coalesce("_glo", "_alo")
     hi_c = F.coalesce("_ghi", "_ahi")
-    clipped = F.when(lo_c.isNull(), F.col(value)).otherwise(F.least(hi_c, F.greatest(lo_c, F.col(value))))
+    clipped = F.when(lo_c.isNull() | F.col(value).isNull() | F.isnan(F.col(value)), F.col(value)).otherwise(F.least(hi_c, F.greatest(lo_c, F.col(value))))
     return j.withColumn(value, clipped).drop("_glo", "_ghi", "_alo", "_ahi")
 
 

@@ -179,14 +179,21 @@ def exact_else_latest(left: DataFrame, right: DataFrame, key: str, date_col: str
                     .when(F.col("_lv").isNotNull(), F.lit("latest")).otherwise(F.lit("none")).alias("match"))
 
 
+def _keyed_priors(priors: DataFrame, region: str, category: str, segment: str) -> DataFrame:
+    """Priors by trimmed lower-case key, one row a key: of rows that differ only in spelling, the least."""
+    key = [F.lower(F.trim(F.col(c))).alias(k) for c, k in ((region, "_r"), (category, "_c"), (segment, "_s"))]
+    first = F.struct(F.col(region).alias("region"), F.col(category).alias("category"), F.col(segment).alias("segment"), "weight")
+    return (priors.select(*key, first.alias("_p")).groupBy("_r", "_c", "_s").agg(F.min("_p").alias("_p"))
+            .select("_r", "_c", "_s", F.col("_p.segment").alias("_segment"), F.col("_p.weight").alias("_w")))
+
+
 def hierarchical_lookup(left: DataFrame, priors: DataFrame, region: str = "region", category: str = "category",
                         segment: str = "segment", fallback_region: str = "Province",
                         default: float = 1.0) -> DataFrame:
     """J08 — weight for (region, category, segment), case-insensitive; else the fallback
-    region's weight; else ``default``. Adds ``weight`` and ``weight_source``."""
-    p = priors.select(F.lower(F.trim("region")).alias("_r"), F.lower(F.trim("category")).alias("_c"),
-                      F.lower(F.trim("segment")).alias("_s"), F.col("weight").alias("_w"))
-    fb = p.where(F.col("_r") == fallback_region.lower()).select(
+    region's weight; else ``default``. Adds ``weight`` and ``weight_source``. Left rows never multiply."""
+    p = _keyed_priors(priors, "region", "category", "segment").drop("_segment")
+    fb = p.where(F.col("_r") == fallback_region.strip().lower()).select(
         F.col("_c").alias("_fc"), F.col("_s").alias("_fs"), F.col("_w").alias("_fw"))
     lc, ls = F.lower(F.trim(F.col(category))), F.lower(F.trim(F.col(segment)))
     j = (left.join(p, (F.lower(F.trim(F.col(region))) == F.col("_r")) & (lc == F.col("_c")) & (ls == F.col("_s")), "left")
@@ -198,34 +205,21 @@ def hierarchical_lookup(left: DataFrame, priors: DataFrame, region: str = "regio
 
 def hierarchical_lookup_set(keys: DataFrame, priors: DataFrame, region: str = "region", category: str = "category",
                             fallback_region: str = "Province") -> DataFrame:
-    """J09 — all segment weights for each (region, category); when the region has no row for the
-    category the whole set comes from the fallback region; else nothing."""
-    k = keys.select(F.col(region).alias("region"), F.col(category).alias("category")).distinct()
-    pr = priors.select("region", "category", "segment", "weight")
-    own = k.join(pr, ["region", "category"], "inner").withColumn("weight_source", F.lit("region"))
-    missing = k.join(pr.select("region", "category").distinct(), ["region", "category"], "left_anti")
-    fb = pr.where(F.col("region") == fallback_region).select("category", "segment", "weight")
-    fill = missing.join(fb, "category", "inner").withColumn("weight_source", F.lit("fallback"))
-    return own.unionByName(fill)
-
-
-def interval_overlap_days(runs: DataFrame, events: DataFrame, key: str, run_start: str, run_end: str,
-                          ev_start: str, ev_end: str, run_id: str) -> DataFrame:
-    """X07 helper — pairs (run, event) with overlapping [start, end] on the same key, via an
-    equi-join on (key, day) after exploding each window to its days, then distinct pairs.
-    Work is proportional to covered days, not to runs x events; empty (start > end)
-    windows overlap nothing."""
-    runs = runs.where(F.col(run_start).cast("date") <= F.col(run_end).cast("date"))
-    events = events.where(F.col(ev_start).cast("date") <= F.col(ev_end).cast("date"))
-    rd = runs.select(key, run_id, F.explode(F.sequence(F.col(run_start).cast("date"),
-                                                       F.col(run_end).cast("date"))).alias("_day"))
-    ed = events.withColumn("_day", F.explode(F.sequence(F.col(ev_start).cast("date"), F.col(ev_end).cast("date"))))
-    return rd.join(ed, [key, "_day"]).drop("_day").dropDuplicates([run_id, *[c for c in events.columns]])
+    """J09 — all segment weights for each (region, category), case-insensitive; when the region has no
+    row for the category the whole set comes from the fallback region; else nothing."""
+    k = keys.select(F.col(region).alias("region"), F.col(category).alias("category")).distinct().withColumn(
+        "_r", F.lower(F.trim("region"))).withColumn("_c", F.lower(F.trim("category")))
+    pr = _keyed_priors(priors, "region", "category", "segment")
+    out = ["region", "category", F.col("_segment").alias("segment"), F.col("_w").alias("weight")]
+    own = k.join(pr, ["_r", "_c"]).select(*out, F.lit("region").alias("weight_source"))
+    missing = k.join(pr.select("_r", "_c").distinct(), ["_r", "_c"], "left_anti")
+    fb = pr.where(F.col("_r") == fallback_region.strip().lower()).drop("_r")
+    return own.unionByName(missing.join(fb, "_c").select(*out, F.lit("fallback").alias("weight_source")))
 
 
 def interval_overlap_agg(runs: DataFrame, events: DataFrame, key: str, run_id: Sequence[str], run_start: str,
                          run_end: str, ev_start: str, ev_end: str, sum_cols: Sequence[str] = (),
-                         count_values: dict | None = None) -> DataFrame:
+                         count_values: dict | None = None, distinct_on: Sequence[str] | None = None) -> DataFrame:
     """X07 — exact aggregates over the events whose [start, end] overlaps each run window,
     without forming (run, event) pairs.
 
@@ -234,11 +228,12 @@ def interval_overlap_agg(runs: DataFrame, events: DataFrame, key: str, run_id: S
     counts, and any sums, are cumulative per-day totals of the key's events, so the
     window runs over one row per (key, change day) and per run bound; its size per
     key is bounded by distinct days, not by the number of events (hot keys stay
-    small). Identical event rows count once; empty windows (start > end) never
-    overlap. Returns run_id columns, n_events, sum_<c>, n_<c>_<v>.
+    small). Event rows are counted as they come; ``distinct_on`` names columns by which repeats are
+    dropped first. Empty windows (start > end) never overlap. Returns run_id columns, n_events, sum_<c>, n_<c>_<v>.
     """
     count_values = count_values or {}
-    ev = events.where(F.col(ev_start).cast("date") <= F.col(ev_end).cast("date")).dropDuplicates()
+    ev = events.where(F.col(ev_start).cast("date") <= F.col(ev_end).cast("date"))
+    ev = ev.dropDuplicates(list(distinct_on)) if distinct_on else ev
     metrics = [(F.lit(1), "n")] + [(F.col(c), f"sum_{c}") for c in sum_cols]
     for c, vals in count_values.items():
         metrics += [(F.when(F.col(c) == v, F.lit(1)).otherwise(F.lit(0)), f"n_{c}_{v}") for v in vals]
@@ -250,28 +245,23 @@ def interval_overlap_agg(runs: DataFrame, events: DataFrame, key: str, run_id: S
 
     starts = deltas(F.col(ev_start).cast("date"), "s")
     ends = deltas(F.date_add(F.col(ev_end).cast("date"), 1), "e")
-    zero = {f"{t}_{n}": F.lit(0.0) for t in ("s", "e") for n in names}
-    d = (starts.select("_k", "_day", *[F.col(f"s_{n}") for n in names], *[zero[f"e_{n}"].alias(f"e_{n}") for n in names])
-         .unionByName(ends.select("_k", "_day", *[zero[f"s_{n}"].alias(f"s_{n}") for n in names],
-                                  *[F.col(f"e_{n}") for n in names])))
-    d = d.select("_k", "_day", F.lit(0).alias("_q"), F.lit(None).cast("string").alias("_bound"),
-                 F.lit(None).cast(runs.select(F.struct(*run_id).alias("x")).schema["x"].dataType).alias("_rid"),
-                 *[f"{t}_{n}" for t in ("s", "e") for n in names])
-    rid = F.struct(*[F.col(c) for c in run_id])
-    q = (runs.select(F.col(key).alias("_k"), F.col(run_end).cast("date").alias("_day"), F.lit(1).alias("_q"),
-                     F.lit("end").alias("_bound"), rid.alias("_rid"))
-         .unionByName(runs.select(F.col(key).alias("_k"), F.col(run_start).cast("date").alias("_day"), F.lit(1).alias("_q"),
-                                  F.lit("start").alias("_bound"), rid.alias("_rid"))))
-    for t in ("s", "e"):
-        for n in names:
-            q = q.withColumn(f"{t}_{n}", F.lit(0.0))
-    u = d.unionByName(q)
+    # one column a metric: + at event starts, - behind event ends; a run reads the former's sum at its end
+    # and the latter's at its start
+    none = F.lit(None).cast(runs.select(F.struct(*run_id).alias("x")).schema["x"].dataType).alias("_rid")
+    cols = [f"{t}_{n}" for t in ("s", "e") for n in names]
+
+    def padded(df: DataFrame, tag: str) -> DataFrame:
+        return df.select("_k", "_day", F.lit(0).alias("_q"), none, *[
+            (F.col(c) if c.startswith(f"{tag}_") else F.lit(0.0)).alias(c) for c in cols])
+    rid = F.struct(*[F.col(c) for c in run_id]).alias("_rid")
+    bound = F.explode(F.array(F.struct(F.col(run_end).cast("date").alias("day"), F.lit(2).alias("q")),
+                              F.struct(F.col(run_start).cast("date").alias("day"), F.lit(1).alias("q")))).alias("_b")
+    q = runs.select(F.col(key).alias("_k"), rid, bound).select(
+        "_k", F.col("_b.day").alias("_day"), F.col("_b.q").alias("_q"), "_rid", *[F.lit(0.0).alias(c) for c in cols])
     w = Window.partitionBy("_k").orderBy("_day", "_q").rowsBetween(Window.unboundedPreceding, 0)
-    cum = u.select("_q", "_bound", "_rid", *[F.sum(f"{t}_{n}").over(w).alias(f"c{t}_{n}")
-                                              for t in ("s", "e") for n in names]).where(F.col("_q") == 1)
-    at_end = cum.where(F.col("_bound") == "end").select("_rid", *[F.col(f"cs_{n}").alias(f"a_{n}") for n in names])
-    at_start = cum.where(F.col("_bound") == "start").select("_rid", *[F.col(f"ce_{n}").alias(f"b_{n}") for n in names])
-    j = at_end.join(at_start, "_rid")
-    out = j.select(*[F.col("_rid")[c].alias(c) for c in run_id],
-                   *[(F.col(f"a_{n}") - F.col(f"b_{n}")).alias(n) for n in names])
+    u = padded(starts, "s").unionByName(padded(ends, "e")).unionByName(q)
+    cum = u.select("_q", "_rid", *[F.sum(c).over(w).alias(c) for c in cols]).where(F.col("_q") > 0)
+    j = cum.groupBy("_rid").agg(*[(F.max(F.when(F.col("_q") == 2, F.col(f"s_{n}")))
+                                   - F.max(F.when(F.col("_q") == 1, F.col(f"e_{n}")))).alias(n) for n in names])
+    out = j.select(*[F.col("_rid")[c].alias(c) for c in run_id], *names)
     return out.withColumn("n", F.col("n").cast("bigint")).withColumnRenamed("n", "n_events")

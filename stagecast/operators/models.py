@@ -107,19 +107,20 @@ def tiered_impute(df: DataFrame, overall: DataFrame, by_group: DataFrame, group:
                   clip: tuple[float, float] = C.PREDICTION_CLIP,
                   labels: tuple[str, str] = ("ML Category", "ML Overall")) -> DataFrame:
     """F10 — history value, else group model, else overall model, else 'Not enough data'.
-    Predictions are clipped; history is not. Adds TicketIndex_DeSeason_Used,
-    TicketIndexSource, TicketIndex_Predicted."""
+    Predictions are clipped; history is not. A row whose signal is NULL or NaN has no prediction from
+    either model. Adds TicketIndex_DeSeason_Used, TicketIndexSource, TicketIndex_Predicted."""
     o = F.broadcast(overall.select(F.col("slope").alias("_os"), F.col("intercept").alias("_oi")))
     g = by_group.select(F.col(group).alias("_gk"), F.col("slope").alias("_gs"), F.col("intercept").alias("_gi"))
     j = df.join(g, F.col(group) == F.col("_gk"), "left").join(o, how="left")
-    gp = F.least(F.lit(clip[1]), F.greatest(F.lit(clip[0]), F.col("_gi") + F.col("_gs") * F.col(x)))
-    op = F.least(F.lit(clip[1]), F.greatest(F.lit(clip[0]), F.col("_oi") + F.col("_os") * F.col(x)))
+    def clipped(raw: Column) -> Column:
+        # least/greatest skip NULLs, so a missing prediction would otherwise become the floor
+        return F.when(raw.isNotNull() & ~F.isnan(raw), F.least(F.lit(clip[1]), F.greatest(F.lit(clip[0]), raw)))
+    gp = clipped(F.col("_gi") + F.col("_gs") * F.col(x))
+    op = clipped(F.col("_oi") + F.col("_os") * F.col(x))
     has_hist = F.col(y).isNotNull()
-    # guard explicitly: least/greatest skip NULLs, so a missing model would otherwise clip to the floor
-    pred = (F.when(has_hist, F.lit(None).cast("double")).when(F.col("_gk").isNotNull(), gp)
-            .when(F.col("_os").isNotNull(), op))
-    src = (F.when(has_hist, F.lit("History")).when(F.col("_gk").isNotNull() & gp.isNotNull(), F.lit(labels[0]))
-           .when(F.col("_os").isNotNull() & op.isNotNull(), F.lit(labels[1])).otherwise(F.lit("Not enough data")))
+    pred = F.when(~has_hist, F.coalesce(gp, op))
+    src = (F.when(has_hist, F.lit("History")).when(gp.isNotNull(), F.lit(labels[0]))
+           .when(op.isNotNull(), F.lit(labels[1])).otherwise(F.lit("Not enough data")))
     return (j.withColumn("TicketIndex_Predicted", pred)
             .withColumn("TicketIndexSource", src)
             .withColumn("TicketIndex_DeSeason_Used", F.when(has_hist, F.col(y)).otherwise(F.col("TicketIndex_Predicted")))

@@ -10,7 +10,8 @@ from __future__ import annotations
 # ---------------------------------------------------------------- binding CTEs
 B_SALES = """
 sales AS (
-  SELECT l.l_partkey AS title, r.r_name AS city, c.c_mktsegment AS segment,
+  SELECT l.l_partkey AS title, CASE WHEN r.r_name IN ('AMERICA', 'AFRICA') THEN 'AMERICA' ELSE 'EUROPE' END AS city,
+         c.c_mktsegment AS segment,
          CAST(l.l_shipdate AS DATE) AS start_date, l.l_quantity AS single_tickets,
          l.l_extendedprice * (1 - l.l_discount) AS revenue
   FROM lineitem l
@@ -18,10 +19,13 @@ sales AS (
   JOIN customer c ON o.o_custkey = c.c_custkey
   JOIN nation n ON c.c_nationkey = n.n_nationkey
   JOIN region r ON n.n_regionkey = r.r_regionkey
-  WHERE r.r_name IN ('AMERICA', 'EUROPE')
 )"""
 
 B_HIST = B_SALES + """,
+hist AS (SELECT * FROM sales)"""
+
+# for F10 and J10 alone: every fifth title without history
+B_HIST_HIDDEN = B_SALES + """,
 hist AS (SELECT * FROM sales WHERE title % 5 <> 0)"""
 
 B_TITLES = """
@@ -96,15 +100,20 @@ FROM prior""")
 
 # ---------------------------------------------------------------- scoring chain (proposed month = 3)
 def _mult_values() -> str:
-    from stagecast.plans.pipeline import binding_multipliers
-    rows = [f"('{s}', '{k}', {v!r})" for s, d in binding_multipliers().items() for k, v in d.items()]
-    return "mult(segment, key, m) AS (VALUES " + ", ".join(rows) + ")"
+    """Gender j of segment i: 0.96, 1, 1.04 as (i + j) mod 3; category k: 0.9 to 1.1 by 0.05 as (i + 2k) mod 5."""
+    return """mult AS (
+  SELECT s AS segment, key, CAST(round(m, 4) AS DOUBLE) AS m FROM (
+    SELECT s, ['female', 'male', 'co', 'na'][j + 1] AS key, [0.96, 1.0, 1.04][(i + j) % 3 + 1] AS m
+    FROM segs0, range(4) t(j)
+    UNION ALL
+    SELECT s, ['ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL', 'STANDARD'][k + 1], [0.9, 0.95, 1.0, 1.05, 1.1][(i + 2 * k) % 5 + 1]
+    FROM segs0, range(6) t(k)
+  )
+)"""
 
 
 def _segments_values() -> str:
-    from stagecast.plans.pipeline import BINDING_SEGMENTS
-    rows = [f"('{s}', {i})" for i, s in enumerate(BINDING_SEGMENTS)]
-    return "segs(segment, pos) AS (VALUES " + ", ".join(rows) + ")"
+    return "segs AS (SELECT s AS segment, i AS pos FROM segs0)"
 
 
 SCORING_SEGMENT = "AUTOMOBILE"
@@ -231,10 +240,11 @@ catmod AS (
 catmodel AS (SELECT m.category, m.n, m.slope, f.my - m.slope * f.mx AS intercept FROM catmod m JOIN catfit f USING (category)),
 imputed0 AS (
   SELECT i.*,
-         CASE WHEN i."TicketIndex_DeSeason" IS NOT NULL THEN NULL
+         CASE WHEN i."TicketIndex_DeSeason" IS NOT NULL OR i."SignalOnly" IS NULL THEN NULL
               WHEN c.category IS NOT NULL THEN least(180, greatest(20, c.intercept + c.slope * i."SignalOnly"))
               WHEN o.slope IS NOT NULL THEN least(180, greatest(20, o.intercept + o.slope * i."SignalOnly")) END AS "TicketIndex_Predicted",
          CASE WHEN i."TicketIndex_DeSeason" IS NOT NULL THEN 'History'
+              WHEN i."SignalOnly" IS NULL THEN 'Not enough data'
               WHEN c.category IS NOT NULL THEN 'ML Category'
               WHEN o.slope IS NOT NULL THEN 'ML Overall' ELSE 'Not enough data' END AS "TicketIndexSource"
   FROM indexed i LEFT JOIN catmodel c ON c.category = i.category LEFT JOIN overall o ON TRUE
@@ -322,12 +332,13 @@ cityalloc AS (
 )"""
 
 
-def scoring_ctes(*names: str) -> str:
+def scoring_ctes(*names: str, hist: str = B_HIST) -> str:
     parts = {
-        "hist": B_HIST, "titles": B_TITLES, "base": B_SIGNALS + "," + """
+        "hist": hist, "titles": B_TITLES, "base": B_SIGNALS + "," + """
 base AS (SELECT t.*, s.wiki, s.trends, s.youtube, s.chartmetric FROM titles t JOIN signals s USING (title))""",
         "runs": B_RUNS, "prior": B_PRIOR, "season": B_SEASON,
-        "mult": _mult_values(), "segs": _segments_values(),
+        "mult": "segs0(s, i) AS (VALUES ('AUTOMOBILE', 0), ('BUILDING', 1), ('FURNITURE', 2), ('HOUSEHOLD', 3), ('MACHINERY', 4)),\n"
+                + _mult_values(), "segs": _segments_values(),
         "index": B_INDEX.replace("__SEG__", SCORING_SEGMENT),
         "models": B_MODELS.replace("__MONTH__", str(PROPOSED_MONTH)),
         "segments": B_SEGMENTS,
@@ -409,7 +420,10 @@ SELECT count(*) AS n,
              / sum(("TicketIndex_DeSeason" - (SELECT avg("TicketIndex_DeSeason") FROM known)) ^ 2), 6) AS "R2"
 FROM known CROSS JOIN overall o""")
 
-register("F10_tiered_impute", scoring_ctes("models") + """
+register("F10_tiered_impute", scoring_ctes("models", hist=B_HIST_HIDDEN).replace("FROM indexed i LEFT JOIN catmodel", """FROM (
+    SELECT * REPLACE (CASE WHEN title % 35 <> 0 THEN "SignalOnly" END AS "SignalOnly",
+                      CASE WHEN title % 55 = 0 THEN 'UNSEEN' ELSE category END AS category) FROM indexed) i
+  LEFT JOIN catmodel""") + """
 SELECT title, round("TicketIndex_DeSeason_Used", 6) AS "TicketIndex_DeSeason_Used", "TicketIndexSource",
        round("TicketIndex_Predicted", 6) AS "TicketIndex_Predicted" FROM imputed""")
 
@@ -444,7 +458,7 @@ register("A04_category_city_shares", scoring_ctes("segments") + """
 SELECT category, 'AMERICA' AS city, round(ca / (ca + ce), 6) AS share FROM cshare
 UNION ALL SELECT category, 'EUROPE', round(ce / (ca + ce), 6) FROM cshare""")
 
-register("J10_share_fallback", scoring_ctes("segments") + """
+register("J10_share_fallback", scoring_ctes("segments", hist=B_HIST_HIDDEN) + """
 SELECT title, city, round(share, 6) AS share, split_source FROM cityalloc""")
 
 register("F17_city_allocation", scoring_ctes("segments") + """
@@ -478,7 +492,7 @@ JOIN cityalloc ce ON ce.title = i.title AND ce.city = 'EUROPE'""")
 
 # ---------------------------------------------------------------- scalar functions, text rules, sources
 register("P01_parse_number", """
-SELECT l_orderkey, l_linenumber, round(l_extendedprice, 6) AS price FROM lineitem""")
+SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber >= 5 THEN 0.0 ELSE round(l_extendedprice, 6) END AS price FROM lineitem""")
 
 register("P02_canon_city", """
 SELECT CASE WHEN lower(trim(r.r_name)) LIKE '%amer%' THEN 'AMERICA'
@@ -540,12 +554,12 @@ m AS (
 SELECT conv_id, turn, matched, matched OR count(*) FILTER (WHERE matched) OVER (PARTITION BY conv_id) < 5 AS used FROM m""")
 
 register("P10_winsorize_by_group", with_(B_TITLES, B_SIGNALS) + """,
-v AS (SELECT title, category, least(140, greatest(45, 55 + ((length(p_name) * 1.2::DOUBLE) % 45))) AS y
+v AS (SELECT title, category, CASE WHEN title % 7 <> 0 THEN least(140, greatest(45, 55 + ((length(p_name) * 1.2::DOUBLE) % 45))) END AS y
       FROM titles JOIN part ON part.p_partkey = titles.title),
 ref AS (SELECT t.category, s.youtube FROM titles t JOIN signals s USING (title)),
 g AS (SELECT category, quantile_cont(youtube, 0.03) AS lo, quantile_cont(youtube, 0.97) AS hi FROM ref GROUP BY category),
 a AS (SELECT quantile_cont(youtube, 0.03) AS lo, quantile_cont(youtube, 0.97) AS hi FROM ref)
-SELECT v.title, round(CASE WHEN coalesce(g.lo, a.lo) IS NULL THEN v.y
+SELECT v.title, round(CASE WHEN v.y IS NULL THEN NULL WHEN coalesce(g.lo, a.lo) IS NULL THEN v.y
                            ELSE least(coalesce(g.hi, a.hi), greatest(coalesce(g.lo, a.lo), v.y)) END, 6) AS youtube
 FROM v LEFT JOIN g USING (category) CROSS JOIN a""")
 
@@ -585,7 +599,8 @@ register("S01_normalize_columns", """
 SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer""")
 
 register("S02_clean_frame", """
-SELECT event_id, round(value, 6) AS value, props AS unnamed_props, event_type FROM events""")
+SELECT event_id, CASE WHEN event_type NOT IN ('signup', 'error') THEN round(value, 6) END AS value, props AS unnamed_props, event_type
+FROM events""")
 
 register("S03_read_sales_history", with_(B_HIST) + """
 SELECT title, city, count(*) AS rows, round(sum(single_tickets), 6) AS tickets, min(start_date) AS first_date
@@ -609,8 +624,7 @@ FROM runs GROUP BY title""")
 
 register("S15_weather_union", """
 WITH w AS (
-  SELECT event_type AS city, CAST(ts AS DATE) AS d, avg(value) / 5 AS snow FROM events
-  WHERE event_type IN ('view', 'purchase') GROUP BY 1, 2
+  SELECT event_type AS city, CAST(ts AS DATE) AS d, avg(value) / 5 AS snow FROM events GROUP BY 1, 2
 )
 SELECT city, count(*) AS days, round(avg(snow), 6) AS avg_snow FROM w GROUP BY city""")
 
@@ -787,7 +801,8 @@ implied AS (
   SELECT median("EstimatedTickets" / ("TicketIndex_DeSeason_Used" * "FutureSeasonalityFactor") * 100) AS b
   FROM imputed WHERE "TicketIndex_DeSeason_Used" * "FutureSeasonalityFactor" > 0 AND "EstimatedTickets" IS NOT NULL
 ),
-assign AS (SELECT title, CAST(month(mid_date) AS INTEGER) AS m FROM lastmid WHERE month(mid_date) IN (9, 10, 1, 2, 3, 5)),
+assign AS (SELECT title, CAST(CASE WHEN month(mid_date) IN (9, 10, 1, 2, 3, 5) THEN month(mid_date)
+                                   ELSE [9, 10, 1, 2, 3, 5][title % 6 + 1] END AS INTEGER) AS m FROM lastmid),
 plan0 AS (
   SELECT a.m, i.title, i.category, i."Familiarity", i."Motivation", i."Composite", i."PredictedPrimarySegment",
          make_date(CASE WHEN a.m IN (9, 10, 12) THEN 2026 ELSE 2027 END, a.m, 15) AS run_date,
@@ -883,8 +898,7 @@ SELECT title, round("EstimatedTickets", 6) AS "EstimatedTickets", round("Composi
 ORDER BY "EstimatedTickets" DESC NULLS LAST, "Composite" DESC, "Motivation" DESC, "Familiarity" DESC, title LIMIT 25""")
 
 register("A19_union_all", """
-SELECT event_type AS city, count(DISTINCT CAST(ts AS DATE)) AS days FROM events
-WHERE event_type IN ('view', 'purchase', 'click') GROUP BY 1""")
+SELECT event_type AS city, count(DISTINCT CAST(ts AS DATE)) AS days FROM events GROUP BY 1""")
 
 
 # ---------------------------------------------------------------- attribution (4 signals, ridge 5, anchors)

@@ -196,20 +196,21 @@ class ScoringPlan:
                                       "title", "city", "single_tickets", "category", self.cfg.city_clip)
         return ts, cs
 
-    @cached_property
-    def scored(self) -> DataFrame:
-        """Segment mix and tickets, city split and tickets, plus flags."""
+    def segment_index(self, rows: DataFrame) -> DataFrame:
+        """F04 — ``rows`` plus ``_seg_idx``: per segment, the signal index against the benchmark title's."""
         safe = {s: F.coalesce(F.nanvl(F.col(s), F.lit(0.0)), F.lit(0.0)) for s in SIGNALS}
         fam0 = safe["wiki"] * 0.55 + safe["trends"] * 0.30 + safe["chartmetric"] * 0.15
         mot0 = safe["youtube"] * 0.45 + safe["trends"] * 0.25 + safe["chartmetric"] * 0.15 + safe["wiki"] * 0.15
-        bench = F.broadcast(self.benchmark.select(SC.segment_raw_pair(
-            F.col("gender"), F.col("category"), fam0, mot0, self.segments, self.mult).alias("_braw")))
-        pri = F.broadcast(AL.prior_weights(self.priors, self.cfg.region_key, self.segments,
-                                           self.cfg.segment_prior_strength))
-        d = (self.imputed.crossJoin(bench).join(pri, F.col("category") == F.col("_prior_cat"), "left")
-             .withColumn("_raw", SC.segment_raw_pair(F.col("gender"), F.col("category"), fam0, mot0,
-                                                     self.segments, self.mult)))
-        d = d.withColumn("_seg_idx", SC.segment_signal_index(F.col("_raw"), F.col("_braw")))
+        raw = SC.segment_raw_pair(F.col("gender"), F.col("category"), fam0, mot0, self.segments, self.mult)
+        bench = F.broadcast(self.benchmark.select(raw.alias("_braw")))       # one row
+        d = rows.crossJoin(bench).withColumn("_raw", raw)
+        return d.withColumn("_seg_idx", SC.segment_signal_index(F.col("_raw"), F.col("_braw"))).drop("_raw", "_braw")
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        """Segment mix and tickets, city split and tickets, plus flags."""
+        pri = AL.prior_weights(self.priors, self.cfg.region_key, self.segments, self.cfg.segment_prior_strength)
+        d = self.segment_index(self.imputed).join(pri, F.col("category") == F.col("_prior_cat"), "left")
         d = AL.add_segment_mix(d, "_seg_idx", "prior_weights", "EstimatedTickets", "segment_mix")
         ts, cs = self.city_shares
         d = AL.city_split(d, ts, cs, self.cfg.default_city_split, "title", "category")
@@ -230,7 +231,7 @@ class ScoringPlan:
             F.lit(m is not None).alias("SeasonalityApplied"),
             mcol.alias("SeasonalityMonthUsed"),
             P.month_name(mcol).alias("RunMonth"))
-        return self._mat(d.drop("_braw", "_prior_cat", "prior_weights", "_raw", "_seg_idx"))
+        return self._mat(d.drop("_prior_cat", "prior_weights", "_seg_idx"))
 
     def wide(self) -> DataFrame:
         """The scored table with one column per segment/city (pivot only for the final table)."""
@@ -277,18 +278,26 @@ def binding_priors(cube: DataFrame) -> DataFrame:
 _PLANS: dict = {}
 
 
+def _files(spark: SparkSession, sf_dir: str) -> tuple:
+    """Paths, sizes and times of the files in a folder: a changed table is another plan."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path))
+
+
 def plan_from_tables(spark: SparkSession, sf_dir: str, proposed_month: int | None = 3,
-                     materialize: str = "checkpoint") -> ScoringPlan:
+                     materialize: str = "checkpoint", hidden_every: int = 0) -> ScoringPlan:
     """Bind the driver tables (see ``stagecast.sources.binding``) and build the plan.
 
-    One plan per (session, folder, month, mode) is kept so that queries reading
-    different stages of the same plan share its checkpointed stages.
+    One plan per (application, files of the folder, month, mode, hidden titles) is kept so that queries
+    reading different stages of the same plan share its checkpointed stages.
     """
-    memo = (id(spark), spark.sparkContext.applicationId, sf_dir, proposed_month, materialize)
+    ensure_checkpoint_dir(spark)
+    memo = (spark.sparkContext.applicationId, _files(spark, sf_dir), proposed_month, materialize, hidden_every)
     if memo in _PLANS:
         return _PLANS[memo]
     titles = B.titles(spark, sf_dir)
-    cube = B.history_cube(spark, sf_dir)
+    cube = B.history_cube(spark, sf_dir, hidden_every)
     if materialize == "persist":
         cube = cube.persist(StorageLevel.MEMORY_AND_DISK)
     elif materialize == "checkpoint":

@@ -112,9 +112,6 @@ def metrics_by_month(plan: DataFrame, metrics: Sequence[str], months: Sequence[s
             .groupBy(key, "metric").pivot("_m", [m.upper() for m in months]).agg(F.max("value")))
 
 
-FINANCIAL_METRICS = ["title", "EstimatedTickets_Final"]
-
-
 def rank_plan(plan: DataFrame) -> DataFrame:
     """R05 — plan ordered by Composite desc, then final tickets desc (a distributed range sort;
     no global rank window, which would put every row in one task)."""

@@ -5,13 +5,14 @@ Role            table / rule
 title           part.p_partkey (p_name only for text rules)
 category        part.p_type
 lead gender     p_size % 4 -> female, male, co, na
-city            region.r_name through lineitem->orders->customer->nation, AMERICA/EUROPE
+city            region.r_name through lineitem->orders->customer->nation: the five regions are
+                sold from two cities (``CITY_OF_REGION``)
 segment         customer.c_mktsegment
 single_tickets  lineitem.l_quantity
 start_date      cast(l_shipdate as date)
 signals         per part over all lineitem rows (wiki/trends/youtube/chartmetric)
-holdout titles  every ``holdout_every``-th part key has its sales history hidden so
-                the imputation tiers are exercised (its signals are still used)
+hidden titles   only where a query asks for it (``hidden_every``, F10 and J10): every n-th part key has
+                no sales history, so that imputation and fallbacks have work; elsewhere nothing is hidden
 
 Every builder is lazy and reads whole tables. The oracle SQL in
 ``stagecast.plans.oracles`` builds the same roles with its own text.
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 
 # FIXED VALUES — binding constants
 CITIES = ("AMERICA", "EUROPE")
-HOLDOUT_EVERY = 5
+CITY_OF_REGION = {"AMERICA": "AMERICA", "AFRICA": "AMERICA", "EUROPE": "EUROPE", "ASIA": "EUROPE", "MIDDLE EAST": "EUROPE"}
+HIDDEN_EVERY = 5
 GENDER_BY_SIZE_MOD4 = ("female", "male", "co", "na")
 DEFAULT_SPLIT = {"AMERICA": 0.60, "EUROPE": 0.40}
 EVENT_LEFT_TYPE, EVENT_RIGHT_TYPE = "purchase", "view"
@@ -53,44 +55,38 @@ def customer_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("r_name").alias("region")))
 
 
-def sales(spark: SparkSession, sf_dir: str, regions: tuple[str, ...] | None = CITIES) -> DataFrame:
-    """Line-level sales rows: title, city, segment, start_date, single_tickets, revenue.
-
-    The region filter is applied on the (small) customer side first so the big
-    lineitem x orders join only carries relevant customers.
-    """
+def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line-level sales rows, all of them: title, city, region, segment, start_date, single_tickets, revenue."""
     cust = customer_geo(spark, sf_dir)
-    if regions is not None:
-        cust = cust.where(F.col("region").isin(*regions))
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     oc = orders.join(cust, orders.o_custkey == cust.c_custkey).select("o_orderkey", "segment", "region")
     li = read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate")
     return (li.join(oc, li.l_orderkey == oc.o_orderkey)
             .select(F.col("l_partkey").alias("title"),
-                    F.col("region").alias("city"),
-                    "segment",
+                    F.create_map(*[F.lit(x) for kv in CITY_OF_REGION.items() for x in kv])[F.col("region")].alias("city"),
+                    "region", "segment",
                     F.col("l_shipdate").cast("date").alias("start_date"),
                     F.col("l_quantity").alias("single_tickets"),
                     (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue")))
 
 
-def history(spark: SparkSession, sf_dir: str, holdout_every: int = HOLDOUT_EVERY) -> DataFrame:
-    """Sales history of known titles (holdout titles masked)."""
+def history(spark: SparkSession, sf_dir: str, hidden_every: int = 0) -> DataFrame:
+    """Sales history; with ``hidden_every`` every n-th title has none."""
     s = sales(spark, sf_dir)
-    if holdout_every:
-        s = s.where(F.pmod(F.col("title"), F.lit(holdout_every)) != 0)
+    if hidden_every:
+        s = s.where(F.pmod(F.col("title"), F.lit(hidden_every)) != 0)
     return s
 
 
-def history_cube(spark: SparkSession, sf_dir: str, holdout_every: int = HOLDOUT_EVERY) -> DataFrame:
+def history_cube(spark: SparkSession, sf_dir: str, hidden_every: int = 0) -> DataFrame:
     """History pre-aggregated to one row per (title, city, segment, day).
 
     Lossless for every downstream use (sums, run grouping by day, city and
     segment shares) and much smaller than the line-level table; partial
     aggregation happens before the shuffle.
     """
-    return (history(spark, sf_dir, holdout_every)
+    return (history(spark, sf_dir, hidden_every)
             .where(F.col("single_tickets").isNotNull() & (F.col("single_tickets") >= 0))
             .groupBy("title", "city", "segment", "start_date")
             .agg(F.sum("single_tickets").alias("single_tickets"),

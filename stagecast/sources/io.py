@@ -52,7 +52,7 @@ def resolve_column(df: DataFrame, candidates: Sequence[str]) -> str | None:
 def clean_frame(df: DataFrame, drop_unnamed: bool = True, drop_empty_unnamed_only: bool = False,
                 numeric_columns: Sequence[str] | None = None) -> DataFrame:
     """S02 — drop 'unnamed*' columns (all, or only the all-null ones) and coerce listed
-    columns to double (unparsable -> NULL). The all-null test is one aggregation."""
+    columns to double (anything but a plain decimal number -> NULL). The all-null test is one aggregation."""
     out = df
     if drop_unnamed:
         unnamed = [c for c in df.columns if "unnamed" in c.lower()]
@@ -63,7 +63,7 @@ def clean_frame(df: DataFrame, drop_unnamed: bool = True, drop_empty_unnamed_onl
             out = out.drop(*unnamed)
     for c in numeric_columns or []:
         if c in out.columns:
-            out = out.withColumn(c, parse_number(F.col(f"`{c}`"), blank_as_zero=False))
+            out = out.withColumn(c, parse_number(F.col(f"`{c}`"), blank_as_zero=False, commas=False))
     return out
 
 
@@ -77,7 +77,7 @@ SALES_SCHEMA = T.StructType([
 def clean_sales_history(df: DataFrame, date_cols: Sequence[str] = ("start_date", "end_date"),
                         target: str = "single_tickets", validate: bool = True) -> DataFrame:
     """S03 — parse dates (strict yyyy-MM-dd) and thousands-separated targets; raise when any
-    row has no start date; drop rows whose target is NULL or negative."""
+    row has no start date; drop rows whose target is NULL, NaN or negative."""
     out = df
     for c in date_cols:
         if c in out.columns and not isinstance(out.schema[c].dataType, T.DateType):
@@ -88,7 +88,8 @@ def clean_sales_history(df: DataFrame, date_cols: Sequence[str] = ("start_date",
         bad = out.agg(F.count_if(F.col(date_cols[0]).isNull()).alias("n")).first()["n"]
         if bad:
             raise DataLoadError(f"{bad} sales rows have no valid {date_cols[0]}")
-    return out.where(F.col(target).isNotNull() & (F.col(target) >= 0))
+    v = F.col(target).cast("double")
+    return out.where(v.isNotNull() & ~F.isnan(v) & (v >= 0))
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
@@ -127,33 +128,28 @@ def baselines_by_source(df: DataFrame, include_reference: bool = False, source_c
     return df.where(F.lower(F.trim(F.col(source_col))).isin(*keep))
 
 
-def keep_baselines(df: DataFrame, title: str = "title", order_col: str | None = None,
+def keep_baselines(df: DataFrame, title: str, order_col: str,
                    optional_numeric: Sequence[str] = ("intentratio",)) -> DataFrame:
     """S05 — trim titles, skip blank ones, later duplicate wins (``order_col`` defines 'later'),
     optional numeric columns coerced (bad -> NULL)."""
     d = df.withColumn(title, F.trim(F.col(title).cast("string"))).where(F.length(F.col(title)) > 0)
     for c in optional_numeric:
         if c in d.columns:
-            d = d.withColumn(c, parse_number(F.col(c), blank_as_zero=False))
-    if order_col:
-        cols = [c for c in d.columns if c != title]
-        d = d.groupBy(title).agg(F.max_by(F.struct(*cols), F.col(order_col)).alias("_row")).select(title, "_row.*")
-    return d
+            d = d.withColumn(c, parse_number(F.col(c), blank_as_zero=False, commas=False))
+    cols = [c for c in d.columns if c != title]
+    return d.groupBy(title).agg(F.max_by(F.struct(*cols), F.col(order_col)).alias("_row")).select(title, "_row.*")
 
 
 # S08 -------------------------------------------------------------------------
-def clean_segment_priors(df: DataFrame, segments: Sequence[str], order_col: str | None = None) -> DataFrame:
+def clean_segment_priors(df: DataFrame, segments: Sequence[str], order_col: str) -> DataFrame:
     """S08 — region/category/segment trimmed, unknown segments and non-numeric weights dropped,
-    later duplicate wins."""
+    later duplicate wins (``order_col`` defines 'later')."""
     d = (df.select(*[F.trim(F.col(c).cast("string")).alias(c) for c in ("region", "category", "segment")],
-                   parse_number(F.col("weight"), blank_as_zero=False).alias("weight"),
-                   *([F.col(order_col)] if order_col else []))
+                   parse_number(F.col("weight"), blank_as_zero=False, commas=False).alias("weight"),
+                   F.col(order_col))
          .where(F.col("segment").isin(*segments) & F.col("weight").isNotNull()
                 & (F.length("region") > 0) & (F.length("category") > 0)))
-    if order_col:
-        d = (d.groupBy("region", "category", "segment")
-             .agg(F.max_by("weight", F.col(order_col)).alias("weight")))
-    return d
+    return d.groupBy("region", "category", "segment").agg(F.max_by("weight", F.col(order_col)).alias("weight"))
 
 
 # S09 -------------------------------------------------------------------------
