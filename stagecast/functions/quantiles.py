@@ -25,6 +25,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stagecast.session import ensure_checkpoint_dir
+
 DEFAULT_ACCURACY = 10_000
 PARTS = 64
 
@@ -39,31 +41,33 @@ def _back(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> DataFrame:
     return left.join(r, _same(left, r, cols)).drop(*[f"r{c}" for c in cols])
 
 
-def rank_pairs(df: DataFrame, stats: DataFrame, keys: Sequence[str], n_probs: int) -> DataFrame:
-    """Steps 2 and 3: ``(keys, _i, _lo_r, _hi_r, _v, _c, _part, _before)``, the pairs of the wanted parts.
+def bracket_pairs(df: DataFrame, stats: DataFrame, keys: Sequence[str], n_probs: int) -> DataFrame:
+    """Step 2: ``(keys, n, _i, _v, _c)``, how often each value of a bracket occurs; ``_v`` is null for what
+    lies below it."""
+    i = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_b{i}").alias("b")) for i in range(n_probs)]))
+    d = _back(df, stats, keys).select(*keys, "n", "_v", i.alias("e")).where(F.col("_v") <= F.col("e.b")[1])
+    v = F.when(F.col("_v") >= F.col("e.b")[0], F.col("_v"))
+    return d.select(*keys, "n", F.col("e.i").alias("_i"), v.alias("_v")).groupBy(*keys, "n", "_i", "_v").agg(
+        F.count(F.lit(1)).alias("_c"))
+
 
-    ``_before`` is how many values of the group lie below the part.
+def rank_pairs(pairs: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Step 3: ``(keys, n, _i, _h, _part, _before, _v, _c)``, the pairs of the parts that hold the wanted ranks.
+
+    ``_h`` is the rank, ``_before`` how many values of the group lie below the part.
     """
-    d = _back(df, stats, keys)
-    i = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_b{i}").alias("b")) for i in range(n_probs)]))
-    d = d.select(*keys, "_v", i.alias("e"))
-    v = F.when(F.col("_v") < F.col("e.b")[0], F.lit(None).cast("double")).otherwise(F.col("_v"))
-    pairs = (d.where(F.col("_v") <= F.col("e.b")[1]).select(*keys, F.col("e.i").alias("_i"), v.alias("_v"))
-             .groupBy(*keys, "_i", "_v").agg(F.count(F.lit(1)).alias("_c")))
-    at = [F.percentile_approx("_v", F.array(*[F.lit(k / PARTS) for k in range(1, PARTS)]), 1000).alias("_cuts")]
-    cuts = pairs.where(F.col("_v").isNotNull()).groupBy(*keys, "_i").agg(*at)
-    # pairs below the bracket are part -1
+    group = [*keys, "_i"]
+    at = F.percentile_approx("_v", F.array(*[F.lit(k / PARTS) for k in range(1, PARTS)]), 1000).alias("_cuts")
+    cuts = pairs.where(F.col("_v").isNotNull()).groupBy(*group).agg(at)
+    # what is below the bracket is part -1
     part = F.when(F.col("_v").isNull(), F.lit(-1)).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col("_v"))))
-    parted = _back(pairs, cuts, [*keys, "_i"]).withColumn("_part", part).drop("_cuts")
-    sums = parted.groupBy(*keys, "_i", "_part").agg(F.sum("_c").alias("_n"))
-    order = Window.partitionBy(*keys, "_i").orderBy("_part")
+    h = (F.col("n") - 1) * F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i") + 1)
+    parted = _back(pairs, cuts, group).withColumn("_part", part).withColumn("_h", h).drop("_cuts")
+    sums = parted.groupBy(*group, "_h", "_part").agg(F.sum("_c").alias("_n"))
+    order = Window.partitionBy(*group).orderBy("_part")
     sums = sums.withColumn("_upto", F.sum("_n").over(order)).withColumn("_before", F.col("_upto") - F.col("_n"))
-    ranks = stats.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(i).alias("_i"), F.floor(F.col(f"_h{i}")).alias("_lo_r"), F.ceil(F.col(f"_h{i}")).alias("_hi_r"))
-        for i in range(n_probs)])).alias("e")).select(*keys, "e.*")
-    wanted = _back(sums, ranks, [*keys, "_i"]).where(
-        (F.col("_part") >= 0) & (F.col("_before") <= F.col("_hi_r")) & (F.col("_upto") > F.col("_lo_r")))
-    return _back(parted, wanted.select(*keys, "_i", "_part", "_before", "_lo_r", "_hi_r"), [*keys, "_i", "_part"])
+    wanted = sums.where((F.col("_part") >= 0) & (F.col("_before") <= F.ceil("_h")) & (F.col("_upto") > F.floor("_h")))
+    return _back(parted, wanted.select(*group, "_part", "_before"), [*group, "_part"])
 
 
 def exact_percentiles(df: DataFrame, value: str | Column, probs: Sequence[float], group: Sequence[str] | str | None = None,
@@ -71,7 +75,7 @@ def exact_percentiles(df: DataFrame, value: str | Column, probs: Sequence[float]
     """Per group (or globally): columns ``{prefix}{i}`` with the exact percentile probs[i], plus ``n``.
 
     NULL and NaN values are ignored; a group without values gives no row (global: one row of NULLs).
-    A NULL group is a group.
+    A NULL group is a group. The pairs of step 2 are checkpointed, as step 3 reads them several times.
     """
     groups = [group] if isinstance(group, str) else list(group or [])
     keys = [f"_k{j}" for j in range(max(1, len(groups)))]
@@ -83,25 +87,19 @@ def exact_percentiles(df: DataFrame, value: str | Column, probs: Sequence[float]
         F.when(n < 2 * accuracy, F.array(F.lit(float("-inf")), F.lit(float("inf")))).otherwise(F.percentile_approx(
             "_v", F.array(F.lit(max(0.0, p - eps)), F.lit(min(1.0, p + eps))), accuracy)).alias(f"_b{i}")
         for i, p in enumerate(probs)])
-    stats = stats.select("*", *[((F.col("n") - 1) * F.lit(float(p))).alias(f"_h{i}") for i, p in enumerate(probs)])
-    pairs = rank_pairs(d, stats, keys, len(probs))
+    ensure_checkpoint_dir(df.sparkSession)
+    pairs = rank_pairs(bracket_pairs(d, stats, keys, len(probs)).checkpoint(), keys, probs)
     upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_i", "_part").orderBy("_v"))
-    found = pairs.withColumn("_upto", upto).groupBy(*keys, "_i").agg(
-        F.min(F.when(F.col("_upto") > F.col("_lo_r"), F.col("_v"))).alias("x"),
-        F.min(F.when(F.col("_upto") > F.col("_hi_r"), F.col("_v"))).alias("y"))
-    one = found.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.struct("x", "y"))).alias(f"_x{i}")
-                                     for i in range(len(probs))])
-
-    def read(i: int) -> Column:
-        h, x, y = F.col(f"_h{i}"), F.col(f"_x{i}.x"), F.col(f"_x{i}.y")
-        return (x + (h - F.floor(h)) * (y - x)).alias(f"{prefix}{i}")
-    back = _back(stats, one, keys).select(*keys, "n", *[read(i) for i in range(len(probs))])
-    res = back.select(*[F.col(k).alias(g) for g, k in zip(groups, keys)], "n", *[f"{prefix}{i}" for i in range(len(probs))])
+    low = F.min(F.when(F.col("_upto") > F.floor("_h"), F.col("_v")))
+    high = F.min(F.when(F.col("_upto") > F.ceil("_h"), F.col("_v")))
+    found = pairs.withColumn("_upto", upto).groupBy(*keys, "n", "_i", "_h").agg(low.alias("x"), high.alias("y"))
+    at = F.col("x") + (F.col("_h") - F.floor("_h")) * (F.col("y") - F.col("x"))
+    names = [f"{prefix}{i}" for i in range(len(probs))]
+    one = found.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("_i") == i, at)).alias(c) for i, c in enumerate(names)])
     if groups:
-        return res
+        return one.select(*[F.col(k).alias(g) for g, k in zip(groups, keys)], "n", *names)
     # one row also where there are no values
-    return res.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *[F.max(f"{prefix}{i}").alias(f"{prefix}{i}")
-                                                                  for i in range(len(probs))])
+    return one.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *[F.max(c).alias(c) for c in names])
 
 
 def exact_median(df: DataFrame, value: str | Column, group: Sequence[str] | str | None = None,

@@ -115,6 +115,11 @@ def batch_rescale(df: DataFrame, batch: str, value: str, control_key: str, contr
             .drop("_ctrl"))
 
 
+def share_of_benchmark(value, benchmark) -> Column:
+    """Views as a percentage of the benchmark's (NULL without a benchmark or with 0)."""
+    return F.try_divide(_c(value).cast("double") * 100.0, F.nullif(_c(benchmark).cast("double"), F.lit(0.0)))
+
+
 def inverted_rank(df: DataFrame, rank_col: str, partition: str | None = None,
                   out: str = "rank_index") -> DataFrame:
     """100 * (1 - rank / max rank) within the partition (max joined back, no global window)."""

@@ -135,26 +135,32 @@ def calibrate(df: DataFrame, pred: str, actual: str, group: str | None = None) -
     return d.groupBy(group).agg(*aggs) if group else d.agg(*aggs)
 
 
-def expanding_backtest(df: DataFrame, group: str, order: list[str], x: str, y: str,
+def expanding_backtest(df: DataFrame, group: str, order: list[str], x: str, y: str, bucket: Column,
                        alpha: float = 0.0, min_rows: int = 2) -> DataFrame:
     """X03 — time-ordered backtest: each row is predicted by a line fitted on strictly
     earlier rows (running sums over an expanding window), no future leakage.
 
-    Per partition the running sums of x, y, xx, xy over rows before the current
-    one give the closed-form fit; prediction NULL until ``min_rows`` earlier rows.
-    A partition key is required: a global expanding window would run in one task.
+    ``bucket`` cuts the order into stretches (a month of the first order column, say; it must not
+    decrease along the order). Sums per (group, bucket) are few; their running sums are carried into a
+    window per (group, bucket), so a group that holds all rows is still spread over its buckets.
+    Prediction NULL until ``min_rows`` earlier rows.
     """
-    w = Window.partitionBy(group).orderBy(*order)
-    prev = w.rowsBetween(Window.unboundedPreceding, -1)
-    n = F.count(y).over(prev).cast("double")
-    sx, sy = F.sum(x).over(prev), F.sum(y).over(prev)
-    sxx, sxy = F.sum(F.col(x) * F.col(x)).over(prev), F.sum(F.col(x) * F.col(y)).over(prev)
-    d = df.select("*", n.alias("_n"), sx.alias("_sx"), sy.alias("_sy"), sxx.alias("_sxx"), sxy.alias("_sxy"))
-    cxx = F.col("_sxx") - F.col("_sx") * F.col("_sx") / F.col("_n")
-    cxy = F.col("_sxy") - F.col("_sx") * F.col("_sy") / F.col("_n")
+    d = df.withColumn("_b", bucket)
+    terms = {"_n": F.when(F.col(y).isNotNull(), 1.0), "_sx": F.when(F.col(y).isNotNull(), F.col(x)), "_sy": F.col(y),
+             "_sxx": F.when(F.col(y).isNotNull(), F.col(x) * F.col(x)), "_sxy": F.col(x) * F.col(y)}
+    sums = d.groupBy(group, "_b").agg(*[F.sum(t).alias(c) for c, t in terms.items()])
+    before = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = sums.select(F.col(group).alias("_cg"), F.col("_b").alias("_cb"), *[F.sum(c).over(before).alias(f"_c{c}") for c in terms])
+    d = d.join(carry, F.col(group).eqNullSafe(F.col("_cg")) & F.col("_b").eqNullSafe(F.col("_cb"))).drop("_cg", "_cb")
+    within = Window.partitionBy(group, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.select("*", *[(F.coalesce(F.sum(t).over(within), F.lit(0.0)) + F.coalesce(f"_c{c}", F.lit(0.0))).alias(c)
+                        for c, t in terms.items()])
+    n = F.nullif(F.col("_n"), F.lit(0.0))
+    cxx = F.col("_sxx") - F.col("_sx") * F.col("_sx") / n
+    cxy = F.col("_sxy") - F.col("_sx") * F.col("_sy") / n
     den = cxx + F.lit(float(alpha))
     slope = F.when(den > 1e-12, cxy / den).otherwise(F.lit(0.0))
-    icpt = F.col("_sy") / F.col("_n") - slope * F.col("_sx") / F.col("_n")
+    icpt = F.col("_sy") / n - slope * F.col("_sx") / n
     pred = F.when(F.col("_n") >= min_rows, icpt + slope * F.col(x))
     return d.withColumn("prediction", pred).withColumn("train_rows", F.col("_n").cast("bigint")).drop(
-        "_n", "_sx", "_sy", "_sxx", "_sxy")
+        "_b", *terms, *[f"_c{c}" for c in terms])

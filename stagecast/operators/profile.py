@@ -36,42 +36,35 @@ _NUMERIC = (T.IntegerType, T.LongType, T.DoubleType, T.FloatType, T.ShortType, T
 
 
 def profile_source(df: DataFrame, source: str, expected: Sequence[str] = (), required: Sequence[str] = (),
-                   date_col: str | None = None, max_numeric: int = 10, min_values: int = 10,
+                   date_col: str | None = None, min_values: int = 10,
                    fence: float = 3.0) -> DataFrame:
     """A09 — long profile rows (source, metric, column, value):
     row_count, column_count, missing_expected (value 1 per missing column),
     null_count per column (only > 0), required_nulls, date_min/date_max (as yyyymmdd),
-    outliers beyond q1 - 3 IQR / q3 + 3 IQR for the first ``max_numeric`` numeric
-    columns with more than ``min_values`` non-null values (only > 0)."""
-    spark = df.sparkSession
+    outliers beyond q1 - 3 IQR / q3 + 3 IQR for the numeric columns with more than
+    ``min_values`` non-null values (only > 0)."""
     cols = df.columns
-    numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, _NUMERIC)][:max_numeric]
+    numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, _NUMERIC)]
     aggs = [F.count(F.lit(1)).alias("__rows")]
     aggs += [F.count_if(F.col(f"`{c}`").isNull()).alias(f"__null_{i}") for i, c in enumerate(cols)]
-    aggs += [F.count(F.col(f"`{c}`")).alias(f"__nn_{i}") for i, c in enumerate(numeric)]
     if date_col and date_col in cols:
         aggs += [F.min(F.col(date_col).cast("date")).alias("__dmin"), F.max(F.col(date_col).cast("date")).alias("__dmax")]
-    one = df.agg(*aggs)
+    rows = df
     if numeric:
-        # quartiles of all numeric columns in one unpivoted two-pass exact quantile (grouped by column)
+        # quartiles of all numeric columns in one unpivoted exact quantile (grouped by column): two scans
         long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(f"`{c}`").cast("double").alias("_x"))
                                              for i, c in enumerate(numeric)])).alias("e")).select("e._c", "e._x")
         q = exact_percentiles(long, "_x", [0.25, 0.75], "_c")   # one group per column
-        qrow = q.agg(*[F.max(F.when(F.col("_c") == i, F.array("p0", "p1"))).alias(f"__q_{i}")
-                       for i in range(len(numeric))])
-        one = one.crossJoin(qrow)
-    # outliers: second pass against the fences (the 1-row stats table is broadcast)
-    out_aggs = []
+        rows = df.crossJoin(F.broadcast(q.agg(*[F.max(F.when(F.col("_c") == i, F.array("p0", "p1"))).alias(f"__q_{i}")
+                                                for i in range(len(numeric))])))       # one row
     for i, c in enumerate(numeric):
         q1, q3 = F.col(f"__q_{i}")[0], F.col(f"__q_{i}")[1]
         lo, hi = q1 - fence * (q3 - q1), q3 + fence * (q3 - q1)
         v = F.col(f"`{c}`").cast("double")
-        out_aggs.append(F.count_if(v.isNotNull() & ((v < lo) | (v > hi)) & (F.col(f"__nn_{i}") > min_values))
-                        .alias(f"__out_{i}"))
-    stats_cols = [f"__q_{i}" for i in range(len(numeric))] + [f"__nn_{i}" for i in range(len(numeric))]
-    outl = (df.crossJoin(F.broadcast(one.select(*stats_cols))).agg(*out_aggs) if numeric
-            else spark.range(1).select())
-    row = one.crossJoin(outl) if numeric else one
+        outside = F.count_if(v.isNotNull() & ~F.isnan(v) & ((v < lo) | (v > hi)))
+        aggs.append(F.when(F.count(v) > min_values, outside).otherwise(0).alias(f"__out_{i}"))
+    row = rows.agg(*aggs)          # counts, NULLs, dates and outliers: the third scan
+
     def E(metric, column, value):
         col = F.lit(column).cast("string")
         return F.struct(F.lit(metric).alias("metric"), col.alias("column"), value.cast("double").alias("value"))
@@ -96,20 +89,32 @@ def profile_source(df: DataFrame, source: str, expected: Sequence[str] = (), req
 
 
 def registry_report(profiles: Sequence[DataFrame]) -> DataFrame:
-    """A10 — one row per source from A09 rows: rows, columns, null columns, outlier columns,
-    date coverage and a details string; union of all sources."""
+    """A10 — one row per source from A09 rows: rows, columns, null columns, outlier columns, date
+    coverage, missing columns (errors), required columns with NULLs (warnings) and a details string."""
     u = profiles[0]
     for p in profiles[1:]:
         u = u.unionByName(p)
+    metric = F.col("metric")
     return u.groupBy("source").agg(
-        F.max(F.when(F.col("metric") == "row_count", F.col("value"))).cast("bigint").alias("row_count"),
-        F.max(F.when(F.col("metric") == "column_count", F.col("value"))).cast("bigint").alias("column_count"),
-        F.count_if(F.col("metric") == "null_count").alias("columns_with_nulls"),
-        F.count_if(F.col("metric") == "outliers").alias("columns_with_outliers"),
-        F.max(F.when(F.col("metric") == "date_min", F.col("value"))).cast("bigint").alias("date_min"),
-        F.max(F.when(F.col("metric") == "date_max", F.col("value"))).cast("bigint").alias("date_max"),
-        F.concat_ws("; ", F.array_sort(F.collect_list(F.when(F.col("metric").isin("missing_expected", "required_nulls"),
-                                                             F.concat_ws(":", "metric", "column"))))).alias("details"))
+        F.max(F.when(metric == "row_count", F.col("value"))).cast("bigint").alias("row_count"),
+        F.max(F.when(metric == "column_count", F.col("value"))).cast("bigint").alias("column_count"),
+        F.count_if(metric == "null_count").alias("columns_with_nulls"),
+        F.count_if(metric == "outliers").alias("columns_with_outliers"),
+        F.max(F.when(metric == "date_min", F.col("value"))).cast("bigint").alias("date_min"),
+        F.max(F.when(metric == "date_max", F.col("value"))).cast("bigint").alias("date_max"),
+        F.count_if(metric == "missing_expected").alias("errors"),
+        F.count_if((metric == "null_count") | (metric == "outliers") | ((metric == "required_nulls") & (F.col("value") > 0)))
+        .alias("warnings"),
+        F.concat_ws("; ", F.array_sort(F.collect_list(F.when(
+            (metric == "missing_expected") | ((metric == "required_nulls") & (F.col("value") > 0)),
+            F.concat_ws(":", "metric", "column"))))).alias("details"))
+
+
+def registry_totals(report: DataFrame) -> DataFrame:
+    """A10 — one row over a report: sources found, with errors, with warnings, and all their rows."""
+    return report.agg(F.count(F.lit(1)).alias("sources"), F.count_if(F.col("errors") > 0).alias("with_errors"),
+                      F.count_if(F.col("warnings") > 0).alias("with_warnings"),
+                      F.coalesce(F.sum("row_count"), F.lit(0)).alias("rows"))
 
 
 def source_mix(df: DataFrame, col: str, labels: Sequence[str]) -> DataFrame:

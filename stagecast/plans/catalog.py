@@ -7,13 +7,16 @@ names match the oracle in ``stagecast.plans.oracles``. Doubles are rounded to
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stagecast.operators import rollup as RO
 from stagecast.operators import runs as R
+from stagecast.session import ensure_checkpoint_dir
 from stagecast.sources import binding as B
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -607,8 +610,9 @@ def q_a09(spark, sf):
 
 @query("A10_registry_report")
 def q_a10(spark, sf):
-    profs = [PR.profile_source(B.read(spark, sf, t), t, date_col=d)
-             for t, d in (("lineitem", "l_shipdate"), ("orders", "o_orderdate"), ("events", "ts"), ("customer", None))]
+    profs = [PR.profile_source(B.read(spark, sf, t), t, expected=e, date_col=d)
+             for t, d, e in (("lineitem", "l_shipdate", ()), ("orders", "o_orderdate", ("o_orderkey", "o_comment")),
+                             ("events", "ts", ()), ("customer", None, ()))]
     return PR.registry_report(profs)
 
 
@@ -667,13 +671,8 @@ def q_r03(spark, sf):
 
 @query("R04_wide_plan")
 def q_r04(spark, sf):
-    plan = _season_plan(spark, sf)
-    metrics = ["title", "category", "PredictedPrimarySegment", "PredictedSecondarySegment", "Familiarity",
-               "Motivation", "SignalOnly", "TicketIndex_DeSeason_Used", "TicketIndex_used", "TicketIndexSource",
-               "FutureSeasonalityFactor", "Composite", "Score", "EstimatedTickets", "EstimatedTickets_Final",
-               "Singles_AMERICA", "Singles_EUROPE", "CityShare_AMERICA", "CityShare_EUROPE", "month_of_opening",
-               "holiday_flag"]
-    return SE.metrics_by_month(plan, metrics)
+    p = _plan(spark, sf)
+    return rounded(SE.wide_metrics(_season_plan(spark, sf), p.scored, p.cities))
 
 
 @query("R05_rank_plan")
@@ -846,7 +845,8 @@ def q_x03(spark, sf):
     p = _plan(spark, sf)
     first = p.runs.groupBy("title").agg(F.min("run_start").alias("first_run"))
     d = p.known.select("title", "category", "SignalOnly", "TicketIndex_DeSeason").join(first, "title")
-    bt = M.expanding_backtest(d, "category", ["first_run", "title"], "SignalOnly", "TicketIndex_DeSeason")
+    bt = M.expanding_backtest(d, "category", ["first_run", "title"], "SignalOnly", "TicketIndex_DeSeason",
+                              F.date_trunc("month", "first_run"))
     err = F.col("TicketIndex_DeSeason") - F.col("prediction")
     return rounded(bt.where(F.col("prediction").isNotNull()).groupBy("category").agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(err)).alias("MAE"), F.sqrt(F.avg(err * err)).alias("RMSE")))
@@ -858,19 +858,28 @@ def q_x04(spark, sf):
     return rounded(RN.modelling_dataset(runs))
 
 
+def _ticket_lines(spark, sf):
+    """lineitem as ticket lines: order priority tells subscriptions and tiers, return flag the channel."""
+    li = B.read(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount",
+                                              "l_returnflag", "l_shipdate")
+    o = B.read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    geo = B.customer_geo(spark, sf).select("c_custkey", "region")
+    part = B.read(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    city = F.create_map(*[F.lit(x) for kv in B.CITY_OF_REGION.items() for x in kv])[F.col("region")]
+    return (li.join(o, li.l_orderkey == o.o_orderkey).join(geo, F.col("o_custkey") == geo.c_custkey)
+            .join(part, li.l_partkey == part.p_partkey)
+            .select(F.col("l_partkey").alias("title_id"), F.col("p_name").alias("show_title"), city.alias("city"),
+                    F.col("p_brand").alias("venue_name"), (F.col("p_size") * 10).alias("capacity"),
+                    F.col("l_shipdate").cast("date").alias("performance"), F.col("o_orderdate").cast("date").alias("sold"),
+                    F.col("l_quantity").alias("tickets"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+                    (F.substring("o_orderpriority", 1, 1) == "1").alias("is_subscription"),
+                    (F.col("l_discount") == 0).alias("is_comp"), (F.col("l_returnflag") == "R").alias("is_refund"),
+                    F.col("l_returnflag").alias("channel"), F.substring("o_orderpriority", 1, 1).alias("tier")))
+
+
 @query("X06_ticketing_normalize")
 def q_x06(spark, sf):
-    li = B.read(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    o = B.read(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
-    d = li.join(o, li.l_orderkey == o.o_orderkey)
-    wk = F.dayofweek("l_shipdate").isin(1, 7)
-    return rounded(d.groupBy(F.col("l_partkey").alias("title")).agg(
-        F.countDistinct("l_orderkey").alias("n_orders"), F.count(F.lit(1)).alias("n_lines"),
-        F.sum("l_quantity").alias("tickets"), F.avg("l_quantity").alias("avg_tickets_per_line"),
-        (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("avg_price"),
-        (F.count_if(wk) / F.count(F.lit(1))).alias("weekend_share"),
-        (F.count_if(F.col("o_orderpriority") == "1-URGENT") / F.count(F.lit(1))).alias("urgent_share"),
-        (F.sum("l_quantity") / F.lit(50.0) / F.countDistinct("l_orderkey")).alias("load_factor")))
+    return rounded(RO.ticketing_rollup(_ticket_lines(spark, sf), B.CITIES))
 
 
 @query("X07_event_window_features")
@@ -903,12 +912,163 @@ def q_x08(spark, sf):
     return rounded(out.select("title", "wiki_rescaled"))
 
 
+@query("X08_rank_and_views")
+def q_x08r(spark, sf):
+    p = _plan(spark, sf)
+    b = p.baselines.select("title", "category", "wiki", F.col("trends").alias("rank"))
+    bench = F.broadcast(p.benchmark.select(F.col("wiki").alias("bench_wiki")))           # one row
+    out = SG.inverted_rank(b, "rank", "category").crossJoin(bench)
+    return rounded(out.select("title", "rank_index", SG.share_of_benchmark("wiki", "bench_wiki").alias("views_index")))
+
+
 @query("X09_batch_history_dedupe")
 def q_x09(spark, sf):
-    part = B.read(spark, sf, "part").select(F.trim("p_name").alias("name"))
-    u = part.dropDuplicates(["name"])
-    return (part.agg(F.count(F.lit(1)).alias("n_input")).crossJoin(u.agg(F.count(F.lit(1)).alias("n_unique")))
-            .withColumn("n_duplicates_skipped", F.col("n_input") - F.col("n_unique")))
+    part = B.read(spark, sf, "part").select("p_partkey", F.concat(F.lit(" "), "p_name").alias("name"), "p_size")
+    return RO.batch_summary(part, "name", F.col("p_size") == 1)
+
+
+@query("A10_registry_totals")
+def q_a10t(spark, sf):
+    return PR.registry_totals(q_a10(spark, sf))
+
+
+@query("A18_first_row_per_title")
+def q_a18f(spark, sf):
+    h = B.history(spark, sf).select("title", "start_date", "city", "segment", "single_tickets")
+    return rounded(RO.first_row_per_key(h, "title", ["start_date", "city", "segment"]))
+
+
+@query("A18_sorted_unique_titles")
+def q_a18u(spark, sf):
+    return RO.sorted_unique(B.read(spark, sf, "part"), "p_name")
+
+
+@query("J05_chained_enrich")
+def q_j05c(spark, sf):
+    """Every order line: weather of its city and day, then the title's spend; no row is added."""
+    h = B.history(spark, sf).select("title", "city", "start_date", "single_tickets")
+    w = B.daily_weather(spark, sf).where(F.col("city").isin("view", "click")).withColumn(
+        "city", F.when(F.col("city") == "view", F.lit("america")).otherwise(F.lit(" Europe ")))
+    out = J.chained_enrich(h, w, _spend(spark, sf), {"date_col": "start_date", "measures": ("snow",)})
+    return rounded(out.groupBy("title", "city").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("weather_snow").alias("with_weather"), F.sum("weather_snow").alias("snow"),
+        F.max("marketing_spend").alias("spend")))
+
+
+@query("J03_weather_no_city")
+def q_j03n(spark, sf):
+    out = J.join_weather(_events_with_city(spark, sf), B.daily_weather(spark, sf).drop("city"), "date", None, None, ("snow",))
+    return rounded(out.select("event_id", "weather_snow"))
+
+
+@query("J04_marketing_by_date")
+def q_j04d(spark, sf):
+    daily = B.read(spark, sf, "orders").groupBy(F.col("o_orderdate").cast("date").alias("date_key")).agg(
+        F.sum("o_totalprice").alias("marketing_spend"))
+    h = B.history(spark, sf).select("title", F.col("start_date").alias("date_key"), "single_tickets")
+    out = J.join_marketing(h, daily)
+    return rounded(out.groupBy("date_key").agg(F.count(F.lit(1)).alias("rows"), F.max("marketing_spend").alias("spend")))
+
+
+@query("F09_fit_metrics_by_category")
+def q_f09c(spark, sf):
+    p = _plan(spark, sf)
+    return rounded(M.fit_metrics(p.known, p.category_models, group="category"))
+
+
+# ---------------------------------------------------------------- sources as files: written by S19, read back
+def _as_file(spark, df, tag):
+    """A table as CSV files in a fresh folder that all machines share."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    IO.write_table(df, path)
+    return path
+
+
+def _as_texts(df, schema, **cols):
+    """``df`` with the columns of a source file, in order; those that are not given are empty."""
+    return df.select(*[cols.get(f.name, F.lit(None)).cast("string").alias(f.name) for f in schema.fields])
+
+
+@query("S06_external_factors")
+def q_s06(spark, sf):
+    f = _as_texts(_ext_factors(spark, sf), IO.EXTERNAL_FACTORS_SCHEMA, year=F.col("year"), city=F.col("city"),
+                  population=F.col("n_orders"), income=F.col("avg_order_value"))
+    d = IO.read_source(spark, _as_file(spark, f, "s06"), IO.EXTERNAL_FACTORS_SCHEMA, numeric_cols=("year", "population", "income", "gdp"))
+    return rounded(d.select(F.col("year").cast("int").alias("year"), "city", "population", "income", "gdp"))
+
+
+@query("S07_dated_series")
+def q_s07(spark, sf):
+    ev = B.read(spark, sf, "events").groupBy(F.col("ts").cast("date").alias("date"), "event_type").agg(F.avg("value").alias("v"))
+    oil = _as_texts(ev.where("event_type = 'view'"), IO.OIL_PRICE_SCHEMA, date=F.col("date"), wcs_oil_price=F.col("v"), oil_series=F.col("event_type"))
+    un = _as_texts(ev.where("event_type <> 'view'"), IO.UNEMPLOYMENT_SCHEMA, date=F.date_format("date", "yyyy-MM-dd"), unemployment_rate=F.col("v"),
+                   region=F.col("event_type"))
+    a = IO.read_source(spark, _as_file(spark, oil, "s07a"), IO.OIL_PRICE_SCHEMA, ("date",), ("wcs_oil_price",))
+    b = IO.read_source(spark, _as_file(spark, un, "s07b"), IO.UNEMPLOYMENT_SCHEMA, ("date",), ("unemployment_rate",))
+    return rounded(a.select("date", F.col("oil_series").alias("series"), F.col("wcs_oil_price").alias("value")).unionByName(
+        b.select("date", F.col("region").alias("series"), F.col("unemployment_rate").alias("value"))))
+
+
+@query("S10_event_features")
+def q_s10(spark, sf):
+    o = B.read(spark, sf, "orders")
+    f = _as_texts(o, IO.EVENT_FEATURES_SCHEMA, show_title=F.col("o_orderkey"), city=F.col("o_orderstatus"),
+                  phq_start_date=F.col("o_orderdate").cast("date"), phq_end_date=F.lit("not a date"),
+                  phq_attendance=F.col("o_totalprice"), phq_rank=F.substring("o_orderpriority", 1, 1))
+    d = IO.read_source(spark, _as_file(spark, f, "s10"), IO.EVENT_FEATURES_SCHEMA, ("phq_start_date", "phq_end_date"), ("phq_attendance", "phq_rank"))
+    return rounded(d.select("show_title", "city", "phq_start_date", "phq_end_date", "phq_attendance", "phq_rank"))
+
+
+@query("S11_survey")
+def q_s11(spark, sf):
+    c = B.read(spark, sf, "customer").groupBy("c_mktsegment", "c_nationkey").agg(F.avg("c_acctbal").alias("v"))
+    f = _as_texts(c, IO.SURVEY_SCHEMA, category=F.col("c_mktsegment"), subcategory=F.lit("all"), metric=F.lit("balance"),
+                  year_or_period=F.when(F.col("c_nationkey") % 5 == 0, F.lit("Q1")).otherwise((F.col("c_nationkey") + 2000).cast("string")),
+                  value=F.col("v"), unit=F.lit("dollars, all"))
+    d = IO.read_source(spark, _as_file(spark, f, "s11"), IO.SURVEY_SCHEMA)
+    return rounded(IO.tidy_slice(d, {"category": "BUILDING", "metric": "balance"}))
+
+
+@query("S13_index_series")
+def q_s13(spark, sf):
+    o = B.read(spark, sf, "orders").groupBy(F.col("o_orderdate").cast("date").alias("d")).agg(
+        F.sum("o_totalprice").alias("a"), F.count(F.lit(1)).alias("n"))
+    f = _as_texts(o, IO.COMMODITY_INDEX_SCHEMA, **{"date": F.col("d"), "A.BCPI": F.col("a"), "A.ENER": F.col("n")})
+    d = IO.read_source(spark, _as_file(spark, f, "s13"), IO.COMMODITY_INDEX_SCHEMA, ("date",), ("a.bcpi", "a.ener", "a.fish"))
+    return rounded(d.select("date", F.col("`a.bcpi`").alias("bcpi"), F.col("`a.ener`").alias("ener"), F.col("`a.fish`").alias("fish")))
+
+
+@query("S14_census")
+def q_s14(spark, sf):
+    g = B.customer_geo(spark, sf).groupBy("region", "segment").agg(F.count(F.lit(1)).alias("Customers - All"))
+    path = _as_file(spark, g, "s14")
+    d = IO.normalize_columns(IO.read_csv(spark, path))          # free-form columns: no schema given
+    return d.select("region", "segment", P.parse_number("customers_all").cast("bigint").alias("customers_all"))
+
+
+@query("S17_csv_quirks")
+def q_s17(spark, sf):
+    p = B.read(spark, sf, "part").select(
+        F.col("p_partkey").cast("string").alias("\ufeffid"), F.concat(F.lit('"'), "p_name", F.lit('", in short, é')).alias("name"), "p_type")
+    d = IO.read_csv(spark, _as_file(spark, p, "s17"))
+    return d.select(F.col("id").cast("bigint").alias("id"), "name", F.col("p_type").alias("type"))
+
+
+@query("S19_markdown_rows")
+def q_s19(spark, sf):
+    return IO.to_markdown_rows(B.read(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey"))
+
+
+@query("S20_missing_source")
+def q_s20(spark, sf):
+    """A source that is not there reads as an empty table of its schema; the others stay whole."""
+    c = B.read(spark, sf, "customer").select(F.col("c_mktsegment").alias("city"))
+    f = _as_texts(c, IO.UNEMPLOYMENT_SCHEMA, region=F.col("city"))
+    path = _as_file(spark, f, "s20")
+    there = IO.read_source(spark, path, IO.UNEMPLOYMENT_SCHEMA)
+    gone = IO.read_source(spark, path + "-missing", IO.UNEMPLOYMENT_SCHEMA)
+    both = there.withColumn("found", F.lit(1)).unionByName(gone.withColumn("found", F.lit(0)))
+    return both.groupBy("region").agg(F.count(F.lit(1)).alias("rows"), F.min("found").alias("found"))
 
 
 @query("S12_tidy_slice")

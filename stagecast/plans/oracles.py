@@ -872,6 +872,32 @@ SELECT title, metric,
        max(value) FILTER (WHERE mm = 'MARCH') AS "MARCH", max(value) FILTER (WHERE mm = 'MAY') AS "MAY"
 FROM lng GROUP BY title, metric""")
 
+register("R04_wide_plan", plan_ctes() + """,
+sw AS (SELECT title, '{' || string_agg('"' || segment || '":' || CAST(round(share, 4) AS VARCHAR), ',' ORDER BY pos) || '}' AS j FROM segmix GROUP BY 1),
+d AS (
+  SELECT p.*, i.gender, i."TicketIndexSource" AS src, i.wiki, i.trends, i.youtube, i.chartmetric, i."SignalOnly" AS so, i."TicketMedian" AS tmed,
+         i."TicketIndex_DeSeason_Used" AS du, i."HistSeasonalityFactor" AS hf, i.prior_total_tickets, i.run_count_prior,
+         i."TicketIndex_Predicted" AS pred, i."FutureSeasonalityFactor" AS csf, s1.segment AS seg1, s2.segment AS seg2, sw.j
+  FROM plan p JOIN imputed i USING (title) JOIN sw USING (title)
+  JOIN segmix s1 ON s1.title = p.title AND s1.rank = 1 JOIN segmix s2 ON s2.title = p.title AND s2.rank = 2
+),
+n AS (SELECT title, "Month", unnest([
+""" + ",\n".join(f"  {{'metric': '{m}', 'number': CAST({e} AS DOUBLE), 'text': CAST(NULL AS VARCHAR)}}" for m, e in (
+    ("wiki", "wiki"), ("trends", "trends"), ("youtube", "youtube"), ("chartmetric", "chartmetric"), ("Familiarity", '"Familiarity"'),
+    ("Motivation", '"Motivation"'), ("SignalOnly", "so"), ("TicketMedian", "tmed"), ("TicketIndex_DeSeason_Used", "du"),
+    ("TicketIndex_used", "used"), ("FutureSeasonalityFactor", "ff"), ("HistSeasonalityFactor", "hf"), ("Composite", '"Composite"'),
+    ("EstimatedTickets", "est"), ("EstimatedTickets_Final", "fin"), ("ticket_median_prior", "tmed"),
+    ("prior_total_tickets", "prior_total_tickets"), ("run_count_prior", "run_count_prior"), ("TicketIndex_Predicted", "pred"),
+    ("month_of_opening", "m"), ("category_seasonality_factor", "csf"), ("Singles_AMERICA", "sgl_a"), ("Singles_EUROPE", "sgl_e"),
+    ("CityShare_AMERICA", "sa / (sa + se)"), ("CityShare_EUROPE", "se / (sa + se)"))) + ",\n" + ",\n".join(
+    f"  {{'metric': '{m}', 'number': CAST(NULL AS DOUBLE), 'text': CAST({e} AS VARCHAR)}}" for m, e in (
+    ("title", "title"), ("category", "category"), ("PredictedPrimarySegment", "seg1"), ("PredictedSecondarySegment", "seg2"),
+    ("TicketIndexSource", "src"), ("Score", """CASE WHEN "Composite" >= 90 THEN 'A' WHEN "Composite" >= 75 THEN 'B'
+      WHEN "Composite" >= 60 THEN 'C' WHEN "Composite" >= 45 THEN 'D' ELSE 'E' END"""), ("gender", "gender"),
+    ("dominant_audience_segment", "seg1"), ("segment_weights", "j"), ("holiday_flag", "m IN (11, 12, 1)"))) + """
+]) AS e FROM d)
+SELECT title, "Month", e.metric AS metric, round(e.number, 6) AS number, e.text AS text FROM n""")
+
 register("R05_rank_plan", plan_ctes() + """
 SELECT "Month", title, round("Composite", 6) AS "Composite", round(fin, 6) AS "EstimatedTickets_Final"
 FROM plan ORDER BY "Composite" DESC, fin DESC, title""")
@@ -1091,13 +1117,42 @@ SELECT title, CAST(run_no AS BIGINT) AS run_no, run_start, run_end, prior_run_co
 FROM w""")
 
 register("X06_ticketing_normalize", """
-SELECT l.l_partkey AS title, count(DISTINCT l.l_orderkey) AS n_orders, count(*) AS n_lines,
-       round(sum(l.l_quantity), 6) AS tickets, round(avg(l.l_quantity), 6) AS avg_tickets_per_line,
-       round(sum(l.l_extendedprice) / sum(l.l_quantity), 6) AS avg_price,
-       round(count(*) FILTER (WHERE dayofweek(l.l_shipdate) IN (0, 6)) / count(*), 6) AS weekend_share,
-       round(count(*) FILTER (WHERE o.o_orderpriority = '1-URGENT') / count(*), 6) AS urgent_share,
-       round(sum(l.l_quantity) / 50.0 / count(DISTINCT l.l_orderkey), 6) AS load_factor
-FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY l.l_partkey""")
+WITH t AS (
+  SELECT l.l_partkey AS id, p.p_name, CASE WHEN r.r_name IN ('AMERICA', 'AFRICA') THEN 'AMERICA' ELSE 'EUROPE' END AS city,
+         p.p_brand, p.p_size * 10 AS cap, CAST(l.l_shipdate AS DATE) AS perf, CAST(o.o_orderdate AS DATE) AS sold, l.l_quantity AS q,
+         l.l_extendedprice / l.l_quantity AS price, substr(o.o_orderpriority, 1, 1) AS tier, l.l_discount, l.l_returnflag AS ch
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+  JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey JOIN part p ON p.p_partkey = l.l_partkey
+),
+bc AS (SELECT id, city, sum(q) AS s, count(DISTINCT perf) AS np FROM t GROUP BY 1, 2),
+pc AS (SELECT * FROM bc QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, city DESC) = 1),
+dy AS (SELECT id, sold, sum(sum(q)) OVER (PARTITION BY id ORDER BY sold) AS upto, sum(sum(q)) OVER (PARTITION BY id) AS s FROM t GROUP BY 1, 2),
+wk AS (SELECT id, date_diff('day', min(sold), min(sold) FILTER (WHERE upto >= 0.8 * s)) / 7.0 AS w FROM dy GROUP BY 1),
+chm AS (SELECT id, string_agg(ch || ':' || (CAST(floor((s / a) * 10000 + 0.5) AS BIGINT) // 10000) || '.' || lpad(CAST(CAST(floor((s / a) * 10000 + 0.5) AS BIGINT) % 10000 AS VARCHAR), 4, '0'), ';' ORDER BY ch) AS m
+        FROM (SELECT id, ch, sum(q) AS s, sum(sum(q)) OVER (PARTITION BY id) AS a FROM t GROUP BY 1, 2) GROUP BY 1),
+trm AS (SELECT id, string_agg(tier || ':' || (CAST(floor((s / a) * 10000 + 0.5) AS BIGINT) // 10000) || '.' || lpad(CAST(CAST(floor((s / a) * 10000 + 0.5) AS BIGINT) % 10000 AS VARCHAR), 4, '0'), ';' ORDER BY tier) AS m
+        FROM (SELECT id, tier, sum(q) AS s, sum(sum(q)) OVER (PARTITION BY id) AS a FROM t GROUP BY 1, 2) GROUP BY 1),
+g AS (
+  SELECT id, min(p_name) AS show_title, year(min(perf) - INTERVAL 7 MONTH) AS y0, min(p_brand) AS venue_name, max(cap) AS cap,
+         count(DISTINCT perf) AS np,
+         coalesce(sum(q) FILTER (WHERE city = 'AMERICA' AND tier <> '1'), 0) AS sa, coalesce(sum(q) FILTER (WHERE city = 'EUROPE' AND tier <> '1'), 0) AS se,
+         coalesce(sum(q) FILTER (WHERE city = 'AMERICA' AND tier = '1'), 0) AS ua, coalesce(sum(q) FILTER (WHERE city = 'EUROPE' AND tier = '1'), 0) AS ue,
+         coalesce(sum(q) FILTER (WHERE tier <> '1'), 0) AS st, coalesce(sum(q) FILTER (WHERE tier = '1'), 0) AS ut, sum(q) AS q,
+         coalesce(sum(q) FILTER (WHERE date_diff('day', sold, perf) <= 7), 0) / sum(q) AS late,
+         coalesce(sum(q) FILTER (WHERE q >= 30), 0) / sum(q) AS grp, coalesce(sum(q) FILTER (WHERE l_discount = 0), 0) / sum(q) AS comp,
+         count(*) FILTER (WHERE ch = 'R') / count(*) AS refund, sum(price * q) / sum(q) AS price, min(perf) AS o, max(perf) AS c,
+         coalesce(sum(q) FILTER (WHERE dayofweek(perf) NOT IN (0, 6)), 0) / sum(q) AS wd, coalesce(sum(q) FILTER (WHERE dayofweek(perf) IN (0, 6)), 0) / sum(q) AS we
+  FROM t GROUP BY id
+)
+SELECT show_title, g.id AS show_title_id, y0 || '-' || lpad(CAST((y0 + 1) % 100 AS VARCHAR), 2, '0') AS production_season, pc.city, venue_name,
+       cap AS venue_capacity, pc.np AS performance_count_city, g.np AS performance_count_total,
+       sa AS "single_tickets_america", se AS "single_tickets_europe", ua AS "subscription_tickets_america", ue AS "subscription_tickets_europe",
+       st AS total_single_tickets, ut AS total_subscription_tickets, q AS total_tickets_all, round(q / g.np, 6) AS avg_tickets_per_performance,
+       round(q / (cap * g.np), 6) AS load_factor, round(wk.w, 6) AS weeks_to_80pct_sold, round(late, 6) AS late_sales_share,
+       chm.m AS channel_mix_distribution, round(grp, 6) AS group_sales_share, round(comp, 6) AS comp_ticket_share,
+       round(refund, 6) AS refund_cancellation_rate, trm.m AS pricing_tier_structure, round(price, 6) AS average_base_ticket_price,
+       o AS opening_date, c AS closing_date, 'weekday:' || (CAST(floor(wd * 10000 + 0.5) AS BIGINT) // 10000) || '.' || lpad(CAST(CAST(floor(wd * 10000 + 0.5) AS BIGINT) % 10000 AS VARCHAR), 4, '0') || ';weekend:' || (CAST(floor(we * 10000 + 0.5) AS BIGINT) // 10000) || '.' || lpad(CAST(CAST(floor(we * 10000 + 0.5) AS BIGINT) % 10000 AS VARCHAR), 4, '0') AS weekday_vs_weekend_mix
+FROM g JOIN pc ON pc.id = g.id JOIN wk ON wk.id = g.id JOIN chm ON chm.id = g.id JOIN trm ON trm.id = g.id""")
 
 register("X07_event_window_features", scoring_ctes("runs") + """,
 ev AS (
@@ -1118,9 +1173,79 @@ register("X08_batch_rescale", with_(B_BASE) + """,
 ctrl AS (SELECT category, arg_min(wiki, title) AS cw FROM base GROUP BY category)
 SELECT b.title, round(b.wiki * 100 / nullif(c.cw, 0), 6) AS wiki_rescaled FROM base b JOIN ctrl c USING (category)""")
 
+register("X08_rank_and_views", scoring_ctes("index") + """
+SELECT b.title, round(100 * (1 - b.trends / max(b.trends) OVER (PARTITION BY b.category)), 6) AS rank_index,
+       round(b.wiki * 100 / (SELECT wiki FROM bench), 6) AS views_index FROM base b""")
+
 register("X09_batch_history_dedupe", """
-SELECT count(*) AS n_input, count(DISTINCT trim(p_name)) AS n_unique, count(*) - count(DISTINCT trim(p_name)) AS n_duplicates_skipped
-FROM part""")
+WITH u AS (SELECT trim(p_name) AS t, count(*) AS n, max(CASE WHEN p_size = 1 THEN 1 ELSE 0 END) AS bad FROM part GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS n_input, count(*) AS n_unique, CAST(sum(n) - count(*) AS BIGINT) AS n_duplicates_skipped,
+       CAST(count(*) - sum(bad) AS BIGINT) AS n_succeeded, CAST(sum(bad) AS BIGINT) AS n_failed FROM u""")
+
+register("A18_first_row_per_title", with_(B_HIST) + """
+SELECT title, start_date, city, segment, single_tickets FROM hist
+QUALIFY row_number() OVER (PARTITION BY title ORDER BY start_date, city, segment, single_tickets) = 1""")
+
+register("A18_sorted_unique_titles", """
+SELECT DISTINCT trim(p_name) AS p_name FROM part WHERE length(trim(p_name)) > 0""")
+
+register("J05_chained_enrich", with_(B_HIST) + """,
+w AS (SELECT CASE event_type WHEN 'view' THEN 'AMERICA' ELSE 'EUROPE' END AS city, CAST(ts AS DATE) AS d, avg(value) / 5 AS snow
+      FROM events WHERE event_type IN ('view', 'click') GROUP BY 1, 2),
+sp AS (SELECT l_partkey AS title, sum(l_extendedprice * l_discount) AS spend FROM lineitem GROUP BY 1)
+SELECT h.title, h.city, count(*) AS rows, count(w.snow) AS with_weather, round(sum(w.snow), 6) AS snow, round(max(sp.spend), 6) AS spend
+FROM hist h LEFT JOIN w ON w.city = h.city AND w.d = h.start_date LEFT JOIN sp ON sp.title = h.title GROUP BY 1, 2""")
+
+register("J03_weather_no_city", """
+WITH w AS (SELECT event_type, CAST(ts AS DATE) AS d, avg(value) / 5 AS snow FROM events GROUP BY 1, 2),
+a AS (SELECT d, avg(snow) AS snow FROM w GROUP BY 1)
+SELECT event_id, round(a.snow, 6) AS weather_snow FROM events e LEFT JOIN a ON a.d = CAST(e.ts AS DATE)""")
+
+register("J04_marketing_by_date", with_(B_HIST) + """,
+sp AS (SELECT CAST(o_orderdate AS DATE) AS d, sum(o_totalprice) AS spend FROM orders GROUP BY 1)
+SELECT start_date AS date_key, count(*) AS rows, round(max(spend), 6) AS spend FROM hist LEFT JOIN sp ON sp.d = start_date GROUP BY 1""")
+
+register("F09_fit_metrics_by_category", scoring_ctes("models") + """
+SELECT k.category, count(*) AS n,
+       round(avg(abs("TicketIndex_DeSeason" - (m.intercept + m.slope * "SignalOnly"))), 6) AS "MAE",
+       round(sqrt(avg(("TicketIndex_DeSeason" - (m.intercept + m.slope * "SignalOnly")) ^ 2)), 6) AS "RMSE",
+       round(1 - sum(("TicketIndex_DeSeason" - (m.intercept + m.slope * "SignalOnly")) ^ 2) / (var_pop("TicketIndex_DeSeason") * count(*)), 6) AS "R2"
+FROM known k JOIN catmodel m ON m.category = k.category GROUP BY 1""")
+
+register("S06_external_factors", """
+SELECT CAST(year(o_orderdate) AS INTEGER) AS year, r.r_name AS city, CAST(count(*) AS DOUBLE) AS population, round(avg(o_totalprice), 6) AS income,
+       CAST(NULL AS DOUBLE) AS gdp
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY 1, 2""")
+
+register("S07_dated_series", """
+SELECT CAST(ts AS DATE) AS date, event_type AS series, round(avg(value), 6) AS value FROM events GROUP BY 1, 2""")
+
+register("S10_event_features", """
+SELECT CAST(o_orderkey AS VARCHAR) AS show_title, o_orderstatus AS city, CAST(o_orderdate AS DATE) AS phq_start_date,
+       CAST(NULL AS DATE) AS phq_end_date, round(o_totalprice, 6) AS phq_attendance,
+       CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS phq_rank FROM orders""")
+
+register("S11_survey", """
+SELECT CAST(c_nationkey + 2000 AS INTEGER) AS year, round(avg(c_acctbal), 6) AS value FROM customer
+WHERE c_mktsegment = 'BUILDING' AND c_nationkey % 5 <> 0 GROUP BY c_nationkey""")
+
+register("S13_index_series", """
+SELECT CAST(o_orderdate AS DATE) AS date, round(sum(o_totalprice), 6) AS bcpi, CAST(count(*) AS DOUBLE) AS ener, CAST(NULL AS DOUBLE) AS fish
+FROM orders GROUP BY 1""")
+
+register("S14_census", """
+SELECT r.r_name AS region, c_mktsegment AS segment, count(*) AS customers_all
+FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY 1, 2""")
+
+register("S17_csv_quirks", """
+SELECT p_partkey AS id, '"' || p_name || '", in short, é' AS name, p_type AS type FROM part""")
+
+register("S19_markdown_rows", """
+SELECT '| ' || c_custkey || ' | ' || c_name || ' | ' || c_nationkey || ' |' AS line FROM customer""")
+
+register("S20_missing_source", """
+SELECT c_mktsegment AS region, count(*) AS rows, CAST(1 AS INTEGER) AS found FROM customer GROUP BY 1""")
 
 register("S12_tidy_slice", """
 SELECT CAST(day(ts) AS INTEGER) AS year, count(*) AS n, round(sum(value), 6) AS value
@@ -1207,12 +1332,18 @@ def _a10_sql() -> str:
             f"(SELECT CASE WHEN count({c}) > 10 AND count(*) FILTER (WHERE {c} < q1 - 3 * (q3 - q1) OR {c} > q3 + 3 * (q3 - q1)) > 0 "
             f"THEN 1 ELSE 0 END FROM {t}, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM {t}))"
             for c in num)
+        miss, det = (1, "missing_expected:o_comment") if t == "orders" else (0, "")
         dmin = f"CAST(strftime(min(CAST({dcol} AS DATE)), '%Y%m%d') AS BIGINT)" if dcol else "CAST(NULL AS BIGINT)"
         dmax = f"CAST(strftime(max(CAST({dcol} AS DATE)), '%Y%m%d') AS BIGINT)" if dcol else "CAST(NULL AS BIGINT)"
         parts.append(f"""SELECT '{t}' AS source, count(*) AS row_count, CAST({ncols} AS BIGINT) AS column_count,
        CAST({nulls} AS BIGINT) AS columns_with_nulls, CAST(({outl}) AS BIGINT) AS columns_with_outliers,
-       {dmin} AS date_min, {dmax} AS date_max, '' AS details FROM {t}""")
+       {dmin} AS date_min, {dmax} AS date_max, CAST({miss} AS BIGINT) AS errors, CAST({nulls} + ({outl}) AS BIGINT) AS warnings,
+       '{det}' AS details FROM {t}""")
     return "\nUNION ALL\n".join(parts)
 
 
 register("A10_registry_report", _a10_sql())
+
+register("A10_registry_totals", "WITH r AS (" + _a10_sql() + """)
+SELECT count(*) AS sources, count(*) FILTER (WHERE errors > 0) AS with_errors, count(*) FILTER (WHERE warnings > 0) AS with_warnings,
+       CAST(sum(row_count) AS BIGINT) AS rows FROM r""")

@@ -103,13 +103,38 @@ def board_summary(plan: DataFrame, cities: Sequence[str]) -> DataFrame:
 def metrics_by_month(plan: DataFrame, metrics: Sequence[str], months: Sequence[str] = FINANCIAL_MONTH_ORDER,
                      key: str = "title") -> DataFrame:
     """R03/R04 — metrics as rows, plan months as columns: unpivot to (key, metric, month, value)
-    then pivot on the bounded month list (values as strings)."""
+    then pivot on the bounded month list (values as strings). A title has one row per month: two
+    different values for one cell raise."""
     mname = F.split(F.col("Month"), " ")[0]
     d = plan.withColumn("_m", F.upper(mname)).where(mname.isin(*months))
     long = d.select(key, "_m", F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(f"`{m}`").cast("string").alias("value")) for m in metrics])).alias("e"))
     return (long.select(key, "_m", "e.metric", "e.value")
-            .groupBy(key, "metric").pivot("_m", [m.upper() for m in months]).agg(F.max("value")))
+            .groupBy(key, "metric").pivot("_m", [m.upper() for m in months]).agg(
+                F.when(F.min("value").eqNullSafe(F.max("value")), F.max("value")).otherwise(
+                    F.raise_error(F.lit("two rows of one title and month")).cast("string"))))
+
+
+# FIXED VALUES — metrics of the full plan export, in order (numbers, then texts)
+WIDE_NUMBERS = ("wiki", "trends", "youtube", "chartmetric", "Familiarity", "Motivation", "SignalOnly", "TicketMedian",
+                "TicketIndex_DeSeason_Used", "TicketIndex_used", "FutureSeasonalityFactor", "HistSeasonalityFactor",
+                "Composite", "EstimatedTickets", "EstimatedTickets_Final", "ticket_median_prior", "prior_total_tickets",
+                "run_count_prior", "TicketIndex_Predicted", "month_of_opening", "category_seasonality_factor")
+WIDE_TEXTS = ("title", "category", "PredictedPrimarySegment", "PredictedSecondarySegment", "TicketIndexSource", "Score",
+              "gender", "dominant_audience_segment", "segment_weights", "holiday_flag")
+
+
+def wide_metrics(plan: DataFrame, scored: DataFrame, cities: Sequence[str]) -> DataFrame:
+    """R04 — every metric of every plan row as ``(title, Month, metric, number, text)``: numbers stay
+    numbers, texts texts. The neighbour-imputation fields are absent, as nothing computes them."""
+    numbers = [*WIDE_NUMBERS, *[f"Singles_{c}" for c in cities], *[f"CityShare_{c}" for c in cities]]
+    more = [c for c in [*numbers, *WIDE_TEXTS] if c not in plan.columns]
+    d = plan.join(scored.select("title", *more), "title")
+    cells = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("number"), F.lit(None).cast("string").alias("text"))
+             for m in numbers]
+    cells += [F.struct(F.lit(m).alias("metric"), F.lit(None).cast("double").alias("number"), F.col(m).cast("string").alias("text"))
+              for m in WIDE_TEXTS]
+    return d.select("title", "Month", F.explode(F.array(*cells)).alias("e")).select("title", "Month", "e.*")
 
 
 def rank_plan(plan: DataFrame) -> DataFrame:
@@ -143,7 +168,9 @@ def scatter_quadrants(plan: DataFrame, x: str = "Familiarity", y: str = "Motivat
                       size_col: str = "EstimatedTickets_Final") -> DataFrame:
     """A16 — medians of x and y (1-row, broadcast), bubble size 3*sqrt(max(t, 0), 0 -> 1) and quadrant."""
     d = plan.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(size_col).isNotNull())
-    med = F.broadcast(exact_median(d, x, None, "_mx").drop("n").crossJoin(exact_median(d, y, None, "_my").drop("n")))
+    axes = d.select(F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("at")) for a in (x, y)])).alias("e")).select("e.*")
+    both = exact_median(axes, "at", "axis")
+    med = F.broadcast(both.agg(*[F.max(F.when(F.col("axis") == a, F.col("median"))).alias(m) for a, m in ((x, "_mx"), (y, "_my"))]))
     t = F.greatest(F.col(size_col).cast("double"), F.lit(0.0))
     size = F.sqrt(F.when(t == 0, F.lit(1.0)).otherwise(t)) * 3.0
     quad = F.concat(F.when(F.col(x) >= F.col("_mx"), F.lit("high_")).otherwise(F.lit("low_")), F.lit(x.lower()), F.lit("/"),

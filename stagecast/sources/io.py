@@ -63,7 +63,7 @@ def clean_frame(df: DataFrame, drop_unnamed: bool = True, drop_empty_unnamed_onl
             out = out.drop(*unnamed)
     for c in numeric_columns or []:
         if c in out.columns:
-            out = out.withColumn(c, parse_number(F.col(f"`{c}`"), blank_as_zero=False, commas=False))
+            out = out.withColumns({c: parse_number(F.col(f"`{c}`"), blank_as_zero=False, commas=False)})
     return out
 
 
@@ -166,6 +166,22 @@ def clean_past_runs(df: DataFrame, title: str = "title", start: str = "start_dat
 
 
 # S06, S07, S10, S11, S13, S14, S16 --------------------------------------------
+def _texts(*names: str) -> T.StructType:
+    """Every field is read as text; numbers and dates are parsed by the rules of this module."""
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
+# FIXED VALUES — columns of the source files, in file order
+EXTERNAL_FACTORS_SCHEMA = _texts("year", "city", "unemployment", "cpi", "gdp", "oil", "fx", "population", "income",
+                                 "tourism", "arts_confidence")
+OIL_PRICE_SCHEMA = _texts("date", "wcs_oil_price", "oil_series")
+UNEMPLOYMENT_SCHEMA = _texts("date", "unemployment_rate", "region")
+EVENT_FEATURES_SCHEMA = _texts("show_title", "city", "phq_start_date", "phq_end_date", "phq_attendance", "phq_rank")
+SURVEY_SCHEMA = _texts("category", "subcategory", "metric", "year_or_period", "value", "unit")
+COMMODITY_INDEX_SCHEMA = _texts("date", "A.BCPI", "A.BCNE", "A.ENER", "A.MTLS", "A.FOPR", "A.AGRI", "A.FISH")
+CPI_SCHEMA = _texts("date", "V41690973", "V41690914", "STATIC_TOTALCPICHANGE", "CPI_TRIM", "CPI_MEDIAN", "CPI_COMMON")
+
+
 def read_source(spark: SparkSession, path: str, schema: T.StructType, date_cols: Sequence[str] = (),
                 numeric_cols: Sequence[str] = (), fallback_empty: bool = True, fmt: str = "csv") -> DataFrame:
     """Generic schema-driven reader used for factor, price, rate, event, survey, index,
@@ -220,7 +236,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwri
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.option("header", True).option("escape", '"').csv(path)      # quotes inside a field are doubled
     else:
         w.format(fmt).save(path)
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stagecast.functions.quantiles import PARTS, exact_median, exact_percentiles, rank_pairs
+from stagecast.functions.quantiles import PARTS, bracket_pairs, exact_median, exact_percentiles, rank_pairs
 
 PROBS = [0.0, 0.03, 0.25, 0.5, 0.75, 0.97, 1.0]
 
@@ -39,8 +39,7 @@ def test_what_is_gathered_stays_small_under_ties(spark, distinct):
     eps = 3 / accuracy
     stats = df.groupBy("_k0").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(
         "_v", F.array(F.lit(0.25 - eps), F.lit(0.25 + eps)), accuracy).alias("_b0"))
-    stats = stats.withColumn("_h0", (F.col("n") - 1) * 0.25)
-    gathered = rank_pairs(df, stats, ["_k0"], 1).count()
+    gathered = rank_pairs(bracket_pairs(df, stats, ["_k0"], 1), ["_k0"], [0.25]).count()
     assert 1 <= gathered <= max(2, 4 * 6 * n / accuracy / PARTS)
     vals = np.array([r[0] for r in df.select("_v").toLocalIterator()]) if distinct == 7 else None
     if vals is not None:

@@ -97,6 +97,6 @@ def test_tiered_impute_sources_and_clip(spark):
 def test_expanding_backtest_uses_only_past(spark):
     rows = [("c", i, float(i), 2.0 * i) for i in range(6)]
     df = spark.createDataFrame(rows, "category string, t int, x double, y double")
-    out = {r.t: r for r in M.expanding_backtest(df, "category", ["t"], "x", "y").collect()}
+    out = {r.t: r for r in M.expanding_backtest(df, "category", ["t"], "x", "y", F.floor(F.col("t") / 2)).collect()}
     assert out[0].prediction is None and out[1].prediction is None
     assert out[5].prediction == pytest.approx(10.0) and out[5].train_rows == 5
