@@ -37,6 +37,8 @@ BANDS = REGISTERS // ROWS
 PERCENT = 80
 #: Below the threshold by so much, 128 registers estimate a pair at the threshold about once in 1e7.
 MARGIN = 0.22
+#: Rows that a task gives back at once.
+AT_ONCE = 1000
 #: Documents, and shingles, of one side of a block in the last step.
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 400_000
 
@@ -104,7 +106,7 @@ def sketches(docs: DataFrame, width: int, percent: int = PERCENT) -> DataFrame:
     ``seeds2`` is the number of seeds of the smallest possible partner, null if it is ``seeds1``.
     """
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (b[at:at + AT_ONCE] for b in batches for at in range(0, len(b), AT_ONCE)):
             rows = []
             for doc, text in zip(batch["id"], batch["text"]):
                 s = shingle_set(text, width)
@@ -151,7 +153,7 @@ def _linked(percent: int):
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """``(id, set binary)`` of the documents in ``ids(id)``: only their texts are read and shuffled."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (b[at:at + AT_ONCE] for b in batches for at in range(0, len(b), AT_ONCE)):
             yield pd.DataFrame({"id": batch["id"], "set": [shingle_set(t, width).tobytes() for t in batch["text"]]})
     some = maybe_in(docs.where("id is not null"), F.col("id"), ids.select(F.col("id").alias("key"))).where("maybe")
     return some.select("id", "text").mapInPandas(cut, "id long, set binary").join(ids, "id", "left_semi").distinct()

@@ -12,7 +12,7 @@ import xxhash
 
 #: Odd constants of the multiply-and-shift mixing below.
 MULTIPLIER, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 250_000
 _WORD_HASHES: dict[bytes, int] = {}
 
 

@@ -32,7 +32,7 @@ ROWS_PER_CLASS, TRAIN_CHARS = 1200, 50_000
 EPOCHS, BATCH, BATCH_WORDS, RATE, GAIN, TELLING = 6, 64, 30_000, 0.2, 300.0, 5.0
 WORD = re.compile(r"\w+")
 #: Words whose value a worker remembers; longer words are cut into features up to this length.
-WORDS_KEPT, LONGEST = 1_000_000, 64
+WORDS_KEPT, LONGEST = 400_000, 64
 
 
 def text_words(text: str | None) -> list[str]:
