@@ -187,7 +187,7 @@ def test_sinks_and_generic_reader(spark):
     assert md == ["| A | 1.5 | 2020-01-02 |", "| B |  | bad |"]
     p = os.path.join(d, "factors.csv")
     with open(p, "w", encoding="utf-8") as f:
-        f.write("﻿Date,WCS Oil Price,Unnamed: 3\n2024-01-05,\"1,061.5\",\n2024-02-05,x,\n")
+        f.write("﻿Date,WCS Oil Price,Unnamed: 3\n2024-01-05,1061.5,\n2024-02-05,\"1,061.5\",\n")
     from pyspark.sql import types as T
     schema = T.StructType([T.StructField("Date", T.StringType()), T.StructField("WCS Oil Price", T.StringType()),
                            T.StructField("Unnamed: 3", T.StringType())])
