@@ -197,6 +197,14 @@ def _format_list(arr: Column) -> Column:
             .otherwise(F.concat(F.array_join(F.slice(arr, 1, n - 1), ", "), F.lit(", and "), F.element_at(arr, -1))))
 
 
+# FIXED VALUES — sentences of the driver text and of the fallback phrases
+UP_TEXT = ("Key upward drivers include ", ", which collectively elevate the forecast by approximately ", " index points.")
+DOWN_TEXT = ("Offsetting factors include ", ", which moderate expectations by roughly ", " index points.")
+BALANCED_TEXT = "Feature contributions are relatively balanced, with no single factor dominating the prediction."
+FALLBACK_PHRASES = ("elevated public recognition", "strong engagement signals", "favorable seasonal timing",
+                    "renewed interest after an appropriate interval")
+
+
 def driver_sentence(contribs: Column) -> Column:
     """E10 — top 5 by |shap|; upward/downward phrases (unique, at most 3) with point totals."""
     top = F.slice(contribs, 1, 5)
@@ -206,15 +214,12 @@ def driver_sentence(contribs: Column) -> Column:
     ndesc = _format_list(F.slice(F.array_distinct(F.transform(neg, lambda c: _phrase(c["name"]))), 1, 3))
     psum = F.aggregate(pos, F.lit(0.0), lambda a, c: a + c["shap"])
     nsum = F.aggregate(neg, F.lit(0.0), lambda a, c: a + c["shap"])
-    ptxt = F.when(F.size(pos) > 0, F.concat(F.lit("Key upward drivers include "), pdesc,
-                                            F.lit(", which collectively elevate the forecast by approximately "),
-                                            F.format_string("%.1f", F.bround(psum, 1)), F.lit(" index points.")))
-    ntxt = F.when(F.size(neg) > 0, F.concat(F.lit("Offsetting factors include "), ndesc,
-                                            F.lit(", which moderate expectations by roughly "),
-                                            F.format_string("%.1f", F.bround(F.abs(nsum), 1)), F.lit(" index points.")))
-    both = F.concat_ws(" ", ptxt, ntxt)
-    return F.when(both == "", F.lit("Feature contributions are relatively balanced, with no single factor "
-                                    "dominating the prediction.")).otherwise(both)
+
+    def side(found: Column, text: tuple[str, str, str], described: Column, total: Column) -> Column:
+        return F.when(F.size(found) > 0, F.concat(F.lit(text[0]), described, F.lit(text[1]),
+                                                  F.format_string("%.1f", F.bround(total, 1)), F.lit(text[2])))
+    both = F.concat_ws(" ", side(pos, UP_TEXT, pdesc, psum), side(neg, DOWN_TEXT, ndesc, F.abs(nsum)))
+    return F.when(both == "", F.lit(BALANCED_TEXT)).otherwise(both)
 
 
 def mean_abs_attribution(df: DataFrame, features: Sequence[str], top: int = 8, shap_prefix: str = "shap_") -> DataFrame:
@@ -278,11 +283,8 @@ def narrative(title: Column, month: Column, category: Column, familiarity: Colum
                                              F.format_string("%.2f", F.bround(seasonality, 2)), F.lit(".")))
           .otherwise(F.concat(F.lit("The "), mname, F.lit(" slot is close to seasonally neutral ("),
                               F.format_string("%.2f", F.bround(seasonality, 2)), F.lit(")."))))
-    fallback = F.filter(F.array(F.when(familiarity > 110, F.lit("elevated public recognition")),
-                                F.when(motivation > 110, F.lit("strong engagement signals")),
-                                F.when(seasonality > 1.05, F.lit("favorable seasonal timing")),
-                                F.when(ys >= 3, F.lit("renewed interest after an appropriate interval"))),
-                        lambda x: x.isNotNull())
+    reasons = (familiarity > 110, motivation > 110, seasonality > 1.05, ys >= 3)
+    fallback = F.filter(F.array(*[F.when(r, F.lit(x)) for r, x in zip(reasons, FALLBACK_PHRASES)]), lambda x: x.isNotNull())
     pos = F.when(ticket_index > 100, F.lit("above")).when(ticket_index >= 95, F.lit("at")).otherwise(F.lit("below"))
     p4_fb = F.when(F.size(fallback) > 0, F.concat(F.lit("The estimate is shaped mainly by "), _format_list(fallback),
                                                   F.lit(", placing the title "), pos, F.lit(" the benchmark."))) \

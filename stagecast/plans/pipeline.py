@@ -57,23 +57,19 @@ class ScoringPlan:
         self.spark = titles.sparkSession
         self.materialize = materialize
 
-    def _mat(self, df: DataFrame) -> DataFrame:
-        """Materialise a stage that several later stages read.
-
-        Used for the history cube, the runs, the past runs, the seasonality table,
-        the signal base, the indexed table and the scored table: the stages that
-        are expensive to recompute, end a long lineage, or feed many later stages.
-        Small derived tables (priors, benchmark, city shares) stay lazy: within
-        one query Spark reuses their identical exchanges.
-
-        'persist' keeps it in executor memory/disk (lost partitions are recomputed
-        from lineage); 'checkpoint' writes it to the shared ``spark.checkpoint.dir``
-        and cuts the lineage; 'none' leaves the plan inlined.
+    def _mat(self, df: DataFrame, cut: bool = False) -> DataFrame:
+        """Keep a stage that several later stages read.
+
+        With ``cut`` it ends a long lineage (history cube, runs, indexed table): 'checkpoint' writes it to
+        the shared ``spark.checkpoint.dir``. The others (past runs, seasonality, signal base, scored table)
+        are persisted: computed with the first job that reads them, recomputed from the last cut if an
+        executor is lost. Small derived tables (priors, benchmark, city shares) stay lazy. 'persist' never
+        checkpoints, 'none' leaves the plan inlined.
         """
-        if self.materialize == "checkpoint":
+        if self.materialize == "checkpoint" and cut:
             ensure_checkpoint_dir(self.spark)
             return df.checkpoint(eager=True)
-        if self.materialize == "persist":
+        if self.materialize in ("checkpoint", "persist"):
             return df.persist(StorageLevel.MEMORY_AND_DISK)
         return df
 
@@ -82,7 +78,7 @@ class ScoringPlan:
     def runs(self) -> DataFrame:
         """A01 production runs with mid date."""
         return self._mat(R.mid_dates(R.anchored_runs(self.history, "title", "start_date", "single_tickets",
-                                                     self.cfg.run_gap_days)))
+                                                     self.cfg.run_gap_days)), cut=True)
 
     @cached_property
     def prior(self) -> DataFrame:
@@ -157,7 +153,7 @@ class ScoringPlan:
         d = d.withColumn("HistSeasonalityFactor", F.when(F.col("TicketMedian").isNotNull(), F.col("_hf"))).drop("_hf")
         d = SC.deseason_index(d, self.benchmark)
         return self._mat(d.withColumn("ticket_median_prior", F.col("TicketMedian"))
-                         .withColumn("run_count_prior", F.coalesce(F.col("run_count_prior"), F.lit(0)).cast("bigint")))
+                         .withColumn("run_count_prior", F.coalesce(F.col("run_count_prior"), F.lit(0)).cast("bigint")), cut=True)
 
     # ---------------------------------------------------------------- models
     @cached_property
@@ -303,8 +299,8 @@ def plan_from_tables(spark: SparkSession, sf_dir: str, proposed_month: int | Non
     elif materialize == "checkpoint":
         cube = cube.checkpoint(eager=True)
     base = B.baselines(spark, sf_dir)
-    if materialize == "checkpoint":
-        base = base.checkpoint(eager=True)      # per-title signals: read by the base rows and the medians
+    if materialize != "none":
+        base = base.persist(StorageLevel.MEMORY_AND_DISK)      # per-title signals: read by the base rows and the medians
     cube_cat = cube.join(titles.select("title", "category"), "title")
     cfg = replace(C.ScoringConfig(), proposed_month=proposed_month, region_key="Province",
                   default_city_split=dict(B.DEFAULT_SPLIT))
