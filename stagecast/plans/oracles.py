@@ -1347,3 +1347,54 @@ register("A10_registry_report", _a10_sql())
 register("A10_registry_totals", "WITH r AS (" + _a10_sql() + """)
 SELECT count(*) AS sources, count(*) FILTER (WHERE errors > 0) AS with_errors, count(*) FILTER (WHERE warnings > 0) AS with_warnings,
        CAST(sum(row_count) AS BIGINT) AS rows FROM r""")
+
+
+def _levels(x: str, bands: list[tuple[int, str]], lowest: str) -> str:
+    return "CASE " + " ".join(f"WHEN {x} >= {t} THEN '{label}'" for t, label in bands) + f" ELSE '{lowest}' END"
+
+
+_SIGNAL = [(120, "exceptionally high"), (100, "strong"), (80, "above average"), (60, "moderate"), (40, "emerging")]
+_TIER = [(120, "exceptional demand"), (105, "strong demand"), (95, "benchmark demand"), (80, "moderate demand"), (60, "developing demand")]
+
+# the five paragraphs, sentence by sentence, with the season plan, the intent share and the driver sentence
+register("E11_narrative", plan_ctes() + "," + B_ATTR + "," + _side_sql("shap > 0", "up") + "," + _side_sql("shap < 0", "dn") + f""",
+it AS (SELECT l_partkey AS title, count(*) FILTER (WHERE l_returnflag = 'R') / count(*) AS r FROM lineitem GROUP BY 1),
+le AS (SELECT title, max(run_end) AS last_end FROM runs GROUP BY 1),
+x AS (
+  SELECT p.title, p."Month" AS mo, split_part(p."Month", ' ', 1) AS mn, p.category AS cat, p."Familiarity" AS fam, p."Motivation" AS mot,
+         i."SignalOnly" AS sig, p.used, p.ff, s1.segment AS seg1, s2.segment AS seg2, p.sgl_a, p.sgl_e, it.r,
+         CAST(floor(date_diff('day', le.last_end, p.run_date) / 365.25) AS INTEGER) AS ys,
+         coalesce(nullif(concat_ws(' ',
+           CASE WHEN u.title IS NOT NULL THEN 'Key upward drivers include ' || u.descr
+                || ', which collectively elevate the forecast by approximately ' || printf('%.1f', round_even(u.s, 1)) || ' index points.' END,
+           CASE WHEN n.title IS NOT NULL THEN 'Offsetting factors include ' || n.descr
+                || ', which moderate expectations by roughly ' || printf('%.1f', round_even(abs(n.s), 1)) || ' index points.' END), ''),
+           'Feature contributions are relatively balanced, with no single factor dominating the prediction.') AS drv
+  FROM plan p JOIN imputed i USING (title) JOIN segmix s1 ON s1.title = p.title AND s1.rank = 1
+  JOIN segmix s2 ON s2.title = p.title AND s2.rank = 2 LEFT JOIN it ON it.title = p.title LEFT JOIN le ON le.title = p.title
+  LEFT JOIN up_t u ON u.title = p.title LEFT JOIN dn_t n ON n.title = p.title
+)
+SELECT title, mo AS "Month", concat_ws(' ',
+  mo || ' — ' || CAST(title AS VARCHAR) || ' (' || cat || '). ' || CASE WHEN fam IS NOT NULL AND mot IS NOT NULL
+    THEN 'Familiarity is ' || printf('%.1f', round_even(fam, 1)) || ' (' || {_levels("fam", _SIGNAL, "limited")} || ') and Motivation is '
+         || printf('%.1f', round_even(mot, 1)) || ' (' || {_levels("mot", _SIGNAL, "limited")} || '), a '
+         || CASE WHEN sig > 100 THEN 'strong' WHEN sig > 70 THEN 'moderate' ELSE 'emerging' END
+         || ' level of public visibility across the four digital signals.'
+    ELSE 'The forecast rests on a combined interest signal benchmarked across digital platforms.' END,
+  CASE WHEN r IS NULL THEN NULL
+       WHEN r < 0.05 THEN 'Only ' || printf('%.1f', round_even(r * 100, 1)) || '% of search interest looks like performance intent, so visibility may be inflated by unrelated references.'
+       WHEN r > 0.30 THEN 'An intent ratio of ' || printf('%.1f', round_even(r * 100, 1)) || '% shows search interest closely tied to ticket buying.'
+       ELSE 'An intent ratio of ' || printf('%.1f', round_even(r * 100, 1)) || '% indicates mixed digital intent.' END,
+  CASE WHEN ys > 0 THEN 'This is a return engagement, last staged about ' || CAST(ys AS VARCHAR) || CASE WHEN ys = 1 THEN ' year' ELSE ' years' END
+            || ' ago; ' || cat || ' titles ' || CASE WHEN ys >= 3 THEN 'usually gain from recognition on return.' ELSE 'often soften when remounted quickly.' END
+       WHEN ys IS NOT NULL THEN 'This is a return engagement; familiarity effects follow earlier ' || cat || ' remounts.'
+       ELSE 'Without local history the title is judged against comparable ' || cat || ' productions.' END,
+  CASE WHEN ff > 1.05 THEN 'The ' || mn || ' slot carries a favourable seasonal factor of ' || printf('%.2f', round_even(ff, 2)) || '.'
+       WHEN ff < 0.95 THEN 'The ' || mn || ' slot applies a softer seasonal factor of ' || printf('%.2f', round_even(ff, 2)) || '.'
+       ELSE 'The ' || mn || ' slot is close to seasonally neutral (' || printf('%.2f', round_even(ff, 2)) || ').' END,
+  drv,
+  'A Ticket Index of ' || printf('%.1f', round_even(used, 1)) || ' puts it in the ' || {_levels("used", _TIER, "emerging demand")} || ' tier.',
+  CASE WHEN sgl_a + sgl_e > 0 THEN 'Expected single tickets: ' || format('{{:,}}', CAST(sgl_a AS BIGINT)) || ' in AMERICA, '
+       || format('{{:,}}', CAST(sgl_e AS BIGINT)) || ' in EUROPE (' || format('{{:,}}', CAST(sgl_a + sgl_e AS BIGINT)) || ' in total).' END,
+  'The audience should lean toward ' || seg1 || ', with secondary appeal to ' || seg2 || '.') AS narrative
+FROM x""")
