@@ -67,7 +67,7 @@ def _batches(order: list[int], docs: list[tuple[np.ndarray, np.ndarray]]) -> Ite
         yield batch
 
 
-def feature_weights(docs: list[tuple[np.ndarray, np.ndarray]], cut: list[list[int]], y: np.ndarray) -> np.ndarray:
+def feature_weights(docs: list[tuple[np.ndarray, np.ndarray]], cut: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Weight of each bucket in a word's mean: z**4 / (z**4 + TELLING**4), with z the standardised difference
     between the shares of texts of either class that hold it. Common and chance features fade out."""
     held = np.zeros((2, BUCKETS))
@@ -91,9 +91,9 @@ def train(texts: list[str], labels: list[int], share: float) -> tuple[np.ndarray
         return np.zeros(BUCKETS, dtype=np.float32), odds
     place: dict[str, int] = {}
     docs = [np.unique([place.setdefault(w, len(place)) for w in text_words(t)], return_counts=True) for t in texts]
-    cut = [features(w) for w in place]
+    cut = [np.array(features(w), dtype=np.int32) for w in place]
     width = np.array([len(c) for c in cut] or [1])
-    flat = np.concatenate(cut).astype(np.int64) if cut else np.zeros(1, dtype=np.int64)
+    flat = np.concatenate(cut) if cut else np.zeros(1, dtype=np.int32)
     start = np.concatenate([[0], np.cumsum(width)])
     rng = np.random.default_rng(11)
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
