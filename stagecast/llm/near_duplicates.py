@@ -220,19 +220,19 @@ def block_links(asked: pd.DataFrame, held: pd.DataFrame, percent: int) -> list[t
     return links
 
 
-def unresolved_links(bands: DataFrame, buckets: DataFrame, components: DataFrame, docs: DataFrame, nodes: DataFrame,
-                     width: int, percent: int) -> DataFrame | None:
+def unresolved_links(nodes: DataFrame, buckets: DataFrame, components: DataFrame, docs: DataFrame, width: int,
+                     percent: int) -> DataFrame | None:
     """Links that the hubs have not shown: ``(a, b)`` between components that still share a bucket."""
-    label = F.coalesce("component", "id")
-    met = bands.join(buckets.where("members > 3").select("key", "low"), "key").join(components, "id", "left").select(
-        "key", "low", "id", label.alias("component"))
+    labelled = nodes.select("id", "n", "keys").join(components, "id", "left").select(
+        "id", "n", F.coalesce("component", "id").alias("component"), F.explode("keys").alias("key"))
+    met = stash(labelled.join(buckets.where("members > 3").select("key", "low"), "key"), "large-buckets")
     open_keys = met.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     met = stash(met.join(open_keys.select("key"), "key"), "unresolved")
     if not met.limit(1).count():
         return None
     groups = min_components(met.select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()).select(
         "id", F.col("component").alias("g"))
-    members = met.select("id", "component").distinct().join(groups, "id").join(nodes.select("id", "n"), "id")
+    members = met.select("id", "n", "component").distinct().join(groups, "id")
     sizes = members.groupBy("g", "component").agg(F.count(F.lit(1)).alias("m"))
     main = sizes.groupBy("g").agg(F.max(F.struct("m", "component"))["component"].alias("main"))
     members = stash(members.join(main, "g").withColumn("asked", F.col("component") != F.col("main")), "members")
@@ -282,7 +282,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                                              F.max(order)["id"].alias("high")).where("members > 1"), "buckets")
     links = stash(verified(hub_pairs(bands, buckets), nodes, docs, width, percent), "links")
     components = min_components(links)
-    more = unresolved_links(bands, buckets, components, docs, nodes, width, percent)
+    more = unresolved_links(nodes, buckets, components, docs, width, percent)
     if more is not None:
         components = min_components(links.union(more))
     rep = F.coalesce("rep", "id")
