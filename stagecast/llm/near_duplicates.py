@@ -159,9 +159,8 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return some.select("id", "text").mapInPandas(cut, "id long, set binary").join(ids, "id", "left_semi").distinct()
 
 
-def hub_pairs(bands: DataFrame, buckets: DataFrame) -> DataFrame:
-    """``(a, b)``, a < b: each member of a bucket with either of its hubs."""
-    met = bands.join(buckets.select("key", "low", "high"), "key")
+def hub_pairs(met: DataFrame) -> DataFrame:
+    """``(a, b)``, a < b: each member of a bucket with either of its hubs; ``met(id, key, low, high, members)``."""
     pairs = met.select("id", F.explode(F.array("low", "high")).alias("hub")).where("id <> hub")
     return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
@@ -220,12 +219,11 @@ def block_links(asked: pd.DataFrame, held: pd.DataFrame, percent: int) -> list[t
     return links
 
 
-def unresolved_links(nodes: DataFrame, buckets: DataFrame, components: DataFrame, docs: DataFrame, width: int,
-                     percent: int) -> DataFrame | None:
+def unresolved_links(met: DataFrame, components: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame | None:
     """Links that the hubs have not shown: ``(a, b)`` between components that still share a bucket."""
-    labelled = nodes.select("id", "n", "keys").join(components, "id", "left").select(
-        "id", "n", F.coalesce("component", "id").alias("component"), F.explode("keys").alias("key"))
-    met = stash(labelled.join(buckets.where("members > 3").select("key", "low"), "key"), "large-buckets")
+    met = met.where("members > 3").join(components, "id", "left").select(
+        "id", "n", F.coalesce("component", "id").alias("component"), "key", "low")
+    met = stash(met, "large-buckets")
     open_keys = met.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     met = stash(met.join(open_keys.select("key"), "key"), "unresolved")
     if not met.limit(1).count():
@@ -276,13 +274,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     same = stash(part.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "sets-alike")
     first = same.select(F.col("rep").alias("id"), "f1", "f2")
     nodes = stash(part.join(first, ["id", "f1", "f2"]).dropDuplicates(["id", "f1", "f2"]), "nodes")
-    bands = nodes.select("id", F.explode("keys").alias("key"))
+    bands = nodes.select("id", "n", F.explode("keys").alias("key"))
     order = F.struct(F.xxhash64("id").alias("h"), F.col("id"))
     buckets = stash(bands.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(order)["id"].alias("low"),
                                              F.max(order)["id"].alias("high")).where("members > 1"), "buckets")
-    links = stash(verified(hub_pairs(bands, buckets), nodes, docs, width, percent), "links")
+    met = stash(bands.join(buckets, "key"), "met")
+    links = stash(verified(hub_pairs(met), nodes, docs, width, percent), "links")
     components = min_components(links)
-    more = unresolved_links(nodes, buckets, components, docs, width, percent)
+    more = unresolved_links(met, components, docs, width, percent)
     if more is not None:
         components = min_components(links.union(more))
     rep = F.coalesce("rep", "id")
