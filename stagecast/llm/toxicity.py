@@ -3,7 +3,9 @@
 A word is the mean of the embeddings of its features: the word itself and the character n-grams of
 ``<word>``, hashed to ``BUCKETS`` rows and weighted by how differently the two classes hold them. A text
 is the mean of its words; a softmax of two classes stands on it. Embeddings and softmax are trained together, so a misspelling that was never seen still shares
-the n-gram vectors of the words it resembles.
+the n-gram vectors of the words it resembles. A word is a run of ``\\w`` of any length, taken whole; in
+the mean of its text it counts once for each ``LONGEST`` characters begun, so a sentence without spaces
+weighs about as much as one with them.
 
 Training reads a sample of labelled rows of bounded size, ``ROWS_PER_CLASS`` of each class in the order
 of a hash of the id, in one task; the odds are corrected for the share of the classes among all rows
@@ -18,6 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -30,20 +33,33 @@ BUCKETS, DIM = 1 << 17, 8
 NGRAMS = (3, 4, 5, 6)
 ROWS_PER_CLASS, TRAIN_CHARS = 1200, 50_000
 EPOCHS, BATCH, BATCH_WORDS, RATE, GAIN, TELLING = 6, 64, 30_000, 0.2, 300.0, 5.0
+BATCH_FEATURES = 2_000_000
 WORD = re.compile(r"\w+")
-#: Words whose value a worker remembers; longer words are cut into features up to this length.
-WORDS_KEPT, LONGEST = 400_000, 64
+#: Words whose value a worker remembers; longer ones count more than once, are not remembered, and their
+#: features are summed in blocks.
+WORDS_KEPT, LONGEST, BLOCK = 400_000, 64, 1 << 16
 
 
 def text_words(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+def times(word: str) -> int:
+    """How often a word counts in the mean of its text."""
+    return -(-len(word) // LONGEST)
+
+
+def _buckets(word: str) -> Iterator[int]:
+    marked = f"<{word}>"
+    yield zlib.crc32(marked.encode("utf-8")) % BUCKETS
+    for n in NGRAMS:
+        for i in range(len(marked) - n + 1):
+            yield zlib.crc32(marked[i:i + n].encode("utf-8")) % BUCKETS
+
+
 def features(word: str) -> list[int]:
-    """Buckets of a word's features: itself and the n-grams of ``<word>``."""
-    marked = f"<{word[:LONGEST]}>"
-    grams = [marked] + [marked[i:i + n] for n in NGRAMS for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(g.encode("utf-8")) % BUCKETS for g in grams]
+    """Buckets of a word's features: itself and the n-grams of ``<word>``, all of them."""
+    return list(_buckets(word))
 
 
 def _rows_added(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -54,15 +70,16 @@ def _rows_added(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
     return ordered[first], np.add.reduceat(values[order], first, axis=0)
 
 
-def _batches(order: list[int], docs: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[list[int]]:
-    """Runs of up to ``BATCH`` texts and about ``BATCH_WORDS`` distinct words."""
-    batch, n = [], 0
+def _batches(order: list[int], docs: list[tuple[np.ndarray, np.ndarray]], width: np.ndarray) -> Iterator[list[int]]:
+    """Runs of up to ``BATCH`` texts and about ``BATCH_WORDS`` distinct words or ``BATCH_FEATURES`` features."""
+    batch, n, wide = [], 0, 0
     for i in order:
         batch.append(i)
         n += len(docs[i][0])
-        if len(batch) == BATCH or n >= BATCH_WORDS:
+        wide += int(width[docs[i][0]].sum())
+        if len(batch) == BATCH or n >= BATCH_WORDS or wide >= BATCH_FEATURES:
             yield batch
-            batch, n = [], 0
+            batch, n, wide = [], 0, 0
     if batch:
         yield batch
 
@@ -92,6 +109,8 @@ def train(texts: list[str], labels: list[int], share: float) -> tuple[np.ndarray
     place: dict[str, int] = {}
     docs = [np.unique([place.setdefault(w, len(place)) for w in text_words(t)], return_counts=True) for t in texts]
     cut = [np.array(features(w), dtype=np.int32) for w in place]
+    counted = np.array([times(w) for w in place] or [1])
+    docs = [(words, n * counted[words]) if len(words) else (words, n) for words, n in docs]
     width = np.array([len(c) for c in cut] or [1])
     flat = np.concatenate(cut) if cut else np.zeros(1, dtype=np.int32)
     start = np.concatenate([[0], np.cumsum(width)])
@@ -102,7 +121,7 @@ def train(texts: list[str], labels: list[int], share: float) -> tuple[np.ndarray
     seen_emb, seen_soft, seen_bias = np.zeros((BUCKETS, DIM)), np.zeros((DIM, 2)), np.zeros(2)
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
-        for batch in _batches([i for i in rng.permutation(len(docs)) if len(docs[i][0])], docs):
+        for batch in _batches([i for i in rng.permutation(len(docs)) if len(docs[i][0])], docs, width):
             sizes = np.array([len(docs[i][0]) for i in batch])
             ids = np.concatenate([docs[i][0] for i in batch])
             weight = np.concatenate([docs[i][1] / docs[i][1].sum() for i in batch]) * GAIN
@@ -142,6 +161,12 @@ class Scorer:
         self.values, self.bias, self.known = values, bias, {}
 
     def word(self, word: str) -> float:
+        if len(word) > LONGEST:
+            total, n, left = 0.0, 0, _buckets(word)
+            while len(block := np.fromiter(islice(left, BLOCK), dtype=np.int32)):
+                total += float(self.values[block].sum(dtype=np.float64))
+                n += len(block)
+            return total / n
         if len(self.known) >= WORDS_KEPT:
             self.known.clear()
         buckets = features(word)
@@ -151,11 +176,16 @@ class Scorer:
     def score(self, text: str | None) -> float:
         """Probability of label 1; a text without words has the odds alone."""
         words, known = text_words(text), self.known
-        total = 0.0
+        total, n = 0.0, len(words)
         for w in words:
             v = known.get(w)
-            total += self.word(w) if v is None else v
-        z = self.bias + (total / len(words) if words else 0.0)
+            if v is None:
+                v = self.word(w)
+                if len(w) > LONGEST:
+                    n += times(w) - 1
+                    v *= times(w)
+            total += v
+        z = self.bias + (total / n if words else 0.0)
         return 1.0 / (1.0 + float(np.exp(-min(max(z, -500.0), 500.0))))
 
 

@@ -69,3 +69,16 @@ def test_nulls_repeats_clashes_and_empty_tables(spark):
     assert kept.columns == docs.columns and {100, 101} <= {r["doc_id"] for r in kept.select("doc_id").collect()}
     assert tx.toxicity(docs.limit(0), labels).count() == 0
     assert {r["score"] for r in tx.toxicity(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_text_behind_character_64_of_an_unbroken_run_counts():
+    head, rng = "\u4e2d" * 64, random.Random(4)
+    tail = lambda bad: "".join(rng.choices("kalomitersanvu", k=80)) + ("grumblor" * 4 if bad else "")
+    rows = [(head + tail(i % 2), i % 2) for i in range(200)]
+    values, bias = tx.train([t for t, _ in rows[:150]], [y for _, y in rows[:150]], 0.5)
+    scorer = tx.Scorer(values, bias)
+    assert all((scorer.score(t) >= 0.5) == bool(y) for t, y in rows[150:])
+    assert scorer.score(head + "lomi") != scorer.score(head + "grumblor")
+    assert np.isclose(scorer.word(head + "grumblor"), values[tx.features(head + "grumblor")].astype(float).mean())
+    long = "x" * 200_000
+    assert np.isclose(scorer.word(long + "grumblor"), values[tx.features(long + "grumblor")].astype(float).mean())
