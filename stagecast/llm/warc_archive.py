@@ -93,26 +93,33 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """``(page_id, url, payload_bytes, payload_digest, record_type, refers_to)`` read off the archive.
+    """``(page_id, url, payload_bytes, payload_digest, record_type, refers_to)`` of the rebuilt records.
 
-    Sizes and SHA-1 digests are taken from the stored payloads, not from headers; a header whose
-    digest or length disagrees with its payload raises. Payloads are reduced before the join, so only
-    digests are shuffled.
+    Every record is put together first and its fields are read off its own bytes. Size and SHA-1 are those
+    of the body in the record, for a revisit of the payload that it refers to; a record whose length, end
+    mark or digest disagrees with its header raises. Payloads are shuffled to the headers' addresses.
     """
-    facts = _payloads(spark, path).select("address", F.octet_length("payload").cast("long").alias("payload_bytes"),
-                                          F.sha1("payload").alias("payload_digest"))
-    heads = spark.read.parquet(f"{path}/headers").select(
-        "address", _field("WARC-Type", "([a-z]+)").alias("record_type"),
+    start = F.octet_length("header")
+    rebuilt = read_records(spark, path).select("record", "payload", start.alias("start"),
+                                               F.substring("record", F.lit(1), start).alias("header"))
+    read = rebuilt.select(
+        "record", "payload", "start", _field("WARC-Type", "([a-z]+)").alias("record_type"),
         _field("WARC-Record-ID", "<urn:page:(-?[0-9]+)>").cast("long").alias("page_id"),
         F.regexp_extract(_header(), "\\r\\nWARC-Target-URI: ([^\\r\\n]*)\\r\\n", 1).alias("url"),
         _field("WARC-Payload-Digest", "sha1:([0-9a-f]+)").alias("said"),
-        _field("Content-Length", "([0-9]+)").cast("long").alias("length"),
+        _field("Content-Length", "([0-9]+)").cast("int").alias("length"),
         _field("WARC-Refers-To", "<urn:page:(-?[0-9]+)>").cast("long").alias("refers_to"))
-    block = F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0) + len(HTTP)
-    sound = (F.col("said") == F.col("payload_digest")) & (F.col("length") == block)
-    return heads.join(facts, "address").select(
+    held = F.substring("record", F.col("start") + 1, F.col("length") - len(HTTP))
+    last = F.substring("record", F.octet_length("record") - len(END) + 1, F.lit(len(END)))
+    whole = (F.octet_length("record") == F.col("start") - len(HTTP) + F.col("length") + len(END)) & (last == F.lit(END.encode()))
+    facts = read.select("page_id", "url", "record_type", "refers_to", "said", whole.alias("whole"),
+                        F.when(F.col("record_type") == "response", held).otherwise(F.col("payload")).alias("body")).select(
+        "page_id", "url", F.octet_length("body").cast("long").alias("payload_bytes"),
+        F.sha1("body").alias("payload_digest"), "record_type", "refers_to", "said", "whole")
+    sound = F.col("whole") & (F.col("said") == F.col("payload_digest"))
+    return facts.select(
         "page_id", "url", "payload_bytes",
-        F.when(sound, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a record header does not match its payload"))
+        F.when(sound, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a record does not match its header"))
                                                          .cast("string")).alias("payload_digest"),
         "record_type", "refers_to")
 

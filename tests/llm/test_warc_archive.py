@@ -4,6 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from stagecast.llm import warc_archive
 from stagecast.llm.common import shared_folder
 from stagecast.llm.warc_archive import read_index, read_records, write_archive
 
@@ -55,3 +56,14 @@ def test_damaged_payloads_are_found(spark):
 def test_empty_table(spark):
     path = archive(spark, [])
     assert read_index(spark, path).count() == 0 and read_records(spark, path).count() == 0
+
+
+def test_index_comes_from_rebuilt_records(spark, monkeypatch):
+    path = archive(spark, [(1, "u1", BIG, "x"), (2, "u2", BIG, "x"), (3, "u3", "hi", "x")])
+    assert read_index(spark, path).count() == 3
+    for record in (F.expr("substring(record, 1, octet_length(record) - 1)"),
+                   F.expr("concat(substring(record, 1, octet_length(header)), cast('ho' as binary), substring(record, octet_length(header) + 3))"),
+                   F.expr("cast(replace(decode(record, 'UTF-8'), 'sha1:', 'sha1:0') as binary)")):
+        monkeypatch.setattr(warc_archive, "read_records", lambda s, p: read_records(s, p).withColumn("record", record))
+        with pytest.raises(PySparkException, match="does not match its header"):
+            read_index(spark, path).collect()
