@@ -29,14 +29,14 @@ def whole_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
     """``(vec_id, v array<bigint>)`` with ``floor(scale * x)`` of each component x as a double.
 
     Rows with a null id, a null vector or a null, NaN or infinite component take no part. Rows that
-    repeat an id are one vector: the least of them.
+    repeat an id and its whole weights are one; different vectors of one id all take part.
     """
     x = F.col("v").cast("array<double>")
     sound = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
     return (df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"))
             .where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(F.coalesce(sound, F.lit(False)))
             .select("vec_id", F.transform(x, lambda c: F.floor(c * scale)).alias("v"))
-            .groupBy("vec_id").agg(F.min("v").alias("v")))
+            .distinct())
 
 
 def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
@@ -110,17 +110,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, range_rows: int =
           query_rows: int = QUERY_ROWS) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: each query's k best rows of ``vectors`` but its own.
 
-    Both tables are ``(vec_id long, v array<bigint>)`` with unique ids, as ``whole_vectors`` gives
-    them. All rows if there are fewer than k; no row for a query alone. The stated query set meets
+    Both tables are ``(vec_id long, v array<bigint>)`` with distinct rows, as ``whole_vectors`` gives
+    them. Vectors of one id are rows of their own, which do not meet each other; a query id with several
+    has the k best pairs of all of them. All rows if there are fewer than k; no row for a query alone. The stated query set meets
     all rows in blocks: each range is sent once for each chunk of queries, each query once for each
     range; a task holds one range and one chunk, both of bounded size.
     """
     spark = vectors.sparkSession
     n, asked = (max(1, x) for x in (vectors.count(), queries.count()))
     parts, cells = -(-n // range_rows), -(-asked // query_rows)
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
+    part = F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).cast("int")
     rows = vectors.withColumn("part", part)
-    chunk = queries.withColumn("cell", F.pmod(F.xxhash64(F.lit(7), "vec_id"), F.lit(cells)).cast("int"))
+    chunk = queries.withColumn("cell", F.pmod(F.xxhash64(F.lit(7), "vec_id", "v"), F.lit(cells)).cast("int"))
     none = F.lit(None).cast("long").alias("floor")
     first = _merged(_search(
         chunk.select("cell", F.pmod("cell", F.lit(parts)).cast("int").alias("part"), F.lit(True).alias("is_query"),

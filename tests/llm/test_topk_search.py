@@ -61,3 +61,18 @@ def test_empty_and_single(spark):
 def test_query_schema(spark):
     df = op5_topk_search(spark, "/root/testdata/sf0.001")
     assert dict(df.dtypes) == {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "bigint"}
+
+
+def test_different_vectors_of_one_id_all_take_part(spark):
+    rng = np.random.default_rng(3)
+    rows = sorted({(int(i), tuple(rng.integers(-3, 4, 5).tolist())) for i in rng.integers(0, 60, 150)} | {(0, (9, 9, 9, 9, 9)), (0, (-9, 0, 0, 0, 0))})
+    df = spark.createDataFrame([(i, [x / 256 for x in v]) for i, v in rows + rows[:9]], "vec_id long, embedding array<double>")
+    whole = whole_vectors(df)
+    assert whole.count() == len(rows)
+    want = []
+    for q in range(0, 60, 10):
+        scored = sorted((-sum(a * b for a, b in zip(v, w)), j) for i, v in rows if i == q for j, w in rows if j != q)
+        want += [(q, r + 1, j, -s) for r, (s, j) in enumerate(scored[:5])]
+    for size in (8192, 40):
+        got = top_k(whole, whole.where("vec_id % 10 = 0"), k=5, range_rows=size, query_rows=4)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
