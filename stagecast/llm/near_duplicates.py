@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagecast.llm.common import maybe_in, min_components, packed, stash, table
+from stagecast.llm.common import maybe_in, min_components, packed, row_keys, stash, table
 from stagecast.llm.shingle_sets import fingerprint, mixed, shared, shingle_set
 
 REGISTERS, MANTISSA, ROWS = 128, 10, 4
@@ -293,25 +293,59 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                            F.coalesce(F.col("id") == whole, F.lit(False)).alias("kept"))
 
 
+def _named(df: DataFrame, id_col: str, text_col: str, clashing: DataFrame) -> DataFrame:
+    """``(node, id, text, clash)`` and ``row, k1, k2`` of ``df``: the node is the id, but a hash of id and
+    text where the id is in ``clashing(id)``, whose rows differ in text."""
+    k1, k2 = row_keys(id_col, text_col)
+    rows = packed(df, F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), k1.alias("k1"), k2.alias("k2"))
+    probed = maybe_in(rows, F.col("id"), clashing.select(F.col("id").alias("key")))
+    hit = probed.where("maybe").join(clashing.select("id", F.lit(True).alias("clash")), "id", "left")
+    cols = ["row", "id", "text", "k1", "k2"]
+    return probed.where("not maybe").select(*cols, F.lit(False).alias("clash")).unionByName(
+        hit.select(*cols, F.coalesce("clash", F.lit(False)).alias("clash"))).withColumn(
+        "node", F.when(F.col("clash"), F.col("k1")).otherwise(F.col("id")))
+
+
+def _removed_nodes(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """``(node)`` of ``_named`` rows that go: all of a component but the one with the least id, then text."""
+    nodes = near_duplicates(rows, "node", "text", width, percent).where("n_shingles > 0 and node is not null").select(
+        "node", "component_id").distinct()
+    texts = rows.where("clash").select("node", "id", "text").dropDuplicates(["node"])
+    told = stash(nodes.join(texts, "node", "left").select(
+        "node", "component_id", F.struct(F.coalesce("id", "node").alias("id"), "text", "node").alias("place")), "nodes-told")
+    first = told.groupBy("component_id").agg(F.min("place")["node"].alias("first"))
+    return told.join(first, "component_id").where("node <> first").select("node")
+
+
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
                  percent: int = PERCENT) -> DataFrame:
     """One row of each near-duplicate group of ``df``, all columns: the one with the least id.
 
-    Rows with a null id and texts without words are linked with nothing and stay. Of rows that repeat an
-    id, one stays: the least text, then any of equal ones.
+    Rows with a null id and texts without words are linked with nothing and stay. Rows that repeat an id
+    and its text are one, any of them stays; different texts of one id are documents of their own (the
+    least text goes first in a group that holds several of them).
     """
-    judged = near_duplicates(df, id_col, text_col, width, percent)
-    gone = stash(judged.where("not kept and n_shingles > 0").select(F.col(id_col).cast("long").alias("id"))
-                 .where("id is not null").distinct(), "removed")
+    k1, k2 = row_keys(id_col, text_col)
     key = F.col(id_col).cast("long")
-    probed = maybe_in(packed(df, key.alias("id")), F.col("id"), gone.select(F.col("id").alias("key")))
-    kept = probed.where("not maybe").select("row", "id").unionByName(
-        probed.where("maybe").select("row", "id").join(gone, "id", "left_anti").select("row", "id"))
-    again = stash(df.select(key.alias("id")).where("id is not null").groupBy("id").count().where("count > 1").select("id"), "repeated")
+    again = stash(df.select(key.alias("id"), k1.alias("k1"), k2.alias("k2")).where("id is not null").groupBy("id").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2")).alias("low"), F.max(F.struct("k1", "k2")).alias("high"))
+        .where("n > 1").select("id", (F.col("low") != F.col("high")).alias("differ")), "repeated")
+    clashing = again.where("differ").select("id")
+    if clashing.limit(1).count():
+        rows = _named(df, id_col, text_col, clashing)
+        gone = _removed_nodes(rows, width, percent)
+    else:
+        rows = packed(df, key.alias("id"), key.alias("node"), k1.alias("k1"), k2.alias("k2"))
+        gone = near_duplicates(df, id_col, text_col, width, percent).where("not kept and n_shingles > 0").select(
+            F.col(id_col).cast("long").alias("node")).where("node is not null").distinct()
+    gone = stash(gone, "removed")
+    cols = ["row", "id", "k1", "k2"]
+    probed = maybe_in(rows.select(*cols, "node"), F.col("node"), gone.select(F.col("node").alias("key")))
+    kept = probed.where("not maybe").select(*cols).unionByName(
+        probed.where("maybe").join(gone, "node", "left_anti").select(*cols))
     probed = maybe_in(kept, F.col("id"), again.select(F.col("id").alias("key")))
-    once = probed.where("maybe").join(again.withColumn("repeats", F.lit(True)), "id", "left")
-    text = F.col(f"row.`{text_col}`")
-    single = once.where("repeats").groupBy("id").agg(F.min_by("row", F.struct(text.isNull(), text)).alias("row")).select("row")
+    once = probed.where("maybe").join(again.select("id", F.lit(True).alias("repeats")), "id", "left")
+    single = once.where("repeats").groupBy("id", "k1", "k2").agg(F.first("row").alias("row")).select("row")
     return (probed.where("not maybe").select("row").unionByName(once.where("repeats is null").select("row"))
             .unionByName(single).select("row.*"))
 

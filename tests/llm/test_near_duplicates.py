@@ -116,3 +116,16 @@ def test_empty_table_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "a b c"), (None, "a b c")], "doc_id long, text string")
     got = sorted((tuple(r) for r in nd.near_duplicates(df, width=2).collect()), key=str)
     assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (None, 2, None, False)], key=str)
+
+
+def test_only_the_linked_text_of_a_repeated_id_goes(spark):
+    def words(w):
+        return " ".join(f"{w}{i}" for i in range(60))
+    rows, want = [], []
+    for i in range(0, 40, 10):
+        a, b, c, d = (words(f"{x}{i}w") for x in "abcd")
+        rows += [(i + 1, a), (i + 5, a + " b"), (i + 5, b), (i + 5, c), (i + 5, c), (i + 7, d), (i + 7, d + " z"), (i + 8, d)]
+        want += [(i + 1, a), (i + 5, b), (i + 5, c), (i + 7, d)]
+    df = spark.createDataFrame(rows + [(90, None), (90, ""), (None, words("a0w"))], "doc_id long, text string")
+    got = sorted(map(tuple, nd.deduplicated(df).collect()), key=str)
+    assert got == sorted(want + [(90, None), (90, ""), (None, words("a0w"))], key=str)
