@@ -40,3 +40,14 @@ def test_bloom_filter_never_misses(spark):
 def test_words(spark):
     df = spark.createDataFrame([(" a\tb\x0b\x0cc ",), ("é x",), ("",), (None,), ("\n",)], "t string")
     assert [r[0] for r in df.select(words(F.col("t"))).collect()] == [["a", "b", "c"], ["é", "x"], [], [], []]
+
+
+def test_rounds_grow_with_the_logarithm(spark, monkeypatch):
+    """A chain in ascending order, as drifting copies in crawl order make it."""
+    from stagecast.llm import common
+    tags, whole = [], common.stash
+    monkeypatch.setattr(common, "stash", lambda df, tag: tags.append(tag) or whole(df, tag))
+    n = 10_000
+    got = common.min_components(spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    assert got.count() == n + 1 and got.where("component <> 0").count() == 0
+    assert tags.count("pointers") < 2 * n.bit_length() + 4 < 33
