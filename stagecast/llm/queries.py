@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from stagecast.llm import decontaminate, license_scan, mixing, near_duplicates, periodic_runs, secret_scan, token_counts, topk_search, toxicity, url_filter, warc_archive
+from stagecast.llm import decontaminate, license_scan, mixing, near_duplicates, parity_join, periodic_runs, secret_scan, token_counts, topk_search, toxicity, url_filter, warc_archive
 from stagecast.llm.common import table
 
 
@@ -24,6 +24,7 @@ QUERIES = {
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_warc_archive": warc_archive.op10_warc_archive,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_jaccard_join": parity_join.op13_jaccard_join,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
