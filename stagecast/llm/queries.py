@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from stagecast.llm import decontaminate, license_scan, mixing, near_duplicates, parity_join, periodic_runs, secret_scan, token_counts, topk_search, toxicity, url_filter, warc_archive
+from stagecast.llm import decontaminate, lexical_search, license_scan, mixing, near_duplicates, parity_join, periodic_runs, secret_scan, token_counts, topk_search, toxicity, url_filter, warc_archive
 from stagecast.llm.common import table
 
 
@@ -23,6 +23,7 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_warc_archive": warc_archive.op10_warc_archive,
+    "op11_lexical_search": lexical_search.op11_lexical_search,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
     "op13_jaccard_join": parity_join.op13_jaccard_join,
     "pipeline": corpus_pipeline.run,
@@ -34,4 +35,5 @@ ORACLES = {
     "op8_decontamination": decontaminate.OP8_SQL,
     "op9_url_filter": url_filter.OP9_SQL,
     "op10_warc_archive": warc_archive.OP10_SQL,
+    "op11_lexical_search": lexical_search.OP11_SQL,
 }
