@@ -9,15 +9,17 @@ the alike ones expected by collision of compressed values are taken off.
 
 Search. Runs of ``ROWS`` compressed registers are band keys. At similarity 0.8 a pair shares none of the
 32 bands with probability 5e-8. Documents with the same shingle set are one node. The members of a
-bucket are compared with two hubs (its least and greatest member by a hash of the id), never with each
-other; a pair goes on if its corrected estimate is within ``MARGIN`` of the threshold, and is linked if
-the exact sets say so.
+bucket are compared with its hubs, never with each other; a pair goes on if its corrected estimate is
+within ``MARGIN`` of the threshold, and is linked if the exact sets say so. First each document meets one
+hub, the first of all its buckets in the order of a hash of the id, and links are contracted to
+components. Only buckets that still hold several components go on: their members meet both hubs (the
+first and the last member), where these lie in another component.
 
 Completeness. Buckets of up to three members are thereby compared in full. Larger ones whose members
 ended up in one component need no more. The rest (buckets that still hold several components) are
 joined to groups, and in each group the documents outside its main component are compared exactly with
 all its documents, in blocks of bounded size that emit only links between components. So hot buckets
-cost their length times two, and only unresolved documents cost more: their number times their group's.
+cost their length, and only unresolved documents cost more: their number times their group's.
 """
 
 from __future__ import annotations
@@ -159,10 +161,32 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return some.select("id", "text").mapInPandas(cut, "id long, set binary").join(ids, "id", "left_semi").distinct()
 
 
-def hub_pairs(met: DataFrame) -> DataFrame:
-    """``(a, b)``, a < b: each member of a bucket with either of its hubs; ``met(id, key, low, high, members)``."""
-    pairs = met.select("id", F.explode(F.array("low", "high")).alias("hub")).where("id <> hub")
-    return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+def first_hubs(met: DataFrame) -> DataFrame:
+    """``(a, b)``, a < b: each member with one hub, the first in hash order of all its buckets."""
+    one = met.where("id <> low").groupBy("id").agg(F.min_by("low", F.xxhash64("low")).alias("hub"))
+    return one.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+
+def open_buckets(met: DataFrame, components: DataFrame) -> DataFrame:
+    """The rows of ``met(id, key, ...)`` in buckets that hold several components, plus ``component``."""
+    named = stash(met.join(components, "id", "left").withColumn("component", F.coalesce("component", "id")), "named-buckets")
+    several = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    return stash(named.join(several.select("key"), "key"), "open-buckets")
+
+
+def hub_pairs(met: DataFrame, known: DataFrame) -> DataFrame:
+    """``(a, b)``, a < b: members with either hub of a bucket, if it lies in another component.
+
+    ``met(id, key, low, high, component)``; pairs of ``known(a, b)`` are left out.
+    """
+    hubs = met.groupBy("key").agg(F.max(F.when(F.col("id") == F.col("low"), F.col("component"))).alias("low_in"),
+                                  F.max(F.when(F.col("id") == F.col("high"), F.col("component"))).alias("high_in"))
+    both = met.join(hubs, "key").select("id", "component", F.explode(F.array(
+        F.struct(F.col("low").alias("hub"), F.col("low_in").alias("at")),
+        F.struct(F.col("high").alias("hub"), F.col("high_in").alias("at")))).alias("to"))
+    pairs = both.where("to.at <> component").select(
+        F.least("id", "to.hub").alias("a"), F.greatest("id", "to.hub").alias("b")).distinct()
+    return pairs.join(known, ["a", "b"], "left_anti")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -220,12 +244,8 @@ def block_links(asked: pd.DataFrame, held: pd.DataFrame, percent: int) -> list[t
 
 
 def unresolved_links(met: DataFrame, components: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame | None:
-    """Links that the hubs have not shown: ``(a, b)`` between components that still share a bucket."""
-    met = met.where("members > 3").join(components, "id", "left").select(
-        "id", "n", F.coalesce("component", "id").alias("component"), "key", "low")
-    met = stash(met, "large-buckets")
-    open_keys = met.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    met = stash(met.join(open_keys.select("key"), "key"), "unresolved")
+    """Links that the hubs have not shown: ``(a, b)`` between components that still share a large bucket."""
+    met = open_buckets(met.where("members > 3").drop("component"), components)
     if not met.limit(1).count():
         return None
     groups = min_components(met.select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()).select(
@@ -279,9 +299,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     buckets = stash(bands.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(order)["id"].alias("low"),
                                              F.max(order)["id"].alias("high")).where("members > 1"), "buckets")
     met = stash(bands.join(buckets, "key"), "met")
-    links = stash(verified(hub_pairs(met), nodes, docs, width, percent), "links")
+    pairs = stash(first_hubs(met), "first-hubs")
+    links = stash(verified(pairs, nodes, docs, width, percent), "first-links")
+    left = open_buckets(met, min_components(links))
+    links = stash(links.union(verified(hub_pairs(left, pairs), nodes, docs, width, percent)), "links")
     components = min_components(links)
-    more = unresolved_links(met, components, docs, width, percent)
+    more = unresolved_links(left, components, docs, width, percent)
     if more is not None:
         components = min_components(links.union(more))
     rep = F.coalesce("rep", "id")
