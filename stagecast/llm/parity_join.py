@@ -15,12 +15,13 @@ small that ``d`` is 0 are linked with equal sets only.
 Search in three steps, none of which pairs the members of a hot key with each other:
 
 1. Equal sets are one node. Nodes are numbered by a bijection that mixes the bits of the least id, so the
-   least member of a bucket is a random one of it: its hub.
+   least member of a bucket is a random one of it: its hub. Buckets with the same members are one.
 2. Each node is compared with one hub, the least of all its buckets: the Hamming distance of the sketches
-   first, exact sets then. Links are contracted to components.
+   first, whole texts then. Links are contracted to components.
 3. Buckets that still hold several components are joined to groups. In a group, the nodes outside its main
    component are compared with all its nodes, in blocks of bounded size: a matrix of Hamming distances
-   leaves the pairs within ``d``, and of these the ones between different components are verified exactly.
+   names the nodes with a partner within reach in another component. Only these get their exact sets, and
+   blocks of them give the links between components.
 """
 
 from __future__ import annotations
@@ -100,48 +101,61 @@ def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.mapInPandas(sketched, SKETCH)
 
 
-def join_keys(nodes: DataFrame) -> DataFrame:
-    """``(key, node)``: a row for each word of each sketch."""
-    def of(i: int) -> DataFrame:
-        return nodes.select("node", F.col(f"band{i}").alias("band"), F.posexplode(f"words{i}").alias("place", "word"))
-    return of(1).unionByName(of(2)).select(F.xxhash64("band", "place", "word").alias("key"), "node")
+def by_band(drawn: DataFrame, same: DataFrame) -> DataFrame:
+    """``(id, node, n, band, words)``: the sketches of one document of each set, a row for each band.
 
-
-def memberships(keys: DataFrame) -> DataFrame:
-    """``(key, node, low)`` of the keys that several nodes have; ``low`` is the least of them.
-
-    One aggregation names the members of buckets of two and three (their least, greatest and exclusive or);
-    the members of larger ones are found by a second look at the keys, of which a Bloom filter lets through
-    hardly any others.
+    Copies are found by a Bloom filter of their ids, so the other rows stay where they are.
+    """
+    part = drawn.where("n > 0 and id is not null")
+    copies = part.join(same.where("copies > 1"), ["f1", "f2"]).where("id <> rep").select("id", "f1", "f2")
+    copies = stash(copies.distinct(), "copies")
+    probed = maybe_in(part, F.col("id"), copies.select(F.col("id").alias("key")))
+    rows = probed.where("not maybe").unionByName(probed.where("maybe").join(copies, ["id", "f1", "f2"], "left_anti"))
+    return rows.select("id", "node", "n", F.explode(F.array(*[
+        F.struct(F.col(f"band{i}").alias("band"), F.col(f"words{i}").alias("words")) for i in (1, 2)])).alias("s")).select(
+        "id", "node", "n", "s.band", "s.words").where("band is not null")
+
+
+def memberships(sketched: DataFrame) -> DataFrame:
+    """``(key, band, node, low)`` of the keys that several nodes have; ``low`` is the least of them.
+
+    A key is a word of a sketch with its band and place. One aggregation names the members of buckets of two
+    and three (their least, greatest and exclusive or); of buckets alike in all these one stays. The members
+    of larger ones are found by a second look at the keys, of which a Bloom filter lets through hardly any
+    others.
     """
-    buckets = stash(keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("low"),
-                                            F.max("node").alias("high"), F.bit_xor("node").alias("odd"))
-                    .where("members > 1"), "buckets")
+    keys = sketched.select("node", "band", F.posexplode("words").alias("place", "word")).select(
+        F.xxhash64("band", "place", "word").alias("key"), "band", "node")
+    shape = ["band", "members", "low", "high", "odd"]
+    buckets = stash(keys.groupBy("key").agg(
+        F.count(F.lit(1)).alias("members"), F.min("node").alias("low"), F.max("node").alias("high"),
+        F.bit_xor("node").alias("odd"), F.min("band").alias("band")).where("low <> high")
+        .groupBy(*shape).agg(F.min("key").alias("key")), "buckets")
     middle = F.when(F.col("members") == 3, F.col("odd").bitwiseXOR(F.col("low")).bitwiseXOR(F.col("high")))
     few = buckets.where("members < 4").select(
-        "key", F.explode(F.array_compact(F.array("low", "high", middle))).alias("node"), "low")
+        "key", "band", F.explode(F.array_compact(F.array("low", "high", middle))).alias("node"), "low")
     large = buckets.where("members > 3").select("key", "low")
-    many = maybe_in(keys, F.col("key"), large.select("key")).where("maybe").select("key", "node").join(large, "key")
-    return few.unionByName(many.select("key", "node", "low"))
+    many = maybe_in(keys, F.col("key"), large.select("key")).where("maybe").join(large, "key")
+    return few.unionByName(many.select("key", "band", "node", "low"))
 
 
-def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """``(node, set binary)`` for the nodes of ``ids(id, node)``: only their texts are cut and shuffled."""
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in (b[at:at + AT_ONCE] for b in batches for at in range(0, len(b), AT_ONCE)):
-            yield pd.DataFrame({"id": batch["id"], "set": [shingle_set(t, width).tobytes() for t in batch["text"]]})
-    some = maybe_in(docs.where("id is not null"), F.col("id"), ids.select(F.col("id").alias("key"))).where("maybe")
-    return some.select("id", "text").mapInPandas(cut, "id long, set binary").join(ids, "id").select("node", "set").distinct()
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs(id, text)`` with an id in ``ids(id)``, and hardly any others (a Bloom filter)."""
+    return maybe_in(docs.where("id is not null"), F.col("id"), ids.select(F.col("id").alias("key"))).where("maybe").select("id", "text")
 
 
-def _linked(percent: int):
+def _linked(width: int, percent: int):
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x: bytes, y: bytes) -> bool:
-            p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+        hub: tuple[str | None, np.ndarray] = (None, np.empty(0, dtype=np.uint64))
+        out = []
+        for x, y in zip(a, b):
+            if hub[0] != y:
+                hub = (y, shingle_set(y, width))
+            p, q = shingle_set(x, width), hub[1]
             common = shared(p, q)
-            return 100 * common >= percent * (len(p) + len(q) - common)
-        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=bool)
+            out.append(100 * common >= percent * (len(p) + len(q) - common))
+        return pd.Series(out, dtype=bool)
     return linked
 
 
@@ -150,104 +164,124 @@ def _apart(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
 
 
-def hub_links(met: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def hub_links(met: DataFrame, sketched: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """``(a, b)``: each node with the least hub of all its buckets, where the two are linked."""
-    pairs = met.groupBy("node").agg(F.min("low").alias("hub")).where("hub < node")
-    sketch = ["n", "band1", "words1", "band2", "words2"]
-    a = nodes.select(F.col("node").alias("a"), F.col("id").alias("a_id"), *[F.col(c).alias(f"a_{c}") for c in sketch])
-    b = nodes.select(F.col("node").alias("b"), F.col("id").alias("b_id"), *[F.col(c).alias(f"b_{c}") for c in sketch])
-    both = pairs.select(F.col("node").alias("a"), F.col("hub").alias("b")).join(a, "a").join(b, "b")
-    near = F.lit(None).cast("int")
-    for i, j in ((1, 1), (1, 2), (2, 1), (2, 2)):
-        near = F.coalesce(near, F.when(F.col(f"a_band{i}") == F.col(f"b_band{j}"), _apart(F.col(f"a_words{i}"), F.col(f"b_words{j}"))))
-    room = F.col("a_n") + F.col("b_n")
-    likely = stash(both.where(near * (100 + percent) <= room * (100 - percent)).select("a", "a_id", "b", "b_id").distinct(), "likely")
-    ids = stash(likely.select(F.col("a_id").alias("id"), F.col("a").alias("node")).union(likely.select("b_id", "b")).distinct(), "likely-ids")
-    sets = stash(_sets(docs, ids, width), "likely-sets")
-    full = likely.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    return full.where(_linked(percent)("sa", "sb")).select("a", "b").distinct()
+    pairs = met.where("low < node").groupBy("node").agg(F.min("low").alias("hub"), F.min_by("band", "low").alias("band"))
+    a, b = (sketched.select("band", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "node", "n", "words")]) for x in "ab")
+    both = pairs.select("band", F.col("node").alias("a_node"), F.col("hub").alias("b_node")).join(
+        a, ["band", "a_node"]).join(b, ["band", "b_node"])
+    near = _apart(F.col("a_words"), F.col("b_words")) * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent)
+    likely = stash(both.where(near).select("a_id", "a_node", "b_id", "b_node").distinct(), "likely")
+    texts = _texts(docs, stash(likely.select(F.col("a_id").alias("id")).union(likely.select("b_id")).distinct(), "likely-ids"))
+    full = likely.join(texts.select(F.col("id").alias("a_id"), F.col("text").alias("a")), "a_id").join(
+        texts.select(F.col("id").alias("b_id"), F.col("text").alias("b")), "b_id")
+    return full.where(_linked(width, percent)("a", "b")).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+
+
+def _near(asked: pd.DataFrame, held: pd.DataFrame, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each asked node's place with the places of held nodes within reach by Hamming distance."""
+    matrix = np.stack([np.asarray(w, dtype=np.int64).view(np.uint64) for w in held["words"]])
+    sizes = held["n"].to_numpy()
+    for i, (n, words) in enumerate(zip(asked["n"], asked["words"])):
+        apart = np.bitwise_count(matrix ^ np.asarray(words, dtype=np.int64).view(np.uint64)).sum(axis=1, dtype=np.int64)
+        yield i, np.flatnonzero(apart * (100 + percent) <= (sizes + n) * (100 - percent))
+
+
+def block_reach(asked: pd.DataFrame, held: pd.DataFrame, percent: int) -> np.ndarray:
+    """The nodes of one block that are within reach of a node of another component."""
+    a_in, h_in = asked["component"].to_numpy(), held["component"].to_numpy()
+    a_some, h_some = np.zeros(len(asked), dtype=bool), np.zeros(len(held), dtype=bool)
+    for i, near in _near(asked, held, percent):
+        near = near[h_in[near] != a_in[i]]
+        a_some[i] = len(near) > 0
+        h_some[near] = True
+    return np.union1d(asked["node"].to_numpy()[a_some], held["node"].to_numpy()[h_some])
 
 
 def block_links(asked: pd.DataFrame, held: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
-    """Links of one block that join components: asked nodes against held ones, Hamming distance first.
-
-    Of the pairs whose components links of this block have already joined, none is verified.
-    """
-    sides = []
-    for rows in (asked, held):
-        by_band: dict[int, tuple[list, list]] = {}
-        for at, (b1, w1, b2, w2) in enumerate(zip(rows["band1"], rows["words1"], rows["band2"], rows["words2"])):
-            for b, w in ((b1, w1), (b2, w2)):
-                if not pd.isna(b):
-                    places, words = by_band.setdefault(int(b), ([], []))
-                    places.append(at)
-                    words.append(np.asarray(w, dtype=np.int64).view(np.uint64))
-        sides.append(by_band)
-    labels = {}
-    for g in [*asked["component"], *held["component"]]:
-        labels.setdefault(int(g), len(labels))
-    name = np.arange(len(labels))
-    own = np.array([labels[int(g)] for g in asked["component"]])
-    other = np.array([labels[int(g)] for g in held["component"]])
+    """Exact links of one block between components; once links of the block have joined two, none is sought."""
+    _, name = np.unique(np.concatenate([asked["component"].to_numpy(), held["component"].to_numpy()]), return_inverse=True)
+    own, other = name[:len(asked)], name[len(asked):]          # views: renamed together
     a_ids, h_ids = asked["node"].to_numpy(), held["node"].to_numpy()
-    a_n, h_n = asked["n"].to_numpy(), held["n"].to_numpy()
     a_sets, h_sets = list(asked["set"]), list(held["set"])
     links = []
-    for band, (mine, words) in sides[0].items():
-        if band not in sides[1]:
-            continue
-        theirs, matrix = np.array(sides[1][band][0]), np.stack(sides[1][band][1])
-        for i, w in zip(mine, words):
-            apart = np.bitwise_count(matrix ^ w).sum(axis=1, dtype=np.int64)
-            near = theirs[apart * (100 + percent) <= (h_n[theirs] + a_n[i]) * (100 - percent)]
-            s = np.frombuffer(a_sets[i], dtype=np.uint64)
-            for k in near[name[other[near]] != name[own[i]]].tolist():
-                if name[other[k]] == name[own[i]]:
-                    continue
-                t = np.frombuffer(h_sets[k], dtype=np.uint64)
-                common = shared(s, t)
-                if 100 * common >= percent * (len(s) + len(t) - common):
-                    links.append((int(a_ids[i]), int(h_ids[k])))
-                    name[name == name[other[k]]] = name[own[i]]
+    for i, near in _near(asked, held, percent):
+        s = np.frombuffer(a_sets[i], dtype=np.uint64)
+        for k in near[other[near] != own[i]].tolist():
+            if other[k] == own[i]:
+                continue
+            t = np.frombuffer(h_sets[k], dtype=np.uint64)
+            common = shared(s, t)
+            if 100 * common >= percent * (len(s) + len(t) - common):
+                links.append((int(a_ids[i]), int(h_ids[k])))
+                name[name == other[k]] = own[i]
     return links
 
 
-def open_links(met: DataFrame, components: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``(a, b)``: the links between components that still share a bucket, as far as they join components."""
-    named = met.join(components.select(F.col("id").alias("node"), "component"), "node", "left").select(
-        "key", "node", "low", F.coalesce("component", "node").alias("component"))
-    named = stash(named, "named-buckets")
-    mixed_keys = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    left = stash(named.join(mixed_keys.select("key"), "key"), "open-buckets")
-    groups = min_components(left.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())
-    members = left.select("node", "component").distinct().join(
-        groups.select(F.col("id").alias("node"), F.col("component").alias("g")), "node")
-    sizes = members.groupBy("g", "component").agg(F.count(F.lit(1)).alias("m"))
-    main = sizes.groupBy("g").agg(F.max(F.struct("m", "component"))["component"].alias("main"))
-    members = stash(members.join(main, "g").withColumn("asked", F.col("component") != F.col("main"))
-                    .join(nodes.select("node", "id", "n", "band1", "words1", "band2", "words2"), "node"), "members")
+def _dealt(members: DataFrame, payload: list[str]) -> DataFrame:
+    """Blocks of groups: ``members(g, band, node, n, component, asked, ...)`` dealt to ``(g, band, row, col)``.
 
+    Nodes outside the main component (``asked``) meet all nodes of the group. Each side of a group is cut into
+    chunks of bounded size, and each chunk is sent to the blocks of all chunks of the other side.
+    """
     def chunks(count: Column, shingles: Column) -> Column:
         return F.ceil(F.greatest(count / BLOCK_NODES, shingles / BLOCK_SHINGLES, F.lit(1.0))).cast("int")
     one = F.when(F.col("asked"), 1)
-    shape = members.groupBy("g").agg(
-        chunks(F.count(F.lit(1)), F.sum("n")).alias("held_chunks"),
-        chunks(F.count(one), F.coalesce(F.sum(one * F.col("n")), F.lit(0))).alias("asked_chunks"))
-    full = stash(members.join(shape, "g").join(_sets(docs, members.select("id", "node").distinct(), width), "node"), "open-sets")
-
-    def dealt(role: bool, mine: str, other: str) -> DataFrame:
-        return full.where("asked" if role else "true").select(
-            "g", F.pmod(F.xxhash64("node"), F.col(f"{mine}_chunks")).cast("int").alias(mine),
-            F.explode(F.sequence(F.lit(0), F.col(f"{other}_chunks") - 1)).alias(other), F.lit(role).alias("role"),
-            "node", "n", "component", "band1", "words1", "band2", "words2", "set")
-
-    def block(rows: pd.DataFrame) -> pd.DataFrame:
+    shape = members.groupBy("g", "band").agg(
+        chunks(F.count(F.lit(1)), F.sum("n")).alias("cols"),
+        chunks(F.count(one), F.coalesce(F.sum(one * F.col("n")), F.lit(0))).alias("rows"),
+        F.count(one).alias("n_asked")).where("n_asked > 0")
+
+    def sent(role: bool) -> Column:
+        """The blocks of a node in one role."""
+        mine, other = ("rows", "cols") if role else ("cols", "rows")
+        own = F.pmod(F.xxhash64("node"), F.col(mine)).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.col(other) - 1), lambda i: F.struct(
+            (own if role else i).alias("row"), (i if role else own).alias("col"), F.lit(role).alias("role")))
+    both = F.concat(sent(False), F.when(F.col("asked"), sent(True)).otherwise(F.filter(sent(True), lambda x: F.lit(False))))
+    return members.join(shape, ["g", "band"]).select(
+        "g", "band", F.explode(both).alias("at"), "node", "n", "component", "words", *payload).select(
+        "g", "band", "at.row", "at.col", "at.role", "node", "n", "component", "words", *payload)
+
+
+def _with_main(members: DataFrame) -> DataFrame:
+    """Adds ``asked``: false for the nodes of the largest component of each group."""
+    sizes = members.groupBy("g", "component").agg(F.count(F.lit(1)).alias("m"))
+    main = sizes.groupBy("g").agg(F.max(F.struct("m", "component"))["component"].alias("main"))
+    return members.join(main, "g").withColumn("asked", F.col("component") != F.col("main")).drop("main")
+
+
+def open_links(met: DataFrame, components: DataFrame, sketched: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``(a, b)``: the links between components that still share a bucket, as far as they join components."""
+    named = stash(met.join(components.select(F.col("id").alias("node"), "component"), "node", "left").withColumn(
+        "component", F.coalesce("component", "node")), "named-buckets")
+    several = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    left = stash(named.join(several.select("key"), "key"), "open-buckets")
+    seat, hub = F.xxhash64("node", "band"), F.xxhash64("low", "band")
+    groups = min_components(left.where("node <> low").select(seat.alias("a"), hub.alias("b")).distinct())
+    members = left.select("node", "band", "component").distinct().withColumn("id", seat).join(
+        groups.select("id", F.col("component").alias("g")), "id").drop("id")
+    members = stash(_with_main(members).join(sketched, ["node", "band"]), "members")
+
+    def reach(rows: pd.DataFrame) -> pd.DataFrame:
+        asked, held = rows[rows["role"]], rows[~rows["role"]]
+        found = block_reach(asked, held, percent) if len(asked) and len(held) else []
+        return pd.DataFrame({"g": rows["g"].iloc[0], "node": np.asarray(found, dtype=np.int64)})
+
+    def link(rows: pd.DataFrame) -> pd.DataFrame:
         asked, held = rows[rows["role"]].sort_values("node"), rows[~rows["role"]].sort_values("node")
         links = block_links(asked, held, percent) if len(asked) and len(held) else []
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-    both = dealt(True, "asked", "held").unionByName(dealt(False, "held", "asked"))
-    return both.groupBy("g", "asked", "held").applyInPandas(block, "a long, b long")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in (b[at:at + AT_ONCE] for b in batches for at in range(0, len(b), AT_ONCE)):
+            yield pd.DataFrame({"id": batch["id"], "set": [shingle_set(t, width).tobytes() for t in batch["text"]]})
+    block = ["g", "band", "row", "col"]
+    near = stash(_dealt(members, []).groupBy(*block).applyInPandas(reach, "g long, node long").distinct(), "within-reach")
+    some = members.drop("asked").join(near, ["g", "node"], "left_semi")
+    sets = _texts(docs, stash(some.select("id").distinct(), "reach-ids")).mapInPandas(cut, "id long, set binary")
+    full = _with_main(some).join(sets, "id")
+    return _dealt(full, ["set"]).groupBy(*block).applyInPandas(link, "a long, b long")
 
 
 def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
@@ -266,13 +300,12 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drawn = stash(sketches(docs, width, percent), "parity-sketches")
     part = drawn.where("n > 0 and id is not null")
     same = stash(part.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "sets-alike")
-    nodes = stash(part.join(same.select(F.col("rep").alias("id"), "f1", "f2"), ["id", "f1", "f2"])
-                  .dropDuplicates(["id", "f1", "f2"]), "nodes")
-    met = stash(memberships(join_keys(nodes)), "memberships")
-    links = stash(hub_links(met, nodes, docs, width, percent), "hub-links")
-    more = stash(open_links(met, min_components(links), nodes, docs, width, percent), "open-links")
+    sketched = by_band(drawn, same)
+    met = stash(memberships(sketched), "memberships")
+    links = stash(hub_links(met, sketched, docs, width, percent), "hub-links")
+    more = stash(open_links(met, min_components(links), sketched, docs, width, percent), "open-links")
     components = min_components(links.union(more))
-    linked = nodes.select("id", "node").distinct().join(components.select(F.col("id").alias("node"), "component"), "node")
+    linked = drawn.select("id", "node").distinct().join(components.select(F.col("id").alias("node"), "component"), "node")
     least = linked.groupBy("component").agg(F.min("id").alias("least"))
     least = stash(linked.join(least, "component").select(F.col("id").alias("rep"), "least"), "least-ids")
     named = drawn.join(same.where("copies > 1").select("f1", "f2", "rep"), ["f1", "f2"], "left").select(
