@@ -229,7 +229,8 @@ def interval_overlap_agg(runs: DataFrame, events: DataFrame, key: str, run_id: S
     window runs over one row per (key, change day) and per run bound; its size per
     key is bounded by distinct days, not by the number of events (hot keys stay
     small). Event rows are counted as they come; ``distinct_on`` names columns by which repeats are
-    dropped first. Empty windows (start > end) never overlap. Returns run_id columns, n_events, sum_<c>, n_<c>_<v>.
+    dropped first. Empty windows (start > end, or a NULL bound) overlap nothing and give zeros. Returns run_id columns,
+    n_events, sum_<c>, n_<c>_<v>.
     """
     count_values = count_values or {}
     ev = events.where(F.col(ev_start).cast("date") <= F.col(ev_end).cast("date"))
@@ -254,14 +255,118 @@ def interval_overlap_agg(runs: DataFrame, events: DataFrame, key: str, run_id: S
         return df.select("_k", "_day", F.lit(0).alias("_q"), none, *[
             (F.col(c) if c.startswith(f"{tag}_") else F.lit(0.0)).alias(c) for c in cols])
     rid = F.struct(*[F.col(c) for c in run_id]).alias("_rid")
-    bound = F.explode(F.array(F.struct(F.col(run_end).cast("date").alias("day"), F.lit(2).alias("q")),
-                              F.struct(F.col(run_start).cast("date").alias("day"), F.lit(1).alias("q")))).alias("_b")
+    first, last = F.col(run_start).cast("date"), F.col(run_end).cast("date")
+    reads = F.array(F.struct(last.alias("day"), F.lit(2).alias("q")), F.struct(first.alias("day"), F.lit(1).alias("q")))
+    bound = F.explode(F.when(first <= last, reads).otherwise(           # an empty window reads nothing
+        F.array(F.struct(F.lit(None).cast("date").alias("day"), F.lit(3).alias("q"))))).alias("_b")
     q = runs.select(F.col(key).alias("_k"), rid, bound).select(
         "_k", F.col("_b.day").alias("_day"), F.col("_b.q").alias("_q"), "_rid", *[F.lit(0.0).alias(c) for c in cols])
     w = Window.partitionBy("_k").orderBy("_day", "_q").rowsBetween(Window.unboundedPreceding, 0)
     u = padded(starts, "s").unionByName(padded(ends, "e")).unionByName(q)
     cum = u.select("_q", "_rid", *[F.sum(c).over(w).alias(c) for c in cols]).where(F.col("_q") > 0)
-    j = cum.groupBy("_rid").agg(*[(F.max(F.when(F.col("_q") == 2, F.col(f"s_{n}")))
-                                   - F.max(F.when(F.col("_q") == 1, F.col(f"e_{n}")))).alias(n) for n in names])
+    j = cum.groupBy("_rid").agg(*[F.coalesce(F.max(F.when(F.col("_q") == 2, F.col(f"s_{n}")))
+                                             - F.max(F.when(F.col("_q") == 1, F.col(f"e_{n}"))), F.lit(0.0)).alias(n) for n in names])
     out = j.select(*[F.col("_rid")[c].alias(c) for c in run_id], *names)
     return out.withColumn("n", F.col("n").cast("bigint")).withColumnRenamed("n", "n_events")
+
+
+#: Levels of the dyadic day tree: nodes of 1 to 2**16 days (longer intervals take several of the largest).
+DAY_LEVELS = 16
+
+
+def _day(c: Column) -> Column:
+    return F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date"))
+
+
+def _ancestors(day: Column) -> Column:
+    """Nodes (level, number) of the day tree that hold a day: one on each level."""
+    return F.transform(F.sequence(F.lit(0), F.lit(DAY_LEVELS)), lambda j: F.struct(
+        j.alias("level"), F.call_function("shiftright", day, j).alias("node")))
+
+
+def _canonical(first: Column, last: Column) -> Column:
+    """The fewest nodes that together hold exactly the days from ``first`` to ``last``: two on a level at
+    most (all between on the topmost). On level j the days not yet covered are the nodes from
+    ceil(first / 2^j) up to floor((last + 1) / 2^j); an odd first one, and the last one before an odd end,
+    have no parent inside the interval."""
+    def on(j: Column) -> Column:
+        a = -F.call_function("shiftright", -first, j)
+        b = F.call_function("shiftright", last + 1, j)
+        ends = F.array_distinct(F.concat(
+            F.when((a < b) & (a % 2 != 0), F.array(a)).otherwise(F.array().cast("array<int>")),
+            F.when((a < b) & (b % 2 != 0), F.array(b - 1)).otherwise(F.array().cast("array<int>"))))
+        top = F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(F.when(j == DAY_LEVELS, top).otherwise(ends), lambda x: F.struct(j.alias("level"), x.alias("node")))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(DAY_LEVELS)), on))
+
+
+def interval_overlap_max(runs: DataFrame, events: DataFrame, key: str, run_id: Sequence[str], run_start: str,
+                         run_end: str, ev_start: str, ev_end: str, max_cols: Sequence[str]) -> DataFrame:
+    """X07 — the maximum of event columns over the events whose [start, end] overlaps each run window,
+    without forming (run, event) pairs and for values of any kind.
+
+    A maximum cannot be taken as a difference of running totals, so days are put in a binary tree. An event
+    overlaps a run if it starts within the run, or else covers the run's first day:
+
+    * start within: every event start counts for the nodes above its day; a run reads the few nodes that
+      make up its window.
+    * covers the first day: an event counts for the few nodes that make up its own interval; a run reads the
+      nodes above its first day.
+
+    Both are equi-joins on (key, level, node) with one row a node. Events are reduced to one row per key and
+    days first, so no row count grows with more than events or runs times the depth of the tree, whatever
+    the windows hold. Returns the run_id columns and ``max_<c>`` of all runs, NULL without an overlapping
+    event; empty windows (start > end) overlap nothing.
+    """
+    rid = F.struct(*[F.col(c) for c in run_id]).alias("_rid")
+    maxima = [F.max(f"max_{c}").alias(f"max_{c}") for c in max_cols]
+    s, e = _day(F.col(ev_start)).alias("_s"), _day(F.col(ev_end)).alias("_e")
+    ev = events.select(F.col(key).alias("_k"), s, e, *[F.col(c).alias(f"max_{c}") for c in max_cols]).where(
+        "_s <= _e").groupBy("_k", "_s", "_e").agg(*maxima)
+
+    def nodes(df: DataFrame, at: Column, side: int, *more) -> DataFrame:
+        return df.select("_k", F.lit(side).alias("_side"), F.explode(at).alias("_at"), *more).select(
+            "_k", "_side", "_at.level", "_at.node", *more)
+    starts = ev.groupBy("_k", "_s").agg(*maxima)
+    cols = [f"max_{c}" for c in max_cols]
+    tree = nodes(starts, _ancestors(F.col("_s")), 0, *cols).unionByName(
+        nodes(ev, _canonical(F.col("_s"), F.col("_e")), 1, *cols)).groupBy("_k", "_side", "level", "node").agg(*maxima)
+    r = runs.select(F.col(key).alias("_k"), rid, _day(F.col(run_start)).alias("_s"), _day(F.col(run_end)).alias("_e"))
+    sound = r.where("_s <= _e")
+    asked = nodes(sound, _canonical(F.col("_s"), F.col("_e")), 0, "_rid").unionByName(nodes(sound, _ancestors(F.col("_s")), 1, "_rid"))
+    found = asked.join(tree, ["_k", "_side", "level", "node"]).groupBy("_rid").agg(*maxima)
+    return r.select("_rid").join(found, "_rid", "left").select(*[F.col("_rid")[c].alias(c) for c in run_id], *cols)
+
+
+def event_window_features(runs: DataFrame, events: DataFrame, key: str, run_id: Sequence[str], run_start: str, run_end: str,
+                          ev_start: str = "start", ev_end: str = "end", attendance: str = "attendance", rank: str = "rank",
+                          kind: str = "kind", kinds: Sequence[str] = ("sports", "concerts"), holiday: str = "holidays",
+                          weather: str = "severe-weather", significant: int = 30,
+                          distinct_on: Sequence[str] | None = None) -> DataFrame:
+    """X07 — features of the events around each run: every run, those without events with zeros.
+
+    ``attendance_sum`` and ``attendance_<kind>`` add up the attendance of overlapping events (unknown counts
+    as 0), ``event_count`` counts those of at least the ``significant`` rank and ``rank_avg`` is their mean
+    rank (NULL without any), ``rank_max`` is the greatest rank of all of them (NULL without any),
+    ``holidays_flag`` and ``severe_weather_flag`` are 1 if an event of that kind overlaps.
+    """
+    big = F.col(rank) >= significant
+    number = F.coalesce(F.col(attendance).cast("double"), F.lit(0.0))
+    ev = events.select(
+        "*", number.alias("_att"), *[F.when(F.col(kind) == k, number).otherwise(F.lit(0.0)).alias(f"_att_{i}") for i, k in enumerate(kinds)],
+        F.when(big, F.lit(1)).otherwise(F.lit(0)).alias("_big"), F.when(big, F.col(rank)).otherwise(F.lit(0)).alias("_rank"),
+        F.when(F.col(kind) == holiday, F.lit(1)).otherwise(F.lit(0)).alias("_holiday"),
+        F.when(F.col(kind) == weather, F.lit(1)).otherwise(F.lit(0)).alias("_weather"))
+    ev = ev.dropDuplicates(list(distinct_on)) if distinct_on else ev
+    window = (key, run_id, run_start, run_end, ev_start, ev_end)
+    sums = ["_att", *[f"_att_{i}" for i in range(len(kinds))], "_big", "_rank", "_holiday", "_weather"]
+    added = interval_overlap_agg(runs, ev, *window, sum_cols=sums)
+    most = interval_overlap_max(runs, ev, *window, [rank])
+    zero = [F.coalesce(F.col(f"sum_{c}"), F.lit(0.0)).alias(c) for c in sums]
+    both = added.select(*run_id, F.coalesce("n_events", F.lit(0)).cast("bigint").alias("n_events"), *zero).join(most, list(run_id))
+    return both.select(
+        *run_id, "n_events", F.col("_att").alias("attendance_sum"),
+        *[F.col(f"_att_{i}").alias(f"attendance_{k}") for i, k in enumerate(kinds)],
+        F.col("_big").cast("bigint").alias("event_count"), F.col(f"max_{rank}").alias("rank_max"),
+        (F.col("_rank") / F.nullif(F.col("_big"), F.lit(0.0))).alias("rank_avg"),
+        (F.col("_holiday") > 0).cast("int").alias("holidays_flag"), (F.col("_weather") > 0).cast("int").alias("severe_weather_flag"))

@@ -54,6 +54,7 @@ def q_a02(spark, sf):
 from stagecast.functions import signals as SG  # noqa: E402
 from stagecast.operators import allocate as AL  # noqa: E402
 from stagecast.operators import models as M  # noqa: E402
+from stagecast.operators import neighbours as NB  # noqa: E402
 from stagecast.operators import robust as RB  # noqa: E402
 from stagecast.plans import pipeline as PL  # noqa: E402
 
@@ -882,25 +883,33 @@ def q_x06(spark, sf):
     return rounded(RO.ticketing_rollup(_ticket_lines(spark, sf), B.CITIES))
 
 
+def _event_lines(spark, sf):
+    """Order lines as events: from order to ship date, attendance = quantity, rank 0 to 100, four kinds."""
+    li = B.read(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate")
+    o = B.read(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    kind = F.when(F.col("o_orderpriority").startswith("1"), "sports").when(F.col("o_orderpriority").startswith("2"), "concerts").when(
+        F.col("o_orderkey") % 7 == 0, "holidays").when(F.col("o_orderkey") % 11 == 0, "severe-weather")
+    return li.join(o, li.l_orderkey == o.o_orderkey).select(
+        F.col("l_partkey").alias("title"), F.col("o_orderdate").cast("date").alias("start"), F.col("l_shipdate").cast("date").alias("end"),
+        F.col("l_quantity").alias("attendance"), F.floor(F.col("l_extendedprice") % 101).cast("int").alias("rank"), kind.alias("kind"))
+
+
 @query("X07_event_window_features")
 def q_x07(spark, sf):
+    """Every run with the features of the order lines around it, runs without any included."""
     runs = _plan(spark, sf).runs.select("title", "run_no", "run_start", "run_end")
-    li = B.read(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate")
-    o = B.read(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
-    ev = (li.join(o, li.l_orderkey == o.o_orderkey)
-          .select(F.col("l_partkey").alias("title"), F.col("l_orderkey").alias("event_id"),
-                  F.col("o_orderdate").cast("date").alias("ev_start"), F.col("l_shipdate").cast("date").alias("ev_end"),
-                  "l_quantity", F.substring("o_orderpriority", 1, 1).cast("int").alias("rank")))
-    agg = J.interval_overlap_agg(runs, ev, "title", ["title", "run_no"], "run_start", "run_end", "ev_start", "ev_end",
-                                 sum_cols=["l_quantity", "rank"], count_values={"rank": [1, 2, 3, 4, 5]},
-                                 distinct_on=["title", "event_id", "ev_start", "ev_end", "l_quantity", "rank"])
-    max_rank = F.lit(None).cast("int")
-    for v in (1, 2, 3, 4, 5):
-        max_rank = F.when(F.col(f"n_rank_{v}") > 0, F.lit(v)).otherwise(max_rank)
-    return rounded(agg.where(F.col("n_events") > 0).select(
-        "title", "run_no", "n_events", F.col("sum_l_quantity").alias("attendance"), max_rank.alias("max_rank"),
-        (F.col("sum_rank") / F.col("n_events")).alias("avg_rank"),
-        (F.col("n_rank_1") + F.col("n_rank_2")).cast("bigint").alias("n_high_priority")))
+    return rounded(J.event_window_features(runs, _event_lines(spark, sf), "title", ["title", "run_no"], "run_start", "run_end"))
+
+
+@query("X01_knn_impute")
+def q_x01(spark, sf):
+    """Titles without history: the five titles with the most similar signals, and their index, newer runs first."""
+    p = _hidden_plan(spark, sf)
+    today = F.broadcast(p.runs.agg(F.max("run_end").alias("_today")))                      # one row
+    known = p.known.select("title", *PL.SIGNALS, "TicketIndex_DeSeason", "mid_date").crossJoin(today).withColumn(
+        "years", F.datediff("_today", "mid_date") / 365.25)
+    unknown = p.indexed.where(F.col("TicketIndex_DeSeason").isNull()).select("title", *PL.SIGNALS)
+    return rounded(NB.knn_impute(unknown, known, PL.SIGNALS, "TicketIndex_DeSeason", years="years"))
 
 
 @query("X08_batch_rescale")

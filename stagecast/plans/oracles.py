@@ -1156,18 +1156,45 @@ FROM g JOIN pc ON pc.id = g.id JOIN wk ON wk.id = g.id JOIN chm ON chm.id = g.id
 
 register("X07_event_window_features", scoring_ctes("runs") + """,
 ev AS (
-  SELECT l.l_partkey AS title, l.l_orderkey AS event_id, CAST(o.o_orderdate AS DATE) AS ev_start,
-         CAST(l.l_shipdate AS DATE) AS ev_end, l.l_quantity, CAST(substr(o.o_orderpriority, 1, 1) AS INTEGER) AS rank
+  SELECT l.l_partkey AS title, CAST(o.o_orderdate AS DATE) AS a, CAST(l.l_shipdate AS DATE) AS b, l.l_quantity AS q,
+         CAST(floor(l.l_extendedprice % 101) AS INTEGER) AS rank,
+         CASE WHEN o.o_orderpriority LIKE '1%' THEN 'sports' WHEN o.o_orderpriority LIKE '2%' THEN 'concerts'
+              WHEN o.o_orderkey % 7 = 0 THEN 'holidays' WHEN o.o_orderkey % 11 = 0 THEN 'severe-weather' END AS kind
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-),
-pairs AS (
-  SELECT DISTINCT r.title, r.run_no, e.event_id, e.ev_start, e.ev_end, e.l_quantity, e.rank
-  FROM runs r JOIN ev e ON e.title = r.title AND e.ev_start <= r.run_end AND e.ev_end >= r.run_start
-  WHERE e.ev_start <= e.ev_end AND r.run_start <= r.run_end
 )
-SELECT title, CAST(run_no AS BIGINT) AS run_no, count(*) AS n_events, round(sum(l_quantity), 6) AS attendance,
-       max(rank) AS max_rank, round(avg(rank), 6) AS avg_rank, count(*) FILTER (WHERE rank <= 2) AS n_high_priority
-FROM pairs GROUP BY title, run_no""")
+SELECT r.title, CAST(r.run_no AS BIGINT) AS run_no, count(e.title) AS n_events,
+       round(coalesce(sum(q), 0.0), 6) AS attendance_sum,
+       round(coalesce(sum(q) FILTER (WHERE kind = 'sports'), 0.0), 6) AS attendance_sports,
+       round(coalesce(sum(q) FILTER (WHERE kind = 'concerts'), 0.0), 6) AS attendance_concerts,
+       count(*) FILTER (WHERE rank >= 30) AS event_count, max(rank) AS rank_max,
+       round(avg(rank) FILTER (WHERE rank >= 30), 6) AS rank_avg,
+       CAST(coalesce(max(CASE WHEN kind = 'holidays' THEN 1 ELSE 0 END), 0) AS INTEGER) AS holidays_flag,
+       CAST(coalesce(max(CASE WHEN kind = 'severe-weather' THEN 1 ELSE 0 END), 0) AS INTEGER) AS severe_weather_flag
+FROM runs r LEFT JOIN ev e ON e.title = r.title AND e.a <= e.b AND e.a <= r.run_end AND e.b >= r.run_start
+GROUP BY r.title, r.run_no""")
+
+register("X01_knn_impute", scoring_ctes("models", hist=B_HIST_HIDDEN) + """,
+st AS (
+  SELECT avg(wiki) AS m1, stddev_pop(wiki) AS s1, avg(trends) AS m2, stddev_pop(trends) AS s2, avg(youtube) AS m3,
+         stddev_pop(youtube) AS s3, avg(chartmetric) AS m4, stddev_pop(chartmetric) AS s4, count(*) AS n FROM known
+),
+zs AS (
+  SELECT i.title, i."TicketIndex_DeSeason" AS y, (wiki - m1) / s1 AS z1, (trends - m2) / s2 AS z2, (youtube - m3) / s3 AS z3,
+         (chartmetric - m4) / s4 AS z4, n
+  FROM indexed i CROSS JOIN st WHERE wiki IS NOT NULL AND trends IS NOT NULL AND youtube IS NOT NULL AND chartmetric IS NOT NULL
+),
+us AS (SELECT title, y, n, z1 / l AS u1, z2 / l AS u2, z3 / l AS u3, z4 / l AS u4
+       FROM (SELECT *, sqrt(z1 * z1 + z2 * z2 + z3 * z3 + z4 * z4) AS l FROM zs)),
+sims AS (
+  SELECT q.title, k.title AS near, k.y, round(q.u1 * k.u1 + q.u2 * k.u2 + q.u3 * k.u3 + q.u4 * k.u4, 12) AS sim,
+         date_diff('day', lm.mid_date, (SELECT max(run_end) FROM runs)) / 365.25 AS years
+  FROM us q JOIN us k ON q.y IS NULL AND k.y IS NOT NULL AND k.n >= 3 LEFT JOIN lastmid lm ON lm.title = k.title
+),
+best AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY sim DESC, near) AS r,
+                sim * (0.5 * exp(-0.1 * years) + 0.5) AS w FROM sims QUALIFY r <= 5)
+SELECT i.title, count(b.near) AS "kNN_neighbors", min(b.near) FILTER (WHERE r = 1) AS "kNN_nearest",
+       round(max(b.sim), 6) AS "kNN_similarity", round(sum(w * b.y) / nullif(sum(w), 0), 6) AS "kNN_prediction"
+FROM indexed i LEFT JOIN best b ON b.title = i.title WHERE i."TicketIndex_DeSeason" IS NULL GROUP BY i.title""")
 
 register("X08_batch_rescale", with_(B_BASE) + """,
 ctrl AS (SELECT category, arg_min(wiki, title) AS cw FROM base GROUP BY category)
