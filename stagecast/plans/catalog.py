@@ -993,60 +993,78 @@ def _as_file(spark, df, tag):
     return path
 
 
-def _as_texts(df, schema, **cols):
-    """``df`` with the columns of a source file, in order; those that are not given are empty."""
-    return df.select(*[cols.get(f.name, F.lit(None)).cast("string").alias(f.name) for f in schema.fields])
+def _as_texts(df, fields, absent=(), extra=(), **cols):
+    """``df`` as a source file of these fields: text, columns in reverse order, ``absent`` ones left out,
+    unknown ones empty, and ``extra`` columns that no field names between them."""
+    named = [cols.get(IO.normalize_name(f.name), F.lit(None)).cast("string").alias(f.name) for f in reversed(fields) if f.name not in absent]
+    return df.select(named[0], *[F.lit("extra").alias(c) for c in extra], *named[1:])
 
 
 @query("S06_external_factors")
 def q_s06(spark, sf):
-    f = _as_texts(_ext_factors(spark, sf), IO.EXTERNAL_FACTORS_SCHEMA, year=F.col("year"), city=F.col("city"),
-                  population=F.col("n_orders"), income=F.col("avg_order_value"))
-    d = IO.read_source(spark, _as_file(spark, f, "s06"), IO.EXTERNAL_FACTORS_SCHEMA, numeric_cols=("year", "population", "income", "gdp"))
-    return rounded(d.select(F.col("year").cast("int").alias("year"), "city", "population", "income", "gdp"))
+    f = _as_texts(_ext_factors(spark, sf), IO.EXTERNAL_FACTORS, absent=("alberta_real_gdp_growth_rate",), extra=("Source - Page",),
+                  year=F.col("year"), city=F.col("city"), population_city=F.col("n_orders"), median_household_income_city=F.col("avg_order_value"))
+    d = IO.read_source(spark, _as_file(spark, f, "s06"), IO.EXTERNAL_FACTORS)
+    return rounded(d.select(F.col("year").cast("int").alias("year"), "city", "population_city", "median_household_income_city",
+                            "alberta_real_gdp_growth_rate", "source_page"))
 
 
 @query("S07_dated_series")
 def q_s07(spark, sf):
     ev = B.read(spark, sf, "events").groupBy(F.col("ts").cast("date").alias("date"), "event_type").agg(F.avg("value").alias("v"))
-    oil = _as_texts(ev.where("event_type = 'view'"), IO.OIL_PRICE_SCHEMA, date=F.col("date"), wcs_oil_price=F.col("v"), oil_series=F.col("event_type"))
-    un = _as_texts(ev.where("event_type <> 'view'"), IO.UNEMPLOYMENT_SCHEMA, date=F.date_format("date", "yyyy-MM-dd"), unemployment_rate=F.col("v"),
-                   region=F.col("event_type"))
-    a = IO.read_source(spark, _as_file(spark, oil, "s07a"), IO.OIL_PRICE_SCHEMA, ("date",), ("wcs_oil_price",))
-    b = IO.read_source(spark, _as_file(spark, un, "s07b"), IO.UNEMPLOYMENT_SCHEMA, ("date",), ("unemployment_rate",))
+    oil = _as_texts(ev.where("event_type = 'view'"), IO.OIL_PRICES, date=F.col("date"), wcs_oil_price=F.col("v"), oil_series=F.col("event_type"))
+    un = _as_texts(ev.where("event_type <> 'view'"), IO.UNEMPLOYMENT, extra=("note",), date=F.date_format("date", "yyyy-MM-dd"),
+                   unemployment_rate=F.col("v"), region=F.col("event_type"))
+    a = IO.read_source(spark, _as_file(spark, oil, "s07a"), IO.OIL_PRICES)
+    b = IO.read_source(spark, _as_file(spark, un, "s07b"), IO.UNEMPLOYMENT)
     return rounded(a.select("date", F.col("oil_series").alias("series"), F.col("wcs_oil_price").alias("value")).unionByName(
         b.select("date", F.col("region").alias("series"), F.col("unemployment_rate").alias("value"))))
 
 
 @query("S10_event_features")
 def q_s10(spark, sf):
-    o = B.read(spark, sf, "orders")
-    f = _as_texts(o, IO.EVENT_FEATURES_SCHEMA, show_title=F.col("o_orderkey"), city=F.col("o_orderstatus"),
-                  phq_start_date=F.col("o_orderdate").cast("date"), phq_end_date=F.lit("not a date"),
-                  phq_attendance=F.col("o_totalprice"), phq_rank=F.substring("o_orderpriority", 1, 1))
-    d = IO.read_source(spark, _as_file(spark, f, "s10"), IO.EVENT_FEATURES_SCHEMA, ("phq_start_date", "phq_end_date"), ("phq_attendance", "phq_rank"))
-    return rounded(d.select("show_title", "city", "phq_start_date", "phq_end_date", "phq_attendance", "phq_rank"))
+    """The features of the runs (X07), written under the names of the event file and read back: 13 columns."""
+    x = q_x07(spark, sf).join(_plan(spark, sf).runs.select("title", "run_no", "run_start", "run_end"), ["title", "run_no"])
+    phq = {"attendance_sum": "attendance_sum", "attendance_sports": "attendance_sports", "attendance_concerts": "attendance_concerts",
+           "event_count": "event_count", "rank_max": "rank_max", "rank_avg": "rank_avg", "holidays_flag": "holidays_flag",
+           "severe_weather_flag": "severe_weather_flag"}
+    f = _as_texts(x, IO.EVENT_FEATURES, absent=("phq_demand_impact_score",), show_title=F.col("title"), city=F.lit("all"),
+                  phq_start_date=F.col("run_start"), phq_end_date=F.when(F.col("run_no") > 0, F.col("run_end").cast("string")).otherwise("not a date"),
+                  **{f"phq_{a}": F.col(b) for a, b in phq.items()})
+    d = IO.read_source(spark, _as_file(spark, f, "s10"), IO.EVENT_FEATURES)
+    return rounded(d)
 
 
 @query("S11_survey")
 def q_s11(spark, sf):
     c = B.read(spark, sf, "customer").groupBy("c_mktsegment", "c_nationkey").agg(F.avg("c_acctbal").alias("v"))
-    f = _as_texts(c, IO.SURVEY_SCHEMA, category=F.col("c_mktsegment"), subcategory=F.lit("all"), metric=F.lit("balance"),
+    f = _as_texts(c, IO.SURVEY, category=F.col("c_mktsegment"), subcategory=F.lit("all"), metric=F.lit("balance"),
                   year_or_period=F.when(F.col("c_nationkey") % 5 == 0, F.lit("Q1")).otherwise((F.col("c_nationkey") + 2000).cast("string")),
-                  value=F.col("v"), unit=F.lit("dollars, all"))
-    d = IO.read_source(spark, _as_file(spark, f, "s11"), IO.SURVEY_SCHEMA)
-    return rounded(IO.tidy_slice(d, {"category": "BUILDING", "metric": "balance"}))
+                  value=F.col("v"), unit=F.lit("dollars, all")).withColumnRenamed("year_or_period", "Period")
+    d = IO.read_source(spark, _as_file(spark, f, "s11"), IO.SURVEY)
+    return rounded(d.withColumn("value", P.parse_number("value", blank_as_zero=False)))
 
 
 @query("S13_index_series")
 def q_s13(spark, sf):
     o = B.read(spark, sf, "orders").groupBy(F.col("o_orderdate").cast("date").alias("d")).agg(
         F.sum("o_totalprice").alias("a"), F.count(F.lit(1)).alias("n"))
-    f = _as_texts(o, IO.COMMODITY_INDEX_SCHEMA, **{"date": F.col("d"), "A.BCPI": F.col("a"), "A.ENER": F.col("n")})
-    d = IO.read_source(spark, _as_file(spark, f, "s13"), IO.COMMODITY_INDEX_SCHEMA, ("date",), ("a.bcpi", "a.ener", "a.fish"))
+    f = _as_texts(o, IO.COMMODITY_INDEX, absent=("A.FISH",), **{"date": F.col("d"), "a.bcpi": F.col("a"), "a.ener": F.col("n")})
+    d = IO.read_source(spark, _as_file(spark, f, "s13"), IO.COMMODITY_INDEX)
     return rounded(d.select("date", F.col("`a.bcpi`").alias("bcpi"), F.col("`a.ener`").alias("ener"), F.col("`a.fish`").alias("fish")))
 
 
+@query("S16_marketing_spend_file")
+def q_s16f(spark, sf):
+    """Spend of each title under the headers of the spend file; the date is the first city's that has one."""
+    s = _spend(spark, sf).withColumn("d", F.date_add(F.lit("2020-01-01").cast("date"), (F.col("title") % 300).cast("int")))
+    f = _as_texts(s, IO.MARKETING_SPEND, show_title=F.col("title"), calgary_show_date=F.when(F.col("title") % 2 == 0, F.col("d")),
+                  edmonton_show_date=F.date_add("d", 1), marketing_spend_calgary=F.col("marketing_spend"))
+    d = IO.first_date_column(IO.read_source(spark, _as_file(spark, f, "s16"), IO.MARKETING_SPEND),
+                             ["start_date", "calgary_show_date", "edmonton_show_date"])
+    return rounded(d.select("show_title", "date_key", "marketing_spend_calgary", "marketing_spend_edmonton"))
+
+
 @query("S14_census")
 def q_s14(spark, sf):
     g = B.customer_geo(spark, sf).groupBy("region", "segment").agg(F.count(F.lit(1)).alias("Customers - All"))
@@ -1072,10 +1090,10 @@ def q_s19(spark, sf):
 def q_s20(spark, sf):
     """A source that is not there reads as an empty table of its schema; the others stay whole."""
     c = B.read(spark, sf, "customer").select(F.col("c_mktsegment").alias("city"))
-    f = _as_texts(c, IO.UNEMPLOYMENT_SCHEMA, region=F.col("city"))
+    f = _as_texts(c, IO.UNEMPLOYMENT, region=F.col("city"))
     path = _as_file(spark, f, "s20")
-    there = IO.read_source(spark, path, IO.UNEMPLOYMENT_SCHEMA)
-    gone = IO.read_source(spark, path + "-missing", IO.UNEMPLOYMENT_SCHEMA)
+    there = IO.read_source(spark, path, IO.UNEMPLOYMENT)
+    gone = IO.read_source(spark, path + "-missing", IO.UNEMPLOYMENT)
     both = there.withColumn("found", F.lit(1)).unionByName(gone.withColumn("found", F.lit(0)))
     return both.groupBy("region").agg(F.count(F.lit(1)).alias("rows"), F.min("found").alias("found"))
 

@@ -1240,22 +1240,29 @@ SELECT k.category, count(*) AS n,
 FROM known k JOIN catmodel m ON m.category = k.category GROUP BY 1""")
 
 register("S06_external_factors", """
-SELECT CAST(year(o_orderdate) AS INTEGER) AS year, r.r_name AS city, CAST(count(*) AS DOUBLE) AS population, round(avg(o_totalprice), 6) AS income,
-       CAST(NULL AS DOUBLE) AS gdp
+SELECT CAST(year(o_orderdate) AS INTEGER) AS year, r.r_name AS city, CAST(count(*) AS DOUBLE) AS population_city,
+       round(avg(o_totalprice), 6) AS median_household_income_city, CAST(NULL AS DOUBLE) AS alberta_real_gdp_growth_rate,
+       'extra' AS source_page
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
 JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY 1, 2""")
 
 register("S07_dated_series", """
 SELECT CAST(ts AS DATE) AS date, event_type AS series, round(avg(value), 6) AS value FROM events GROUP BY 1, 2""")
 
-register("S10_event_features", """
-SELECT CAST(o_orderkey AS VARCHAR) AS show_title, o_orderstatus AS city, CAST(o_orderdate AS DATE) AS phq_start_date,
-       CAST(NULL AS DATE) AS phq_end_date, round(o_totalprice, 6) AS phq_attendance,
-       CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS phq_rank FROM orders""")
+register("S10_event_features", ORACLES["X07_event_window_features"].replace(
+    "SELECT r.title, CAST(r.run_no AS BIGINT) AS run_no, count(e.title) AS n_events,",
+    """SELECT CAST(r.title AS VARCHAR) AS show_title, 'all' AS city, min(r.run_start) AS phq_start_date,
+       CASE WHEN r.run_no > 0 THEN min(r.run_end) END AS phq_end_date, CAST(NULL AS DOUBLE) AS phq_demand_impact_score,""")
+    .replace("AS attendance_", "AS phq_attendance_").replace("count(*) FILTER (WHERE rank >= 30) AS event_count",
+    "CAST(count(*) FILTER (WHERE rank >= 30) AS DOUBLE) AS phq_event_count")
+    .replace("max(rank) AS rank_max", "CAST(max(rank) AS DOUBLE) AS phq_rank_max").replace("AS rank_avg", "AS phq_rank_avg")
+    .replace("AS INTEGER) AS holidays_flag", "AS DOUBLE) AS phq_holidays_flag")
+    .replace("AS INTEGER) AS severe_weather_flag", "AS DOUBLE) AS phq_severe_weather_flag"))
 
 register("S11_survey", """
-SELECT CAST(c_nationkey + 2000 AS INTEGER) AS year, round(avg(c_acctbal), 6) AS value FROM customer
-WHERE c_mktsegment = 'BUILDING' AND c_nationkey % 5 <> 0 GROUP BY c_nationkey""")
+SELECT c_mktsegment AS category, 'all' AS subcategory, 'balance' AS metric,
+       CASE WHEN c_nationkey % 5 = 0 THEN 'Q1' ELSE CAST(c_nationkey + 2000 AS VARCHAR) END AS year_or_period,
+       round(avg(c_acctbal), 6) AS value, 'dollars, all' AS unit FROM customer GROUP BY c_mktsegment, c_nationkey""")
 
 register("S13_index_series", """
 SELECT CAST(o_orderdate AS DATE) AS date, round(sum(o_totalprice), 6) AS bcpi, CAST(count(*) AS DOUBLE) AS ener, CAST(NULL AS DOUBLE) AS fish
@@ -1278,6 +1285,12 @@ register("S12_tidy_slice", """
 SELECT CAST(day(ts) AS INTEGER) AS year, count(*) AS n, round(sum(value), 6) AS value
 FROM events WHERE event_type = 'purchase' GROUP BY 1""")
 
+register("S16_marketing_spend_file", """
+SELECT CAST(l_partkey AS VARCHAR) AS show_title,
+       DATE '2020-01-01' + CAST(l_partkey % 300 AS INTEGER) + CASE WHEN l_partkey % 2 = 0 THEN 0 ELSE 1 END AS date_key,
+       round(sum(l_extendedprice * l_discount), 6) AS marketing_spend_calgary, CAST(NULL AS DOUBLE) AS marketing_spend_edmonton
+FROM lineitem GROUP BY l_partkey""")
+
 register("S16_first_date_column", """
 SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) ELSE CAST(o_orderdate AS DATE) + 1 END AS date_key
 FROM orders""")

@@ -1,8 +1,8 @@
 """Readers, cleaners and writers for the planning sources.
 
-Readers take an explicit schema (no inference on production paths), parse
-numbers and dates with ``try_*`` expressions (ANSI-safe) and return lazy
-DataFrames. Every cleaning step is a DataFrame -> DataFrame function so it
+Readers take the columns of a file by the names in its header (no inference, no
+positions), parse numbers and dates with ``try_*`` expressions (ANSI-safe) and return
+lazy DataFrames. Every cleaning step is a DataFrame -> DataFrame function so it
 also applies to tables that are not CSV files (parquet, Delta, views).
 """
 
@@ -11,8 +11,9 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,42 +69,82 @@ def clean_frame(df: DataFrame, drop_unnamed: bool = True, drop_empty_unnamed_onl
 
 
 # S03 -------------------------------------------------------------------------
-SALES_SCHEMA = T.StructType([
-    T.StructField("city", T.StringType()), T.StructField("show_title", T.StringType()),
-    T.StructField("start_date", T.StringType()), T.StructField("end_date", T.StringType()),
-    T.StructField("single_tickets", T.StringType())])
-
-
 def clean_sales_history(df: DataFrame, date_cols: Sequence[str] = ("start_date", "end_date"),
-                        target: str = "single_tickets", validate: bool = True) -> DataFrame:
-    """S03 — parse dates (strict yyyy-MM-dd) and thousands-separated targets; raise when any
-    row has no start date; drop rows whose target is NULL, NaN or negative."""
+                        target: str = "single_tickets", validate: bool = True, checks: Observation | None = None) -> DataFrame:
+    """S03 — parse dates (strict yyyy-MM-dd) and thousands-separated targets; rows whose target is NULL, NaN
+    or negative are dropped; a row without a start date is an error.
+
+    The date test is part of the plan: whatever job reads the result fails on the first undated row, and no
+    scan is made ahead. ``checks`` gets ``rows``, ``undated`` and ``dropped`` of that same job.
+    """
     out = df
     for c in date_cols:
         if c in out.columns and not isinstance(out.schema[c].dataType, T.DateType):
             out = out.withColumn(c, F.try_to_date(F.col(c).cast("string"), "yyyy-MM-dd"))
     if not isinstance(out.schema[target].dataType, T.NumericType):
         out = out.withColumn(target, parse_number(F.col(target), blank_as_zero=False))
-    if validate and date_cols and date_cols[0] in out.columns:
-        bad = out.agg(F.count_if(F.col(date_cols[0]).isNull()).alias("n")).first()["n"]
-        if bad:
-            raise DataLoadError(f"{bad} sales rows have no valid {date_cols[0]}")
     v = F.col(target).cast("double")
-    return out.where(v.isNotNull() & ~F.isnan(v) & (v >= 0))
+    kept = F.coalesce(v.isNotNull() & ~F.isnan(v) & (v >= 0), F.lit(False))
+    dated = bool(date_cols) and date_cols[0] in out.columns
+    if checks is not None:
+        undated = F.col(date_cols[0]).isNull() if dated else F.lit(False)
+        out = out.observe(checks, F.count(F.lit(1)).alias("rows"), F.count_if(undated).alias("undated"), F.count_if(~kept).alias("dropped"))
+    if validate and dated:
+        kept = F.when(F.col(date_cols[0]).isNull(), F.raise_error(F.lit(f"sales row without a valid {date_cols[0]}")).cast("boolean")).otherwise(kept)
+    return out.where(kept)
+
+
+@dataclass(frozen=True)
+class Field:
+    """A column of a source file: its name there, other names it may have, what it holds."""
+    name: str
+    kind: str = "text"                  # text, date or number
+    aliases: tuple[str, ...] = ()
+    required: bool = False
+
+
+#: Holds the text of a record whose number of fields differs from the header's.
+REJECT = "_rejected_record"
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             fallback_empty: bool = False, encoding: str = "UTF-8") -> DataFrame:
-    """CSV with header, quoted fields and escaped quotes; BOM stripped from the first header.
-    Missing file -> empty frame with the schema when ``fallback_empty`` else DataLoadError (S20)."""
+             fallback_empty: bool = False, encoding: str = "UTF-8", rejects: bool = False) -> DataFrame:
+    """CSV with header, quoted fields and escaped quotes, every field as text under the name that the file
+    gives it; a BOM before the first name is dropped. Only the header is read while the plan is built.
+
+    Missing file -> empty frame with ``schema`` when ``fallback_empty`` else DataLoadError (S20). In a folder
+    all files must have one header: a file whose names differ from the first one's fails instead of being
+    read by position. ``rejects`` adds ``REJECT``, the text of records with too few or too many fields.
+    """
     if not _exists(spark, path):
         if fallback_empty and schema is not None:
             return spark.createDataFrame([], schema)
         raise DataLoadError(f"missing source: {path}")
     r = (spark.read.option("header", True).option("quote", '"').option("escape", '"')
-         .option("multiLine", False).option("encoding", encoding).option("mode", "PERMISSIVE"))
-    df = r.schema(schema).csv(path) if schema is not None else r.option("inferSchema", False).csv(path)
-    return df.toDF(*[c.lstrip("﻿") for c in df.columns])
+         .option("multiLine", False).option("encoding", encoding).option("mode", "PERMISSIVE").option("enforceSchema", False))
+    df = r.option("inferSchema", False).csv(path)
+    if rejects:
+        fields = [F.col(f"`{c}`") for c in df.columns]
+        df = r.option("columnNameOfCorruptRecord", REJECT).schema(df.schema.add(REJECT, "string")).csv(path)
+        # records are only judged if all fields are read, so the mark depends on all of them
+        df = df.withColumn(REJECT, F.when(F.length(F.concat_ws("", *fields)) >= 0, F.col(REJECT)))
+    return df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
+
+
+def by_header(df: DataFrame, fields: Sequence[Field]) -> DataFrame:
+    """Columns of a file under the names of ``fields``, wherever they stand in it: normalised names (S01) are
+    compared, first the field's own, then its aliases in order; absent optional ones are NULL, an absent
+    required one is a DataLoadError. Further columns of the file follow under their normalised names."""
+    there: dict[str, str] = {}
+    for c in df.columns:
+        there.setdefault(normalize_name(c), c)
+    found = {f.name: next((there[n] for n in map(normalize_name, (f.name, *f.aliases)) if n in there), None) for f in fields}
+    if absent := [f.name for f in fields if f.required and found[f.name] is None]:
+        raise DataLoadError(f"missing columns: {', '.join(absent)} (the file has {', '.join(df.columns)})")
+    named = [(F.lit(None).cast("string") if c is None else F.col(f"`{c}`")).alias(normalize_name(n)) for n, c in found.items()]
+    taken = {normalize_name(n) for n in found}
+    more = [F.col(f"`{c}`").alias(n) for n, c in there.items() if c not in found.values() and n not in taken]
+    return df.select(*named, *more)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -115,10 +156,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return os.path.exists(path.replace("file:", ""))
 
 
-def read_sales_history(spark: SparkSession, path: str, fallback_empty: bool = True) -> DataFrame:
-    """S03 — read + normalise + clean the city sales history CSV."""
-    df = normalize_columns(read_csv(spark, path, SALES_SCHEMA, fallback_empty=fallback_empty))
-    return clean_sales_history(df)
+def read_sales_history(spark: SparkSession, path: str, fallback_empty: bool = True, checks: Observation | None = None) -> DataFrame:
+    """S03 — read + normalise + clean the city sales history CSV, columns by header name."""
+    df = read_csv(spark, path, _schema(SALES_HISTORY), fallback_empty=fallback_empty)
+    return clean_sales_history(clean_frame(by_header(df, SALES_HISTORY)), checks=checks)
 
 
 # S04 / S05 -------------------------------------------------------------------
@@ -165,37 +206,70 @@ def clean_past_runs(df: DataFrame, title: str = "title", start: str = "start_dat
     return d
 
 
-# S06, S07, S10, S11, S13, S14, S16 --------------------------------------------
-def _texts(*names: str) -> T.StructType:
-    """Every field is read as text; numbers and dates are parsed by the rules of this module."""
-    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+# S03, S06, S07, S10, S11, S13, S14, S16 ----------------------------------------
+def _fields(**kinds: str) -> tuple[Field, ...]:
+    return tuple(Field(n, k) for n, k in kinds.items())
+
 
+# FIXED VALUES — columns of the source files
+SALES_HISTORY = (Field("city"), Field("show_title", aliases=("title",)), Field("start_date", required=True),
+                 Field("end_date"), Field("single_tickets", required=True))
+EXTERNAL_FACTORS = _fields(
+    year="number", city="text", alberta_unemployment_rate="number", alberta_cpi_index="number", alberta_real_gdp_growth_rate="number",
+    wti_oil_price_avg="number", exchange_rate_cad_usd="number", population_city="number", median_household_income_city="number",
+    tourism_visitation_index="number", arts_sector_confidence_index="number")
+OIL_PRICES = _fields(date="date", wcs_oil_price="number", oil_series="text")
+UNEMPLOYMENT = _fields(date="date", unemployment_rate="number", region="text")
+EVENT_FEATURES = _fields(
+    show_title="text", city="text", phq_start_date="date", phq_end_date="date", phq_attendance_sum="number",
+    phq_attendance_sports="number", phq_attendance_concerts="number", phq_event_count="number", phq_rank_max="number",
+    phq_rank_avg="number", phq_holidays_flag="number", phq_severe_weather_flag="number", phq_demand_impact_score="number")
+SURVEY = (Field("category"), Field("subcategory"), Field("metric"), Field("year_or_period", aliases=("period",)),
+          Field("value"), Field("unit"))
+COMMODITY_INDEX = (Field("date", "date"), *(Field(n, "number") for n in (
+    "A.BCPI", "A.BCNE", "A.ENER", "A.MTLS", "A.FOPR", "A.AGRI", "A.FISH")))
+CPI = (Field("date", "date"), *(Field(n, "number") for n in (
+    "V41690973", "V41690914", "STATIC_TOTALCPICHANGE", "CPI_TRIM", "CPI_MEDIAN", "CPI_COMMON")))
+MARKETING_SPEND = (Field("Show Title", aliases=("title",)), Field("Calgary Show Date", "date"), Field("Edmonton Show Date", "date"),
+                   Field("Marketing Spend - Calgary", "number"), Field("Marketing Spend - Edmonton", "number"))
 
-# FIXED VALUES — columns of the source files, in file order
-EXTERNAL_FACTORS_SCHEMA = _texts("year", "city", "unemployment", "cpi", "gdp", "oil", "fx", "population", "income",
-                                 "tourism", "arts_confidence")
-OIL_PRICE_SCHEMA = _texts("date", "wcs_oil_price", "oil_series")
-UNEMPLOYMENT_SCHEMA = _texts("date", "unemployment_rate", "region")
-EVENT_FEATURES_SCHEMA = _texts("show_title", "city", "phq_start_date", "phq_end_date", "phq_attendance", "phq_rank")
-SURVEY_SCHEMA = _texts("category", "subcategory", "metric", "year_or_period", "value", "unit")
-COMMODITY_INDEX_SCHEMA = _texts("date", "A.BCPI", "A.BCNE", "A.ENER", "A.MTLS", "A.FOPR", "A.AGRI", "A.FISH")
-CPI_SCHEMA = _texts("date", "V41690973", "V41690914", "STATIC_TOTALCPICHANGE", "CPI_TRIM", "CPI_MEDIAN", "CPI_COMMON")
 
+def _schema(fields: Sequence[Field]) -> T.StructType:
+    return T.StructType([T.StructField(normalize_name(f.name), T.StringType()) for f in fields])
 
-def read_source(spark: SparkSession, path: str, schema: T.StructType, date_cols: Sequence[str] = (),
+
+def read_source(spark: SparkSession, path: str, fields: Sequence[Field] | T.StructType, date_cols: Sequence[str] = (),
                 numeric_cols: Sequence[str] = (), fallback_empty: bool = True, fmt: str = "csv") -> DataFrame:
-    """Generic schema-driven reader used for factor, price, rate, event, survey, index,
-    census and spend files: header normalisation, strict dates, numeric coercion."""
+    """Reader of factor, price, rate, event, survey, index and spend files: columns by header name, strict
+    dates, numeric coercion (anything but a plain number -> NULL), empty 'unnamed' columns dropped.
+
+    ``date_cols`` and ``numeric_cols`` name further columns to parse, for fields given as a plain schema.
+    """
+    return _read(spark, path, fields, date_cols, numeric_cols, fallback_empty, fmt, False)
+
+
+def read_with_rejects(spark: SparkSession, path: str, fields: Sequence[Field] | T.StructType, date_cols: Sequence[str] = (),
+                      numeric_cols: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """``read_source`` of the records that fit the header, and a table ``(record)`` of those that do not
+    (too few or too many fields), as they stand in the file."""
+    df = _read(spark, path, fields, date_cols, numeric_cols, False, "csv", True)
+    return df.where(F.col(REJECT).isNull()).drop(REJECT), df.where(F.col(REJECT).isNotNull()).select(F.col(REJECT).alias("record"))
+
+
+def _read(spark, path, fields, date_cols, numeric_cols, fallback_empty, fmt, rejects) -> DataFrame:
+    if isinstance(fields, T.StructType):
+        fields = [Field(f.name) for f in fields]
     if fmt == "csv":
-        df = read_csv(spark, path, schema, fallback_empty=fallback_empty)
+        df = read_csv(spark, path, _schema(fields), fallback_empty=fallback_empty, rejects=rejects)
     else:
         df = spark.read.format(fmt).load(path)
-    df = normalize_columns(df)
-    for c in date_cols:
-        if c in df.columns:
-            df = df.withColumn(c, F.coalesce(F.try_to_date(F.col(c).cast("string"), "yyyy-MM-dd"),
-                                             F.col(c).cast("string").try_cast("date")))
-    return clean_frame(df, True, True, [c for c in numeric_cols if c in df.columns]) if numeric_cols else df
+    df = by_header(df, fields)
+    kinds = {normalize_name(f.name): f.kind for f in fields} | dict.fromkeys(date_cols, "date") | dict.fromkeys(numeric_cols, "number")
+    for c, kind in kinds.items():
+        if kind == "date" and c in df.columns:
+            text = F.col(f"`{c}`").cast("string")
+            df = df.withColumn(c, F.coalesce(F.try_to_date(text, "yyyy-MM-dd"), text.try_cast("date")))
+    return clean_frame(df, True, True, [c for c, kind in kinds.items() if kind == "number" and c in df.columns])
 
 
 def first_date_column(df: DataFrame, candidates: Sequence[str]) -> DataFrame:
