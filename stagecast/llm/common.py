@@ -113,35 +113,44 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def min_components(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges(a long, b long)`` as ``(id, component)``, least id as label.
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of ``edges(a long, b long)`` as ``(id, component)``, labelled by some member.
 
     Rounds of contraction: nodes are put in a fresh random order (a hash of the round and the id), each
     points to the first of itself and its neighbours, pointers are followed once more, and edges are moved
     to where their ends point; edges within one node vanish. Whatever the ids are, a node that still has
     edges is first among its neighbours with probability one half at most, so about half of them go in each
     round and the number of rounds grows with the logarithm of the nodes (a chain in ascending order
-    included). Every round is aggregation and joins over distributed tables; the driver sees whether edges
-    are left. Nodes without an edge (null ends are dropped) do not appear; an empty table gives an empty
-    result.
+    included). The pointers of all rounds are then followed from the last, smallest one backwards, so that
+    no step has more rows than the round had nodes. Every step is aggregation and joins over distributed
+    tables; the driver sees whether edges are left. Nodes without an edge (null ends are dropped) do not
+    appear; an empty table gives an empty result.
     """
     some = edges.where("a is not null and b is not null and a <> b").select("a", "b")
     left = stash(some.union(some.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = left.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id"))
-    turn = 0
+    rounds: list[DataFrame] = []
     while left.limit(1).count():
         def place(c: str) -> Column:
-            return F.xxhash64(F.lit(turn), F.col(c))
+            return F.xxhash64(F.lit(len(rounds)), F.col(c))
         first = left.groupBy("a").agg(F.min_by("b", place("b")).alias("b"))
         near = first.select("a", F.when(place("b") < place("a"), F.col("b")).otherwise(F.col("a")).alias("up"))
         far = near.select(F.col("a").alias("up"), F.col("up").alias("top"))
         to = stash(near.join(far, "up", "left").select("a", F.coalesce("top", "up").alias("to")), "pointers")
-        label = label.join(to.select(F.col("a").alias("component"), "to"), "component", "left").select(
-            "id", F.coalesce("to", "component").alias("component"))
         left = stash(left.join(to.select("a", F.col("to").alias("x")), "a")
                      .join(to.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
                      .where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
-        turn += 1
-    label = stash(label, "labels")
+        rounds.append(to)
+    if not rounds:
+        return left.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    label = rounds.pop().select("a", F.col("to").alias("label"))
+    while rounds:
+        label = rounds.pop().join(label.select(F.col("a").alias("to"), "label"), "to", "left").select(
+            "a", F.coalesce("label", "to").alias("label"))
+    return stash(label.select(F.col("a").alias("id"), F.col("label").alias("component")), "components")
+
+
+def min_components(edges: DataFrame) -> DataFrame:
+    """``components`` with the least id of each as its label."""
+    label = components(edges)
     least = label.groupBy("component").agg(F.min("id").alias("least"))
-    return stash(label.join(least, "component").select("id", F.col("least").alias("component")), "components")
+    return stash(label.join(least, "component").select("id", F.col("least").alias("component")), "least-components")

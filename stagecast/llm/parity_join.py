@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagecast.llm.common import maybe_in, min_components, stash, table
+from stagecast.llm.common import components, maybe_in, stash, table
 from stagecast.llm.shingle_sets import fingerprint, mixed, shared, shingle_set
 
 WIDTH, PERCENT = 3, 90
@@ -251,14 +251,14 @@ def _with_main(members: DataFrame) -> DataFrame:
     return members.join(main, "g").withColumn("asked", F.col("component") != F.col("main")).drop("main")
 
 
-def open_links(met: DataFrame, components: DataFrame, sketched: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def open_links(met: DataFrame, joined: DataFrame, sketched: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """``(a, b)``: the links between components that still share a bucket, as far as they join components."""
-    named = stash(met.join(components.select(F.col("id").alias("node"), "component"), "node", "left").withColumn(
+    named = stash(met.join(joined.select(F.col("id").alias("node"), "component"), "node", "left").withColumn(
         "component", F.coalesce("component", "node")), "named-buckets")
     several = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     left = stash(named.join(several.select("key"), "key"), "open-buckets")
     seat, hub = F.xxhash64("node", "band"), F.xxhash64("low", "band")
-    groups = min_components(left.where("node <> low").select(seat.alias("a"), hub.alias("b")).distinct())
+    groups = components(left.where("node <> low").select(seat.alias("a"), hub.alias("b")).distinct())
     members = left.select("node", "band", "component").distinct().withColumn("id", seat).join(
         groups.select("id", F.col("component").alias("g")), "id").drop("id")
     members = stash(_with_main(members).join(sketched, ["node", "band"]), "members")
@@ -303,9 +303,9 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketched = by_band(drawn, same)
     met = stash(memberships(sketched), "memberships")
     links = stash(hub_links(met, sketched, docs, width, percent), "hub-links")
-    more = stash(open_links(met, min_components(links), sketched, docs, width, percent), "open-links")
-    components = min_components(links.union(more))
-    linked = drawn.select("id", "node").distinct().join(components.select(F.col("id").alias("node"), "component"), "node")
+    more = stash(open_links(met, components(links), sketched, docs, width, percent), "open-links")
+    joined = components(links.union(more))
+    linked = drawn.select("id", "node").distinct().join(joined.select(F.col("id").alias("node"), "component"), "node")
     least = linked.groupBy("component").agg(F.min("id").alias("least"))
     least = stash(linked.join(least, "component").select(F.col("id").alias("rep"), "least"), "least-ids")
     named = drawn.join(same.where("copies > 1").select("f1", "f2", "rep"), ["f1", "f2"], "left").select(
