@@ -98,6 +98,9 @@ def balance(sizes: DataFrame, targets: DataFrame, most: int = MOST) -> DataFrame
         state = stash(state, "multipliers")
         if not state.where(F.col("error") > ENOUGH).limit(1).count():
             break
+    else:
+        far = state.orderBy(F.desc("error")).first()
+        raise RuntimeError(f"targets not met after {MAX_STEPS} steps: source {far['source']!r} is off by {far['error']:.2g} of its target")
     solved = sizes.join(state.select("source", "l", "mean"), "source").withColumn(
         "rate", _rate(F.col("l"), F.col("size"), F.col("mean"), most))
     edge = sizes.join(targets.where(~inner).select("source", "target"), "source").withColumn(
@@ -158,8 +161,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     **more) -> DataFrame:
     """The documents of the mix: all columns of ``docs`` and ``mix_target``, ``mix_copies``, ``mix_taken``.
 
-    Documents without a copy are left out. Rows alike in id, text and source are one row of the result,
-    their copies together. A column of ``docs`` with one of the three names is replaced.
+    Documents without a copy are left out. Rows alike in id, text and source are one row of the result (the
+    one whose hash of all columns is least), their copies together. A column of ``docs`` with one of the three names is replaced.
     """
     key = F.concat_ws("/", row_key(id_col, text_col), F.hash(F.col(source_col)).cast("string"))
     slim = docs.select(key.alias("key"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
@@ -167,7 +170,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.count(F.lit(1)).alias("rows"), F.max("target").alias("mix_target"), F.sum("copies").alias("mix_copies"),
         F.sum("taken").alias("mix_taken")), "mix")
     rows = packed(docs, key.alias("key")).join(plan.where("mix_copies > 0"), "key")
-    once = rows.where("rows = 1").unionByName(rows.where("rows > 1").dropDuplicates(["key"]))
+    alike = rows.where("rows > 1").groupBy("key").agg(F.min_by(F.struct(*rows.columns), F.xxhash64(F.to_json("row"))).alias("x"))
+    once = rows.where("rows = 1").unionByName(alike.select("x.*"))
     added = ["mix_target", "mix_copies", "mix_taken"]
     return once.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in added], *added)
 

@@ -345,7 +345,7 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row of each near-duplicate group of ``df``, all columns: the one with the least id.
 
     Rows with a null id and texts without words are linked with nothing and stay. Rows that repeat an id
-    and its text are one, any of them stays; different texts of one id are documents of their own (the
+    and its text are one (that whose hash of all columns is least stays); different texts of one id are documents of their own (the
     least text goes first in a group that holds several of them).
     """
     k1, k2 = row_keys(id_col, text_col)
@@ -368,7 +368,8 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         probed.where("maybe").join(gone, "node", "left_anti").select(*cols))
     probed = maybe_in(kept, F.col("id"), again.select(F.col("id").alias("key")))
     once = probed.where("maybe").join(again.select("id", F.lit(True).alias("repeats")), "id", "left")
-    single = once.where("repeats").groupBy("id", "k1", "k2").agg(F.first("row").alias("row")).select("row")
+    single = once.where("repeats").groupBy("id", "k1", "k2").agg(
+        F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row")
     return (probed.where("not maybe").select("row").unionByName(once.where("repeats is null").select("row"))
             .unionByName(single).select("row.*"))
 

@@ -2,8 +2,8 @@
 
 Three base kinds are found by pattern in every whole text: assignments, access keys and long
 hexadecimal runs. The method adds a fourth, ``owned``: a mixed-case string with digits that overlaps no
-base span and that at most ``max_owners`` owners have in the whole corpus. Strings with more owners are
-widely copied examples. For that the hash of every candidate value is aggregated over the corpus to its
+base span and that at most ``max_owners`` owners and ``max_repos`` repositories have in the whole corpus.
+Strings with more owners, or in more repositories of their owners, are widely copied examples. For that the hash of every candidate value is aggregated over the corpus to its
 distinct owners and repositories, which are made distinct before they are counted, so that a value in a
 third of all documents costs one row for each of its owners and task. The same counts mark base spans
 as owner-specific (live-looking) or widely copied; base spans always stay.
@@ -29,7 +29,7 @@ ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]{24,}"
 MIN_ASSIGN, MIN_ACCESS = 6, 20
 OWNED = "[A-Za-z0-9+/_-]{16,}"
-MAX_OWNERS = 2
+MAX_OWNERS, MAX_REPOS = 2, 3
 MASK = "[secret]"
 
 
@@ -102,11 +102,11 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
-         repo_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = MAX_OWNERS) -> DataFrame:
+         repo_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """``(id, spans, n_live, n_copied)`` for each row: an array of ``struct(start, kind, stop, value, owners,
     repos, live)`` by start and kind, and how many of them are owner-specific and widely copied.
 
-    ``live`` is true for values with at most ``max_owners`` owners. Null and empty texts have no spans;
+    ``live`` is true for values with at most ``max_owners`` owners and ``max_repos`` repositories. Null and empty texts have no spans;
     repeated rows get the same spans each, a null id stays null; a null owner is an owner of its own;
     columns that are not named are not read. An empty table gives an empty result.
     """
@@ -119,7 +119,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     some = found.where(F.size("found") > 0).select("row", "owner", "repo", F.explode("found").alias("s")).withColumn(
         "hash", F.sha2(F.col("s.value"), 256))
     known = ownership(some)
-    marked = some.join(known, "hash").withColumn("live", F.col("owners") <= max_owners)
+    marked = some.join(known, "hash").withColumn(
+        "live", (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos))
     kept = F.filter("all", lambda s: (s["kind"] < 3) | s["live"])
     by_row = marked.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(
         "s.start", "s.kind", "s.stop", "s.value", "owners", "repos", "live"))).alias("all")).select("row", kept.alias("spans"))
@@ -209,10 +210,12 @@ placed AS (SELECT doc_id, kind, value, coalesce(a, 0) + coalesce(b, 0) AS start,
                   coalesce(a, 0) + coalesce(b, 0) + length(m) AS stop FROM raw),
 clear AS (SELECT * FROM placed p WHERE kind < 3 OR NOT EXISTS (
     SELECT 1 FROM placed q WHERE q.doc_id = p.doc_id AND q.kind < 3 AND q.start < p.stop AND p.start < q.stop)),
-owned AS (SELECT value, count(DISTINCT coalesce(source, '')) AS owners FROM clear JOIN d USING (doc_id) GROUP BY value),
-s AS (SELECT doc_id, kind, start, stop, owners <= {MAX_OWNERS} AS live,
+owned AS (SELECT value, count(DISTINCT coalesce(source, '')) <= {MAX_OWNERS}
+                        AND count(DISTINCT (coalesce(source, ''), concat_ws('/', source, lang))) <= {MAX_REPOS} AS live
+          FROM clear JOIN d USING (doc_id) GROUP BY value),
+s AS (SELECT doc_id, kind, start, stop, live,
              ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS said
-      FROM clear JOIN owned USING (value) WHERE kind < 3 OR owners <= {MAX_OWNERS})
+      FROM clear JOIN owned USING (value) WHERE kind < 3 OR live)
 SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
        count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 3) AS n_owned,
        sha256(coalesce(string_agg(said, ',' ORDER BY start, kind) FILTER (kind < 3), '')) AS base_sha256,

@@ -4,12 +4,13 @@ A word is the mean of the embeddings of its features: the word itself and the ch
 ``<word>``, hashed to ``BUCKETS`` rows and weighted by how differently the two classes hold them. A text
 is the mean of its words; a softmax of two classes stands on it. Embeddings and softmax are trained together, so a misspelling that was never seen still shares
 the n-gram vectors of the words it resembles. A word is a run of ``\\w`` of any length, taken whole; in
-the mean of its text it counts once for each ``LONGEST`` characters begun, so a sentence without spaces
-weighs about as much as one with them.
+the mean of its text it counts once, or, beyond ``LONGEST`` characters, its length over that many times,
+so a sentence without spaces weighs about as much as one with them.
 
-Training reads a sample of labelled rows of bounded size, ``ROWS_PER_CLASS`` of each class in the order
-of a hash of the id, in one task; the odds are corrected for the share of the classes among all rows
-that may be learnt from. Texts longer than ``TRAIN_CHARS`` are not drawn for training. The trained model
+Training reads a sample of labelled rows of bounded size, in one task: of each class the first
+``ROWS_PER_CLASS`` rows in the order of a hash of the id, as far as their texts reach ``CHARS_PER_CLASS``
+characters together (the text that reaches them is drawn whole; no text is left out for its length). The
+odds are corrected for the share of the classes among all rows that may be learnt from. The trained model
 is linear in the features once it is averaged, so a bucket is worth one number: its embedding times the
 difference of the classes' weights. That vector, ``BUCKETS`` floats, is all that scoring tasks get, and
 every whole text is scored.
@@ -24,19 +25,19 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stagecast.llm.common import packed, table
 
 BUCKETS, DIM = 1 << 17, 8
 NGRAMS = (3, 4, 5, 6)
-ROWS_PER_CLASS, TRAIN_CHARS = 1200, 50_000
+ROWS_PER_CLASS, CHARS_PER_CLASS = 1200, 20_000_000
 EPOCHS, BATCH, BATCH_WORDS, RATE, GAIN, TELLING = 6, 64, 30_000, 0.2, 300.0, 5.0
 BATCH_FEATURES = 2_000_000
 WORD = re.compile(r"\w+")
-#: Words whose value a worker remembers; longer ones count more than once, are not remembered, and their
-#: features are summed in blocks.
+#: Words whose value a worker remembers; those over LONGEST characters weigh more, are not remembered, and
+#: their features are summed in blocks.
 WORDS_KEPT, LONGEST, BLOCK = 400_000, 64, 1 << 16
 
 
@@ -44,9 +45,9 @@ def text_words(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def times(word: str) -> int:
+def times(word: str) -> float:
     """How often a word counts in the mean of its text."""
-    return -(-len(word) // LONGEST)
+    return max(1.0, len(word) / LONGEST)
 
 
 def _buckets(word: str) -> Iterator[int]:
@@ -195,7 +196,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
-                  rows_per_class: int) -> tuple[DataFrame, float]:
+                  rows_per_class: int, chars_per_class: int = CHARS_PER_CLASS) -> tuple[DataFrame, float]:
     """The bounded sample ``(label, text)`` and the share of label 1 among all rows to learn from.
 
     A label counts once for each id (the greatest, if they differ); null ids and labels other than 0 and
@@ -204,14 +205,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     known = (labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
              .where("id is not null and label in (0, 1)").where(~held_out(F.col("id")))
              .groupBy("id").agg(F.max("label").alias("label")))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(
-        (F.length("text") <= TRAIN_CHARS) & F.col("id").isNotNull())
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null and id is not null")
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     total = sum(counts.values())
     order = F.xxhash64("id")
+    sizes = texts.groupBy("id").agg(F.max(F.length("text")).alias("chars"))
+    # at most rows_per_class rows are added up
+    earlier = F.sum("chars").over(Window.partitionBy("label").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, -1))
     ids = None
     for label in (0, 1):
-        part = known.where(F.col("label") == label).join(texts.select("id").distinct(), "id").orderBy(order, "id").limit(rows_per_class)
+        part = known.where(F.col("label") == label).join(sizes, "id").withColumn("h", order).orderBy("h", "id").limit(rows_per_class)
+        part = part.withColumn("earlier", F.coalesce(earlier, F.lit(0))).where(F.col("earlier") < chars_per_class).select("id", "label")
         ids = part if ids is None else ids.unionByName(part)
     sample = texts.join(F.broadcast(ids), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
     return sample, (counts.get(1, 0) / total if total else 0.5)

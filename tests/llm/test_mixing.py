@@ -75,3 +75,12 @@ def test_query_columns(spark):
     got = dict(op6_mixing(spark, "/root/testdata/sf0.001").dtypes)
     assert {k: got[k] for k in ("doc_id", "size", "source_size", "target", "taken")} == {
         "doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"}
+
+
+def test_unmet_targets_raise(spark, monkeypatch):
+    from stagecast.llm import mixing
+    monkeypatch.setattr(mixing, "ENOUGH", -1.0)
+    monkeypatch.setattr(mixing, "MAX_STEPS", mixing.STEPS)
+    df = spark.createDataFrame([(i, "w " * (i % 9 + 1), "ab"[i % 2]) for i in range(60)], "doc_id long, text string, source string")
+    with pytest.raises(RuntimeError, match="targets not met"):
+        mixing.mix(df).count()

@@ -69,3 +69,13 @@ def test_query_digest(spark):
 def test_short_values_use_up_their_text(spark, text):
     df = spark.createDataFrame([(1, text, "s", "l")], "doc_id long, text string, source string, lang string")
     assert base_only(scan(df)).first()["s"] == base(text)
+
+
+def test_copies_in_many_repositories_of_one_owner_are_no_secret(spark):
+    wide, own = "Wide9Wide9Wide9Wide9", "Owner7Owner7Owner7Own"
+    rows = [(i, f"{wide} x", "s1", lang) for i, lang in enumerate(["en", "fr", "de", "es"])]
+    rows += [(10 + i, f"{own} x", "s1", lang) for i, lang in enumerate(["en", "fr", "de"])] + [(20, f"token={wide}", "s1", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r["doc_id"]: (r["s"], r["n_live"], r["n_copied"]) for r in scan(df).select("doc_id", joined(F.col("spans")).alias("s"), "n_live", "n_copied").collect()}
+    assert all(got[i] == ("", 0, 0) for i in range(4)) and got[20] == ("assign:0:26", 0, 1)
+    assert all(got[10 + i] == ("owned:0:21", 1, 0) for i in range(3))

@@ -82,3 +82,36 @@ def test_text_behind_character_64_of_an_unbroken_run_counts():
     assert np.isclose(scorer.word(head + "grumblor"), values[tx.features(head + "grumblor")].astype(float).mean())
     long = "x" * 200_000
     assert np.isclose(scorer.word(long + "grumblor"), values[tx.features(long + "grumblor")].astype(float).mean())
+
+
+def test_scores_equal_a_plain_scorer():
+    """The mean over words of the mean over features, word by word, for short, long and repeated words."""
+    rng = np.random.default_rng(4)
+    values = rng.normal(size=tx.BUCKETS).astype(np.float32)
+    scorer = tx.Scorer(values, 0.3)
+    for text in ["", "one", "one two two", "a_b ÉCOLE x" * 3, "w" * 63, "w" * 64, "w" * 65, "abc" * 60 + " one", "漢字" * 500 + " z"]:
+        total = weight = 0.0
+        for w in tx.WORD.findall(text.lower()):
+            marked = f"<{w}>"
+            grams = [marked] + [marked[i:i + n] for n in tx.NGRAMS for i in range(len(marked) - n + 1)]
+            share = max(1.0, len(w) / 64)
+            total += share * np.mean([float(values[zlib.crc32(g.encode()) % tx.BUCKETS]) for g in grams])
+            weight += share
+        want = 1 / (1 + np.exp(-(0.3 + (total / weight if weight else 0.0))))
+        assert abs(scorer.score(text) - want) < 1e-5, text[:20]
+
+
+def test_long_words_gain_weight_without_a_step():
+    weights = [tx.times("w" * n) for n in range(1, 300)]
+    assert weights[:64] == [1.0] * 64 and max(np.diff(weights)) <= 1 / 64 + 1e-12
+
+
+def test_no_text_is_left_out_for_its_length(spark):
+    docs = spark.createDataFrame([(i, "word " * (20_000 if i == 7 else 5)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    whole, _ = tx.training_rows(docs, labels, "doc_id", "text", "toxic", 1000)
+    held = {i for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert {r["id"] for r in whole.collect()} == set(range(40)) - held
+    few, _ = tx.training_rows(docs, labels, "doc_id", "text", "toxic", 1000, chars_per_class=100)
+    chars = {y: [len(r["text"]) for r in few.where(f"label = {y}").collect()] for y in (0, 1)}
+    assert all(c and (sum(c) - max(c) < 100 or sum(c) <= 125) for c in chars.values())
