@@ -1,20 +1,19 @@
-"""Exact percentiles (linear interpolation, numpy / SQL percentile_cont semantics), scale-safe.
-
-Spark's exact ``percentile`` merges every distinct value of a group in one task. Here, for inputs of
-any size, values are only ever counted, and the counts narrowed down to those around the wanted ranks:
-
-1. one aggregation per group: n, and from ``percentile_approx`` a bracket [lo, hi] around each wanted
-   rank (rank error <= n/accuracy, so +-3/accuracy in probability always holds the exact rank; a group of
-   fewer than 2*accuracy values is its own bracket, as the sketch's error is in whole ranks there);
-2. one aggregation of ``(value, count)`` pairs inside the brackets, everything below a bracket as one
-   count: ties cost one pair however often they occur;
-3. cut points spread over a bracket's distinct values divide it into ``PARTS`` parts; running sums of
-   their counts (a few rows per group) name the parts that hold the wanted ranks;
-4. the pairs of these parts alone, at most some 6n/(accuracy*PARTS) distinct values, are summed up in
-   order, and the values at the ranks read off.
-
-No list of values is ever gathered; every step is a distributed aggregation, joined back by the planner
-with its own size checks.
+"""Exact percentiles (linear interpolation, numpy / SQL percentile_cont semantics), scale-safe and lazy.
+
+Spark's exact ``percentile`` merges every distinct value of a group in one task. Here values are only ever
+counted, and counts narrowed down to those around the wanted ranks; the same steps for any size:
+
+1. one pass over the rows counts them by group and bucket, a bucket being a stretch of the logarithm of the
+   value (``PER_E`` to a factor of e; any sign). Partial aggregation leaves a small table, whose running sums
+   per group name the buckets that hold the wanted ranks;
+2. one more pass counts the values of those buckets alone, as ``(value, count)`` pairs (a value costs one
+   pair however often it occurs), and running sums over the pairs of a bucket give the values at the ranks.
+
+Bucket numbers never decrease with the value, so nothing is approximate. No list of values is gathered,
+nothing is collected or checkpointed, no job runs ahead: the result is a lazy table that reads its input
+twice. The windows hold the buckets of a group (some 14,000 for values up to a million) and the distinct
+values of a bucket, which differ by a thousandth of their size at most (all of those within a thousandth of
+0 are in one).
 """
 
 from __future__ import annotations
@@ -25,10 +24,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stagecast.session import ensure_checkpoint_dir
-
-DEFAULT_ACCURACY = 10_000
-PARTS = 64
+#: Buckets to a factor of e.
+PER_E = 1024
 
 
 def _same(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
@@ -41,68 +38,63 @@ def _back(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> DataFrame:
     return left.join(r, _same(left, r, cols)).drop(*[f"r{c}" for c in cols])
 
 
-def bracket_pairs(df: DataFrame, stats: DataFrame, keys: Sequence[str], n_probs: int) -> DataFrame:
-    """Step 2: ``(keys, n, _i, _v, _c)``, how often each value of a bracket occurs; ``_v`` is null for what
-    lies below it."""
-    i = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_b{i}").alias("b")) for i in range(n_probs)]))
-    d = _back(df, stats, keys).select(*keys, "n", "_v", i.alias("e")).where(F.col("_v") <= F.col("e.b")[1])
-    v = F.when(F.col("_v") >= F.col("e.b")[0], F.col("_v"))
-    return d.select(*keys, "n", F.col("e.i").alias("_i"), v.alias("_v")).groupBy(*keys, "n", "_i", "_v").agg(
-        F.count(F.lit(1)).alias("_c"))
+def bucket_of(v: Column) -> Column:
+    """Number of the bucket of a value: never decreases with it."""
+    size = F.floor(F.least(F.log1p(F.abs(v)), F.lit(800.0)) * PER_E)
+    return (F.signum(v) * size).cast("long")
 
 
-def rank_pairs(pairs: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """Step 3: ``(keys, n, _i, _h, _part, _before, _v, _c)``, the pairs of the parts that hold the wanted ranks.
+def rank_buckets(d: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Step 1: ``(keys, n, _b, _want)``, the buckets that hold wanted ranks and these, counted from the bucket's start.
 
-    ``_h`` is the rank, ``_before`` how many values of the group lie below the part.
+    Two ranks belong to a probability, the one below its place and the one above (``side`` 0 and 1).
     """
-    group = [*keys, "_i"]
-    at = F.percentile_approx("_v", F.array(*[F.lit(k / PARTS) for k in range(1, PARTS)]), 1000).alias("_cuts")
-    cuts = pairs.where(F.col("_v").isNotNull()).groupBy(*group).agg(at)
-    # what is below the bracket is part -1
-    part = F.when(F.col("_v").isNull(), F.lit(-1)).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col("_v"))))
-    h = (F.col("n") - 1) * F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i") + 1)
-    parted = _back(pairs, cuts, group).withColumn("_part", part).withColumn("_h", h).drop("_cuts")
-    sums = parted.groupBy(*group, "_h", "_part").agg(F.sum("_c").alias("_n"))
-    order = Window.partitionBy(*group).orderBy("_part")
-    sums = sums.withColumn("_upto", F.sum("_n").over(order)).withColumn("_before", F.col("_upto") - F.col("_n"))
-    wanted = sums.where((F.col("_part") >= 0) & (F.col("_before") <= F.ceil("_h")) & (F.col("_upto") > F.floor("_h")))
-    return _back(parted, wanted.select(*group, "_part", "_before"), [*group, "_part"])
+    sums = d.groupBy(*keys, bucket_of(F.col("_v")).alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_b"))
+    placed = sums.withColumn("_upto", upto).withColumn("n", F.sum("_c").over(Window.partitionBy(*keys)))
+    before = F.col("_upto") - F.col("_c")
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("side"), (pick((F.col("n") - 1) * float(p)).cast("long") - before).alias("r"))
+                      for i, p in enumerate(probs) for s, pick in enumerate((F.floor, F.ceil))])
+    here = F.filter(ranks, lambda x: (x["r"] >= 0) & (x["r"] < F.col("_c")))
+    return placed.select(*keys, "n", "_b", here.alias("_want")).where(F.size("_want") > 0)
+
+
+def bucket_pairs(d: DataFrame, buckets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Step 2: ``(keys, n, _b, _want, _v, _c)``, how often each value of these buckets occurs."""
+    near = _back(d.withColumn("_b", bucket_of(F.col("_v"))), buckets, [*keys, "_b"])
+    return near.groupBy(*keys, "n", "_b", "_want", "_v").agg(F.count(F.lit(1)).alias("_c"))
 
 
 def exact_percentiles(df: DataFrame, value: str | Column, probs: Sequence[float], group: Sequence[str] | str | None = None,
-                      accuracy: int = DEFAULT_ACCURACY, prefix: str = "p") -> DataFrame:
+                      prefix: str = "p") -> DataFrame:
     """Per group (or globally): columns ``{prefix}{i}`` with the exact percentile probs[i], plus ``n``.
 
     NULL and NaN values are ignored; a group without values gives no row (global: one row of NULLs).
-    A NULL group is a group. The pairs of step 2 are checkpointed, as step 3 reads them several times.
+    A NULL group is a group.
     """
     groups = [group] if isinstance(group, str) else list(group or [])
     keys = [f"_k{j}" for j in range(max(1, len(groups)))]
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
     named = [F.col(g).alias(k) for g, k in zip(groups, keys)] or [F.lit(0).alias("_k0")]
     d = df.select(*named, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    eps, n = 3.0 / accuracy, F.count(F.lit(1))
-    stats = d.groupBy(*keys).agg(n.alias("n"), *[
-        F.when(n < 2 * accuracy, F.array(F.lit(float("-inf")), F.lit(float("inf")))).otherwise(F.percentile_approx(
-            "_v", F.array(F.lit(max(0.0, p - eps)), F.lit(min(1.0, p + eps))), accuracy)).alias(f"_b{i}")
-        for i, p in enumerate(probs)])
-    ensure_checkpoint_dir(df.sparkSession)
-    pairs = rank_pairs(bracket_pairs(d, stats, keys, len(probs)).checkpoint(), keys, probs)
-    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_i", "_part").orderBy("_v"))
-    low = F.min(F.when(F.col("_upto") > F.floor("_h"), F.col("_v")))
-    high = F.min(F.when(F.col("_upto") > F.ceil("_h"), F.col("_v")))
-    found = pairs.withColumn("_upto", upto).groupBy(*keys, "n", "_i", "_h").agg(low.alias("x"), high.alias("y"))
-    at = F.col("x") + (F.col("_h") - F.floor("_h")) * (F.col("y") - F.col("x"))
+    pairs = bucket_pairs(d, rank_buckets(d, keys, probs), keys)
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy("_v"))
+    here = F.filter("_want", lambda x: (x["r"] < F.col("_upto")) & (x["r"] >= F.col("_upto") - F.col("_c")))
+    found = pairs.withColumn("_upto", upto).select(*keys, "n", "_v", F.explode(here).alias("e")).select(
+        *keys, "n", "_v", F.col("e.i").alias("_i"), F.col("e.side").alias("_side"))
+
+    def at(i: int) -> Column:
+        x, y = (F.max(F.when((F.col("_i") == i) & (F.col("_side") == s), F.col("_v"))) for s in (0, 1))
+        h = (F.max("n") - 1) * float(probs[i])
+        return F.when(x == y, x).otherwise(x + (h - F.floor(h)) * (y - x))
     names = [f"{prefix}{i}" for i in range(len(probs))]
-    one = found.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("_i") == i, at)).alias(c) for i, c in enumerate(names)])
+    one = found.groupBy(*keys).agg(F.max("n").alias("n"), *[at(i).alias(c) for i, c in enumerate(names)])
     if groups:
         return one.select(*[F.col(k).alias(g) for g, k in zip(groups, keys)], "n", *names)
     # one row also where there are no values
     return one.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *[F.max(c).alias(c) for c in names])
 
 
-def exact_median(df: DataFrame, value: str | Column, group: Sequence[str] | str | None = None,
-                 alias: str = "median", accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+def exact_median(df: DataFrame, value: str | Column, group: Sequence[str] | str | None = None, alias: str = "median") -> DataFrame:
     """Exact median per group (or globally) via ``exact_percentiles``."""
-    return exact_percentiles(df, value, [0.5], group, accuracy).withColumnRenamed("p0", alias)
+    return exact_percentiles(df, value, [0.5], group).withColumnRenamed("p0", alias)

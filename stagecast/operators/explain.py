@@ -6,15 +6,16 @@ prediction over the background; so attribution is a column expression over
 the whole table (no sampling, no per-row solver, no cache).
 
 The multi-feature anchored ridge (E02) is fitted from one aggregation of
-cross-products; the k x k normal equations (k = number of features, 4 here)
-are solved on the driver — a bounded, data-size independent step.
+centred co-moments, which Spark merges across partitions without ever forming
+raw sums of squares; the k x k normal equations are solved by a Cholesky
+decomposition written as column expressions over that one row, so the whole
+fit is one lazy plan.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,60 +34,60 @@ def sanitize_frame(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def ridge_moments(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    """One aggregation: n, sums of x_j, y, x_j*x_k (k >= j) and x_j*y over sanitised rows."""
-    k = len(features)
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(target).alias("sy")]
-    aggs += [F.sum(f).alias(f"sx{j}") for j, f in enumerate(features)]
-    aggs += [F.sum(F.col(features[a]) * F.col(features[b])).alias(f"sxx{a}_{b}") for a in range(k) for b in range(a, k)]
-    aggs += [F.sum(F.col(f) * F.col(target)).alias(f"sxy{j}") for j, f in enumerate(features)]
-    d = sanitize_frame(df.where(F.col(target).isNotNull()), features)
-    return d.agg(*aggs)
-
-
-def solve_anchored_ridge(row, k: int, alpha: float = 5.0, anchor_low: float = 25.0,
-                         anchor_high: float = 100.0, anchors: bool = True) -> tuple[np.ndarray, float]:
-    """E02 — ridge with unpenalised intercept on data + anchors: copies = max(3, n//2) of
-    (0,...,0) -> anchor_low and (mean x) -> anchor_high. Returns (beta, intercept)."""
-    n = float(row["n"])
-    if n == 0:
-        return np.zeros(k), float("nan")
-    sx = np.array([row[f"sx{j}"] for j in range(k)], dtype=float)
-    sxx = np.zeros((k, k))
-    for a in range(k):
-        for b in range(a, k):
-            sxx[a, b] = sxx[b, a] = row[f"sxx{a}_{b}"]
-    sxy = np.array([row[f"sxy{j}"] for j in range(k)], dtype=float)
-    sy = float(row["sy"])
-    if anchors:
-        c = float(max(3, int(n) // 2))
-        m = sx / n
-        sx_t = sx + c * m
-        sy_t = sy + c * anchor_low + c * anchor_high
-        sxx_t = sxx + c * np.outer(m, m)
-        sxy_t = sxy + c * anchor_high * m
-        nt = n + 2 * c
-    else:
-        sx_t, sy_t, sxx_t, sxy_t, nt = sx, sy, sxx, sxy, n
-    mx, my = sx_t / nt, sy_t / nt
-    cxx = sxx_t - nt * np.outer(mx, mx)
-    cxy = sxy_t - nt * mx * my
-    beta = np.linalg.solve(cxx + alpha * np.eye(k), cxy)
-    return beta, float(my - beta @ mx)
+    """One row over sanitised rows with a target: n, means ``m{j}`` and ``my``, sums of products of deviations
+    ``c{a}_{b}`` (b >= a) and ``cy{j}``."""
+    k, n = len(features), F.count(F.lit(1))
+    aggs = [n.alias("n"), F.avg(target).alias("my"), *[F.avg(f).alias(f"m{j}") for j, f in enumerate(features)]]
+    aggs += [(F.covar_pop(features[a], features[b]) * n).alias(f"c{a}_{b}") for a in range(k) for b in range(a, k)]
+    aggs += [(F.covar_pop(f, target) * n).alias(f"cy{j}") for j, f in enumerate(features)]
+    return sanitize_frame(df.where(F.col(target).isNotNull()), features).agg(*aggs)
+
+
+def with_anchors(moments: DataFrame, k: int, low: float = 25.0, high: float = 100.0) -> DataFrame:
+    """Adds max(3, n // 2) copies of (0, ..., 0) -> ``low`` and of (mean x) -> ``high`` to the moments.
+
+    The second anchor lies at the mean, so it moves the target's mean alone; the first one is merged by the
+    pairwise update of centred moments.
+    """
+    c = F.greatest(F.lit(3), F.floor(F.col("n") / 2)).cast("double")
+    one = moments.select("*", c.alias("_c"), (F.col("n") + c).alias("_n1"), (F.col("n") + 2 * c).alias("_nt"),
+                         ((F.col("n") * F.col("my") + c * high) / (F.col("n") + c)).alias("_my1"))
+    part = F.col("_n1") * F.col("_c") / F.col("_nt")
+    dy = F.lit(low) - F.col("_my1")
+    new = {f"c{a}_{b}": F.col(f"c{a}_{b}") + F.col(f"m{a}") * F.col(f"m{b}") * part for a in range(k) for b in range(a, k)}
+    new |= {f"cy{j}": F.col(f"cy{j}") - F.col(f"m{j}") * dy * part for j in range(k)}
+    new |= {f"m{j}": F.col(f"m{j}") * F.col("_n1") / F.col("_nt") for j in range(k)}
+    new["my"] = F.col("_my1") + dy * F.col("_c") / F.col("_nt")
+    return one.select("n", *[x.alias(c) for c, x in new.items()])
+
+
+def solved(moments: DataFrame, k: int, alpha: float) -> DataFrame:
+    """Adds ``b{j}``, the solution of (C + alpha I) b = c_y, by Cholesky decomposition column by column."""
+    d = moments
+    for j in range(k):
+        own = F.col(f"c{j}_{j}") + F.lit(float(alpha)) - sum((F.col(f"_l{j}_{s}") * F.col(f"_l{j}_{s}") for s in range(j)), F.lit(0.0))
+        d = d.withColumn(f"_l{j}_{j}", F.sqrt(own))
+        d = d.withColumns({f"_l{i}_{j}": (F.col(f"c{j}_{i}") - sum((F.col(f"_l{i}_{s}") * F.col(f"_l{j}_{s}") for s in range(j)), F.lit(0.0)))
+                           / F.col(f"_l{j}_{j}") for i in range(j + 1, k)}) if j + 1 < k else d
+    for j in range(k):
+        d = d.withColumn(f"_z{j}", (F.col(f"cy{j}") - sum((F.col(f"_l{j}_{s}") * F.col(f"_z{s}") for s in range(j)), F.lit(0.0))) / F.col(f"_l{j}_{j}"))
+    for j in reversed(range(k)):
+        d = d.withColumn(f"b{j}", (F.col(f"_z{j}") - sum((F.col(f"_l{s}_{j}") * F.col(f"b{s}") for s in range(j + 1, k)), F.lit(0.0)))
+                         / F.col(f"_l{j}_{j}"))
+    return d
 
 
 def fit_multi_ridge(train: DataFrame, features: Sequence[str], target: str, alpha: float = 5.0,
                     anchors: bool = True) -> DataFrame:
-    """E02 — coefficient table (1 row): intercept, beta_<feature>..., background means mean_<feature>..., n."""
-    spark = train.sparkSession
-    row = ridge_moments(train, features, target).first()
+    """E02 — ridge with unpenalised intercept on data and anchors, one row: intercept, beta_<feature>...,
+    background means mean_<feature>..., n. Without a row of data all but n = 0 are NULL or 0."""
     k = len(features)
-    beta, icpt = solve_anchored_ridge(row, k, alpha, anchors=anchors)
-    n = int(row["n"])
-    means = [(row[f"sx{j}"] / n) if n else 0.0 for j in range(k)]
-    vals = [float(icpt)] + [float(b) for b in beta] + [float(m) for m in means] + [n]
-    schema = ", ".join(["intercept double"] + [f"beta_{f} double" for f in features]
-                       + [f"mean_{f} double" for f in features] + ["n bigint"])
-    return spark.createDataFrame([tuple(vals)], schema)
+    data = ridge_moments(train, features, target)
+    means = data.select(*[F.coalesce(f"m{j}", F.lit(0.0)).alias(f"mean_{f}") for j, f in enumerate(features)])
+    fit = solved(with_anchors(data, k) if anchors else data, k, alpha)
+    icpt = F.col("my") - sum((F.col(f"b{j}") * F.col(f"m{j}") for j in range(k)), F.lit(0.0))
+    return fit.select(icpt.alias("intercept"), *[F.col(f"b{j}").alias(f"beta_{f}") for j, f in enumerate(features)], "n").crossJoin(
+        F.broadcast(means)).select("intercept", *[f"beta_{f}" for f in features], *[f"mean_{f}" for f in features], "n")  # 1 x 1 rows
 
 
 def attribute(df: DataFrame, coefs: DataFrame, features: Sequence[str]) -> DataFrame:

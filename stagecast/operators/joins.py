@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 # FIXED VALUES — key candidates for automatic join-key detection, in priority order
@@ -105,18 +105,49 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def chained_enrich(history: DataFrame, weather: DataFrame | None, spend: DataFrame | None,
-                   weather_kwargs: dict | None = None) -> DataFrame:
-    """J05 — weather then marketing (economy is a no-op)."""
-    out = history
+                   weather_kwargs: dict | None = None, checks: tuple[Observation, Observation] | None = None) -> DataFrame:
+    """J05 — weather then marketing (economy is a no-op).
+
+    ``checks`` get ``rows`` before and after the joins, counted by the job that reads the result: they differ
+    if a key of a joined table is not unique there (``duplicate_keys`` names such keys).
+    """
+    out = history.observe(checks[0], F.count(F.lit(1)).alias("rows")) if checks else history
     if weather is not None:
         out = join_weather(out, weather, **(weather_kwargs or {}))
     if spend is not None:
         out = join_marketing(out, spend)
-    return out
+    return out.observe(checks[1], F.count(F.lit(1)).alias("rows")) if checks else out
+
+
+#: Parts of a crowded day of one key.
+DAY_PARTS = 64
+
+
+def _micros(ts: Column) -> Column:
+    return F.unix_micros(ts.cast("timestamp"))
+
+
+def _day_cuts(rows: DataFrame, bucket_rows: int) -> DataFrame:
+    """``(_ck, _cb, _cuts)`` for the (key, day) buckets with more than ``bucket_rows`` rows: times between parts.
+
+    Any times would do; quantiles of a sketch make parts of like size. Only the rows of such days are sketched.
+    """
+    crowded = rows.groupBy("_key", "_b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows)
+    crowded = crowded.select(F.col("_key").alias("_ck"), F.col("_b").alias("_cb"))
+    of = rows.join(crowded, (F.col("_key") == F.col("_ck")) & (F.col("_b") == F.col("_cb")))
+    at = F.percentile_approx(_micros(F.col("_ts")), F.array(*[F.lit(i / DAY_PARTS) for i in range(1, DAY_PARTS)]), 1000)
+    return of.groupBy("_ck", "_cb").agg(at.alias("_cuts"))
+
+
+def _in_parts(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Rows of crowded days with the number of their part in ``_b``."""
+    part = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<bigint>")), lambda c: c < _micros(F.col("_ts"))))
+    met = rows.join(cuts, (F.col("_key") == F.col("_ck")) & (F.col("_b") == F.col("_cb")), "left")
+    return met.withColumn("_b", F.struct(F.col("_b.day").alias("day"), part.alias("part"))).select(*rows.columns)
 
 
 def asof_last(left: DataFrame, right: DataFrame, key: str, ts: str, value_cols: Sequence[str],
-              tie: str | None = None, bucket_seconds: int | None = 86400) -> DataFrame:
+              tie: str | None = None, bucket_seconds: int | None = 86400, bucket_rows: int = 1_000_000) -> DataFrame:
     """J06 — as-of join: for each left row the latest right row of the same key with
     right.ts <= left.ts (NULLs when none). At equal ts the right row counts as
     earlier; among right rows with equal ts the largest ``tie`` value wins.
@@ -141,8 +172,12 @@ def asof_last(left: DataFrame, right: DataFrame, key: str, ts: str, value_cols:
         bucket = F.floor(F.unix_seconds(F.col("_ts").cast("timestamp")) / bucket_seconds)
     else:
         bucket = F.lit(0).cast("bigint")
-    r = r.withColumn("_b", bucket)
-    u = r.unionByName(lsel.withColumn("_b", bucket))
+    r, lsel = r.withColumn("_b", F.struct(bucket.alias("day"), F.lit(0).alias("part"))), lsel.withColumn(
+        "_b", F.struct(bucket.alias("day"), F.lit(0).alias("part")))
+    if bucket_seconds:
+        cuts = _day_cuts(r.select("_key", "_b", "_ts").unionByName(lsel.select("_key", "_b", "_ts")), bucket_rows)
+        r, lsel = _in_parts(r, cuts), _in_parts(lsel, cuts)
+    u = r.unionByName(lsel)
     w = (Window.partitionBy("_key", "_b").orderBy("_ts", "_side", "_tie")
          .rowsBetween(Window.unboundedPreceding, 0))
     u = u.withColumn("_in", F.last("_p", ignorenulls=True).over(w))

@@ -128,13 +128,20 @@ def tiered_impute(df: DataFrame, overall: DataFrame, by_group: DataFrame, group:
 
 
 def calibrate(df: DataFrame, pred: str, actual: str, group: str | None = None) -> DataFrame:
-    """X02 — linear calibration actual ~ pred (global or per group): slope, intercept, n."""
+    """X02 — linear calibration actual ~ pred (global, per category or per ``remount_bin``): slope, intercept, n."""
     d = df.where(F.col(pred).isNotNull() & F.col(actual).isNotNull())
     aggs = [F.count(F.lit(1)).alias("n"), F.regr_slope(actual, pred).alias("slope"),
             F.regr_intercept(actual, pred).alias("intercept")]
     return d.groupBy(group).agg(*aggs) if group else d.agg(*aggs)
 
 
+def remount_bin(run_count: Column, years_since: Column) -> Column:
+    """X02 — the bin of a title for calibration: 'new' without an earlier run, else 'recent' (last run at most
+    two years ago, or at an unknown time), 'returning' (at most five) or 'old'."""
+    return (F.when(F.coalesce(run_count, F.lit(0)) == 0, F.lit("new")).when(years_since > 5, F.lit("old"))
+            .when(years_since > 2, F.lit("returning")).otherwise(F.lit("recent")))
+
+
 def expanding_backtest(df: DataFrame, group: str, order: list[str], x: str, y: str, bucket: Column,
                        alpha: float = 0.0, min_rows: int = 2) -> DataFrame:
     """X03 — time-ordered backtest: each row is predicted by a line fitted on strictly
@@ -142,12 +149,15 @@ def expanding_backtest(df: DataFrame, group: str, order: list[str], x: str, y: s
 
     ``bucket`` cuts the order into stretches (a month of the first order column, say; it must not
     decrease along the order). Sums per (group, bucket) are few; their running sums are carried into a
-    window per (group, bucket), so a group that holds all rows is still spread over its buckets.
-    Prediction NULL until ``min_rows`` earlier rows.
+    window per (group, bucket), so a group that holds all rows is still spread over its buckets. Sums are of
+    deviations from the group's means (which leave the fitted line as it is), so that large means do not
+    cancel the digits of the squares. Prediction NULL until ``min_rows`` earlier rows.
     """
-    d = df.withColumn("_b", bucket)
-    terms = {"_n": F.when(F.col(y).isNotNull(), 1.0), "_sx": F.when(F.col(y).isNotNull(), F.col(x)), "_sy": F.col(y),
-             "_sxx": F.when(F.col(y).isNotNull(), F.col(x) * F.col(x)), "_sxy": F.col(x) * F.col(y)}
+    whole = F.col(y).isNotNull() & F.col(x).isNotNull()
+    centre = df.groupBy(F.col(group).alias("_mg")).agg(F.avg(F.when(whole, F.col(x))).alias("_mx"), F.avg(F.when(whole, F.col(y))).alias("_my"))
+    d = df.join(centre, F.col(group).eqNullSafe(F.col("_mg")), "left").drop("_mg").withColumn("_b", bucket)
+    dx, dy = F.when(whole, F.col(x) - F.col("_mx")), F.when(whole, F.col(y) - F.col("_my"))
+    terms = {"_n": F.when(whole, 1.0), "_sx": dx, "_sy": dy, "_sxx": dx * dx, "_sxy": dx * dy}
     sums = d.groupBy(group, "_b").agg(*[F.sum(t).alias(c) for c, t in terms.items()])
     before = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = sums.select(F.col(group).alias("_cg"), F.col("_b").alias("_cb"), *[F.sum(c).over(before).alias(f"_c{c}") for c in terms])
@@ -160,7 +170,7 @@ def expanding_backtest(df: DataFrame, group: str, order: list[str], x: str, y: s
     cxy = F.col("_sxy") - F.col("_sx") * F.col("_sy") / n
     den = cxx + F.lit(float(alpha))
     slope = F.when(den > 1e-12, cxy / den).otherwise(F.lit(0.0))
-    icpt = F.col("_sy") / n - slope * F.col("_sx") / n
-    pred = F.when(F.col("_n") >= min_rows, icpt + slope * F.col(x))
+    icpt = F.col("_my") + F.col("_sy") / n - slope * F.col("_sx") / n
+    pred = F.when(F.col("_n") >= min_rows, icpt + slope * (F.col(x) - F.col("_mx")))
     return d.withColumn("prediction", pred).withColumn("train_rows", F.col("_n").cast("bigint")).drop(
-        "_b", *terms, *[f"_c{c}" for c in terms])
+        "_b", "_mx", "_my", *terms, *[f"_c{c}" for c in terms])

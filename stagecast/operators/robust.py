@@ -50,12 +50,12 @@ def seasonality_table(runs: DataFrame, category: str = "category", month: str =
     """
     spark = runs.sparkSession
     f = iqr_filter(runs.select(category, month, value), category, value)
-    # all medians in one exact two-pass computation keyed by (category, level):
+    # all medians in one exact computation keyed by (category, level):
     # level 0 = whole category, -1 = winter pool, 1..12 = month
     lv = F.col("_lvl")
-    levels = (f.select(category, F.lit(0).alias("_lvl"), value)
-              .unionByName(f.where(F.col(month).isin(*winter)).select(category, F.lit(-1).alias("_lvl"), value))
-              .unionByName(f.select(category, F.col(month).cast("int").alias("_lvl"), value)))
+    own = F.col(month).cast("int")
+    levels = f.select(category, value, F.explode(F.array_compact(F.array(
+        F.lit(0), own, F.when(own.isin(*winter), F.lit(-1))))).alias("_lvl"))
     med = exact_median(levels, value, [category, "_lvl"], "_med")
     cat = med.groupBy(category).agg(F.max(F.when(lv == 0, F.col("_med"))).alias("cat_median"),
                                     F.max(F.when(lv == -1, F.col("_med"))).alias("winter_median"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterable, Iterator
+from itertools import islice, tee
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,25 +97,54 @@ def last_mid_date(runs_with_mid: DataFrame, key_col: str = "title", order_col: s
         F.max_by(F.col("mid_date"), F.struct(F.col(order_col), F.col("mid_date"))).alias("mid_date"))
 
 
+def _running_medians(keys: Iterable, values: Iterable[float | None]) -> Iterator[float | None]:
+    """For each value the median of the earlier ones of its key; keys come one after the other.
+
+    Two heaps hold the lower and the upper half of what came before, so a value costs the logarithm of its
+    place, and only one key's values are held. NULL values have a median but are part of none.
+    """
+    key, low, high = None, [], []
+    for k, v in zip(keys, values):
+        if k != key:
+            key, low, high = k, [], []
+        yield None if not low else -low[0] if len(low) > len(high) else (high[0] - low[0]) / 2
+        if v is None or v != v:
+            continue
+        heapq.heappush(high, -heapq.heappushpop(low, -v))
+        if len(high) > len(low):
+            heapq.heappush(low, -heapq.heappop(high))
+
+
 def modelling_dataset(runs: DataFrame, key_col: str = "title") -> DataFrame:
     """X04 — forecast-time features per run from strictly earlier runs of the same title.
 
-    prior_run_count, prior_total, prior_median (median of earlier run totals),
-    years_since_last (days between run starts / 365.25), target = this run's tickets.
-    The expanding frame of earlier totals is per title; run counts per title
-    are small (bounded by distinct days / gap).
+    prior_run_count, prior_total, prior_median (median of earlier run totals), years_since_last (days
+    between run starts / 365.25), target = this run's tickets. Runs are ordered by start and number within
+    each title; counts, totals and gaps are windows, the median is kept up to date in one pass over the
+    ordered runs (a title's runs stay in one task; nothing is gathered per row).
     """
     w = Window.partitionBy(key_col).orderBy("run_start", "run_no")
     prev = w.rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.array_sort(F.collect_list("tickets").over(prev))
-    n = F.size(earlier)
-    med = F.when(n == 0, F.lit(None).cast("double")).when(
-        n % 2 == 1, F.element_at(earlier, (n / 2 + 1).cast("int"))).otherwise(
-        (F.element_at(earlier, (n / 2).cast("int")) + F.element_at(earlier, (n / 2 + 1).cast("int"))) / 2.0)
-    return runs.select(
+    d = runs.select(
         key_col, "run_no", "run_start", "run_end",
         F.count("tickets").over(prev).alias("prior_run_count"),
-        F.sum("tickets").over(prev).alias("prior_total"),
-        med.alias("prior_median"),
+        F.sum("tickets").over(prev).alias("prior_total"), F.lit(None).cast("double").alias("prior_median"),
         (F.datediff("run_start", F.lag("run_start").over(w)) / 365.25).alias("years_since_last"),
-        F.col("tickets").alias("target"))
+        F.col("tickets").cast("double").alias("target"))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def feed() -> Iterator[tuple]:
+            for batch in batches:
+                waiting.append(batch)
+                yield from zip(batch.column(key_col).to_pylist(), batch.column("target").to_pylist())
+        waiting: list = []
+        keys, values = tee(feed())
+        medians = _running_medians((k for k, _ in keys), (v for _, v in values))
+        at = d_names.index("prior_median")
+        for first in medians:
+            batch = waiting.pop(0)
+            column = pa.array([first, *islice(medians, batch.num_rows - 1)], type=pa.float64())
+            yield pa.RecordBatch.from_arrays([column if i == at else batch.column(i) for i in range(batch.num_columns)], names=d_names)
+    d_names = d.columns
+    ordered = d.repartition(key_col).sortWithinPartitions(key_col, "run_start", "run_no")
+    return ordered.mapInArrow(fill, d.schema)

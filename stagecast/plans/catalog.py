@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -678,8 +678,8 @@ def q_r04(spark, sf):
 
 @query("R05_rank_plan")
 def q_r05(spark, sf):
-    return rounded(SE.rank_plan(_season_plan(spark, sf)).select("Month", "title", "Composite",
-                                                                "EstimatedTickets_Final"))
+    plan = _season_plan(spark, sf).withColumn("Composite", F.round("Composite", 6))
+    return rounded(SE.rank_plan(plan).select("rank", "Month", "title", "Composite", "EstimatedTickets_Final"))
 
 
 @query("A14_plan_totals")
@@ -956,9 +956,12 @@ def q_a18u(spark, sf):
 def q_j05c(spark, sf):
     """Every order line: weather of its city and day, then the title's spend; no row is added."""
     h = B.history(spark, sf).select("title", "city", "start_date", "single_tickets")
-    w = B.daily_weather(spark, sf).where(F.col("city").isin("view", "click")).withColumn(
-        "city", F.when(F.col("city") == "view", F.lit("america")).otherwise(F.lit(" Europe ")))
-    out = J.chained_enrich(h, w, _spend(spark, sf), {"date_col": "start_date", "measures": ("snow",)})
+    # all five event types are weather: two of them in America, three in Europe
+    west = F.col("city").isin("view", "click")
+    w = B.daily_weather(spark, sf).groupBy(F.when(west, F.lit("america")).otherwise(F.lit(" Europe ")).alias("city"), "date").agg(
+        F.avg("snow").alias("snow"))
+    checks = Observation(), Observation()
+    out = J.chained_enrich(h, w, _spend(spark, sf), {"date_col": "start_date", "measures": ("snow",)}, checks)
     return rounded(out.groupBy("title", "city").agg(
         F.count(F.lit(1)).alias("rows"), F.count("weather_snow").alias("with_weather"), F.sum("weather_snow").alias("snow"),
         F.max("marketing_spend").alias("spend")))
@@ -1086,6 +1089,37 @@ def q_s19(spark, sf):
     return IO.to_markdown_rows(B.read(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey"))
 
 
+def _as_report(spark, df, tag, order_by):
+    """A table as a markdown report in a fresh shared folder, read back."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    IO.write_markdown(df, path, order_by)
+    return IO.read_markdown(spark, path, df.schema)
+
+
+@query("S19_board_report")
+def q_s19b(spark, sf):
+    return _as_report(spark, QUERIES["R02_board_summary"](spark, sf), "board", ["month_rank", "title"])
+
+
+@query("S19_financial_report")
+def q_s19f(spark, sf):
+    return _as_report(spark, QUERIES["R03_financial_summary"](spark, sf), "financial", ["title", "metric"])
+
+
+@query("S19_registry_report")
+def q_s19r(spark, sf):
+    return _as_report(spark, q_a10(spark, sf), "registry", ["source"]).fillna("", ["details"])     # an empty cell reads as NULL
+
+
+@query("S19_wide_plan_csv")
+def q_s19w(spark, sf):
+    """R04 as CSV: every metric of every plan row, written and read back by its header."""
+    d = QUERIES["R04_wide_plan"](spark, sf)
+    back = IO.read_source(spark, _as_file(spark, d.select(*reversed(d.columns)), "wide"), [
+        IO.Field(f.name, "number" if f.dataType.simpleString() == "double" else "text") for f in d.schema.fields])
+    return back.select(*[F.col(IO.normalize_name(f.name)).cast(f.dataType).alias(f.name) for f in d.schema.fields])
+
+
 @query("S20_missing_source")
 def q_s20(spark, sf):
     """A source that is not there reads as an empty table of its schema; the others stay whole."""

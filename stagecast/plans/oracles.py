@@ -899,8 +899,8 @@ n AS (SELECT title, "Month", unnest([
 SELECT title, "Month", e.metric AS metric, round(e.number, 6) AS number, e.text AS text FROM n""")
 
 register("R05_rank_plan", plan_ctes() + """
-SELECT "Month", title, round("Composite", 6) AS "Composite", round(fin, 6) AS "EstimatedTickets_Final"
-FROM plan ORDER BY "Composite" DESC, fin DESC, title""")
+SELECT rank() OVER (ORDER BY round("Composite", 6) DESC NULLS LAST, fin DESC NULLS LAST) AS rank, "Month", title,
+       round("Composite", 6) AS "Composite", round(fin, 6) AS "EstimatedTickets_Final" FROM plan""")
 
 register("A14_plan_totals", plan_ctes() + """
 SELECT 'season' AS scope, round(coalesce(sum(fin), 0), 6) AS tickets, 1.0 AS share FROM plan
@@ -1091,14 +1091,15 @@ SELECT '__overall__', count(*), round(regr_slope(y, prediction), 6), round(regr_
 register("X03_backtest", scoring_ctes("models") + """,
 fr AS (SELECT title, min(run_start) AS first_run FROM runs GROUP BY title),
 d AS (SELECT k.title, k.category, k."SignalOnly" AS x, k."TicketIndex_DeSeason" AS y, fr.first_run FROM known k JOIN fr USING (title)),
+c AS (SELECT *, x - avg(x) OVER (PARTITION BY category) AS u, y - avg(y) OVER (PARTITION BY category) AS v FROM d),
 w AS (
-  SELECT *, count(y) OVER p AS n, sum(x) OVER p AS sx, sum(y) OVER p AS sy, sum(x * x) OVER p AS sxx, sum(x * y) OVER p AS sxy
-  FROM d WINDOW p AS (PARTITION BY category ORDER BY first_run, title ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+  SELECT *, count(v) OVER p AS n, sum(u) OVER p AS su, sum(v) OVER p AS sv, sum(u * u) OVER p AS suu, sum(u * v) OVER p AS suv
+  FROM c WINDOW p AS (PARTITION BY category ORDER BY first_run, title ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ),
 f AS (
-  SELECT *, CASE WHEN sxx - sx * sx / n > 1e-12 THEN (sxy - sx * sy / n) / (sxx - sx * sx / n) ELSE 0.0 END AS b FROM w WHERE n >= 2
+  SELECT *, CASE WHEN suu - su * su / n > 1e-12 THEN (suv - su * sv / n) / (suu - su * su / n) ELSE 0.0 END AS b FROM w WHERE n >= 2
 ),
-bterr AS (SELECT category, y - ((sy / n - b * sx / n) + b * x) AS e FROM f)
+bterr AS (SELECT category, v - ((sv / n - b * su / n) + b * u) AS e FROM f)
 SELECT category, count(*) AS n, round(avg(abs(e)), 6) AS "MAE", round(sqrt(avg(e * e)), 6) AS "RMSE" FROM bterr GROUP BY category""")
 
 register("X04_modelling_dataset", scoring_ctes("runs") + """,
@@ -1217,8 +1218,8 @@ register("A18_sorted_unique_titles", """
 SELECT DISTINCT trim(p_name) AS p_name FROM part WHERE length(trim(p_name)) > 0""")
 
 register("J05_chained_enrich", with_(B_HIST) + """,
-w AS (SELECT CASE event_type WHEN 'view' THEN 'AMERICA' ELSE 'EUROPE' END AS city, CAST(ts AS DATE) AS d, avg(value) / 5 AS snow
-      FROM events WHERE event_type IN ('view', 'click') GROUP BY 1, 2),
+w1 AS (SELECT event_type, CAST(ts AS DATE) AS d, avg(value) / 5 AS snow FROM events GROUP BY 1, 2),
+w AS (SELECT CASE WHEN event_type IN ('view', 'click') THEN 'AMERICA' ELSE 'EUROPE' END AS city, d, avg(snow) AS snow FROM w1 GROUP BY 1, 2),
 sp AS (SELECT l_partkey AS title, sum(l_extendedprice * l_discount) AS spend FROM lineitem GROUP BY 1)
 SELECT h.title, h.city, count(*) AS rows, count(w.snow) AS with_weather, round(sum(w.snow), 6) AS snow, round(max(sp.spend), 6) AS spend
 FROM hist h LEFT JOIN w ON w.city = h.city AND w.d = h.start_date LEFT JOIN sp ON sp.title = h.title GROUP BY 1, 2""")
@@ -1438,3 +1439,8 @@ SELECT title, mo AS "Month", concat_ws(' ',
        || format('{{:,}}', CAST(sgl_e AS BIGINT)) || ' in EUROPE (' || format('{{:,}}', CAST(sgl_a + sgl_e AS BIGINT)) || ' in total).' END,
   'The audience should lean toward ' || seg1 || ', with secondary appeal to ' || seg2 || '.') AS narrative
 FROM x""")
+
+# reports are written and read back: the tables themselves
+for _report, _table in (("S19_board_report", "R02_board_summary"), ("S19_financial_report", "R03_financial_summary"),
+                        ("S19_registry_report", "A10_registry_report"), ("S19_wide_plan_csv", "R04_wide_plan")):
+    register(_report, ORACLES[_table])

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagecast import config as C
 from stagecast.functions import columns as P
-from stagecast.functions.quantiles import exact_median
+from stagecast.functions.quantiles import bucket_of, exact_median
 from stagecast.operators import robust as RB
+from stagecast.session import cut
 
 # FIXED VALUES — plan months (slot name, month number) and summary month orders
 PLAN_MONTHS = [("September", 9), ("October", 10), ("January", 1), ("February", 2), ("March", 3), ("May", 5)]
@@ -137,12 +138,42 @@ def wide_metrics(plan: DataFrame, scored: DataFrame, cities: Sequence[str]) -> D
     return d.select("title", "Month", F.explode(F.array(*cells)).alias("e")).select("title", "Month", "e.*")
 
 
+def _below(counts: DataFrame, by: str, coarse: int = 128) -> DataFrame:
+    """Adds ``_before``: the sum of ``_c`` over all rows with a lesser ``by``, without a window over all rows.
+
+    Rows are summed in stretches of ``coarse`` numbers; each stretch adds up its own rows, and the sums of
+    the stretches before it come from a join of the few stretches with themselves.
+    """
+    d = counts.withColumn("_s", F.floor(F.col(by) / coarse))
+    sums = d.groupBy("_s").agg(F.sum("_c").alias("_t"))
+    other = sums.select(F.col("_s").alias("_o"), F.col("_t").alias("_u"))
+    ahead = sums.join(other, F.col("_o") < F.col("_s"), "left").groupBy("_s").agg(F.coalesce(F.sum("_u"), F.lit(0)).alias("_ahead"))
+    own = F.sum("_c").over(Window.partitionBy("_s").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")
+    return d.withColumn("_own", own).join(ahead, "_s").withColumn("_before", F.col("_own") + F.col("_ahead")).drop("_s", "_own", "_ahead")
+
+
+def global_rank(df: DataFrame, first: str, second: str, out: str = "rank") -> DataFrame:
+    """``df`` plus SQL's ``rank()`` by two numeric columns, both descending, NULLs last, over the whole table.
+
+    The table is cut into ranges of the first column (``bucket_of``, whose numbers never decrease with it, so
+    equal values share a range); distinct pairs of values are counted, ranges get the count of all rows in
+    higher ranges, and a window runs over the distinct pairs of one range. Ties, however many, are one pair.
+    """
+    place = F.when(F.col(first).isNull() | F.isnan(F.col(first).cast("double")), F.lit((1 << 40))).otherwise(-bucket_of(F.col(first).cast("double")))
+    pairs = df.groupBy(F.col(first).alias("_x"), F.col(second).alias("_y"), place.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+    ranges = _below(pairs.groupBy("_b").agg(F.sum("_c").alias("_c")), "_b").select("_b", "_before")
+    order = Window.partitionBy("_b").orderBy(F.desc_nulls_last("_x"), F.desc_nulls_last("_y")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = pairs.withColumn("_upto", F.sum("_c").over(order)).join(ranges, "_b").select(
+        "_x", "_y", (F.col("_before") + F.col("_upto") - F.col("_c") + 1).alias(out))
+    return df.join(ranked, F.col(first).eqNullSafe(F.col("_x")) & F.col(second).eqNullSafe(F.col("_y"))).drop("_x", "_y")
+
+
 def rank_plan(plan: DataFrame) -> DataFrame:
-    """R05 — plan ordered by Composite desc, then final tickets desc (a distributed range sort;
-    no global rank window, which would put every row in one task)."""
-    return (plan.select("Month", "title", "category", "PredictedPrimarySegment", "PredictedSecondarySegment",
-                        "Composite", "EstimatedTickets_Final")
-            .orderBy(F.col("Composite").desc(), F.col("EstimatedTickets_Final").desc(), F.col("title")))
+    """R05 — plan rows with their ``rank`` by Composite desc, then final tickets desc (equal rows share a rank),
+    in that order (a distributed range sort)."""
+    cols = ["Month", "title", "category", "PredictedPrimarySegment", "PredictedSecondarySegment", "Composite", "EstimatedTickets_Final"]
+    kept = cut(plan.select(*cols))              # read several times
+    return global_rank(kept, "Composite", "EstimatedTickets_Final").select("rank", *cols).orderBy("rank", "title")
 
 
 def plan_totals(plan: DataFrame, cities: Sequence[str]) -> DataFrame:

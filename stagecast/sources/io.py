@@ -13,7 +13,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -315,7 +315,39 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwri
         w.format(fmt).save(path)
 
 
+def _cells(df: DataFrame) -> Column:
+    """A markdown table line of a row; NULL is an empty cell, a bar within a text is escaped."""
+    cells = [F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in df.columns]
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+
+
 def to_markdown_rows(df: DataFrame) -> DataFrame:
-    """S19 — one markdown table line per row (the header is written by the caller)."""
-    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-                                                              for c in df.columns]), F.lit(" |")).alias("line"))
+    """S19 — one markdown table line per row, without header."""
+    return df.select(_cells(df).alias("line"))
+
+
+def write_markdown(df: DataFrame, path: str, order_by: Sequence[str] = (), mode: str = "overwrite") -> None:
+    """S19 — a table as markdown text: header, rule, then its rows in order.
+
+    Header and rule are rows that sort before all others; one distributed range sort puts everything in
+    place, each range is a file, and files in the order of their names make the report.
+    """
+    spark = df.sparkSession
+    keys = [F.col(f"`{c}`").alias(f"_o{i}") for i, c in enumerate(order_by)]
+    body = df.select(F.lit(2).alias("_part"), _cells(df).alias("line"), *keys)
+    head = ["| " + " | ".join(c.replace("|", "\\|") for c in df.columns) + " |", "|" + "---|" * len(df.columns)]
+    top = spark.createDataFrame([(0, head[0]), (1, head[1])], "_part int, line string")
+    lines = body.unionByName(top, allowMissingColumns=True)
+    lines.orderBy("_part", *[F.col(f"_o{i}").asc_nulls_last() for i in range(len(keys))], "line").select("line").write.mode(mode).text(path)
+
+
+def read_markdown(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """S19 — the rows of a markdown table, cells cast to ``schema`` in the order of its header; empty cells are NULL."""
+    bar = "\u0001"
+    text = F.replace(F.col("value"), F.lit("\\|"), F.lit(bar))
+    cells = F.split(F.regexp_extract(text, r"^\| (.*) \|$", 1), r" \| ", -1)
+    rows = spark.read.text(path).where(~F.col("value").startswith("|---")).select(cells.alias("c"))
+    head = F.array(*[F.lit(f.name.replace("|", bar)) for f in schema.fields])
+    rows = rows.where(F.col("c") != head)
+    return rows.select(*[F.nullif(F.replace(F.col("c")[i], F.lit(bar), F.lit("|")), F.lit("")).cast(f.dataType).alias(f.name)
+                         for i, f in enumerate(schema.fields)])
