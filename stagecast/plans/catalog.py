@@ -99,13 +99,23 @@ def q_j15(spark, sf):
 
 @query("J11_known_unknown")
 def q_j11(spark, sf):
-    return _plan(spark, sf).base.select("title", "Source")
+    """Every seventh title has no baseline row: its signals are estimated, category bumps included."""
+    p = _plan(spark, sf)
+    known = p.baselines.where(F.col("title") % 7 != 0)
+    est = SG.estimate_unknown(p.titles.join(known, "title", "left_anti"), known, "category", bumps=BOUND_BUMPS)
+    both = p.titles.join(known.select("title", *PL.SIGNALS), "title").withColumn("Source", F.lit("Baseline")).unionByName(
+        est.withColumn("Source", F.lit("Estimated")))
+    return rounded(both.select("title", "Source", *PL.SIGNALS))
+
+
+#: Bumps by category of the driver tables, in the units of each signal; one of them leaves the clip range.
+BOUND_BUMPS = {"PROMO": {"wiki": 6.0, "youtube": 4.0}, "SMALL": {"trends": 3.5, "chartmetric": -2.0}, "LARGE": {"wiki": 40.0}}
 
 
 @query("P11_estimate_unknown")
 def q_p11(spark, sf):
     p = _plan(spark, sf)
-    return rounded(SG.estimate_unknown(p.titles.select("title", "category"), p.baselines, "category")
+    return rounded(SG.estimate_unknown(p.titles.select("title", "category"), p.baselines, "category", bumps=BOUND_BUMPS)
                    .select("title", *SG.SIGNALS))
 
 
@@ -619,7 +629,8 @@ def q_a10(spark, sf):
 
 @query("A11_source_mix")
 def q_a11(spark, sf):
-    return PR.source_mix(_plan(spark, sf).imputed, "TicketIndexSource", SOURCE_LABELS)
+    """Sources of the tiered imputation (F10), which reaches every tier."""
+    return PR.source_mix(QUERIES["F10_tiered_impute"](spark, sf), "TicketIndexSource", SOURCE_LABELS)
 
 
 def _intent(spark, sf):

@@ -372,16 +372,21 @@ SELECT title, mid_date FROM lastmid""")
 register("J15_runs_with_category_and_median", scoring_ctes("season") + """
 SELECT title, CAST(run_no AS BIGINT) AS run_no, category, round(tm, 6) AS ticket_median FROM pr""")
 
-register("J11_known_unknown", scoring_ctes("index") + """
-SELECT title, "Source" FROM rows0""")
-
-register("P11_estimate_unknown", scoring_ctes("index") + """
-SELECT t.title,
-       round(least(120, greatest(30, (SELECT median(wiki) FROM signals))), 6) AS wiki,
-       round(least(120, greatest(30, (SELECT median(trends) FROM signals))), 6) AS trends,
-       round(least(140, greatest(40, (SELECT median(youtube) FROM signals))), 6) AS youtube,
-       round(least(120, greatest(35, (SELECT median(chartmetric) FROM signals))), 6) AS chartmetric
-FROM titles t""")
+_BUMPED = """least(120, greatest(30, (SELECT median(wiki) FROM {0}) + CASE t.category WHEN 'PROMO' THEN 6.0 WHEN 'LARGE' THEN 40.0 ELSE 0.0 END)) AS wiki,
+       least(120, greatest(30, (SELECT median(trends) FROM {0}) + CASE t.category WHEN 'SMALL' THEN 3.5 ELSE 0.0 END)) AS trends,
+       least(140, greatest(40, (SELECT median(youtube) FROM {0}) + CASE t.category WHEN 'PROMO' THEN 4.0 ELSE 0.0 END)) AS youtube,
+       least(120, greatest(35, (SELECT median(chartmetric) FROM {0}) + CASE t.category WHEN 'SMALL' THEN -2.0 ELSE 0.0 END)) AS chartmetric"""
+
+register("J11_known_unknown", with_(B_BASE) + """,
+ks AS (SELECT * FROM signals WHERE title % 7 <> 0),
+u AS (SELECT title, 'Baseline' AS "Source", wiki, trends, youtube, chartmetric FROM base WHERE title % 7 <> 0
+      UNION ALL SELECT t.title, 'Estimated', """ + _BUMPED.format("ks") + """ FROM titles t WHERE t.title NOT IN (SELECT title FROM ks))
+SELECT title, "Source", round(wiki, 6) AS wiki, round(trends, 6) AS trends, round(youtube, 6) AS youtube,
+       round(chartmetric, 6) AS chartmetric FROM u""")
+
+register("P11_estimate_unknown", with_(B_BASE) + """,
+u AS (SELECT t.title, """ + _BUMPED.format("signals") + """ FROM titles t)
+SELECT title, round(wiki, 6) AS wiki, round(trends, 6) AS trends, round(youtube, 6) AS youtube, round(chartmetric, 6) AS chartmetric FROM u""")
 
 register("F01_raw_scores", scoring_ctes("index") + """
 SELECT title, round("FamiliarityRaw", 6) AS "FamiliarityRaw", round("MotivationRaw", 6) AS "MotivationRaw" FROM raw""")
@@ -783,10 +788,10 @@ WITH rows_ AS (
 SELECT 'lineitem' AS source, metric, "column", round(value, 6) AS value FROM rows_
 WHERE metric NOT IN ('null_count', 'outliers') OR value > 0""")
 
-register("A11_source_mix", scoring_ctes("models") + """,
-labels(label, pos) AS (VALUES ('History', 0), ('Category model', 1), ('Overall model', 2), ('ML Category', 3),
-                              ('ML Overall', 4), ('kNN Fallback', 5), ('Not enough data', 6))
-SELECT l.label, l.pos, count(i.title) AS n FROM labels l LEFT JOIN imputed i ON i."TicketIndexSource" = l.label
+register("A11_source_mix", """
+WITH labels(label, pos) AS (VALUES ('History', 0), ('Category model', 1), ('Overall model', 2), ('ML Category', 3),
+                                   ('ML Overall', 4), ('kNN Fallback', 5), ('Not enough data', 6))
+SELECT l.label, l.pos, count(i.title) AS n FROM labels l LEFT JOIN (""" + ORACLES["F10_tiered_impute"] + """) i ON i."TicketIndexSource" = l.label
 GROUP BY l.label, l.pos HAVING count(i.title) > 0""")
 
 register("A12_intent_summary", """
