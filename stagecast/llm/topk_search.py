@@ -3,10 +3,12 @@
 Vectors are lists of (component, integer weight). Rows are dealt into ranges of ids, each cut into
 blocks of ``block_rows`` vectors that keep, for every component, the largest and least weight of the
 block, and a forward index: the block's weights as one matrix. A query's bound for a block is the sum
-over its components of the larger of query weight times either extreme. For a chunk of queries, the
-blocks of a range are visited in falling order of the bound; a block is scored for the queries whose
-bound reaches the k-th best score so far (ties included, as a smaller id may still win), and the visit
-ends when no query's bound does. The k best of each range are merged in a last step.
+over its components of the larger of query weight times either extreme. Each query visits the blocks of
+a range in falling order of its own bounds and ends when the next bound is below its k-th best score so
+far (ties are visited, as a smaller id may still win); queries that visit the same block at the same
+step are scored together. Within a range, blocks are cut from rows ordered by the number and weight of
+their greatest component, which draws the extremes of a block together. The k best of each range are
+merged in a last step.
 
 The starting k-th score comes from a first pass in which each chunk of queries is scored against its
 own range only, so that other ranges are pruned from the start.
@@ -29,14 +31,13 @@ def whole_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
     """``(vec_id, v array<bigint>)`` with ``floor(scale * x)`` of each component x as a double.
 
     Rows with a null id, a null vector or a null, NaN or infinite component take no part. Rows that
-    repeat an id and its whole weights are one; different vectors of one id all take part.
+    repeat an id all take part, whether their vectors are equal or not.
     """
     x = F.col("v").cast("array<double>")
     sound = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
     return (df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"))
             .where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(F.coalesce(sound, F.lit(False)))
-            .select("vec_id", F.transform(x, lambda c: F.floor(c * scale)).alias("v"))
-            .distinct())
+            .select("vec_id", F.transform(x, lambda c: F.floor(c * scale)).alias("v")))
 
 
 def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
@@ -56,13 +57,15 @@ def search_range(queries: pd.DataFrame, rows: pd.DataFrame, k: int, block_rows:
 
     ``floor`` is a score that the query's final k-th best is known to reach, or null.
     """
-    rows = rows.sort_values("vec_id", ignore_index=True)
     width = max([len(v) for v in queries["v"]] + [len(v) for v in rows["v"]])
     q, d = _matrix(queries["v"], width), _matrix(rows["v"], width)
     exact = float(np.abs(q).max(initial=0)) * float(np.abs(d).max(initial=0)) * max(width, 1) < EXACT
     kind = np.float64 if exact else np.int64       # products of floats are exact below 2**53
     q, d = q.astype(kind), d.astype(kind)
     q_ids, d_ids = queries["vec_id"].to_numpy(), rows["vec_id"].to_numpy()
+    peak = d.argmax(axis=1) if width else np.zeros(len(d), dtype=np.int64)
+    order = np.lexsort((d_ids, d[np.arange(len(d)), peak] if width else peak, peak))
+    d, d_ids = d[order], d_ids[order]
     starts = np.arange(0, len(d), block_rows)
     high = np.maximum.reduceat(d, starts, axis=0)
     low = np.minimum.reduceat(d, starts, axis=0)
@@ -70,21 +73,24 @@ def search_range(queries: pd.DataFrame, rows: pd.DataFrame, k: int, block_rows:
     floor = queries["floor"].fillna(LOW).to_numpy().astype(np.int64) if "floor" in queries else np.full(len(q), LOW)
     best = np.full((len(q), k), LOW)
     best_ids = np.full((len(q), k), NO_ID)
-    for b in np.argsort(-bound.max(axis=0), kind="stable"):
-        kth = np.maximum(best[:, -1], floor)
-        open_q = np.flatnonzero(bound[:, b] >= kth)
-        if not len(open_q):
-            if (bound.max(axis=1) < kth).all():
-                break
-            continue
-        ids = d_ids[starts[b]:starts[b] + block_rows]
-        scores = (q[open_q] @ d[starts[b]:starts[b] + block_rows].T).astype(np.int64)
-        own = q_ids[open_q][:, None] == ids[None, :]
-        scores = np.concatenate([best[open_q], np.where(own, LOW, scores)], axis=1)
-        ids = np.concatenate([best_ids[open_q], np.where(own, NO_ID, ids[None, :])], axis=1)
-        place = np.lexsort((ids, -scores), axis=1)[:, :k]
-        best[open_q] = np.take_along_axis(scores, place, axis=1)
-        best_ids[open_q] = np.take_along_axis(ids, place, axis=1)
+    own_order = np.argsort(-bound, axis=1, kind="stable")
+    left = np.arange(len(q))
+    for step in range(len(starts)):
+        blocks = own_order[left, step]
+        left = left[bound[left, blocks] >= np.maximum(best[left, -1], floor[left])]
+        if not len(left):
+            break
+        blocks = own_order[left, step]
+        for b in np.unique(blocks):
+            open_q = left[blocks == b]
+            ids = d_ids[starts[b]:starts[b] + block_rows]
+            scores = (q[open_q] @ d[starts[b]:starts[b] + block_rows].T).astype(np.int64)
+            own = q_ids[open_q][:, None] == ids[None, :]
+            scores = np.concatenate([best[open_q], np.where(own, LOW, scores)], axis=1)
+            ids = np.concatenate([best_ids[open_q], np.where(own, NO_ID, ids[None, :])], axis=1)
+            place = np.lexsort((ids, -scores), axis=1)[:, :k]
+            best[open_q] = np.take_along_axis(scores, place, axis=1)
+            best_ids[open_q] = np.take_along_axis(ids, place, axis=1)
     found = best_ids != NO_ID
     return pd.DataFrame({"query_id": np.repeat(q_ids, k)[found.ravel()], "vec_id": best_ids[found],
                          "score": best[found]})
@@ -110,8 +116,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, range_rows: int =
           query_rows: int = QUERY_ROWS) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: each query's k best rows of ``vectors`` but its own.
 
-    Both tables are ``(vec_id long, v array<bigint>)`` with distinct rows, as ``whole_vectors`` gives
-    them. Vectors of one id are rows of their own, which do not meet each other; a query id with several
+    Both tables are ``(vec_id long, v array<bigint>)``, as ``whole_vectors`` gives them. Rows of one id are
+    rows of their own, equal ones too, which do not meet each other; a query id with several
     has the k best pairs of all of them. All rows if there are fewer than k; no row for a query alone. The stated query set meets
     all rows in blocks: each range is sent once for each chunk of queries, each query once for each
     range; a task holds one range and one chunk, both of bounded size.
@@ -119,8 +125,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, range_rows: int =
     spark = vectors.sparkSession
     n, asked = (max(1, x) for x in (vectors.count(), queries.count()))
     parts, cells = -(-n // range_rows), -(-asked // query_rows)
-    part = F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).cast("int")
-    rows = vectors.withColumn("part", part)
+    rows = stash(vectors.repartitionByRange(parts, "vec_id").withColumn("part", F.spark_partition_id()), "ranges")
+    parts = (rows.agg(F.max("part")).first()[0] or 0) + 1
     chunk = queries.withColumn("cell", F.pmod(F.xxhash64(F.lit(7), "vec_id", "v"), F.lit(cells)).cast("int"))
     none = F.lit(None).cast("long").alias("floor")
     first = _merged(_search(
@@ -129,9 +135,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, range_rows: int =
         .unionByName(rows.join(spark.range(cells).select(F.col("id").cast("int").alias("cell")),
                                F.pmod("cell", F.lit(parts)) == F.col("part"))
                      .select("cell", "part", F.lit(False).alias("is_query"), "vec_id", "v", none)), k), k)
-    first = stash(first, "first-range") if parts > 1 else first
-    if parts == 1:
-        return first.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    first = stash(first, "first-range")
     floor = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
     own = F.pmod(F.col("cell"), F.lit(parts)).cast("int")
     other_parts = F.filter(F.sequence(F.lit(0), F.lit(parts - 1)), lambda p: p != own)

@@ -48,7 +48,7 @@ def test_vectors_that_take_no_part(spark):
     whole = whole_vectors(df)
     assert {r["vec_id"]: r["v"] for r in whole.collect()} == {0: [128, 128], 50: [256, 0], 5: [-1, 256]}
     got = top_k(whole, whole.where("vec_id % 50 = 0"))
-    assert sorted(map(tuple, got.collect())) == [(0, 1, 50, 32768), (0, 2, 5, 32640), (50, 1, 0, 32768), (50, 2, 5, -256)]
+    assert sorted(map(tuple, got.collect())) == [(0, 1, 50, 32768), (0, 2, 5, 32640), (0, 3, 5, 32640), (50, 1, 0, 32768), (50, 2, 5, -256), (50, 3, 5, -256)]
 
 
 def test_empty_and_single(spark):
@@ -63,10 +63,11 @@ def test_query_schema(spark):
     assert dict(df.dtypes) == {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "bigint"}
 
 
-def test_different_vectors_of_one_id_all_take_part(spark):
+def test_rows_of_one_id_all_take_part(spark):
     rng = np.random.default_rng(3)
     rows = sorted({(int(i), tuple(rng.integers(-3, 4, 5).tolist())) for i in rng.integers(0, 60, 150)} | {(0, (9, 9, 9, 9, 9)), (0, (-9, 0, 0, 0, 0))})
-    df = spark.createDataFrame([(i, [x / 256 for x in v]) for i, v in rows + rows[:9]], "vec_id long, embedding array<double>")
+    rows += rows[:9]                                       # equal rows are rows of their own
+    df = spark.createDataFrame([(i, [x / 256 for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
     whole = whole_vectors(df)
     assert whole.count() == len(rows)
     want = []
@@ -76,3 +77,16 @@ def test_different_vectors_of_one_id_all_take_part(spark):
     for size in (8192, 40):
         got = top_k(whole, whole.where("vec_id % 10 = 0"), k=5, range_rows=size, query_rows=4)
         assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_oracle_lists_equal_rows_too(spark):
+    import duckdb
+    from stagecast.llm.topk_search import OP5_SQL
+    rng = np.random.default_rng(6)
+    rows = [(int(i), rng.normal(size=4).tolist()) for i in range(0, 130, 2)]
+    rows += rows[:7] + [(8, None), (9, [float("nan")] * 4)]
+    con = duckdb.connect()
+    con.register("embeddings", pd.DataFrame(rows, columns=["vec_id", "embedding"]))
+    whole = whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = top_k(whole, whole.where("vec_id % 50 = 0"), range_rows=20, query_rows=2)
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(OP5_SQL).fetchall())
