@@ -113,15 +113,17 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, order=F.xxhash64) -> DataFrame:
     """Connected components of ``edges(a long, b long)`` as ``(id, component)``, labelled by some member.
 
-    Rounds of contraction: nodes are put in a fresh random order (a hash of the round and the id), each
-    points to the first of itself and its neighbours, pointers are followed once more, and edges are moved
-    to where their ends point; edges within one node vanish. Whatever the ids are, a node that still has
-    edges is first among its neighbours with probability one half at most, so about half of them go in each
-    round and the number of rounds grows with the logarithm of the nodes (a chain in ascending order
-    included). The pointers of all rounds are then followed from the last, smallest one backwards, so that
+    Rounds of contraction: nodes are put in a random order, each points to the first of itself and its
+    neighbours, pointers are followed once more, and edges are moved to where their ends point; edges within
+    one node vanish. Every other round has a fresh order (a hash of the round and the id), so whatever the
+    ids are, a node that still has edges is first among its neighbours with probability one half at most,
+    about half of them go in each such round and the number of rounds grows with the logarithm of the nodes
+    (a chain in ascending order included). The rounds between them take ``order``, that of a hash of the id
+    unless it is given: where edges lead to hubs that are first in this order, most nodes go in the first
+    round. The pointers of all rounds are then followed from the last, smallest one backwards, so that
     no step has more rows than the round had nodes. Every step is aggregation and joins over distributed
     tables; the driver sees whether edges are left. Nodes without an edge (null ends are dropped) do not
     appear; an empty table gives an empty result.
@@ -131,7 +133,7 @@ def components(edges: DataFrame) -> DataFrame:
     rounds: list[DataFrame] = []
     while left.limit(1).count():
         def place(c: str) -> Column:
-            return F.xxhash64(F.lit(len(rounds)), F.col(c))
+            return F.xxhash64(F.lit(len(rounds)), F.col(c)) if len(rounds) % 2 else order(F.col(c))
         first = left.groupBy("a").agg(F.min_by("b", place("b")).alias("b"))
         near = first.select("a", F.when(place("b") < place("a"), F.col("b")).otherwise(F.col("a")).alias("up"))
         far = near.select(F.col("a").alias("up"), F.col("up").alias("top"))

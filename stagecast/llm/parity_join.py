@@ -303,8 +303,8 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketched = by_band(drawn, same)
     met = stash(memberships(sketched), "memberships")
     links = stash(hub_links(met, sketched, docs, width, percent), "hub-links")
-    more = stash(open_links(met, components(links), sketched, docs, width, percent), "open-links")
-    joined = components(links.union(more))
+    more = stash(open_links(met, components(links, lambda c: c), sketched, docs, width, percent), "open-links")
+    joined = components(links.union(more), lambda c: c)
     linked = drawn.select("id", "node").distinct().join(joined.select(F.col("id").alias("node"), "component"), "node")
     least = linked.groupBy("component").agg(F.min("id").alias("least"))
     least = stash(linked.join(least, "component").select(F.col("id").alias("rep"), "least"), "least-ids")
