@@ -1,6 +1,6 @@
 """SparkSession helpers.
 
-Everything in the library is a lazy DataFrame transformation; this module only
+Operators are lazy DataFrame transformations but for the stages that they cut with ``cut``; this module
 builds a session for tests/bench and resolves the shared checkpoint folder.
 """
 
