@@ -93,7 +93,7 @@ def without_rows(docs: DataFrame, bad: DataFrame, id_col: str, text_col: str) ->
     """``docs`` (all columns, repeats kept) without the rows whose keys are in ``bad(k1, k2)``.
 
     A Bloom filter of the bad keys lets the other rows pass where they are; only possible hits are
-    shuffled to an exact anti-join.
+    shuffled to an exact anti-join. Null ids and texts are named like any other; an empty ``bad`` leaves all.
     """
     k1, k2 = row_keys(id_col, text_col)
     probed = maybe_in(packed(docs, k1.alias("k1"), k2.alias("k2")), F.col("k1"), bad.select(F.col("k1").alias("key")))

@@ -92,7 +92,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     """``(k1, k2, id, item, n_item, n_shared)``: documents that hold ``percent`` of an item's shingles.
 
     ``k1, k2`` name the row (its id and text); rows that repeat both are one. Null ids and items are ids
-    and items; null, empty and blank texts match nothing; other columns are not read.
+    and items; null, empty and blank texts match nothing; texts are read whole, however long; other columns are not read.
     """
     k1, k2 = row_keys(id_col, text_col)
     rows = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -108,7 +108,8 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """The rows of ``docs``, all columns, that contain no benchmark item."""
+    """The rows of ``docs``, all columns, that contain no benchmark item. Null, empty and blank texts stay, repeated
+    rows stay or go together."""
     bad = stash(contained_items(docs, benchmark, id_col, text_col, **more).select("k1", "k2").distinct(), "contaminated")
     return without_rows(docs, bad, id_col, text_col)
 

@@ -70,8 +70,10 @@ def postings(df: DataFrame, asked: np.ndarray | None = None) -> DataFrame:
                 terms.append(h.view(np.int64))
                 counts.append(c.astype(np.int64))
             yield pd.DataFrame({"id": batch["id"].to_numpy(), "n": n, "terms": terms, "counts": counts}).astype({"n": "int64"})
-    kind = df.schema["id"].dataType.simpleString()
-    return df.select("id", "text").mapInPandas(cut, f"id {kind}, n long, terms array<long>, counts array<long>")
+    # ids go as text: beside a null, pandas would hold numbers as floats
+    rows = df.select(F.col("id").cast("string").alias("id"), "text").mapInPandas(
+        cut, "id string, n long, terms array<long>, counts array<long>")
+    return rows.withColumn("id", F.col("id").cast(df.schema["id"].dataType))
 
 
 def _filter(asked: DataFrame) -> np.ndarray:

@@ -123,7 +123,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Null and blank texts have size 0 and take nothing; a null source is a source of its own, last in
     order. Repeated rows are documents of their own; which of several rows with the same id, source
     and size gets a copy more makes no difference. Reruns agree: the choice within a size follows a
-    hash of the id. Other columns are not read; an empty table gives an empty result.
+    hash of the id. Texts are counted whole, however long; other columns are not read; an empty table gives an
+    empty result.
 
     Documents of one source and size may be a third of all: they are dealt to buckets of about
     ``BUCKET_ROWS`` by that hash, copies are shared among buckets by running counts, and only buckets

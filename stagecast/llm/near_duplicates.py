@@ -286,7 +286,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``component_id`` is the least id reachable over links. Texts without words (null, empty, blank) have
     no shingles and are linked with nothing: they are their own component. Rows that repeat an id are one
     document in links, each with its own set; a null id takes no part, its component is null and it is not
-    kept. Ids are whole numbers; other columns are not read; an empty table gives an empty result.
+    kept. Texts are read whole, however long; ids are whole numbers; other columns are not read; an empty table gives an empty result.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     drawn = stash(sketches(docs, width, percent), "sketches")

@@ -98,7 +98,8 @@ def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 rows.append((doc, node, len(s), *(fingerprint(s) if len(s) else (0, 0)), *drawn[0], *drawn[1]))
             out = pd.DataFrame(rows, columns=["id", "node", "n", "f1", "f2", "band1", "words1", "band2", "words2"], dtype=object)
             yield out.astype({"id": "Int64", "node": "Int64", "n": "int64", "f1": "int64", "f2": "int64", "band1": "Int32", "band2": "Int32"})
-    return docs.mapInPandas(sketched, SKETCH)
+    # ids go as text: beside a null, pandas would hold numbers as floats
+    return docs.select(F.col("id").cast("string").alias("id"), "text").mapInPandas(sketched, SKETCH)
 
 
 def by_band(drawn: DataFrame, same: DataFrame) -> DataFrame:

@@ -166,9 +166,11 @@ def periodic_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                              collapsed(found, runs).decode("utf-8")))
             out = pd.DataFrame(rows, columns=["n_words", "runs", "collapsed"])
             out.insert(0, "id", batch["id"].to_numpy())
-            yield out.astype({"id": "Int64"})
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(
-        cut, f"id long, n_words long, runs {RUNS}, collapsed string")
+            yield out
+    # ids go as text: beside a null, pandas would hold numbers as floats
+    rows = df.select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(
+        cut, f"id string, n_words long, runs {RUNS}, collapsed string")
+    return rows.withColumn("id", F.col("id").cast("long"))
 
 
 def with_planted_period(doc_id: Column, text: Column) -> Column:

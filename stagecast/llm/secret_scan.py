@@ -148,7 +148,7 @@ def masked(text: Column, spans_col: Column, mask: str = MASK) -> Column:
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", **more) -> DataFrame:
     """``docs``, all rows and columns, with live values masked in the text and ``chars_col`` (if any) brought
-    up to date. Widely copied values stay. Only rows with live values are shuffled, to be joined with them.
+    up to date. Widely copied values stay, null and empty texts too. Only rows with live values are shuffled, to be joined with them.
     """
     keyed = docs.select(row_key(id_col, text_col).alias("key"), *[F.col(f"`{c}`") for c in docs.columns if c != "key"])
     found = scan(keyed, id_col="key", text_col=text_col, **more).where("n_live > 0").select("key", "spans")

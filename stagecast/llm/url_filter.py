@@ -82,7 +82,7 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str = "
 
     A fitting rule decides; else a listed canonical URL is blocked and any other allowed. Null URLs
     and URLs without ``://`` have empty host and path, no rule and are allowed. Empty tables, empty
-    lists, repeated rows and null ids pass through; other columns are not read.
+    lists, repeated rows and null ids pass through; URLs are judged whole, however long; other columns are not read.
     """
     url = F.col(url_col)
     judged = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"),

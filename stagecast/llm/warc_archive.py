@@ -46,7 +46,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     A null payload is empty, a null URL an empty target; line breaks in a URL are written as blanks,
     so that a header keeps one field a line. Rows that repeat a page id get a record each, and with
     the same payload the same type. A null id is never the largest; where all ids of a payload are
-    null, all its records are responses. Other columns are not read. Payloads are shuffled once,
+    null, all its records are responses. Payloads are kept whole, however long; other columns are not read. Payloads are shuffled once,
     after equal ones have met within each task; headers carry only addresses.
     """
     data = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")

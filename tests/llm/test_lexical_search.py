@@ -100,3 +100,10 @@ def test_empty_tables_and_long_text(spark):
     rows = [(1, "a " * 200_000 + "end"), (2, "a end"), (3, "b " * 9)]
     docs, items = tables(spark, rows, [(1, "END a")])
     assert sorted(map(tuple, ls.ranked_search(docs, items).collect()), key=str) == brute(rows, [(1, "END a")])
+
+
+def test_large_ids_beside_null_ids(spark):
+    big = (1 << 62) + 1
+    docs, items = tables(spark, [(big, "a b"), (None, "a"), (big + 2, "a c")], [(big, "a"), (None, "c")])
+    got = ls.ranked_search(docs.coalesce(1), items.coalesce(1)).collect()
+    assert sorted(map(tuple, got), key=str) == brute([(big, "a b"), (None, "a"), (big + 2, "a c")], [(big, "a"), (None, "c")])

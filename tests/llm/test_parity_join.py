@@ -120,3 +120,9 @@ def test_empty_table_and_long_text(spark):
     docs = {1: " ".join(long), 2: " ".join(long[2000:]), 3: " ".join(long[9000:]), 4: " ".join(long[::-1])}
     assert run(spark, docs) == {1: (59998, 1), 2: (57998, 1), 3: (50998, 3), 4: (59998, 4)}
     assert len(shingle_set(docs[1], 3)) == 59998
+
+
+def test_large_ids_beside_null_ids(spark):
+    big = (1 << 62) + 1
+    df = spark.createDataFrame([(big, "a b c d"), (None, "a b c d"), (big + 2, "a b c d"), (big + 4, "x")], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"]: r["component_id"] for r in pj.jaccard_join(df).collect()} == {big: big, None: None, big + 2: big, big + 4: big + 4}

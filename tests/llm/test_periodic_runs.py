@@ -111,3 +111,9 @@ def test_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([(7, "a " * 14, 3, 4, "x")], df.schema)
     assert pr.periodic_runs(df).collect()[0].asDict(True) == {
         "id": 7, "n_words": 14, "runs": [{"start": 0, "length": 14, "period": 1}], "collapsed": "a"}
+
+
+def test_large_ids_beside_null_ids(spark):
+    big = (1 << 62) + 1
+    df = spark.createDataFrame([(big, "a " * 12), (None, "b"), (-big, None)], "doc_id long, text string").coalesce(1)
+    assert {r["id"]: r["n_words"] for r in pr.periodic_runs(df).collect()} == {big: 12, None: 1, -big: 0}

@@ -46,3 +46,10 @@ def test_empty_tables_and_repeats(spark):
 def test_canonical_of_urls_without_scheme_is_null(spark):
     df = spark.createDataFrame([("x.org/a",), (None,), ("h://x.org//",)], "url string")
     assert [r[0] for r in df.select(canonical(F.col("url"))).collect()] == [None, None, "x.org"]
+
+
+def test_very_long_urls_are_judged_whole(spark):
+    long = "x" * 300_000
+    got = judged(spark, [f"http://h.org/{long}?a=1", f"http://h.org/{long}y", f"http://{long}.com/en/"], [f"h.org/{long}?a=1"])
+    assert [got[i]["verdict"] for i in range(3)] == ["block", "allow", "allow"]
+    assert got[1]["path"] == f"/{long}y" and got[2]["host"] == f"{long}.com" and got[2]["rule"] == "com/"

@@ -67,3 +67,11 @@ def test_index_comes_from_rebuilt_records(spark, monkeypatch):
         monkeypatch.setattr(warc_archive, "read_records", lambda s, p: read_records(s, p).withColumn("record", record))
         with pytest.raises(PySparkException, match="does not match its header"):
             read_index(spark, path).collect()
+
+
+def test_very_long_payloads_stay_whole(spark):
+    long = "é<p>" * 1_500_000
+    path = archive(spark, [(1, "u1", long, "x"), (2, "u2", long, "x"), (3, "u3", long + "!", "x")])
+    got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"]) for r in read_index(spark, path).collect()}
+    n, sha, more = len(long.encode()), hashlib.sha1(long.encode()).hexdigest(), hashlib.sha1((long + "!").encode()).hexdigest()
+    assert got == {1: (n, sha, "revisit"), 2: (n, sha, "response"), 3: (n + 1, more, "response")}
