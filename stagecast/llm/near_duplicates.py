@@ -12,8 +12,8 @@ Search. Runs of ``ROWS`` compressed registers are band keys. At similarity 0.8 a
 bucket are compared with its hubs, never with each other; a pair goes on if its corrected estimate is
 within ``MARGIN`` of the threshold, and is linked if the exact sets say so. First each document meets one
 hub, the first of all its buckets in the order of a hash of the id, and links are contracted to
-components. Only buckets that still hold several components go on: their members meet both hubs (the
-first and the last member), where these lie in another component.
+components. Only buckets that still hold several components go on. In those of two or three members all
+pairs meet; of the larger ones each document meets one more hub, the first that lies in another component.
 
 Completeness. Buckets of up to three members are thereby compared in full. Larger ones whose members
 ended up in one component need no more. The rest (buckets that still hold several components) are
@@ -175,17 +175,20 @@ def open_buckets(met: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def hub_pairs(met: DataFrame, known: DataFrame) -> DataFrame:
-    """``(a, b)``, a < b: members with either hub of a bucket, if it lies in another component.
+    """``(a, b)``, a < b: members with hubs that lie in another component.
 
-    ``met(id, key, low, high, component)``; pairs of ``known(a, b)`` are left out.
+    ``met(id, key, members, low, high, component)``: in buckets of up to three members, either hub; of the
+    larger buckets, one hub a document, the first in hash order. Pairs of ``known(a, b)`` are left out.
     """
     hubs = met.groupBy("key").agg(F.max(F.when(F.col("id") == F.col("low"), F.col("component"))).alias("low_in"),
                                   F.max(F.when(F.col("id") == F.col("high"), F.col("component"))).alias("high_in"))
-    both = met.join(hubs, "key").select("id", "component", F.explode(F.array(
+    both = met.join(hubs, "key").select("id", "members", "component", F.explode(F.array(
         F.struct(F.col("low").alias("hub"), F.col("low_in").alias("at")),
         F.struct(F.col("high").alias("hub"), F.col("high_in").alias("at")))).alias("to"))
-    pairs = both.where("to.at <> component").select(
-        F.least("id", "to.hub").alias("a"), F.greatest("id", "to.hub").alias("b")).distinct()
+    both = both.where("to.at <> component").select("id", "members", F.col("to.hub").alias("hub"))
+    one = both.where("members > 3").groupBy("id").agg(F.min_by("hub", F.xxhash64("hub")).alias("hub"))
+    pairs = both.where("members <= 3").select("id", "hub").unionByName(one).select(
+        F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     return pairs.join(known, ["a", "b"], "left_anti")
 
 
