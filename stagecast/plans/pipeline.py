@@ -26,7 +26,7 @@ from stagecast.operators import models as M
 from stagecast.operators import robust as RB
 from stagecast.operators import runs as R
 from stagecast.operators import scoring as SC
-from stagecast.session import ensure_checkpoint_dir
+from stagecast.session import cut, ensure_checkpoint_dir
 from stagecast.sources import binding as B
 
 SIGNALS = ("wiki", "trends", "youtube", "chartmetric")
@@ -57,18 +57,17 @@ class ScoringPlan:
         self.spark = titles.sparkSession
         self.materialize = materialize
 
-    def _mat(self, df: DataFrame, cut: bool = False) -> DataFrame:
+    def _mat(self, df: DataFrame, ends: bool = False) -> DataFrame:
         """Keep a stage that several later stages read.
 
-        With ``cut`` it ends a long lineage (history cube, runs, indexed table): 'checkpoint' writes it to
-        the shared ``spark.checkpoint.dir``. The others (past runs, seasonality, signal base, scored table)
+        With ``ends`` it ends a long lineage (history cube, runs, title statistics, indexed table): 'checkpoint'
+        writes it to the shared ``spark.checkpoint.dir`` as Parquet. The others (past runs, seasonality, signal base, scored table)
         are persisted: computed with the first job that reads them, recomputed from the last cut if an
         executor is lost. Small derived tables (priors, benchmark, city shares) stay lazy. 'persist' never
         checkpoints, 'none' leaves the plan inlined.
         """
-        if self.materialize == "checkpoint" and cut:
-            ensure_checkpoint_dir(self.spark)
-            return df.checkpoint(eager=True)
+        if self.materialize == "checkpoint" and ends:
+            return cut(df)
         if self.materialize in ("checkpoint", "persist"):
             return df.persist(StorageLevel.MEMORY_AND_DISK)
         return df
@@ -78,17 +77,23 @@ class ScoringPlan:
     def runs(self) -> DataFrame:
         """A01 production runs with mid date."""
         return self._mat(R.mid_dates(R.anchored_runs(self.history, "title", "start_date", "single_tickets",
-                                                     self.cfg.run_gap_days)), cut=True)
+                                                     self.cfg.run_gap_days)), ends=True)
+
+    @cached_property
+    def title_stats(self) -> DataFrame:
+        """A02 and J14 of every title, one row each: read by the past runs, the benchmark and the index."""
+        return self._mat(R.prior_stats(self.runs, "title", "tickets").join(
+            R.last_mid_date(self.runs).withColumnRenamed("title", "_t"), F.col("title").eqNullSafe(F.col("_t"))).drop("_t"), ends=True)
 
     @cached_property
     def prior(self) -> DataFrame:
         """A02 per-title median / total / count of run totals."""
-        return R.prior_stats(self.runs, "title", "tickets")
+        return self.title_stats.drop("mid_date")
 
     @cached_property
     def last_mid(self) -> DataFrame:
         """J14 title -> mid date of the latest run."""
-        return R.last_mid_date(self.runs)
+        return self.title_stats.select("title", "mid_date")
 
     @cached_property
     def past_runs(self) -> DataFrame:
@@ -153,7 +158,7 @@ class ScoringPlan:
         d = d.withColumn("HistSeasonalityFactor", F.when(F.col("TicketMedian").isNotNull(), F.col("_hf"))).drop("_hf")
         d = SC.deseason_index(d, self.benchmark)
         return self._mat(d.withColumn("ticket_median_prior", F.col("TicketMedian"))
-                         .withColumn("run_count_prior", F.coalesce(F.col("run_count_prior"), F.lit(0)).cast("bigint")), cut=True)
+                         .withColumn("run_count_prior", F.coalesce(F.col("run_count_prior"), F.lit(0)).cast("bigint")), ends=True)
 
     # ---------------------------------------------------------------- models
     @cached_property
@@ -297,7 +302,7 @@ def plan_from_tables(spark: SparkSession, sf_dir: str, proposed_month: int | Non
     if materialize == "persist":
         cube = cube.persist(StorageLevel.MEMORY_AND_DISK)
     elif materialize == "checkpoint":
-        cube = cube.checkpoint(eager=True)
+        cube = cut(cube)
     base = B.baselines(spark, sf_dir)
     if materialize != "none":
         base = base.persist(StorageLevel.MEMORY_AND_DISK)      # per-title signals: read by the base rows and the medians
