@@ -79,3 +79,15 @@ def test_imputation_by_hand(spark):
     assert abs(two[6]["kNN_prediction"] - (10 + 20 * w) / (1 + w)) < 1e-9
     few = NB.knn_impute(unknown, known.where("title < 3"), ["a", "b"], "y").collect()
     assert all(r["kNN_prediction"] is None for r in few)
+
+
+def test_what_is_compared_does_not_grow_with_the_table(spark):
+    """Vectors in all directions: a query compares a few leaves, however many rows there are."""
+    rng = random.Random(7)
+    many = [(i, unit([rng.gauss(0, 1) for _ in range(4)])) for i in range(24000)]
+    queries = spark.createDataFrame([(i, unit([rng.gauss(0, 1) for _ in range(4)])) for i in range(100)], "query long, u array<double>")
+    known = spark.createDataFrame(many, "point long, u array<double>")
+    levels, leaves = NB.cell_tree(known, 4, 64)
+    proved = NB.proved_at_home(queries, levels, NB.leaf_arrays(leaves, 64), 5)
+    plain, told = (NB.visited_leaves(q, levels, 5).agg(F.sum("rows")).first()[0] for q in (queries, proved))
+    assert told <= plain < 0.15 * 100 * 24000 and told < 0.02 * 100 * 24000
