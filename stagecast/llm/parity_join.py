@@ -18,10 +18,11 @@ Search in three steps, none of which pairs the members of a hot key with each ot
    least member of a bucket is a random one of it: its hub. Buckets with the same members are one.
 2. Each node is compared with one hub, the least of all its buckets: the Hamming distance of the sketches
    first, whole texts then. Links are contracted to components.
-3. Buckets that still hold several components are joined to groups. In a group, the nodes outside its main
-   component are compared with all its nodes, in blocks of bounded size: a matrix of Hamming distances
-   names the nodes with a partner within reach in another component. Only these get their exact sets, and
-   blocks of them give the links between components.
+3. In each bucket that still holds several components, the nodes outside its main component are compared
+   with all its nodes, in blocks of bounded size: a matrix of Hamming distances names the nodes with a
+   partner within reach in another component. Only these get their exact sets, and blocks of them give the
+   links between components. Buckets stay apart: linked nodes share one, while chains of buckets join most
+   of a large table that have no word in common.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ GROWTH = 1.25
 AT_ONCE = 500
 #: Nodes, and shingles, of one side of a block.
 BLOCK_NODES, BLOCK_SHINGLES = 512, 400_000
+#: Members of small groups that a task takes up at once.
+SHARD_NODES = 2000
 
 
 def most_apart(both: int, percent: int) -> int:
@@ -189,14 +192,22 @@ def _near(asked: pd.DataFrame, held: pd.DataFrame, percent: int) -> Iterator[tup
 
 
 def block_reach(asked: pd.DataFrame, held: pd.DataFrame, percent: int) -> np.ndarray:
-    """The nodes of one block that are within reach of a node of another component."""
+    """The nodes of one block that are within reach of a node of another component, as rows (node, hub): nodes
+    that reach each other over others of the block have one hub."""
+    a_ids, h_ids = asked["node"].to_numpy(), held["node"].to_numpy()
     a_in, h_in = asked["component"].to_numpy(), held["component"].to_numpy()
-    a_some, h_some = np.zeros(len(asked), dtype=bool), np.zeros(len(held), dtype=bool)
+    nodes = np.union1d(a_ids, h_ids)
+    a_at, h_at = np.searchsorted(nodes, a_ids), np.searchsorted(nodes, h_ids)
+    label, some = np.arange(len(nodes)), np.zeros(len(nodes), dtype=bool)
     for i, near in _near(asked, held, percent):
         near = near[h_in[near] != a_in[i]]
-        a_some[i] = len(near) > 0
-        h_some[near] = True
-    return np.union1d(asked["node"].to_numpy()[a_some], held["node"].to_numpy()[h_some])
+        if len(near):
+            met = np.append(h_at[near], a_at[i])
+            some[met] = True
+            names = np.unique(label[met])
+            if len(names) > 1:
+                label[np.isin(label, names)] = names[0]
+    return np.stack([nodes[some], nodes[label[some]]], axis=1)
 
 
 def block_links(asked: pd.DataFrame, held: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
@@ -223,7 +234,10 @@ def _dealt(members: DataFrame, payload: list[str]) -> DataFrame:
     """Blocks of groups: ``members(g, band, node, n, component, asked, ...)`` dealt to ``(g, band, row, col)``.
 
     Nodes outside the main component (``asked``) meet all nodes of the group. Each side of a group is cut into
-    chunks of bounded size, and each chunk is sent to the blocks of all chunks of the other side.
+    chunks of bounded size, and each chunk is sent to the blocks of all chunks of the other side. Groups of
+    one block are dealt to as many ``shard``s as make some ``SHARD_NODES`` members each, so that a call takes
+    up many small ones, each node sent once (``role`` 2: asked and held); the block of a larger group is a
+    shard of its own, its nodes sent as held (0) and again as asked (1).
     """
     def chunks(count: Column, shingles: Column) -> Column:
         return F.ceil(F.greatest(count / BLOCK_NODES, shingles / BLOCK_SHINGLES, F.lit(1.0))).cast("int")
@@ -231,18 +245,23 @@ def _dealt(members: DataFrame, payload: list[str]) -> DataFrame:
     shape = members.groupBy("g", "band").agg(
         chunks(F.count(F.lit(1)), F.sum("n")).alias("cols"),
         chunks(F.count(one), F.coalesce(F.sum(one * F.col("n")), F.lit(0))).alias("rows"),
-        F.count(one).alias("n_asked")).where("n_asked > 0")
+        F.count(F.lit(1)).alias("members"), F.count(one).alias("n_asked")).where("n_asked > 0")
 
     def sent(role: bool) -> Column:
         """The blocks of a node in one role."""
         mine, other = ("rows", "cols") if role else ("cols", "rows")
         own = F.pmod(F.xxhash64("node"), F.col(mine)).cast("int")
         return F.transform(F.sequence(F.lit(0), F.col(other) - 1), lambda i: F.struct(
-            (own if role else i).alias("row"), (i if role else own).alias("col"), F.lit(role).alias("role")))
+            (own if role else i).alias("row"), (i if role else own).alias("col"), F.lit(int(role)).alias("role")))
+    total = F.broadcast(shape.agg(F.greatest(F.lit(1), F.ceil(F.sum("members") / SHARD_NODES)).alias("shards")))
+    single = (F.col("rows") == 1) & (F.col("cols") == 1)
+    shard = F.when(single, F.pmod(F.xxhash64("g"), F.col("shards"))).otherwise(F.col("g"))
     both = F.concat(sent(False), F.when(F.col("asked"), sent(True)).otherwise(F.filter(sent(True), lambda x: F.lit(False))))
-    return members.join(shape, ["g", "band"]).select(
-        "g", "band", F.explode(both).alias("at"), "node", "n", "component", "words", *payload).select(
-        "g", "band", "at.row", "at.col", "at.role", "node", "n", "component", "words", *payload)
+    both = F.when(single, F.array(F.struct(F.lit(0).alias("row"), F.lit(0).alias("col"), F.when(
+        F.col("asked"), 2).otherwise(0).alias("role")))).otherwise(both)
+    return members.join(shape, ["g", "band"]).crossJoin(total).withColumn("shard", shard).select(
+        "shard", "g", "band", F.explode(both).alias("at"), "node", "n", "component", "words", *payload).select(
+        "shard", "g", "band", "at.row", "at.col", "at.role", "node", "n", "component", "words", *payload)
 
 
 def _with_main(members: DataFrame) -> DataFrame:
@@ -256,30 +275,46 @@ def open_links(met: DataFrame, joined: DataFrame, sketched: DataFrame, docs: Dat
     """``(a, b)``: the links between components that still share a bucket, as far as they join components."""
     named = stash(met.join(joined.select(F.col("id").alias("node"), "component"), "node", "left").withColumn(
         "component", F.coalesce("component", "node")), "named-buckets")
-    several = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    # a bucket of two that are node and hub has been judged: not linked
+    judged = met.where("low < node").groupBy("node").agg(F.min("low").alias("hub"))
+    several = named.join(judged, "node", "left").groupBy("key").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("members"),
+        F.count_if((F.col("node") != F.col("low")) & (F.col("hub") == F.col("low"))).alias("judged"))
+    several = several.where("x <> y and not (members = 2 and judged > 0)")
     left = stash(named.join(several.select("key"), "key"), "open-buckets")
-    seat, hub = F.xxhash64("node", "band"), F.xxhash64("low", "band")
-    groups = components(left.where("node <> low").select(seat.alias("a"), hub.alias("b")).distinct())
-    members = left.select("node", "band", "component").distinct().withColumn("id", seat).join(
-        groups.select("id", F.col("component").alias("g")), "id").drop("id")
+    members = left.select(F.col("key").alias("g"), "band", "node", "component").distinct()
     members = stash(_with_main(members).join(sketched, ["node", "band"]), "members")
 
+    def groups_of(rows: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame, pd.DataFrame]]:
+        """The groups of a shard that hold both sides, each as (g, asked, held)."""
+        rows = rows.sort_values(["g", "node"], ignore_index=True)
+        g, role = rows["g"].to_numpy(), rows["role"].to_numpy()
+        starts = np.flatnonzero(np.diff(g, prepend=g[0] - 1 if g[0] > -2**63 else g[0] + 1))
+        for first, end in zip(starts, [*starts[1:], len(g)]):
+            a, h = (np.flatnonzero(role[first:end] != other) + first for other in (0, 1))
+            if len(a) and len(h):
+                yield int(g[first]), rows.take(a), rows.take(h)
+
     def reach(rows: pd.DataFrame) -> pd.DataFrame:
-        asked, held = rows[rows["role"]], rows[~rows["role"]]
-        found = block_reach(asked, held, percent) if len(asked) and len(held) else []
-        return pd.DataFrame({"g": rows["g"].iloc[0], "node": np.asarray(found, dtype=np.int64)})
+        found = [(asked["band"].iloc[0], block_reach(asked, held, percent)) for _, asked, held in groups_of(rows)]
+        pairs = np.concatenate([np.empty((0, 2), dtype=np.int64), *[x for _, x in found]])
+        return pd.DataFrame({"band": np.repeat(np.array([b for b, _ in found], dtype=np.int32), [len(x) for _, x in found]),
+                             "a": pairs[:, 0], "b": pairs[:, 1]})
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
-        asked, held = rows[rows["role"]].sort_values("node"), rows[~rows["role"]].sort_values("node")
-        links = block_links(asked, held, percent) if len(asked) and len(held) else []
+        links = [x for _, asked, held in groups_of(rows) for x in block_links(asked, held, percent)]
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in (b[at:at + AT_ONCE] for b in batches for at in range(0, len(b), AT_ONCE)):
             yield pd.DataFrame({"id": batch["id"], "set": [shingle_set(t, width).tobytes() for t in batch["text"]]})
-    block = ["g", "band", "row", "col"]
-    near = stash(_dealt(members, []).groupBy(*block).applyInPandas(reach, "g long, node long").distinct(), "within-reach")
-    some = members.drop("asked").join(near, ["g", "node"], "left_semi")
+    block = ["shard", "row", "col"]
+    near = stash(_dealt(members, []).groupBy(*block).applyInPandas(reach, "band int, a long, b long").distinct(), "within-reach")
+    # nodes that reach each other, over any buckets of a band, are a group
+    groups = components(near.select(F.xxhash64("a", "band").alias("a"), F.xxhash64("b", "band").alias("b")))
+    some = left.select("node", "band", "component").distinct().withColumn("seat", F.xxhash64("node", "band")).join(
+        groups.select(F.col("id").alias("seat"), F.col("component").alias("g")), "seat").drop("seat").join(sketched, ["node", "band"])
+    some = stash(some, "reach")
     sets = _texts(docs, stash(some.select("id").distinct(), "reach-ids")).mapInPandas(cut, "id long, set binary")
     full = _with_main(some).join(sets, "id")
     return _dealt(full, ["set"]).groupBy(*block).applyInPandas(link, "a long, b long")

@@ -126,3 +126,23 @@ def test_large_ids_beside_null_ids(spark):
     big = (1 << 62) + 1
     df = spark.createDataFrame([(big, "a b c d"), (None, "a b c d"), (big + 2, "a b c d"), (big + 4, "x")], "doc_id long, text string").coalesce(1)
     assert {r["doc_id"]: r["component_id"] for r in pj.jaccard_join(df).collect()} == {big: big, None: None, big + 2: big, big + 4: big + 4}
+
+
+def test_chains_of_buckets_are_not_compared_as_one_group(spark, monkeypatch):
+    """Each text shares words of its sketch with the next few only: what is compared grows with their number."""
+    from pyspark.sql import functions as F
+    largest = []
+    dealt = pj._dealt
+
+    def seen(members, payload):
+        largest.append(members.groupBy("g").count().agg(F.max("count")).first()[0])
+        return dealt(members, payload)
+    monkeypatch.setattr(pj, "_dealt", seen)
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10 ** 9)}" for _ in range(4300)]
+    texts = [" ".join(words[i * 25: i * 25 + 200]) for i in range(160)]
+    texts += [t + " more" for t in texts[::10]]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r["component_id"] for r in pj.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (i - 160) * 10 if i >= 160 else i for i in range(len(rows))}
+    assert largest and largest[0] < 60
