@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stagecast.session import cut
+
 
 # A18 -------------------------------------------------------------------------
 def first_row_per_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
@@ -55,8 +57,11 @@ def ticketing_rollup(sales: DataFrame, cities: Sequence[str], late_days: int = 7
     ``sales``: title_id, show_title, city, venue_name, capacity, performance (date), sold (date), tickets,
     price, is_subscription, is_comp, is_refund (booleans), channel, tier. A column of NULL input is NULL.
     Primary city: most tickets, then name. Week of 80 %: weeks from the first sale to the day on which 80 %
-    of the tickets are sold; the window behind it holds one row per (show, day).
+    of the tickets are sold; the window behind it holds one row per (show, day). The lines are read six times,
+    so they are cut first: the joins behind them run once. Performance days are counted from a table of their
+    own, so that the sums of a show are not carried for each of its days.
     """
+    sales = cut(sales)
     k, t, n = "title_id", F.col("tickets"), F.count(F.lit(1))
     sub = F.coalesce("is_subscription", F.lit(False))
     total = F.sum(t)
@@ -69,18 +74,16 @@ def ticketing_rollup(sales: DataFrame, cities: Sequence[str], late_days: int = 7
     weekend = F.dayofweek("performance").isin(1, 7)
     opening = F.min("performance")
     start_year = F.year(F.add_months(opening, -7))           # a season runs from August to July
+    days = sales.select(k, "performance").distinct().groupBy(k).agg(F.count("performance").alias("performance_count_total"))
     one = sales.groupBy(k).agg(
         F.min("show_title").alias("show_title"),
         F.concat(start_year, F.lit("-"), F.lpad((start_year + 1) % 100, 2, "0")).alias("production_season"),
         F.min("venue_name").alias("venue_name"), F.max("capacity").alias("venue_capacity"),
-        F.countDistinct("performance").alias("performance_count_total"),
         *[F.coalesce(F.sum(F.when((F.col("city") == c) & ~sub, t)), F.lit(0.0)).alias(f"single_tickets_{c.lower()}") for c in cities],
         *[F.coalesce(F.sum(F.when((F.col("city") == c) & sub, t)), F.lit(0.0)).alias(f"subscription_tickets_{c.lower()}") for c in cities],
         F.coalesce(F.sum(F.when(~sub, t)), F.lit(0.0)).alias("total_single_tickets"),
         F.coalesce(F.sum(F.when(sub, t)), F.lit(0.0)).alias("total_subscription_tickets"),
         total.alias("total_tickets_all"),
-        (total / F.countDistinct("performance")).alias("avg_tickets_per_performance"),
-        (total / (F.max("capacity") * F.countDistinct("performance"))).alias("load_factor"),
         share(F.datediff("performance", "sold") <= late_days).alias("late_sales_share"),
         share(t >= group_size).alias("group_sales_share"), share(F.col("is_comp")).alias("comp_ticket_share"),
         (F.count_if("is_refund") / n).alias("refund_cancellation_rate"),
@@ -88,6 +91,9 @@ def ticketing_rollup(sales: DataFrame, cities: Sequence[str], late_days: int = 7
         opening.alias("opening_date"), F.max("performance").alias("closing_date"),
         F.concat(F.lit("weekday:"), _four_places(share(~weekend)), F.lit(";weekend:"),
                  _four_places(share(weekend))).alias("weekday_vs_weekend_mix"))
+    played = F.col("performance_count_total")
+    one = one.join(days, k).withColumn("avg_tickets_per_performance", F.col("total_tickets_all") / played).withColumn(
+        "load_factor", F.col("total_tickets_all") / (F.col("venue_capacity") * played))
     daily = sales.groupBy(k, "sold").agg(total.alias("_t"))
     upto = Window.partitionBy(k).orderBy("sold")
     daily = daily.select(k, "sold", F.sum("_t").over(upto).alias("_upto"), F.sum("_t").over(Window.partitionBy(k)).alias("_all"))
