@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from stagecast.session import cut
+
 # FIXED VALUES — key candidates for automatic join-key detection, in priority order
 YEAR_KEYS = ("year", "season_year")
 CITY_KEYS = ("city",)
@@ -393,6 +395,8 @@ def event_window_features(runs: DataFrame, events: DataFrame, key: str, run_id:
         F.when(F.col(kind) == holiday, F.lit(1)).otherwise(F.lit(0)).alias("_holiday"),
         F.when(F.col(kind) == weather, F.lit(1)).otherwise(F.lit(0)).alias("_weather"))
     ev = ev.dropDuplicates(list(distinct_on)) if distinct_on else ev
+    ev = cut(ev.select(*dict.fromkeys([key, ev_start, ev_end, rank]), "_att", *[f"_att_{i}" for i in range(len(kinds))],
+                       "_big", "_rank", "_holiday", "_weather"))         # read three times: the joins behind it run once
     window = (key, run_id, run_start, run_end, ev_start, ev_end)
     sums = ["_att", *[f"_att_{i}" for i in range(len(kinds))], "_big", "_rank", "_holiday", "_weather"]
     added = interval_overlap_agg(runs, ev, *window, sum_cols=sums)
