@@ -146,3 +146,16 @@ def test_chains_of_buckets_are_not_compared_as_one_group(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in pj.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: (i - 160) * 10 if i >= 160 else i for i in range(len(rows))}
     assert largest and largest[0] < 60
+
+
+def test_equal_words_of_unlike_shingles_are_not_one_key():
+    """Words of unrelated sets are often equal in a large table; their tags tell them apart, but never like ones."""
+    rng = np.random.default_rng(8)
+    shared = rng.integers(0, 1 << 63, 40).astype(np.uint64)
+    a, b = (np.concatenate([shared, rng.integers(0, 1 << 63, 3).astype(np.uint64)]) for _ in range(2))
+    x, y = (np.frombuffer(pj.word_tags(s, 20), dtype="<u2") for s in (a, b))
+    touched = {int(p) // 64 for p in np.concatenate([a[40:], b[40:]]) % np.uint64(64 * 20)}
+    assert all((x[w] == y[w]) == (w not in touched) for w in range(20))
+    # two shingles on one bit leave the word as it is without them
+    twice = np.array([5, 5 + 64 * 20], dtype=np.uint64)
+    assert (pj.parity_words(twice, 20) == 0).all() and pj.word_tags(twice, 20) != pj.word_tags(twice[:0], 20)
