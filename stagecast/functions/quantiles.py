@@ -44,12 +44,17 @@ def bucket_of(v: Column) -> Column:
     return (F.signum(v) * size).cast("long")
 
 
-def rank_buckets(d: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
+def _times(weight: str | None) -> Column:
+    """How many values the rows of a group stand for."""
+    return F.sum(weight) if weight else F.count(F.lit(1))
+
+
+def rank_buckets(d: DataFrame, keys: Sequence[str], probs: Sequence[float], weight: str | None = None) -> DataFrame:
     """Step 1: ``(keys, n, _b, _want)``, the buckets that hold wanted ranks and these, counted from the bucket's start.
 
     Two ranks belong to a probability, the one below its place and the one above (``side`` 0 and 1).
     """
-    sums = d.groupBy(*keys, bucket_of(F.col("_v")).alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+    sums = d.groupBy(*keys, bucket_of(F.col("_v")).alias("_b")).agg(_times(weight).alias("_c"))
     upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_b"))
     placed = sums.withColumn("_upto", upto).withColumn("n", F.sum("_c").over(Window.partitionBy(*keys)))
     before = F.col("_upto") - F.col("_c")
@@ -59,25 +64,28 @@ def rank_buckets(d: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> D
     return placed.select(*keys, "n", "_b", here.alias("_want")).where(F.size("_want") > 0)
 
 
-def bucket_pairs(d: DataFrame, buckets: DataFrame, keys: Sequence[str]) -> DataFrame:
+def bucket_pairs(d: DataFrame, buckets: DataFrame, keys: Sequence[str], weight: str | None = None) -> DataFrame:
     """Step 2: ``(keys, n, _b, _want, _v, _c)``, how often each value of these buckets occurs."""
     near = _back(d.withColumn("_b", bucket_of(F.col("_v"))), buckets, [*keys, "_b"])
-    return near.groupBy(*keys, "n", "_b", "_want", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    return near.groupBy(*keys, "n", "_b", "_want", "_v").agg(_times(weight).alias("_c"))
 
 
 def exact_percentiles(df: DataFrame, value: str | Column, probs: Sequence[float], group: Sequence[str] | str | None = None,
-                      prefix: str = "p") -> DataFrame:
+                      prefix: str = "p", weight: str | None = None) -> DataFrame:
     """Per group (or globally): columns ``{prefix}{i}`` with the exact percentile probs[i], plus ``n``.
 
     NULL and NaN values are ignored; a group without values gives no row (global: one row of NULLs).
-    A NULL group is a group.
+    A NULL group is a group. With ``weight`` a row stands for so many equal values (a whole number, 1 or more):
+    a table that already counts its values need not be read row by row.
     """
     groups = [group] if isinstance(group, str) else list(group or [])
     keys = [f"_k{j}" for j in range(max(1, len(groups)))]
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
     named = [F.col(g).alias(k) for g, k in zip(groups, keys)] or [F.lit(0).alias("_k0")]
-    d = df.select(*named, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    pairs = bucket_pairs(d, rank_buckets(d, keys, probs), keys)
+    held = [F.col(weight).cast("long").alias("_w")] if weight else []
+    d = df.select(*named, v.alias("_v"), *held).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    w = "_w" if weight else None
+    pairs = bucket_pairs(d, rank_buckets(d, keys, probs, w), keys, w)
     upto = F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy("_v"))
     here = F.filter("_want", lambda x: (x["r"] < F.col("_upto")) & (x["r"] >= F.col("_upto") - F.col("_c")))
     found = pairs.withColumn("_upto", upto).select(*keys, "n", "_v", F.explode(here).alias("e")).select(
@@ -95,6 +103,7 @@ def exact_percentiles(df: DataFrame, value: str | Column, probs: Sequence[float]
     return one.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *[F.max(c).alias(c) for c in names])
 
 
-def exact_median(df: DataFrame, value: str | Column, group: Sequence[str] | str | None = None, alias: str = "median") -> DataFrame:
+def exact_median(df: DataFrame, value: str | Column, group: Sequence[str] | str | None = None, alias: str = "median",
+                 weight: str | None = None) -> DataFrame:
     """Exact median per group (or globally) via ``exact_percentiles``."""
-    return exact_percentiles(df, value, [0.5], group).withColumnRenamed("p0", alias)
+    return exact_percentiles(df, value, [0.5], group, weight=weight).withColumnRenamed("p0", alias)

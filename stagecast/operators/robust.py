@@ -9,12 +9,12 @@ from stagecast import config as C
 from stagecast.functions.quantiles import exact_median, exact_percentiles
 
 
-def iqr_filter(df: DataFrame, group: str, value: str, k: float = 1.5) -> DataFrame:
+def iqr_filter(df: DataFrame, group: str, value: str, k: float = 1.5, weight: str | None = None) -> DataFrame:
     """A05 — keep rows with value inside [q1 - k*IQR, q3 + k*IQR] of their group (exact
     linear-interpolated quartiles); NULL values are dropped first. Groups are categories
-    (a bounded domain), so the per-group fences are broadcast."""
+    (a bounded domain), so the per-group fences are broadcast. With ``weight`` a row stands for so many values."""
     d = df.where(F.col(value).isNotNull())
-    q = exact_percentiles(d, value, [0.25, 0.75], group).select(
+    q = exact_percentiles(d, value, [0.25, 0.75], group, weight=weight).select(
         group, (F.col("p0") - k * (F.col("p1") - F.col("p0"))).alias("_lo"),
         (F.col("p1") + k * (F.col("p1") - F.col("p0"))).alias("_hi"))
     return (d.join(q, group).where(F.col(value).between(F.col("_lo"), F.col("_hi")))
@@ -49,14 +49,16 @@ def seasonality_table(runs: DataFrame, category: str = "category", month: str =
     is not positive emit nothing; month medians <= 0 are dropped.
     """
     spark = runs.sparkSession
-    f = iqr_filter(runs.select(category, month, value), category, value)
+    # every step below reads these counts (one exchange, used again), not the runs
+    counts = runs.where(F.col(value).isNotNull()).groupBy(category, month, value).agg(F.count(F.lit(1)).alias("_c"))
+    f = iqr_filter(counts, category, value, weight="_c")
     # all medians in one exact computation keyed by (category, level):
     # level 0 = whole category, -1 = winter pool, 1..12 = month
     lv = F.col("_lvl")
     own = F.col(month).cast("int")
-    levels = f.select(category, value, F.explode(F.array_compact(F.array(
+    levels = f.select(category, value, "_c", F.explode(F.array_compact(F.array(
         F.lit(0), own, F.when(own.isin(*winter), F.lit(-1))))).alias("_lvl"))
-    med = exact_median(levels, value, [category, "_lvl"], "_med")
+    med = exact_median(levels, value, [category, "_lvl"], "_med", weight="_c")
     cat = med.groupBy(category).agg(F.max(F.when(lv == 0, F.col("_med"))).alias("cat_median"),
                                     F.max(F.when(lv == -1, F.col("_med"))).alias("winter_median"))
     cat = cat.where(F.col("cat_median") > 0)

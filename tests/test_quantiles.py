@@ -69,3 +69,13 @@ def test_no_job_runs_while_the_plan_is_built(spark):
     before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
     exact_percentiles(spark.range(1000).withColumn("g", F.col("id") % 3), "id", [0.1, 0.9], "g")
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == len(before)
+
+
+def test_weights_stand_for_repeated_values(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, float(v), int(w)) for g in range(3) for v, w in zip(rng.choice(500, 40, replace=False), rng.integers(1, 9, 40))]
+    got = {r.g: r for r in exact_percentiles(spark.createDataFrame(rows, "g int, v double, w int"), "v", [0.25, 0.5, 0.9], "g", weight="w").collect()}
+    for g in range(3):
+        vals = np.repeat([v for k, v, _ in rows if k == g], [w for k, _, w in rows if k == g])
+        assert got[g].n == len(vals)
+        assert np.allclose([got[g].p0, got[g].p1, got[g].p2], np.percentile(vals, [25, 50, 90]))
