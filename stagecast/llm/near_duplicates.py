@@ -16,10 +16,13 @@ components. Only buckets that still hold several components go on. In those of t
 pairs meet; of the larger ones each document meets one more hub, the first that lies in another component.
 
 Completeness. Buckets of up to three members are thereby compared in full. Larger ones whose members
-ended up in one component need no more. The rest (buckets that still hold several components) are
-joined to groups, and in each group the documents outside its main component are compared exactly with
-all its documents, in blocks of bounded size that emit only links between components. So hot buckets
-cost their length, and only unresolved documents cost more: their number times their group's.
+ended up in one component need no more. The documents of the rest (buckets that still hold several
+components) are joined on the rarest shingles of their full sets: as many as two linked sets cannot both
+miss. A shingle that all its documents hold within one component asks for nothing; of the others the
+documents outside its main component meet all its documents. Sizes, places of the shingle and parity bits
+rule out most pairs without the sets, and the others are confirmed on full sets, one pair of each component
+first. All links between components of these documents are found; a common shingle costs nothing where
+rarer ones decide.
 """
 
 from __future__ import annotations
@@ -41,8 +44,8 @@ PERCENT = 80
 MARGIN = 0.22
 #: Rows that a task gives back at once.
 AT_ONCE = 1000
-#: Documents, and shingles, of one side of a block in the last step.
-BLOCK_DOCS, BLOCK_SHINGLES = 256, 400_000
+#: Documents of one side of a block in the last step, and words of 64 parity bits that its rows carry.
+BLOCK_DOCS, PARITY = 2000, 8
 
 
 def seeds_for(n: int) -> int:
@@ -216,34 +219,60 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, pe
     return both.where(_linked(percent)("sa", "sb")).select("a", "b").distinct()
 
 
-def block_links(asked: pd.DataFrame, held: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
-    """Links of one block that join components: each asked document against all held ones, exactly.
+def _shingles(sets: DataFrame) -> DataFrame:
+    """``(id, n, component, parity array<long>, shingles array<long>)`` of ``sets(id, n, component, set)``.
 
-    Pairs whose components are already joined by links of this block are left out.
+    Each shingle flips one of ``64 * PARITY`` bits: two sets differ in at least as many shingles as their words in bits.
     """
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.get(x, x) != x:
-            parent[x] = x = parent.get(parent[x], parent[x])
-        return x
-
-    sets = [np.frombuffer(s, dtype=np.uint64) for s in held["set"]]
-    sizes = np.array([len(s) for s in sets])
-    flat, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    ids, groups = held["id"].to_numpy(), held["component"].to_numpy()
-    links = []
-    for doc, group, data in zip(asked["id"], asked["component"], asked["set"]):
-        s = np.frombuffer(data, dtype=np.uint64)
-        at = np.searchsorted(s, flat)
-        at[at == len(s)] = 0
-        common = np.add.reduceat((s[at] == flat).astype(np.int64), starts)
-        for k in np.flatnonzero(100 * common >= percent * (len(s) + sizes - common)):
-            one, two = root(int(group)), root(int(groups[k]))
-            if one != two:
-                parent[max(one, two)] = min(one, two)
-                links.append((int(doc), int(ids[k])))
-    return links
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in (b[at:at + AT_ONCE] for b in batches for at in range(0, len(b), AT_ONCE)):
+            hashes = [np.frombuffer(x, dtype=np.uint64) for x in batch["set"]]
+            bits = [np.bincount((h >> np.uint64(20)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1 for h in hashes]
+            yield batch[["id", "n", "component"]].assign(
+                parity=[np.packbits(x.astype(np.uint8)).view(np.int64) for x in bits], shingles=[h.view(np.int64) for h in hashes])
+    return sets.mapInPandas(cut, "id long, n long, component long, parity array<long>, shingles array<long>")
+
+
+def prefixes(docs: DataFrame, percent: int) -> DataFrame:
+    """``(key, at, id, n, component, parity, asked)``: the rare shingles of each document of ``_shingles`` that may lead to links.
+
+    In any one order of all shingles, two sets that are linked share one of the first n - least shared + 1 shingles
+    of each. Shingles within one component come first, as they lead nowhere and need no row, then the others
+    by how many documents hold them; ``at`` is the place of a shingle in its set. ``asked`` is false in the
+    component that holds most of the documents of a shingle.
+    """
+    each = docs.select("id", "component", F.explode("shingles").alias("key"))
+    held = each.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
+    common = held.groupBy("key").agg(F.sum("m").alias("held"), F.count(F.lit(1)).alias("parts"), F.max(F.struct(
+        "m", "component"))["component"].alias("main")).where("parts > 1").drop("parts")
+    ranked = each.join(common, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("held", "key", "main"))).alias("open"))
+    first = F.col("n") - F.size("open")                       # shingles that come before the open ones
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - first
+    return docs.drop("shingles").join(ranked, "id").where(length > 0).select(
+        "id", "n", "component", "parity", first.alias("first"), F.posexplode(F.slice("open", 1, length.cast("int"))).alias("at", "x")).select(
+        "x.key", (F.col("first") + F.col("at")).alias("at"), "id", "n", "component", "parity",
+        (F.col("component") != F.col("x.main")).alias("asked"))
+
+
+def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """``(a, b, x, y)`` of ``prefixes``: pairs of different components x and y that sizes, places and parities do not rule out.
+
+    The documents of a shingle outside its main component meet all its documents, in blocks of bounded size.
+    """
+    shape = rows.groupBy("key").agg(F.ceil(F.count_if("asked") / BLOCK_DOCS).alias("chunks")).where("chunks > 0")
+    rows = stash(rows.join(shape, "key"), "prefixes")
+    cols = ["id", "n", "component", "at", "parity"]
+    a = rows.where("asked").select("key", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"), *[F.col(c).alias(f"a_{c}") for c in cols])
+    b = rows.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "asked",
+                    *[F.col(c).alias(f"b_{c}") for c in cols])
+    both, least = F.col("a_n") + F.col("b_n"), F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
+    reach = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))        # shingles from here on
+    apart = sum((F.bit_count(F.col("a_parity")[i].bitwiseXOR(F.col("b_parity")[i])) for i in range(PARITY)), F.lit(0))
+    near = (F.col("a_component") != F.col("b_component")) & (~F.col("asked") | (F.col("a_id") < F.col("b_id"))) & least & (
+        reach * (100 + percent) >= both * percent) & (apart * (100 + percent) <= both * (100 - percent))
+    return a.join(b, ["key", "chunk"]).where(near).select(
+        F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"),
+        F.least("a_component", "b_component").alias("x"), F.greatest("a_component", "b_component").alias("y")).distinct()
 
 
 def unresolved_links(met: DataFrame, components: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame | None:
@@ -251,34 +280,27 @@ def unresolved_links(met: DataFrame, components: DataFrame, docs: DataFrame, wid
     met = open_buckets(met.where("members > 3").drop("component"), components)
     if not met.limit(1).count():
         return None
-    groups = min_components(met.select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()).select(
-        "id", F.col("component").alias("g"))
-    members = met.select("id", "n", "component").distinct().join(groups, "id")
-    sizes = members.groupBy("g", "component").agg(F.count(F.lit(1)).alias("m"))
-    main = sizes.groupBy("g").agg(F.max(F.struct("m", "component"))["component"].alias("main"))
-    members = stash(members.join(main, "g").withColumn("asked", F.col("component") != F.col("main")), "members")
-
-    def chunks(count: Column, shingles: Column) -> Column:
-        return F.ceil(F.greatest(count / BLOCK_DOCS, shingles / BLOCK_SHINGLES, F.lit(1.0))).cast("int")
-    one = F.when(F.col("asked"), 1)
-    shape = members.groupBy("g").agg(
-        chunks(F.count(F.lit(1)), F.sum("n")).alias("held_chunks"),
-        chunks(F.count(one), F.coalesce(F.sum(one * F.col("n")), F.lit(0))).alias("asked_chunks"))
-    sets = _sets(docs, members.select("id").distinct(), width)
-    full = stash(members.join(shape, "g").join(sets, "id"), "unresolved-sets")
-
-    def dealt(role: bool, own: str, other: str) -> DataFrame:
-        mine = F.pmod(F.xxhash64("id"), F.col(f"{own}_chunks")).cast("int")
-        return full.where("asked" if role else "true").select(
-            "g", mine.alias(own), F.explode(F.sequence(F.lit(0), F.col(f"{other}_chunks") - 1)).alias(other),
-            F.lit(role).alias("role"), "id", "component", "set").select("g", "asked", "held", "role", "id", "component", "set")
-
-    def block(rows: pd.DataFrame) -> pd.DataFrame:
-        asked, held = rows[rows["role"]].sort_values("id"), rows[~rows["role"]].sort_values("id")
-        links = block_links(asked, held, percent) if len(asked) and len(held) else []
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-    both = dealt(True, "asked", "held").unionByName(dealt(False, "held", "asked"))
-    return both.groupBy("g", "asked", "held").applyInPandas(block, "a long, b long")
+    members = stash(met.select("id", "n", "component").distinct(), "members")
+    sets = stash(members.join(_sets(docs, members.select("id"), width), "id"), "unresolved-sets")
+    pairs = stash(prefix_pairs(prefixes(stash(_shingles(sets), "unresolved-shingles"), percent), percent), "unresolved-pairs")
+
+    def confirmed(some: DataFrame) -> DataFrame:
+        both = some.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(
+            sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+        return both.where(_linked(percent)("sa", "sb")).select("a", "b", "x", "y")
+    # each component with one other first, in the order of a hash: most of the other pairs then lie within one
+    both = pairs.withColumn("of", F.col("x")).withColumn("with", F.col("y")).unionByName(
+        pairs.withColumn("of", F.col("y")).withColumn("with", F.col("x")))
+    one = both.groupBy("of").agg(F.min_by(F.struct("a", "b", "x", "y"), F.struct(F.xxhash64("with"), "a", "b")).alias("p"))
+    one = stash(one.select("p.*").distinct(), "first-pairs")
+    links = stash(confirmed(one), "first-confirmed")
+    joined = min_components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    rest = pairs.join(one, ["a", "b"], "left_anti")
+    for c in ("x", "y"):
+        name = joined.select(F.col("id").alias(c), F.col("component").alias(f"{c}_in"))
+        rest = rest.join(name, c, "left").withColumn(f"{c}_in", F.coalesce(f"{c}_in", c))
+    rest = rest.where("x_in <> y_in").select("a", "b", "x", "y")
+    return links.union(confirmed(rest)).select("a", "b")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,

@@ -129,3 +129,38 @@ def test_only_the_linked_text_of_a_repeated_id_goes(spark):
     df = spark.createDataFrame(rows + [(90, None), (90, ""), (None, words("a0w"))], "doc_id long, text string")
     got = sorted(map(tuple, nd.deduplicated(df).collect()), key=str)
     assert got == sorted(want + [(90, None), (90, ""), (None, words("a0w"))], key=str)
+
+
+def shingled(spark, rows):
+    """``_shingles`` of ``rows``: (id, component, numbers of the shingles)."""
+    sets = [(i, len(set(s)), c, np.unique(nd.mixed(np.array(sorted(set(s)), dtype=np.uint64))).tobytes()) for i, c, s in rows]
+    return nd._shingles(spark.createDataFrame(sets, "id long, n long, component long, set binary"))
+
+
+def test_documents_with_a_common_shingle_alone_do_not_meet(spark):
+    """Chained groups compared each of these documents with all the others."""
+    rows = [(i, i, [0, 1, 2] + [1000 + 20 * i + k for k in range(17)]) for i in range(300)]
+    rows += [(1000 + i, 1000 + i, [0, 1, 2] + [90_000 + 100 * (i // 2) + k for k in range(17)]) for i in range(20)]
+    kept = nd.prefixes(shingled(spark, rows), 80)
+    pairs = nd.prefix_pairs(kept, 80).select("a", "b").collect()
+    assert sorted(map(tuple, pairs)) == [(1000 + i, 1001 + i) for i in range(0, 20, 2)]
+    assert {r["id"] for r in kept.collect()} == set(range(1000, 1020))      # the others need no row at all
+
+
+@pytest.mark.parametrize("percent", [70, 80, 93])
+def test_prefix_pairs_hold_every_link(spark, percent):
+    rng, rows = random.Random(percent), []
+    for f in range(12):
+        base = rng.sample(range(1000), rng.choice((1, 4, 5, 9, 20, 45, 120)))
+        for _ in range(12):
+            s = set(base)
+            for x in rng.sample(base, rng.randint(0, len(base) // 5)):
+                s.discard(x)
+            s |= set(rng.choices(range(1000), k=rng.randint(0, max(1, len(base) // 8))))
+            rows.append((len(rows), rng.choice((len(rows), 3 * f)), sorted(s or {0})))
+    want = {(i, j) for i, c, s in rows for j, e, t in rows if i < j and c != e
+            and 100 * len(set(s) & set(t)) >= percent * len(set(s) | set(t))}
+    got = {tuple(r) for r in nd.prefix_pairs(nd.prefixes(shingled(spark, rows), percent), percent).select("a", "b").collect()}
+    assert want and want <= got
+    inside = {i: c for i, c, _ in rows}
+    assert all(inside[i] != inside[j] for i, j in got)
