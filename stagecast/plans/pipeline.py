@@ -73,10 +73,14 @@ class ScoringPlan:
         return df
 
     # ---------------------------------------------------------------- history
+    def run_history(self) -> DataFrame:
+        """Title, day and tickets of the history: all that the runs read."""
+        return self.history
+
     @cached_property
     def runs(self) -> DataFrame:
         """A01 production runs with mid date."""
-        return self._mat(R.mid_dates(R.anchored_runs(self.history, "title", "start_date", "single_tickets",
+        return self._mat(R.mid_dates(R.anchored_runs(self.run_history(), "title", "start_date", "single_tickets",
                                                      self.cfg.run_gap_days)), ends=True)
 
     @cached_property
@@ -276,6 +280,40 @@ def binding_priors(cube: DataFrame) -> DataFrame:
             .select("region", "category", "segment", (F.col("rv") / F.col("_t") * n_seg).alias("weight")))
 
 
+class TablePlan(ScoringPlan):
+    """Plan over the driver tables: the history cube and the priors are made when a stage first reads them.
+
+    Stages that read the runs alone (no city, no segment, no revenue) take them from the sales lines: of these
+    only key, title, day and quantity are shuffled, and no cube is aggregated and written for them.
+    """
+
+    def __init__(self, sf_dir: str, hidden_every: int, titles: DataFrame, baselines: DataFrame, cfg: C.ScoringConfig, materialize: str):
+        super().__init__(titles, baselines, None, None, cfg, BINDING_SEGMENTS, binding_multipliers(), B.CITIES, materialize=materialize)
+        del self.history, self.priors
+        self.sf_dir, self.hidden_every = sf_dir, hidden_every
+
+    @cached_property
+    def history(self) -> DataFrame:
+        return self._mat(B.history_cube(self.spark, self.sf_dir, self.hidden_every), ends=True)
+
+    @cached_property
+    def priors(self) -> DataFrame:
+        return binding_priors(self.history.join(self.titles.select("title", "category"), "title"))
+
+    def run_history(self) -> DataFrame:
+        """The cube if a stage has read it already (``scored`` does), else the sales lines with the cube's filter."""
+        if "history" in self.__dict__:
+            return self.history
+        tickets = F.col("single_tickets")
+        return B.history(self.spark, self.sf_dir, self.hidden_every).where(tickets.isNotNull() & (tickets >= 0)).select(
+            "title", "start_date", "single_tickets")
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        self.history        # read here anyway: made first, so that the runs need no scan of the lines of their own
+        return super().scored
+
+
 _PLANS: dict = {}
 
 
@@ -298,19 +336,12 @@ def plan_from_tables(spark: SparkSession, sf_dir: str, proposed_month: int | Non
     if memo in _PLANS:
         return _PLANS[memo]
     titles = B.titles(spark, sf_dir)
-    cube = B.history_cube(spark, sf_dir, hidden_every)
-    if materialize == "persist":
-        cube = cube.persist(StorageLevel.MEMORY_AND_DISK)
-    elif materialize == "checkpoint":
-        cube = cut(cube)
     base = B.baselines(spark, sf_dir)
     if materialize != "none":
         base = base.persist(StorageLevel.MEMORY_AND_DISK)      # per-title signals: read by the base rows and the medians
-    cube_cat = cube.join(titles.select("title", "category"), "title")
     cfg = replace(C.ScoringConfig(), proposed_month=proposed_month, region_key="Province",
                   default_city_split=dict(B.DEFAULT_SPLIT))
-    plan = ScoringPlan(titles, base, cube, binding_priors(cube_cat), cfg, BINDING_SEGMENTS,
-                       binding_multipliers(), B.CITIES, materialize=materialize)
+    plan = TablePlan(sf_dir, hidden_every, titles, base, cfg, materialize)
     _PLANS[memo] = plan
     return plan
 

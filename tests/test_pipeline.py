@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stagecast import config as C
-from stagecast.plans.pipeline import ScoringPlan
+from stagecast.plans.pipeline import ScoringPlan, plan_from_tables
 
 
 def _plan(spark, benchmark=None, month=None):
@@ -61,3 +61,35 @@ def test_seasonality_flags_and_benchmark_check(spark):
     assert r["Swan Lake"].month_of_opening == 12
     with pytest.raises(ValueError):
         _plan(spark, benchmark="Not A Title").benchmark
+
+
+def _tables(spark, folder):
+    """Sales tables of a few rows: keys twice and without partner, null, zero and negative quantities, null days."""
+    def put(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    day = dt.datetime(2020, 1, 1)
+    put("region", [(0, "AMERICA"), (1, "ASIA")], "r_regionkey int, r_name string")
+    put("nation", [(0, 0), (1, 1)], "n_nationkey int, n_regionkey int")
+    put("customer", [(1, 0, "BUILDING"), (2, 1, "FURNITURE"), (3, 9, "BUILDING")], "c_custkey long, c_nationkey int, c_mktsegment string")
+    put("orders", [(10, 1), (11, 2), (11, 1), (12, 3), (13, None), (None, 1)], "o_orderkey long, o_custkey long")
+    put("part", [(k, f"part {k}", "PROMO", k) for k in range(1, 6)], "p_partkey long, p_name string, p_type string, p_size int")
+    lines = [(o, t, q, None if n is None else day + dt.timedelta(days=n)) for o in (10, 11, 12, 13, None) for t, q, n in (
+        (1, 5.0, 0), (1, 2.0, 0), (1, 3.0, 60), (1, 4.0, 61), (1, 0.0, 200), (2, -1.0, 0), (2, None, 0), (2, 7.0, 3), (3, 6.0, None),
+        (3, 1.0, 9), (4, 2.0, None), (5, 0.0, 1), (None, 3.0, 2))]
+    put("lineitem", [(o, t, q, 100.0, 0.1, d) for o, t, q, d in lines],
+        "l_orderkey long, l_partkey long, l_quantity double, l_extendedprice double, l_discount double, l_shipdate timestamp")
+
+
+def test_runs_alone_make_no_history_cube(spark, tmp_path):
+    """Every query of the runs aggregated and wrote the cube with its cities, segments and revenue."""
+    _tables(spark, str(tmp_path))
+    for hidden in (0, 2):
+        lean, whole = (plan_from_tables(spark, str(tmp_path), month, hidden_every=hidden) for month in (3, 4))
+        whole.history
+        want = sorted(map(str, whole.runs.collect()))
+        assert len(want) == (6 if hidden == 0 else 3)
+        assert sorted(map(str, lean.runs.collect())) == want
+        assert "history" not in lean.__dict__ and "priors" not in lean.__dict__
+        plan = lean.run_history()._jdf.queryExecution().executedPlan().toString()
+        assert "l_extendedprice" not in plan and "l_discount" not in plan
+        assert whole.run_history() is whole.history
