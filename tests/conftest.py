@@ -16,6 +16,9 @@ def spark():
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
+         # Spark keeps the plans of 1,000 executions: the oracle tests alone filled the heap with them
+         .config("spark.sql.ui.retainedExecutions", "5")
+         .config("spark.ui.retainedJobs", "50").config("spark.ui.retainedStages", "50").config("spark.ui.retainedTasks", "1000")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     if not s.conf.get("spark.checkpoint.dir", None):
