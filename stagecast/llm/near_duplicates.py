@@ -44,8 +44,8 @@ PERCENT = 80
 MARGIN = 0.22
 #: Rows that a task gives back at once.
 AT_ONCE = 1000
-#: Documents of one side of a block in the last step, and words of 64 parity bits that its rows carry.
-BLOCK_DOCS, PARITY = 2000, 8
+#: Documents, and places of rare shingles, of one side of a block in the last step, and words of 64 parity bits of a document.
+BLOCK_DOCS, BLOCK_PLACES, PARITY = 1000, 100_000, 64
 
 
 def seeds_for(n: int) -> int:
@@ -220,7 +220,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, pe
 
 
 def _shingles(sets: DataFrame) -> DataFrame:
-    """``(id, n, component, parity array<long>, shingles array<long>)`` of ``sets(id, n, component, set)``.
+    """``(id, n, component, parity array<long>, shingles array<long>)`` of ``sets(id, n, component, set)``;
+    a set is an array of hashes or their bytes.
 
     Each shingle flips one of ``64 * PARITY`` bits: two sets differ in at least as many shingles as their words in bits.
     """
@@ -234,12 +235,12 @@ def _shingles(sets: DataFrame) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, percent: int) -> DataFrame:
-    """``(key, at, id, n, component, parity, asked)``: the rare shingles of each document of ``_shingles`` that may lead to links.
+    """``(main, id, n, component, parity, asked, keys, places)``: the rare shingles of each document of ``_shingles`` that may
+    lead to links, a row for each component ``main`` that holds most of the documents of one of them.
 
     In any one order of all shingles, two sets that are linked share one of the first n - least shared + 1 shingles
     of each. Shingles within one component come first, as they lead nowhere and need no row, then the others
-    by how many documents hold them; ``at`` is the place of a shingle in its set. ``asked`` is false in the
-    component that holds most of the documents of a shingle.
+    by how many documents hold them; ``places`` are those of ``keys`` in the set. ``asked`` is false in the main component.
     """
     each = docs.select("id", "component", F.explode("shingles").alias("key"))
     held = each.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
@@ -248,31 +249,75 @@ def prefixes(docs: DataFrame, percent: int) -> DataFrame:
     ranked = each.join(common, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("held", "key", "main"))).alias("open"))
     first = F.col("n") - F.size("open")                       # shingles that come before the open ones
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - first
-    return docs.drop("shingles").join(ranked, "id").where(length > 0).select(
-        "id", "n", "component", "parity", first.alias("first"), F.posexplode(F.slice("open", 1, length.cast("int"))).alias("at", "x")).select(
-        "x.key", (F.col("first") + F.col("at")).alias("at"), "id", "n", "component", "parity",
-        (F.col("component") != F.col("x.main")).alias("asked"))
+    some = docs.drop("shingles").join(ranked, "id").where(length > 0).select(
+        "id", "n", "component", "parity", F.transform(F.slice("open", 1, length.cast("int")), lambda x, i: F.struct(
+            x["main"].alias("main"), x["key"].alias("key"), (first + i).alias("at"))).alias("open"))
+    each = some.withColumn("main", F.explode(F.array_distinct("open.main"))).withColumn(
+        "open", F.filter("open", lambda x: x["main"] == F.col("main")))
+    return each.select("main", "id", "n", "component", "parity", (F.col("component") != F.col("main")).alias("asked"),
+                       F.col("open.key").alias("keys"), F.col("open.at").alias("places"))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The rows of ``prefixes`` dealt to blocks ``(shard, row, col)`` of bounded size, ``asking`` tells in which role.
+
+    The shingles of one main component are a group. Each side of it, the documents outside the main component and all, is cut into
+    chunks; each chunk meets all of the other side, so that two documents meet in one block of a group, however many
+    shingles they share. Groups of one block are put together to shards.
+    """
+    def chunks(side: Column) -> Column:
+        return F.ceil(F.greatest(F.count_if(side) / BLOCK_DOCS, F.coalesce(F.sum(F.when(
+            side, F.size("keys"))), F.lit(0)) / BLOCK_PLACES)).cast("int")
+    shape = stash(rows.groupBy("main").agg(chunks(F.lit(True)).alias("cols"), chunks(F.col("asked")).alias("rows"),
+                                           F.count(F.lit(1)).alias("members")).where("rows > 0"), "groups")
+    total = F.broadcast(shape.agg(F.greatest(F.lit(1), F.ceil(F.sum("members") / BLOCK_DOCS)).alias("shards")))
+    shard = F.when((F.col("rows") == 1) & (F.col("cols") == 1), F.pmod(F.xxhash64("main"), F.col("shards"))).otherwise(F.col("main"))
+
+    def sent(asking: bool) -> Column:
+        """The blocks of a document in one role."""
+        mine, other = ("rows", "cols") if asking else ("cols", "rows")
+        own = F.pmod(F.xxhash64("id"), F.col(mine)).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.col(other) - 1), lambda i: F.struct(
+            (own if asking else i).alias("row"), (i if asking else own).alias("col"), F.lit(asking).alias("asking")))
+    both = F.concat(sent(False), F.filter(sent(True), lambda x: F.col("asked")))
+    return rows.join(shape, "main").crossJoin(total).select(shard.alias("shard"), F.explode(both).alias("to"), *rows.columns).select(
+        "shard", "to.row", "to.col", "to.asking", *rows.columns)
+
+
+def block_pairs(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """``(a, b, x, y)`` of one block of ``_dealt``, each pair once for a group."""
+    asking = rows["asking"].to_numpy(dtype=bool)
+    asked, held = rows[asking], rows[~asking]
+    found = [np.empty((0, 4), dtype=np.int64)]
+    if len(asked) and len(held):
+        main, ids, sizes, inside = (held[c].to_numpy() for c in ("main", "id", "n", "component"))
+        twice = held["asked"].to_numpy(dtype=bool)            # these ask as well
+        parity = np.stack(held["parity"].to_list()).view(np.uint64)
+        keys, places = held["keys"].to_list(), held["places"].to_list()
+        for group, i, n, c, bits, mine, at in zip(*[asked[c] for c in ("main", "id", "n", "component", "parity", "keys", "places")]):
+            near = np.flatnonzero((main == group) & (inside != c) & (~twice | (ids > i)) & (
+                np.minimum(sizes, n) * 100 >= np.maximum(sizes, n) * percent))
+            apart = np.bitwise_count(parity[near] ^ np.asarray(bits).view(np.uint64)).sum(axis=1, dtype=np.int64)
+            near = near[apart * (100 + percent) <= (sizes[near] + n) * (100 - percent)]
+            seat, left = dict(zip(mine.tolist(), (n - at).tolist())), []
+            for k in near:                                     # shingles from the first common one on
+                first = next((j for j, key in enumerate(keys[k].tolist()) if key in seat), None)
+                left.append(-1 if first is None else min(seat[keys[k][first]], sizes[k] - places[k][first]))
+            near = near[np.array(left, dtype=np.int64) * (100 + percent) >= (sizes[near] + n) * percent]
+            found.append(np.stack([np.minimum(ids[near], i), np.maximum(ids[near], i),
+                                   np.minimum(inside[near], c), np.maximum(inside[near], c)], axis=1))
+    return pd.DataFrame(np.concatenate(found), columns=["a", "b", "x", "y"])
 
 
 def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """``(a, b, x, y)`` of ``prefixes``: pairs of different components x and y that sizes, places and parities do not rule out.
 
-    The documents of a shingle outside its main component meet all its documents, in blocks of bounded size.
+    The documents outside a main component meet all that share one of its shingles, in blocks of bounded size.
     """
-    shape = rows.groupBy("key").agg(F.ceil(F.count_if("asked") / BLOCK_DOCS).alias("chunks")).where("chunks > 0")
-    rows = stash(rows.join(shape, "key"), "prefixes")
-    cols = ["id", "n", "component", "at", "parity"]
-    a = rows.where("asked").select("key", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"), *[F.col(c).alias(f"a_{c}") for c in cols])
-    b = rows.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "asked",
-                    *[F.col(c).alias(f"b_{c}") for c in cols])
-    both, least = F.col("a_n") + F.col("b_n"), F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
-    reach = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))        # shingles from here on
-    apart = sum((F.bit_count(F.col("a_parity")[i].bitwiseXOR(F.col("b_parity")[i])) for i in range(PARITY)), F.lit(0))
-    near = (F.col("a_component") != F.col("b_component")) & (~F.col("asked") | (F.col("a_id") < F.col("b_id"))) & least & (
-        reach * (100 + percent) >= both * percent) & (apart * (100 + percent) <= both * (100 - percent))
-    return a.join(b, ["key", "chunk"]).where(near).select(
-        F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"),
-        F.least("a_component", "b_component").alias("x"), F.greatest("a_component", "b_component").alias("y")).distinct()
+    def pairs(block: pd.DataFrame) -> pd.DataFrame:
+        return block_pairs(block, percent)
+    return _dealt(stash(rows, "prefixes")).groupBy("shard", "row", "col").applyInPandas(
+        pairs, "a long, b long, x long, y long").distinct()
 
 
 def unresolved_links(met: DataFrame, components: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame | None:

@@ -164,3 +164,26 @@ def test_prefix_pairs_hold_every_link(spark, percent):
     assert want and want <= got
     inside = {i: c for i, c, _ in rows}
     assert all(inside[i] != inside[j] for i, j in got)
+
+
+def test_a_family_meets_once_not_for_each_common_shingle(spark, monkeypatch):
+    """Each pair came once for each rare shingle that it shares: here some 20 times."""
+    rng, rows = random.Random(4), []
+    base = list(range(100))
+    for i in range(60):
+        kept = sorted(rng.sample(base, 100 - rng.choice((4, 8, 12))))
+        rows.append((i, i // 2, kept + [1000 + 100 * i + k for k in range(100 - len(kept))]))
+    docs = shingled(spark, rows)
+    want = {(i, j) for i, c, s in rows for j, e, t in rows if i < j and c != e and 100 * len(set(s) & set(t)) >= 80 * len(set(s) | set(t))}
+    for limit in (1000, 7):                                    # in one block, and in many
+        monkeypatch.setattr(nd, "BLOCK_DOCS", limit)
+        kept = nd.prefixes(docs, 80).cache()
+        dealt, mains = nd._dealt(kept).toPandas(), kept.select("main").distinct().count()
+        places = sum(kept.select("keys").toPandas()["keys"].map(len))
+        assert kept.count() < places / 3
+        blocks = dealt.groupby(["shard", "row", "col"])
+        assert limit == 1000 or len(blocks) > 3 * mains
+        met = [nd.block_pairs(b, 80) for _, b in blocks]
+        assert sum(map(len, met)) <= mains * len(want)
+        got = {tuple(r) for r in nd.prefix_pairs(kept, 80).select("a", "b").collect()}
+        assert want and want <= got
