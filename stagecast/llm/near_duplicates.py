@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stagecast.llm.common import maybe_in, min_components, packed, row_keys, stash, table
-from stagecast.llm.shingle_sets import fingerprint, mixed, shared, shingle_set
+from stagecast.llm.shingle_sets import fingerprint, mixed, shingle_set
 
 REGISTERS, MANTISSA, ROWS = 128, 10, 4
 BANDS = REGISTERS // ROWS
@@ -144,24 +144,18 @@ def _plausible(percent: int):
     return plausible
 
 
-def _linked(percent: int):
-    @F.pandas_udf("boolean")
-    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x: bytes, y: bytes) -> bool:
-            p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            common = shared(p, q)
-            return 100 * common >= percent * (len(p) + len(q) - common)
-        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=bool)
-    return linked
+def _linked(percent: int) -> Column:
+    """Whether the sets ``sa`` and ``sb`` (arrays of distinct hashes) are linked."""
+    return F.size(F.array_intersect("sa", "sb")) * (100 + percent) >= (F.size("sa") + F.size("sb")) * percent
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """``(id, set binary)`` of the documents in ``ids(id)``: only their texts are read and shuffled."""
+    """``(id, set array<long>)`` of the documents in ``ids(id)``: only their texts are read and shuffled."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in (b[at:at + AT_ONCE] for b in batches for at in range(0, len(b), AT_ONCE)):
-            yield pd.DataFrame({"id": batch["id"], "set": [shingle_set(t, width).tobytes() for t in batch["text"]]})
+            yield pd.DataFrame({"id": batch["id"], "set": [shingle_set(t, width).view(np.int64) for t in batch["text"]]})
     some = maybe_in(docs.where("id is not null"), F.col("id"), ids.select(F.col("id").alias("key"))).where("maybe")
-    return some.select("id", "text").mapInPandas(cut, "id long, set binary").join(ids, "id", "left_semi").distinct()
+    return some.select("id", "text").mapInPandas(cut, "id long, set array<long>").join(ids, "id", "left_semi").distinct()
 
 
 def first_hubs(met: DataFrame) -> DataFrame:
@@ -216,7 +210,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, pe
     sets = stash(_sets(docs, ids, width), "sets")
     both = likely.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    return both.where(_linked(percent)("sa", "sb")).select("a", "b").distinct()
+    return both.where(_linked(percent)).select("a", "b").distinct()
 
 
 def _shingles(sets: DataFrame) -> DataFrame:
@@ -332,7 +326,7 @@ def unresolved_links(met: DataFrame, components: DataFrame, docs: DataFrame, wid
     def confirmed(some: DataFrame) -> DataFrame:
         both = some.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(
             sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-        return both.where(_linked(percent)("sa", "sb")).select("a", "b", "x", "y")
+        return both.where(_linked(percent)).select("a", "b", "x", "y")
     # each component with one other first, in the order of a hash: most of the other pairs then lie within one
     both = pairs.withColumn("of", F.col("x")).withColumn("with", F.col("y")).unionByName(
         pairs.withColumn("of", F.col("y")).withColumn("with", F.col("x")))

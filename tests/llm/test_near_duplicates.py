@@ -187,3 +187,13 @@ def test_a_family_meets_once_not_for_each_common_shingle(spark, monkeypatch):
         assert sum(map(len, met)) <= mains * len(want)
         got = {tuple(r) for r in nd.prefix_pairs(kept, 80).select("a", "b").collect()}
         assert want and want <= got
+
+
+def test_links_are_confirmed_without_sending_sets_to_python(spark):
+    """Pairs of sets filled the workers' memory, 10,000 pairs at once whatever the length of the texts."""
+    rows = [(list(range(10)), list(range(1, 10)), True), (list(range(9)), list(range(2, 11)), False), ([1], [1], True),
+            (list(range(4)), list(range(5)), True), ([-1, 5], [5], False), (list(range(8)), list(range(1, 10)), False)]
+    some = spark.createDataFrame(rows, "sa array<long>, sb array<long>, want boolean")
+    judged = some.withColumn("got", nd._linked(80))
+    assert all(r["got"] == r["want"] for r in judged.collect())
+    assert "Python" not in judged._jdf.queryExecution().toString()
