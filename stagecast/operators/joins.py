@@ -9,10 +9,15 @@ broadcast decision is checked against ``spark.sql.autoBroadcastJoinThreshold``
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left
+from collections.abc import Callable, Iterator, Sequence
+from heapq import heappop, heappush
+from operator import add, sub
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stagecast.session import cut
 
@@ -254,71 +259,135 @@ def hierarchical_lookup_set(keys: DataFrame, priors: DataFrame, region: str = "r
     return own.unionByName(missing.join(fb, "_c").select(*out, F.lit("fallback").alias("weight_source")))
 
 
+def _day(c: Column) -> Column:
+    return F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date"))
+
+
+def _above(a, b) -> bool:
+    """Spark's order of two values: NaN is above all others."""
+    return a > b or (a != a and b == b)
+
+
+def _raise(ends: list, tops: list, end: int, top) -> None:
+    """Adds an event to the greatest values by end day: ``ends`` go up and ``tops`` strictly down, so the first
+    entry that ends on a day or later has the greatest value of all events that do."""
+    at = bisect_left(ends, end)
+    if top is None or at < len(ends) and not _above(top, tops[at]):
+        return
+    behind = at + (at < len(ends) and ends[at] == end)
+    while at and not _above(tops[at - 1], top):
+        at -= 1
+    ends[at:behind], tops[at:behind] = [end], [top]
+
+
+def _sweep(sums: Sequence[str], maxima: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One pass over the rows of keys, ordered by day: events at their start, runs at their end.
+
+    When a run comes, all events that start until its end have been added and, of those, all that end before it
+    starts are complete. Its sums are the former's less the latter's; its maxima are those of the former that end
+    on its first day or later. Per key there is kept a row for each distinct end day of events, not the events.
+    """
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, zero = object(), (0.0,) * len(sums)
+        for batch in batches:
+            at, to, what = (batch.column(c).to_numpy().tolist() for c in ("_at", "_to", "_what"))
+            adds = list(zip(*(batch.column(c).to_numpy().tolist() for c in sums)))
+            values = list(zip(*(batch.column(c).to_pylist() for c in maxima))) or [()] * len(at)
+            added, most = [], []
+            for i, k in enumerate(batch.column("_k").to_pylist()):
+                if k != key and (k == k or key == key):
+                    key, begun, ending, due, days, ended = k, zero, {}, [], [], [zero]
+                    best = [([], []) for _ in maxima]
+                if what[i] == EVENT:
+                    begun = tuple(map(add, begun, adds[i]))
+                    if to[i] in ending:
+                        ending[to[i]] = tuple(map(add, ending[to[i]], adds[i]))
+                    else:
+                        ending[to[i]] = adds[i]
+                        heappush(due, to[i])
+                    if k is not None:                    # a NULL key has sums, but no maximum
+                        for (ends, tops), v in zip(best, values[i]):
+                            _raise(ends, tops, to[i], v)
+                elif what[i] == RUN:
+                    while due and due[0] < at[i]:        # no event to come ends that early
+                        days.append(heappop(due))
+                        ended.append(tuple(map(add, ended[-1], ending.pop(days[-1]))))
+                    added.append(tuple(map(sub, begun, ended[bisect_left(days, to[i])])))
+                    found = (bisect_left(ends, to[i]) for ends, _ in best)
+                    most.append(tuple(tops[j] if j < len(tops) else None for (_, tops), j in zip(best, found)))
+                else:
+                    added.append(zero)
+                    most.append((None,) * len(maxima))
+            rid = batch.column("_rid").filter(pa.array([w != EVENT for w in what]))
+            yield pa.RecordBatch.from_arrays(
+                [rid, *(pa.array([r[j] for r in added], pa.float64()) for j in range(len(sums))),
+                 *(pa.array([r[j] for r in most], batch.schema.field(c).type) for j, c in enumerate(maxima))],
+                names=["_rid", *sums, *maxima])
+    return sweep
+
+
+#: Rows of the sweep: an event, a run, a run whose window is empty.
+EVENT, RUN, EMPTY = 0, 1, 2
+
+
+def interval_overlap(runs: DataFrame, events: DataFrame, key: str, run_id: Sequence[str], run_start: str, run_end: str,
+                     ev_start: str, ev_end: str, sums: Sequence[tuple[Column, str]] = (), max_cols: Sequence[str] = ()) -> DataFrame:
+    """X07 — sums and maxima over the events whose [start, end] overlaps each run window, in one pass and
+    without forming (run, event) pairs.
+
+    Events are summed to a row for each (key, start, end) first, however many a hot key holds. These rows and one
+    row for each run are dealt by key, ordered by day and swept (``_sweep``): of events and runs nothing else
+    is shuffled, and nothing is joined. ``sums`` are expressions over the events with their names, NULL counts
+    as 0. Empty windows (start > end, or a NULL bound) overlap nothing. Returns the run_id columns, ``n`` (number
+    of events) and the sums as doubles, and ``max_<c>``, NULL without an overlapping event: a row for each run.
+    """
+    metrics = [(F.lit(1), "n"), *sums]
+    names, tops = [n for _, n in metrics], [f"max_{c}" for c in max_cols]
+    first, last = _day(F.col(ev_start)), _day(F.col(ev_end))
+    ev = events.where(first <= last).groupBy(F.col(key).alias("_k"), first.alias("_at"), last.alias("_to")).agg(
+        *[F.coalesce(F.sum(x.cast("double")), F.lit(0.0)).alias(n) for x, n in metrics],
+        *[F.max(c).alias(m) for c, m in zip(max_cols, tops)])
+    kinds = {f.name: f.dataType for f in ev.schema}
+    first, last = _day(F.col(run_start)), _day(F.col(run_end))
+    sound = F.coalesce(first <= last, F.lit(False))
+    q = runs.select(
+        F.col(key).alias("_k"), F.when(sound, last).otherwise(0).alias("_at"), F.when(sound, first).otherwise(0).alias("_to"),
+        F.when(sound, RUN).otherwise(EMPTY).alias("_what"), F.struct(*run_id).alias("_rid"),
+        *[F.lit(0.0).alias(n) for n in names], *[F.lit(None).cast(kinds[m]).alias(m) for m in tops])
+    ev = ev.select("_k", "_at", "_to", F.lit(EVENT).alias("_what"), F.lit(None).cast(q.schema["_rid"].dataType).alias("_rid"), *names, *tops)
+    rows = ev.unionByName(q).repartition("_k").sortWithinPartitions("_k", "_at", "_what")
+    kept = T.StructType([f for f in rows.schema if f.name not in ("_k", "_at", "_to", "_what")])
+    out = rows.mapInArrow(_sweep(names, tops), kept)
+    return out.select(*[F.col("_rid")[c].alias(c) for c in run_id], *names, *tops)
+
+
 def interval_overlap_agg(runs: DataFrame, events: DataFrame, key: str, run_id: Sequence[str], run_start: str,
                          run_end: str, ev_start: str, ev_end: str, sum_cols: Sequence[str] = (),
                          count_values: dict | None = None, distinct_on: Sequence[str] | None = None) -> DataFrame:
-    """X07 — exact aggregates over the events whose [start, end] overlaps each run window,
-    without forming (run, event) pairs.
-
-    For a run [s, e]: overlapping = events with start <= e minus events with end < s
-    (the latter always start before s, so they are a subset of the former). Both
-    counts, and any sums, are cumulative per-day totals of the key's events, so the
-    window runs over one row per (key, change day) and per run bound; its size per
-    key is bounded by distinct days, not by the number of events (hot keys stay
-    small). Event rows are counted as they come; ``distinct_on`` names columns by which repeats are
-    dropped first. Empty windows (start > end, or a NULL bound) overlap nothing and give zeros. Returns run_id columns,
-    n_events, sum_<c>, n_<c>_<v>.
+    """X07 — exact counts and sums over the events whose [start, end] overlaps each run window
+    (``interval_overlap``). Event rows are counted as they come; ``distinct_on`` names columns by which repeats are
+    dropped first. Empty windows give zeros. Returns run_id columns, n_events, sum_<c>, n_<c>_<v>: one row a run_id.
     """
-    count_values = count_values or {}
     ev = events.where(F.col(ev_start).cast("date") <= F.col(ev_end).cast("date"))
     ev = ev.dropDuplicates(list(distinct_on)) if distinct_on else ev
-    metrics = [(F.lit(1), "n")] + [(F.col(c), f"sum_{c}") for c in sum_cols]
-    for c, vals in count_values.items():
-        metrics += [(F.when(F.col(c) == v, F.lit(1)).otherwise(F.lit(0)), f"n_{c}_{v}") for v in vals]
-    names = [n for _, n in metrics]
-
-    def deltas(day: Column, tag: str) -> DataFrame:
-        return ev.groupBy(F.col(key).alias("_k"), day.alias("_day")).agg(
-            *[F.sum(expr.cast("double")).alias(f"{tag}_{n}") for expr, n in metrics])
-
-    starts = deltas(F.col(ev_start).cast("date"), "s")
-    ends = deltas(F.date_add(F.col(ev_end).cast("date"), 1), "e")
-    # one column a metric: + at event starts, - behind event ends; a run reads the former's sum at its end
-    # and the latter's at its start
-    none = F.lit(None).cast(runs.select(F.struct(*run_id).alias("x")).schema["x"].dataType).alias("_rid")
-    cols = [f"{t}_{n}" for t in ("s", "e") for n in names]
-
-    def padded(df: DataFrame, tag: str) -> DataFrame:
-        return df.select("_k", "_day", F.lit(0).alias("_q"), none, *[
-            (F.col(c) if c.startswith(f"{tag}_") else F.lit(0.0)).alias(c) for c in cols])
-    rid = F.struct(*[F.col(c) for c in run_id]).alias("_rid")
-    first, last = F.col(run_start).cast("date"), F.col(run_end).cast("date")
-    reads = F.array(F.struct(last.alias("day"), F.lit(2).alias("q")), F.struct(first.alias("day"), F.lit(1).alias("q")))
-    bound = F.explode(F.when(first <= last, reads).otherwise(           # an empty window reads nothing
-        F.array(F.struct(F.lit(None).cast("date").alias("day"), F.lit(3).alias("q"))))).alias("_b")
-    q = runs.select(F.col(key).alias("_k"), rid, bound).select(
-        "_k", F.col("_b.day").alias("_day"), F.col("_b.q").alias("_q"), "_rid", *[F.lit(0.0).alias(c) for c in cols])
-    w = Window.partitionBy("_k").orderBy("_day", "_q").rowsBetween(Window.unboundedPreceding, 0)
-    u = padded(starts, "s").unionByName(padded(ends, "e")).unionByName(q)
-    cum = u.select("_q", "_rid", *[F.sum(c).over(w).alias(c) for c in cols]).where(F.col("_q") > 0)
-    j = cum.groupBy("_rid").agg(*[F.coalesce(F.max(F.when(F.col("_q") == 2, F.col(f"s_{n}")))
-                                             - F.max(F.when(F.col("_q") == 1, F.col(f"e_{n}"))), F.lit(0.0)).alias(n) for n in names])
-    out = j.select(*[F.col("_rid")[c].alias(c) for c in run_id], *names)
-    return out.withColumn("n", F.col("n").cast("bigint")).withColumnRenamed("n", "n_events")
-
-
-#: Levels of the dyadic day tree: nodes of 1 to 2**16 days (longer intervals take several of the largest).
-DAY_LEVELS = 16
+    sums = [(F.col(c), f"sum_{c}") for c in sum_cols]
+    for c, vals in (count_values or {}).items():
+        sums += [(F.when(F.col(c) == v, F.lit(1)).otherwise(F.lit(0)), f"n_{c}_{v}") for v in vals]
+    out = interval_overlap(runs, ev, key, run_id, run_start, run_end, ev_start, ev_end, sums)
+    return out.groupBy(*run_id).agg(F.max("n").cast("bigint").alias("n_events"), *[F.max(n).alias(n) for _, n in sums])
 
 
-def _day(c: Column) -> Column:
-    return F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date"))
+def interval_overlap_max(runs: DataFrame, events: DataFrame, key: str, run_id: Sequence[str], run_start: str,
+                         run_end: str, ev_start: str, ev_end: str, max_cols: Sequence[str]) -> DataFrame:
+    """X07 — the maximum of event columns over the events whose [start, end] overlaps each run window, for values
+    of any kind (``interval_overlap``). Returns the run_id columns and ``max_<c>`` of all runs, NULL without an
+    overlapping event; empty windows (start > end) overlap nothing.
+    """
+    return interval_overlap(runs, events, key, run_id, run_start, run_end, ev_start, ev_end, max_cols=max_cols).drop("n")
 
 
-def _ancestors(day: Column) -> Column:
-    """Nodes (level, number) of the day tree that hold a day: one on each level."""
-    return F.transform(F.sequence(F.lit(0), F.lit(DAY_LEVELS)), lambda j: F.struct(
-        j.alias("level"), F.call_function("shiftright", day, j).alias("node")))
+#: Levels of the dyadic day tree: nodes of 1 to 2**16 days (longer intervals take several of the largest).
+DAY_LEVELS = 16
 
 
 def _canonical(first: Column, last: Column) -> Column:
@@ -337,55 +406,18 @@ def _canonical(first: Column, last: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(DAY_LEVELS)), on))
 
 
-def interval_overlap_max(runs: DataFrame, events: DataFrame, key: str, run_id: Sequence[str], run_start: str,
-                         run_end: str, ev_start: str, ev_end: str, max_cols: Sequence[str]) -> DataFrame:
-    """X07 — the maximum of event columns over the events whose [start, end] overlaps each run window,
-    without forming (run, event) pairs and for values of any kind.
-
-    A maximum cannot be taken as a difference of running totals, so days are put in a binary tree. An event
-    overlaps a run if it starts within the run, or else covers the run's first day:
-
-    * start within: every event start counts for the nodes above its day; a run reads the few nodes that
-      make up its window.
-    * covers the first day: an event counts for the few nodes that make up its own interval; a run reads the
-      nodes above its first day.
-
-    Both are equi-joins on (key, level, node) with one row a node. Events are reduced to one row per key and
-    days first, so no row count grows with more than events or runs times the depth of the tree, whatever
-    the windows hold. Returns the run_id columns and ``max_<c>`` of all runs, NULL without an overlapping
-    event; empty windows (start > end) overlap nothing.
-    """
-    rid = F.struct(*[F.col(c) for c in run_id]).alias("_rid")
-    maxima = [F.max(f"max_{c}").alias(f"max_{c}") for c in max_cols]
-    s, e = _day(F.col(ev_start)).alias("_s"), _day(F.col(ev_end)).alias("_e")
-    ev = events.select(F.col(key).alias("_k"), s, e, *[F.col(c).alias(f"max_{c}") for c in max_cols]).where(
-        "_s <= _e").groupBy("_k", "_s", "_e").agg(*maxima)
-
-    def nodes(df: DataFrame, at: Column, side: int, *more) -> DataFrame:
-        return df.select("_k", F.lit(side).alias("_side"), F.explode(at).alias("_at"), *more).select(
-            "_k", "_side", "_at.level", "_at.node", *more)
-    starts = ev.groupBy("_k", "_s").agg(*maxima)
-    cols = [f"max_{c}" for c in max_cols]
-    tree = nodes(starts, _ancestors(F.col("_s")), 0, *cols).unionByName(
-        nodes(ev, _canonical(F.col("_s"), F.col("_e")), 1, *cols)).groupBy("_k", "_side", "level", "node").agg(*maxima)
-    r = runs.select(F.col(key).alias("_k"), rid, _day(F.col(run_start)).alias("_s"), _day(F.col(run_end)).alias("_e"))
-    sound = r.where("_s <= _e")
-    asked = nodes(sound, _canonical(F.col("_s"), F.col("_e")), 0, "_rid").unionByName(nodes(sound, _ancestors(F.col("_s")), 1, "_rid"))
-    found = asked.join(tree, ["_k", "_side", "level", "node"]).groupBy("_rid").agg(*maxima)
-    return r.select("_rid").join(found, "_rid", "left").select(*[F.col("_rid")[c].alias(c) for c in run_id], *cols)
-
-
 def event_window_features(runs: DataFrame, events: DataFrame, key: str, run_id: Sequence[str], run_start: str, run_end: str,
                           ev_start: str = "start", ev_end: str = "end", attendance: str = "attendance", rank: str = "rank",
                           kind: str = "kind", kinds: Sequence[str] = ("sports", "concerts"), holiday: str = "holidays",
                           weather: str = "severe-weather", significant: int = 30,
-                          distinct_on: Sequence[str] | None = None) -> DataFrame:
+                          distinct_on: Sequence[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """X07 — features of the events around each run: every run, those without events with zeros.
 
     ``attendance_sum`` and ``attendance_<kind>`` add up the attendance of overlapping events (unknown counts
     as 0), ``event_count`` counts those of at least the ``significant`` rank and ``rank_avg`` is their mean
     rank (NULL without any), ``rank_max`` is the greatest rank of all of them (NULL without any),
-    ``holidays_flag`` and ``severe_weather_flag`` are 1 if an event of that kind overlaps.
+    ``holidays_flag`` and ``severe_weather_flag`` are 1 if an event of that kind overlaps. Runs with a NULL in
+    ``run_id`` are left out; ``keep`` names further columns of the runs that go on with them.
     """
     big = F.col(rank) >= significant
     number = F.coalesce(F.col(attendance).cast("double"), F.lit(0.0))
@@ -395,17 +427,16 @@ def event_window_features(runs: DataFrame, events: DataFrame, key: str, run_id:
         F.when(F.col(kind) == holiday, F.lit(1)).otherwise(F.lit(0)).alias("_holiday"),
         F.when(F.col(kind) == weather, F.lit(1)).otherwise(F.lit(0)).alias("_weather"))
     ev = ev.dropDuplicates(list(distinct_on)) if distinct_on else ev
+    ev = ev.where(F.col(ev_start).cast("date") <= F.col(ev_end).cast("date"))
     ev = cut(ev.select(*dict.fromkeys([key, ev_start, ev_end, rank]), "_att", *[f"_att_{i}" for i in range(len(kinds))],
-                       "_big", "_rank", "_holiday", "_weather"))         # read three times: the joins behind it run once
-    window = (key, run_id, run_start, run_end, ev_start, ev_end)
+                       "_big", "_rank", "_holiday", "_weather"))         # ends the lineage of the joins behind the events
     sums = ["_att", *[f"_att_{i}" for i in range(len(kinds))], "_big", "_rank", "_holiday", "_weather"]
-    added = interval_overlap_agg(runs, ev, *window, sum_cols=sums)
-    most = interval_overlap_max(runs, ev, *window, [rank])
-    zero = [F.coalesce(F.col(f"sum_{c}"), F.lit(0.0)).alias(c) for c in sums]
-    both = added.select(*run_id, F.coalesce("n_events", F.lit(0)).cast("bigint").alias("n_events"), *zero).join(most, list(run_id))
+    both = interval_overlap(runs.dropna(subset=list(run_id)), ev, key, [*run_id, *keep], run_start, run_end, ev_start, ev_end,
+                            [(F.col(c), f"sum{c}") for c in sums], [rank])
+    total = {c: F.col(f"sum{c}") for c in sums}
     return both.select(
-        *run_id, "n_events", F.col("_att").alias("attendance_sum"),
-        *[F.col(f"_att_{i}").alias(f"attendance_{k}") for i, k in enumerate(kinds)],
-        F.col("_big").cast("bigint").alias("event_count"), F.col(f"max_{rank}").alias("rank_max"),
-        (F.col("_rank") / F.nullif(F.col("_big"), F.lit(0.0))).alias("rank_avg"),
-        (F.col("_holiday") > 0).cast("int").alias("holidays_flag"), (F.col("_weather") > 0).cast("int").alias("severe_weather_flag"))
+        *run_id, *keep, F.col("n").cast("bigint").alias("n_events"), total["_att"].alias("attendance_sum"),
+        *[total[f"_att_{i}"].alias(f"attendance_{k}") for i, k in enumerate(kinds)],
+        total["_big"].cast("bigint").alias("event_count"), F.col(f"max_{rank}").alias("rank_max"),
+        (total["_rank"] / F.nullif(total["_big"], F.lit(0.0))).alias("rank_avg"),
+        (total["_holiday"] > 0).cast("int").alias("holidays_flag"), (total["_weather"] > 0).cast("int").alias("severe_weather_flag"))

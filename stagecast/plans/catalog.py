@@ -896,13 +896,13 @@ def q_x06(spark, sf):
 
 def _event_lines(spark, sf):
     """Order lines as events: from order to ship date, attendance = quantity, rank 0 to 100, four kinds."""
-    li = B.read(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate")
-    o = B.read(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    li = B.read(spark, sf, "lineitem").select(                    # what the events need of a line: little of it to shuffle
+        "l_orderkey", F.col("l_partkey").alias("title"), F.col("l_shipdate").cast("date").alias("end"),
+        F.col("l_quantity").alias("attendance"), F.floor(F.col("l_extendedprice") % 101).cast("int").alias("rank"))
+    o = B.read(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("start"), "o_orderpriority")
     kind = F.when(F.col("o_orderpriority").startswith("1"), "sports").when(F.col("o_orderpriority").startswith("2"), "concerts").when(
         F.col("o_orderkey") % 7 == 0, "holidays").when(F.col("o_orderkey") % 11 == 0, "severe-weather")
-    return li.join(o, li.l_orderkey == o.o_orderkey).select(
-        F.col("l_partkey").alias("title"), F.col("o_orderdate").cast("date").alias("start"), F.col("l_shipdate").cast("date").alias("end"),
-        F.col("l_quantity").alias("attendance"), F.floor(F.col("l_extendedprice") % 101).cast("int").alias("rank"), kind.alias("kind"))
+    return li.join(o, li.l_orderkey == o.o_orderkey).select("title", "start", "end", "attendance", "rank", kind.alias("kind"))
 
 
 @query("X07_event_window_features")

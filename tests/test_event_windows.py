@@ -66,3 +66,43 @@ def test_a_hot_key_makes_no_pairs(spark):
     assert got.count() == 2_000 and got.where("max_rank <> 100").count() == 0
     nodes = J._canonical(J._day(ev["start"]), J._day(ev["end"]))
     assert ev.selectExpr("start", "end").distinct().select(J.F.size(nodes).alias("n")).agg({"n": "max"}).first()[0] <= 2 * 9
+
+
+def test_events_and_runs_are_dealt_once_and_not_joined(spark):
+    """Rows of a tree of days and joins on it were most of what X07 shuffled: the pass has neither."""
+    r, ev = frames(spark, [("a", 0, 1, 2), ("b", 1, 3, 4)], [("a", 2, 9, (1.0, 5, "sports"))])
+    plan = J.event_window_features(r, ev, "k", ["rid"], "s", "e")._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(n in plan for n in ("Join", "Generate", "Window")) and plan.count("RepartitionByExpression") == 1
+    assert plan.count("Aggregate") == 1                                                # events to a row a (key, start, end)
+
+
+def test_keys_go_on_over_small_batches(spark):
+    """Rows of a key come in many batches, keys start and end within them; further columns of the runs are kept."""
+    rng = random.Random(9)
+    events = [(rng.choice(["a", "b", "c", None]), s, s + rng.choice([0, 2, 40]), (float(rng.randrange(90)), rng.choice([None, rng.randrange(101)]), "sports"))
+              for s in (rng.randrange(200) for _ in range(150))]
+    runs = [(rng.choice("abcd"), i, s, s + rng.choice([-1, 0, 5, 60])) for i, s in enumerate(rng.randrange(-9, 260) for _ in range(90))]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert features(spark, runs, events) == brute(runs, events)
+        r, ev = frames(spark, [*runs, ("a", None, 1, 2)], events)
+        got = J.event_window_features(r, ev, "k", ["rid"], "s", "e", keep=["k", "s", "e"]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted((x["k"], x["rid"], x["s"], x["e"]) for x in got) == sorted((k, i, day(s), day(e)) for k, i, s, e in runs)
+
+
+def test_maxima_of_any_kind_of_value(spark):
+    """Texts and doubles, NaN above all others; a NULL key and a repeated run are rows of their own."""
+    nan = float("nan")
+    ev = spark.createDataFrame([("k", day(1), day(5), "b", 2.0), ("k", day(2), day(3), "é", nan), ("k", day(4), day(9), "c", 7.0),
+                                ("k", day(4), day(9), None, nan), ("k", day(6), day(6), "a", None), (None, day(0), day(9), "z", 9.0)],
+                               "k string, a date, b date, t string, x double")
+    r = spark.createDataFrame([("k", 0, day(0), day(1)), ("k", 1, day(3), day(4)), ("k", 2, day(6), day(6)), ("k", 3, day(10), day(12)),
+                               ("k", 0, day(0), day(1)), (None, 4, day(1), day(2))], "k string, rid long, s date, e date")
+    got = J.interval_overlap_max(r, ev, "k", ["rid"], "s", "e", "a", "b", ["t", "x"]).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [
+        (0, "b", 2.0), (0, "b", 2.0), (1, "é", nan), (2, "c", nan), (3, None, None), (4, None, None)]))
+    counts = J.interval_overlap_agg(r, ev, "k", ["rid"], "s", "e", "a", "b").collect()
+    assert sorted(map(tuple, counts)) == [(0, 1), (1, 4), (2, 3), (3, 0), (4, 1)]
