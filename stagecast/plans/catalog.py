@@ -905,11 +905,15 @@ def _event_lines(spark, sf):
     return li.join(o, li.l_orderkey == o.o_orderkey).select("title", "start", "end", "attendance", "rank", kind.alias("kind"))
 
 
+def _event_windows(spark, sf, keep=()):
+    runs = _plan(spark, sf).runs.select("title", "run_no", "run_start", "run_end")
+    return rounded(J.event_window_features(runs, _event_lines(spark, sf), "title", ["title", "run_no"], "run_start", "run_end", keep=keep))
+
+
 @query("X07_event_window_features")
 def q_x07(spark, sf):
     """Every run with the features of the order lines around it, runs without any included."""
-    runs = _plan(spark, sf).runs.select("title", "run_no", "run_start", "run_end")
-    return rounded(J.event_window_features(runs, _event_lines(spark, sf), "title", ["title", "run_no"], "run_start", "run_end"))
+    return _event_windows(spark, sf)
 
 
 @query("X01_knn_impute")
@@ -1000,10 +1004,10 @@ def q_f09c(spark, sf):
 
 
 # ---------------------------------------------------------------- sources as files: written by S19, read back
-def _as_file(spark, df, tag):
+def _as_file(spark, df, tag, compression=None):
     """A table as CSV files in a fresh folder that all machines share."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    IO.write_table(df, path)
+    IO.write_table(df, path, compression=compression)
     return path
 
 
@@ -1038,14 +1042,14 @@ def q_s07(spark, sf):
 @query("S10_event_features")
 def q_s10(spark, sf):
     """The features of the runs (X07), written under the names of the event file and read back: 13 columns."""
-    x = q_x07(spark, sf).join(_plan(spark, sf).runs.select("title", "run_no", "run_start", "run_end"), ["title", "run_no"])
+    x = _event_windows(spark, sf, keep=("run_start", "run_end"))
     phq = {"attendance_sum": "attendance_sum", "attendance_sports": "attendance_sports", "attendance_concerts": "attendance_concerts",
            "event_count": "event_count", "rank_max": "rank_max", "rank_avg": "rank_avg", "holidays_flag": "holidays_flag",
            "severe_weather_flag": "severe_weather_flag"}
     f = _as_texts(x, IO.EVENT_FEATURES, absent=("phq_demand_impact_score",), show_title=F.col("title"), city=F.lit("all"),
                   phq_start_date=F.col("run_start"), phq_end_date=F.when(F.col("run_no") > 0, F.col("run_end").cast("string")).otherwise("not a date"),
                   **{f"phq_{a}": F.col(b) for a, b in phq.items()})
-    d = IO.read_source(spark, _as_file(spark, f, "s10"), IO.EVENT_FEATURES)
+    d = IO.read_source(spark, _as_file(spark, f, "s10", "gzip"), IO.EVENT_FEATURES)      # as many rows as there are runs
     return rounded(d)
 
 

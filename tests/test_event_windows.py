@@ -106,3 +106,34 @@ def test_maxima_of_any_kind_of_value(spark):
         (0, "b", 2.0), (0, "b", 2.0), (1, "é", nan), (2, "c", nan), (3, None, None), (4, None, None)]))
     counts = J.interval_overlap_agg(r, ev, "k", ["rid"], "s", "e", "a", "b").collect()
     assert sorted(map(tuple, counts)) == [(0, 1), (1, 4), (2, 3), (3, 0), (4, 1)]
+
+
+def test_event_file_takes_the_runs_with_their_features(spark, tmp_path, monkeypatch):
+    """S10 joined the features to the runs once more and wrote plain text; now they come together, compressed."""
+    from stagecast.plans import catalog as C
+    tables = {"region": ([(1, "AMERICA")], "r_regionkey long, r_name string"),
+              "nation": ([(1, 1)], "n_nationkey long, n_regionkey long"),
+              "customer": ([(1, 1, "BUILDING")], "c_custkey long, c_nationkey long, c_mktsegment string"),
+              "part": ([(1, "a", "LARGE", 1), (2, "b", "SMALL", 2)], "p_partkey long, p_name string, p_type string, p_size int"),
+              "orders": ([(1, 1, dt.datetime(2020, 1, 1), "1-URGENT")], "o_orderkey long, o_custkey long, o_orderdate timestamp, o_orderpriority string"),
+              "lineitem": ([(1, 1, 1, 5.0, 140.0, 0.0, dt.datetime(2020, 1, 10)), (1, 1, 2, 2.0, 10.0, 0.0, dt.datetime(2022, 6, 1)),
+                            (1, 2, 3, 3.0, 50.0, 0.0, None), (1, None, 4, 9.0, 90.0, 0.0, dt.datetime(2020, 1, 5))],
+                           "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_shipdate timestamp")}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    seen, write = [], C._as_file
+
+    def as_file(session, df, *more):
+        seen.append((df._jdf.queryExecution().optimizedPlan().toString(), write(session, df, *more)))
+        return seen[-1][1]
+    monkeypatch.setattr(C, "_as_file", as_file)
+    got = sorted(C.QUERIES["S10_event_features"](spark, str(tmp_path)).collect(), key=lambda r: (r["show_title"], str(r["phq_start_date"])))
+    cols = ["show_title", "phq_start_date", "phq_end_date", "phq_attendance_sum", "phq_attendance_sports", "phq_event_count",
+            "phq_rank_max", "phq_rank_avg"]
+    assert [tuple(r[c] for c in cols) for r in got] == [
+        ("1", dt.date(2020, 1, 10), None, 7.0, 7.0, 1.0, 39.0, 39.0), ("1", dt.date(2022, 6, 1), dt.date(2022, 6, 1), 2.0, 2.0, 0.0, 10.0, None),
+        ("2", None, None, 0.0, 0.0, 0.0, None, None)]
+    (plan, path), = seen
+    assert "Join" not in plan
+    files = spark.read.format("binaryFile").load(path).select("path").collect()
+    assert files and all(r["path"].endswith(".csv.gz") for r in files)
